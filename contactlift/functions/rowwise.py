@@ -64,17 +64,13 @@ def safe_ratio(num: ColumnLike, den: ColumnLike, mode: str = "ieee") -> Column:
     """
     n = _col(num).cast("double")
     d = _col(den).cast("double")
-    nan = F.lit(float("nan"))
     if mode == "null":
         return F.when(d != 0, n / d)
     if mode != "ieee":
         raise ValueError(f"unknown mode {mode!r}")
-    return (
-        F.when(n.isNull() | d.isNull(), F.lit(None).cast("double"))
-        .when(F.isnan(n) | F.isnan(d), nan)
-        .when(d == 0, F.when(n > 0, F.lit(float("inf"))).when(n < 0, F.lit(float("-inf"))).otherwise(nan))
-        .otherwise(n / d)
-    )
+    # x * Inf is exactly the IEEE x / 0: +-Inf by the sign of x, NaN for 0 and NaN, NULL for NULL.
+    # A NULL or NaN denominator falls to the plain division, which gives NULL or NaN.
+    return F.when(d == 0, n * F.lit(float("inf"))).otherwise(n / d)
 
 
 def finite_or_null(c: ColumnLike) -> Column:

@@ -320,7 +320,7 @@ def _ratio_sql(n: str, d: str, name: str) -> str:
     return f"{finite(r)} as {name}, cast({ieee(r)} as integer) as {name}__ieee"
 
 
-register("safe_ratio", _pair_sql(
+@register("safe_ratio", _pair_sql(
     _ratio_sql("Master_msaldototal", "Visa_msaldototal", "r_saldo") + ", "
     + _ratio_sql("Master_tconsumos", "Visa_tconsumos", "r_consumos")))
 def q_safe_ratio(spark, sf):
