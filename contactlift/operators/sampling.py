@@ -128,6 +128,8 @@ def stratified_folds(df: DataFrame, k: int = 5, seed: int = MASTER_SEED, strata:
 
     Ranks a narrow projection, then joins the fold number back by id (ids must be unique).
     """
+    if name in df.columns:
+        df = df.drop(name)
     ranked = _ranked(df, list(strata), id_col, seed, num_buckets)
     folds = ranked.select(id_col, ((F.col("rn") - 1) % F.lit(k)).cast("int").alias(name))
     return df.join(folds, id_col, "inner")

@@ -93,6 +93,18 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(*cols)
 
 
+def wide_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``wide`` plus the class of ``cards`` (negative balance = 'SI'), both read from ``customer``."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    k = F.col("c_custkey")
+    cols = [k.alias("id_cliente"),
+            F.when(F.col("c_acctbal") < 0, F.lit("SI")).otherwise(F.lit("NO")).alias("clase")]
+    for j, name in enumerate(SOURCE_COLUMNS):
+        missing = (((k + j) % 7) == 0) | ((k % 13) == 0)
+        cols.append(F.when(~missing, ((k * 31 + j * 17) % 50).cast("double")).alias(name))
+    return c.select(*cols)
+
+
 def wide_sql() -> str:
     parts = ["c_custkey as id_cliente"]
     for j, name in enumerate(SOURCE_COLUMNS):

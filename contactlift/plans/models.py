@@ -1,3 +1,248 @@
-"""Model-job queries (MLlib); filled in below."""
+"""Registered model-job queries (MLlib). Not SQL-expressible: the driver checks rows only.
 
-MODEL_QUERIES: dict = {}
+Round counts are kept small so the checks stay quick; the parameters are arguments of the
+library functions, not limits of them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from contactlift.operators import metrics as M
+from contactlift.operators import model as ML
+from contactlift.operators import packs as P
+from contactlift.operators import projections as PR
+from contactlift.operators import sampling as S
+from contactlift.plans import fixtures as FX
+from contactlift.plans import trials as T
+from contactlift.session import scratch_path
+from contactlift.sources import files as IO
+
+MODEL_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+ROUNDS = 10
+SEEDS = (19381, 19387)
+# Recorded parameter sets (default and tuned runs of profile A, chosen profile B).
+DEFAULT_A = {"eta": 0.04, "colsample_bytree": 0.6}
+TUNED_A = {"eta": 0.0245, "colsample_bytree": 0.212}
+CHOSEN_B = {"learning_rate": 0.0155, "feature_fraction": 0.33, "max_depth": 7}
+
+
+def model_query(name: str):
+    def deco(fn):
+        MODEL_QUERIES[name] = fn
+        return fn
+    return deco
+
+
+def cards(spark: SparkSession, sf: str) -> DataFrame:
+    return PR.label_from_class(FX.cards(spark, sf))
+
+
+def wide(spark: SparkSession, sf: str) -> DataFrame:
+    return PR.label_from_class(FX.wide_labelled(spark, sf))
+
+
+def feats(df: DataFrame) -> list[str]:
+    return PR.feature_columns(df)
+
+
+def est_a(params=DEFAULT_A, rounds=ROUNDS, seed=S.MASTER_SEED):
+    return ML.profile_a(params["eta"], rounds, params["colsample_bytree"], seed=seed)
+
+
+def est_b(params=CHOSEN_B, rounds=ROUNDS, seed=S.MASTER_SEED):
+    return ML.profile_b(params["learning_rate"], rounds, params["feature_fraction"], params.get("max_depth", 6), seed=seed)
+
+
+def split(df: DataFrame, seed: int = -1):
+    return S.train_test_split(df, 0.7, seed, ["clase01"])
+
+
+@model_query("feature_matrix")
+def q_feature_matrix(spark, sf):
+    df = cards(spark, sf)
+    m = ML.feature_matrix(df, feats(df))
+    return m.select("id_cliente", "label", vector_to_array("features").alias("features"))
+
+
+@model_query("train_profile_a")
+def q_train_a(spark, sf):
+    df = cards(spark, sf)
+    train, test = split(df)
+    return T.fit(train, feats(df), est_a()).predict(test, keep=["clase01"])
+
+
+@model_query("train_profile_b")
+def q_train_b(spark, sf):
+    df = cards(spark, sf)
+    train, test = split(df)
+    return T.fit(train, feats(df), est_b()).predict(test, keep=["clase01"])
+
+
+@model_query("predict_probs")
+def q_predict(spark, sf):
+    df = cards(spark, sf)
+    return T.fit(df, feats(df), est_a()).predict(df, name="prob_positivo")
+
+
+@model_query("feature_importance")
+def q_importance(spark, sf):
+    df = cards(spark, sf)
+    f = T.fit(df, feats(df), est_a())
+    return ML.importance_frame(spark, f.model, f.prepared.names)
+
+
+@model_query("export_importance")
+def q_export_importance(spark, sf):
+    df = cards(spark, sf)
+    f = T.fit(df, feats(df), est_a())
+    path = scratch_path(spark, "importance")
+    IO.sink_delimited(ML.importance_frame(spark, f.model, f.prepared.names), path)
+    return IO.scan_delimited(spark, path, "feature string, importance double")
+
+
+@model_query("train_score_workflow")
+def q_workflow(spark, sf):
+    df = cards(spark, sf)
+    _, _, profit = T.train_score_workflow(df, feats(df), est_a(), split=lambda d: split(d))
+    return profit
+
+
+@model_query("cv_profit_log")
+def q_cv_log(spark, sf):
+    df = cards(spark, sf)
+    return T.cv_profit_log(df, feats(df), est_a(), k=5)
+
+
+@model_query("cv_best_score")
+def q_cv_best(spark, sf):
+    df = cards(spark, sf)
+    log = T.cv_profit_log(df, feats(df), est_b(), k=5)
+    return T.cv_best_score(log)
+
+
+@model_query("early_stop_rounds")
+def q_early_stop(spark, sf):
+    df = cards(spark, sf)
+    train, test = split(df)
+    best, refit = T.early_stop_rounds(train, feats(df), est_b(rounds=2 * ROUNDS), k=3, patience=5)
+    return refit.predict(test, keep=["clase01"]).withColumn("best_round", F.lit(best))
+
+
+@model_query("baseline_scoring_run")
+def q_baseline_run(spark, sf):
+    """Train on the labelled part, score the application part; ranked probs, target ids, importance."""
+    df = cards(spark, sf)
+    train, apply_ = split(df)
+    f = T.fit(train, feats(df), est_a())
+    probs = f.predict(apply_.drop("clase01"), name="prob_positivo")
+    base = scratch_path(spark, "baseline")
+    IO.export_ranked_probs(probs, f"{base}/ranked")
+    IO.export_target_ids(probs, f"{base}/ids", 0.025)
+    IO.sink_delimited(ML.importance_frame(spark, f.model, f.prepared.names), f"{base}/importance")
+    return spark.read.option("sep", "\t").option("header", True).option("lineSep", "\r\n").schema(
+        "id_cliente bigint, prob_positivo double").csv(f"{base}/ranked")
+
+
+def _blend(train: DataFrame, test: DataFrame, features, seed: int = S.MASTER_SEED) -> DataFrame:
+    a = T.fit(train, features, est_a(TUNED_A, seed=seed)).predict(test, keep=["clase01"], name="prob_a")
+    b = T.fit(train, features, est_b(seed=seed)).predict(test, name="prob_b")
+    j = a.join(b, "id_cliente")
+    return j.select("id_cliente", "clase01", (F.lit(0.7) * F.col("prob_a") + F.lit(0.3) * F.col("prob_b")).alias("prob"))
+
+
+@model_query("blended_delivery")
+def q_blended_delivery(spark, sf):
+    """Enrich both sets, two models, blend 0.7/0.3, strict cutoff, ids by descending probability."""
+    df = P.apply_pack(wide(spark, sf), "combined")
+    train, apply_ = split(df)
+    blended = _blend(train, apply_, feats(df))
+    path = scratch_path(spark, "delivery")
+    IO.export_target_ids(blended, path, 0.025, prob="prob", ranked=True)
+    return spark.read.option("lineSep", "\r\n").schema("id_cliente bigint").csv(path)
+
+
+@model_query("holdout_comparison")
+def q_holdout(spark, sf):
+    df = cards(spark, sf)
+    train, hold = split(df)
+    base = T.fit(train, feats(df), est_a()).predict(hold, keep=["clase01"])
+    blend = _blend(train, hold, feats(df))
+    rows = [M.profit_score(p.withColumnRenamed("clase01", "target")).select(F.lit(n).alias("model"), "profit")
+            for n, p in (("baseline", base), ("blend", blend))]
+    return rows[0].unionByName(rows[1])
+
+
+@model_query("feature_pack_comparison")
+def q_pack_comparison(spark, sf):
+    df = wide(spark, sf)
+    raw = feats(df)
+    variants = {}
+    for pack in ("none", "std", "extended"):
+        def run(train, test, seed, pack=pack):
+            tr = train if pack == "none" else P.apply_pack(train, pack)
+            te = test if pack == "none" else P.apply_pack(test, pack)
+            fs = raw if pack == "none" else raw + P.pack_columns(pack)
+            return T.fit(tr, fs, est_a(TUNED_A, seed=seed)).predict(te, keep=["clase01"])
+        variants[pack] = run
+    return T.compare_over_seeds(df, SEEDS, variants, "none")
+
+
+@model_query("model_comparison")
+def q_model_comparison(spark, sf):
+    df = cards(spark, sf)
+    fs = feats(df)
+    variants = {
+        "baseline": lambda tr, te, s: T.fit(tr, fs, est_a(seed=s)).predict(te, keep=["clase01"]),
+        "profile_a": lambda tr, te, s: T.fit(tr, fs, est_a(TUNED_A, seed=s)).predict(te, keep=["clase01"]),
+        "profile_b": lambda tr, te, s: T.fit(tr, fs, est_b(seed=s)).predict(te, keep=["clase01"]),
+        "blend": lambda tr, te, s: _blend(tr, te, fs, s),
+    }
+    return T.compare_over_seeds(df, SEEDS, variants, "baseline")
+
+
+@model_query("tuned_comparison")
+def q_tuned(spark, sf):
+    """Default against tuned parameters, and raw against enriched features, on one split."""
+    df = wide(spark, sf)
+    train, test = split(df)
+    raw = feats(df)
+    rich_train, rich_test = P.apply_pack(train, "combined"), P.apply_pack(test, "combined")
+    rich = raw + P.pack_columns("combined")
+    runs = {
+        "default_raw": T.fit(train, raw, est_a(DEFAULT_A)).predict(test, keep=["clase01"]),
+        "tuned_raw": T.fit(train, raw, est_a(TUNED_A)).predict(test, keep=["clase01"]),
+        "tuned_enriched": T.fit(rich_train, rich, est_a(TUNED_A)).predict(rich_test, keep=["clase01"]),
+    }
+    rows = [M.profit_score(p.withColumnRenamed("clase01", "target")).select(F.lit(n).alias("variant"), "profit")
+            for n, p in runs.items()]
+    return T._union(rows)
+
+
+@model_query("cutoff_sweep_experiment")
+def q_sweep_experiment(spark, sf):
+    df = cards(spark, sf)
+    return T.cutoff_sweep_experiment(df, feats(df), est_a(), SEEDS)
+
+
+@model_query("oof_score_table")
+def q_oof(spark, sf):
+    df = cards(spark, sf)
+    grid = [{"id": 100, "learning_rate": 0.02, "feature_fraction": 0.5},
+            {"id": 101, "learning_rate": 0.05, "feature_fraction": 0.8}]
+    make = lambda p: ML.profile_b(p["learning_rate"], ROUNDS, p["feature_fraction"])
+    return T.oof_score_table(df, feats(df), grid, make, k=3, inner_folds=3, patience=5)
+
+
+@model_query("trial_evaluation")
+def q_trials(spark, sf):
+    df = cards(spark, sf)
+    trials = spark.createDataFrame([(1, 0.04, 0.6), (2, 0.0245, 0.212)], "trial_id int, eta double, colsample_bytree double")
+    make = lambda p: ML.profile_a(p["eta"], ROUNDS, p["colsample_bytree"])
+    log = T.TrialLog(spark)
+    return T.trial_evaluation(df, feats(df), trials, make, SEEDS, log, k=3)
