@@ -441,7 +441,7 @@ _SAMPLE_SQL = f"""ranked as (select *, {_sql_rank(S.MASTER_SEED, 'id_cliente', '
 register("stratified_sample", FX.with_views(f"with {_SAMPLE_SQL} select * from train", **CARDS_VIEW))(
     lambda spark, sf: S.stratified_sample(FX.cards(spark, sf), SPLIT_FRACTION, ["clase"], S.MASTER_SEED))
 
-register("train_test_split", FX.with_views(
+@register("train_test_split", FX.with_views(
     f"""with {_SAMPLE_SQL} select 'train' as part, * from train
     union all select 'test' as part, f.* from f_cards f anti join train t on f.id_cliente = t.id_cliente""",
     **CARDS_VIEW))
