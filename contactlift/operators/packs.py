@@ -289,11 +289,52 @@ def spec_column(op: str, inputs: Sequence[str]) -> Column:
     raise ValueError(f"unknown op {op!r}")
 
 
+# --- the same operations as Spark SQL text: one F.expr per derived column ----------------------
+# Building 130 nested Column objects costs thousands of Python-to-JVM calls; one expression
+# string per column is parsed inside the JVM and yields the same plan.
+
+def _q(name: str) -> str:
+    return f"`{name}`"
+
+
+def _nn(x: str) -> str:
+    return f"nanvl(cast({x} as double), cast(null as double))"
+
+
+def _in(token: str) -> str:
+    if "/" in token:
+        name, scale = token.split("/")
+        return f"(cast({_q(name)} as double) / cast({float(scale)!r} as double))"
+    return _q(token)
+
+
+def _sum_sql(xs: Sequence[str]) -> str:
+    return "(" + " + ".join(f"coalesce({_nn(x)}, cast(0 as double))" for x in xs) + ")"
+
+
+def spec_sql(op: str, inputs: Sequence[str]) -> str:
+    """Spark SQL text of one derived column (same semantics as ``spec_column``)."""
+    xs = [_in(i) for i in inputs]
+    if op == "max":
+        return "greatest(" + ", ".join(_nn(x) for x in xs) + ")"
+    if op == "min":
+        return "least(" + ", ".join(_nn(x) for x in xs) + ")"
+    if op == "sum":
+        return _sum_sql(xs)
+    if op == "mean":
+        cnt = " + ".join(f"(case when {_nn(x)} is not null then 1 else 0 end)" for x in xs)
+        return f"(case when ({cnt}) > 0 then {_sum_sql(xs)} / ({cnt}) end)"
+    if op == "ratio":
+        n, d = f"cast({xs[0]} as double)", f"cast({xs[1]} as double)"
+        return f"(case when {d} = 0 then {n} * double('Infinity') else {n} / {d} end)"
+    raise ValueError(f"unknown op {op!r}")
+
+
 def apply_pack(df: DataFrame, pack: str | Sequence[Spec]) -> DataFrame:
     """Add a pack's derived columns to ``df`` (one ``withColumns`` per dependency layer)."""
     specs = PACKS[pack] if isinstance(pack, str) else pack
     for layer in layers(specs):
-        df = df.withColumns({name: spec_column(op, inputs) for name, op, inputs in layer})
+        df = df.withColumns({name: F.expr(spec_sql(op, inputs)) for name, op, inputs in layer})
     return df
 
 

@@ -83,26 +83,22 @@ group by c_custkey"""
 
 # --- f_wide: all 139 feature inputs, values from the key --------------------------------------
 
+def _wide_exprs() -> list[str]:
+    return [f"case when (c_custkey + {j}) % 7 = 0 or c_custkey % 13 = 0 then null "
+            f"else cast((c_custkey * 31 + {j} * 17) % 50 as double) end as `{name}`"
+            for j, name in enumerate(SOURCE_COLUMNS)]
+
+
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey")
-    k = F.col("c_custkey")
-    cols = [k.alias("id_cliente")]
-    for j, name in enumerate(SOURCE_COLUMNS):
-        missing = (((k + j) % 7) == 0) | ((k % 13) == 0)
-        cols.append(F.when(~missing, ((k * 31 + j * 17) % 50).cast("double")).alias(name))
-    return c.select(*cols)
+    return c.selectExpr("c_custkey as id_cliente", *_wide_exprs())
 
 
 def wide_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``wide`` plus the class of ``cards`` (negative balance = 'SI'), both read from ``customer``."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    k = F.col("c_custkey")
-    cols = [k.alias("id_cliente"),
-            F.when(F.col("c_acctbal") < 0, F.lit("SI")).otherwise(F.lit("NO")).alias("clase")]
-    for j, name in enumerate(SOURCE_COLUMNS):
-        missing = (((k + j) % 7) == 0) | ((k % 13) == 0)
-        cols.append(F.when(~missing, ((k * 31 + j * 17) % 50).cast("double")).alias(name))
-    return c.select(*cols)
+    return c.selectExpr("c_custkey as id_cliente", "case when c_acctbal < 0 then 'SI' else 'NO' end as clase",
+                        *_wide_exprs())
 
 
 def wide_sql() -> str:

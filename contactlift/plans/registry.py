@@ -334,12 +334,14 @@ def q_safe_ratio(spark, sf):
 def pack_output(df: DataFrame, pack: str, id_col: str = "id_cliente") -> DataFrame:
     """The compared projection of a pack: finite values plus a class flag for every ratio."""
     enriched = P.apply_pack(df, pack)
-    cols = [F.col(id_col)]
+    cols = [f"`{id_col}`"]
     for name, op in P.pack_ops(pack).items():
-        cols.append(rw.finite_or_null(F.col(name)).alias(name))
+        x = f"`{name}`"
+        cols.append(f"case when isnan({x}) or abs({x}) = double('Infinity') then null else {x} end as {x}")
         if op == "ratio":
-            cols.append(rw.ieee_class(F.col(name)).alias(f"{name}__ieee"))
-    return enriched.select(*cols)
+            cols.append(f"case when {x} is null then null when isnan({x}) then 3 when {x} = double('Infinity') "
+                        f"then 1 when {x} = double('-Infinity') then 2 else 0 end as `{name}__ieee`")
+    return enriched.selectExpr(*cols)
 
 
 for _pack in ("std", "small_extended", "extended", "combined"):
