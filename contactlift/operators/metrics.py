@@ -124,20 +124,25 @@ def cutoff_sweep(df: DataFrame, prob: str = "prob", target: str = "target", by:
                  relative: bool = True) -> DataFrame:
     """Profit at each of the 201 sweep cutoffs (``prob >= cutoff``), without a rows x cutoffs join.
 
-    Each row is binned by the number of cutoffs it passes (one pass, map-side partial sums);
-    the 202 bins per group get a suffix sum, so the profit at cutoff i is the sum of bins k > i.
+    Each row is binned by the number of cutoffs it passes (one pass, map-side partial sums).
+    A group then has at most 202 bins (a bound set by the sweep, not by the data); they are
+    gathered into one array per group and the profit at cutoff i is the sum of bins k > i.
     """
     by = list(by)
     binned = df.select(*by, _cutoffs_passed(F.col(prob)).alias("k"), points(target).alias("pts"))
     per_bin = binned.groupBy(*by, "k").agg(F.sum("pts").alias("pts"), F.count(F.lit(1)).alias("n"))
-    groups = per_bin.groupBy(*by).agg(F.sum("n").alias("rows"))
-    grid = groups.select(*by, "rows", F.explode(F.sequence(F.lit(0), F.lit(SWEEP_COUNT))).alias("k"))
-    bins = per_bin.select(*[F.col(b).alias(f"__b_{b}") for b in by], F.col("k").alias("__k"), "pts")
-    cond = [grid[b].eqNullSafe(bins[f"__b_{b}"]) for b in by] + [grid["k"] == bins["__k"]]
-    dense = grid.join(bins, cond, "left")
-    later = Window.partitionBy(*by).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.coalesce(F.sum("pts").over(later), F.lit(0).cast("bigint"))
-    out = dense.select(*by, "k", "rows", total.alias("pts")).where(F.col("k") < SWEEP_COUNT)
+    per_group = per_bin.groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.struct("k", "pts"))).alias("bins"),
+        F.sum("n").alias("rows"),
+    )
+    zero = F.lit(0).cast("bigint")
+
+    def after(i):
+        return F.aggregate(F.sequence(i + 1, F.lit(SWEEP_COUNT)), zero,
+                           lambda acc, k: acc + F.coalesce(F.element_at(F.col("bins"), k), zero))
+
+    profits = F.transform(F.sequence(F.lit(0), F.lit(SWEEP_COUNT - 1)), after)
+    out = per_group.select(*by, "rows", F.posexplode(profits).alias("k", "pts"))
     val = F.col("pts") / F.col("rows") if relative else F.col("pts")
     return out.select(*by, F.col("k").alias("cutoff_index"),
                       ((F.lit(SWEEP_FIRST) + F.lit(SWEEP_STEP) * F.col("k")) / F.lit(SWEEP_SCALE)).alias("cutoff"),

@@ -48,8 +48,13 @@ def running_sums(
     values: Mapping[str, Column],
     partition_by: Sequence[str] = (),
     num_buckets: int | None = None,
+    totals_out: list | None = None,
 ) -> DataFrame:
-    """Add one column per ``values`` entry: its inclusive running sum in ``order`` within ``partition_by``."""
+    """Add one column per ``values`` entry: its inclusive running sum in ``order`` within ``partition_by``.
+
+    If ``totals_out`` is a list, the per-stratum grand totals (one row per stratum, read from
+    the small bucket-totals table) are appended to it.
+    """
     partition_by = list(partition_by)
     vcols = {name: f"__cl_v_{i}" for i, name in enumerate(values)}
     staged = df.withColumns({vcols[name]: col for name, col in values.items()})
@@ -64,7 +69,9 @@ def running_sums(
         *[F.coalesce(F.sum(v).over(w_prev), F.lit(0)).alias(f"{v}_off") for v in vcols.values()],
     )
     # at most buckets + strata rows; counted before it is broadcast
-    offsets = broadcast_if_small(offsets.cache())
+    offsets = broadcast_if_small(offsets)
+    if totals_out is not None:
+        totals_out.append(totals.groupBy(*partition_by).agg(*[F.sum(v).alias(name) for name, v in vcols.items()]))
 
     w_in = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumns({f"{v}_loc": F.sum(v).over(w_in) for v in vcols.values()})
@@ -81,7 +88,11 @@ def row_numbers(
     name: str = "rn",
     partition_by: Sequence[str] = (),
     num_buckets: int | None = None,
+    totals_out: list | None = None,
 ) -> DataFrame:
-    """``row_number()`` over ``partition_by`` in ``order``, without one task per stratum."""
-    out = running_sums(df, order, {name: F.lit(1).cast("bigint")}, partition_by, num_buckets)
+    """``row_number()`` over ``partition_by`` in ``order``, without one task per stratum.
+
+    With ``totals_out`` the stratum sizes (column ``name``) are appended to that list.
+    """
+    out = running_sums(df, order, {name: F.lit(1).cast("bigint")}, partition_by, num_buckets, totals_out)
     return out

@@ -42,9 +42,12 @@ def _seed_col(seed: int | str | Column) -> Column | int:
 def _ranked(df: DataFrame, strata: Sequence[str], id_col: str, seed, num_buckets: int | None) -> DataFrame:
     """Narrow table (strata, id, __h, rn, __n) with the in-stratum rank and the stratum size."""
     narrow = df.select(*strata, id_col).withColumn("__h", hash_key(_seed_col(seed), F.col(id_col)))
-    ranked = row_numbers(narrow, [F.asc("__h"), F.asc(id_col)], "rn", partition_by=strata, num_buckets=num_buckets)
-    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("__n"))
-    return _attach(ranked, broadcast_if_small(sizes), strata)
+    sizes: list[DataFrame] = []
+    ranked = row_numbers(narrow, [F.asc("__h"), F.asc(id_col)], "rn", partition_by=strata, num_buckets=num_buckets,
+                         totals_out=sizes)
+    # stratum sizes come from the bucket totals of the checkpointed narrow table
+    n = sizes[0].withColumnRenamed("rn", "__n")
+    return _attach(ranked, broadcast_if_small(n), strata)
 
 
 def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -73,13 +76,31 @@ def stratified_sample(df: DataFrame, fraction: float, strata: Sequence[str] = ()
     if not strata:
         df = df.withColumn("__all", F.lit(0))
         strata = ["__all"]
-    ranked = _ranked(df, strata, id_col, seed, num_buckets)
-    # the last kept row of each stratum: at most one row per stratum
+    return mark_sample(df, fraction, strata, seed, id_col, num_buckets=num_buckets).where(
+        F.col("__in_sample")).drop("__in_sample")
+
+
+def mark_sample(df: DataFrame, fraction: float, strata: Sequence[str] = (), seed: int | str = MASTER_SEED,
+                id_col: str = "id_cliente", name: str = "__in_sample", num_buckets: int | None = None) -> DataFrame:
+    """Every row of ``df`` with a boolean ``name``: is it in the exact stratified sample?
+
+    Only the narrow (strata, id, hash) projection is ranked; each stratum's last kept row is the
+    boundary, and rows are compared with it after a join to that small table (one row per
+    stratum), so train and test come from one plan without shuffling the wide rows.
+    """
+    strata = list(strata)
+    work = df
+    if not strata:
+        work = df.withColumn("__all", F.lit(0))
+        strata = ["__all"]
+    ranked = _ranked(work, strata, id_col, seed, num_buckets)
     bounds = ranked.where(F.col("rn") == stratum_quota(F.col("__n"), fraction)).select(
         *strata, F.col("__h").alias("__bh"), F.col(id_col).alias("__bid"))
-    out = _attach(df.withColumn("__h", hash_key(_seed_col(seed), F.col(id_col))), broadcast_if_small(bounds), strata)
-    keep = (F.col("__h") < F.col("__bh")) | ((F.col("__h") == F.col("__bh")) & (F.col(id_col) <= F.col("__bid")))
-    return out.where(keep).drop("__h", "__bh", "__bid", "__all")
+    keyed = work.withColumn("__h", hash_key(_seed_col(seed), F.col(id_col)))
+    out = _attach(keyed, broadcast_if_small(bounds), strata, how="left")
+    inside = (F.col("__bh").isNotNull()
+              & ((F.col("__h") < F.col("__bh")) | ((F.col("__h") == F.col("__bh")) & (F.col(id_col) <= F.col("__bid")))))
+    return out.withColumn(name, inside).drop("__h", "__bh", "__bid", "__all")
 
 
 def sample_with_replacement(df: DataFrame, fraction: float, strata: Sequence[str] = (), seed: int | str = MASTER_SEED,
@@ -109,12 +130,27 @@ def sample_with_replacement(df: DataFrame, fraction: float, strata: Sequence[str
 
 
 def train_test_split(df: DataFrame, fraction: float = 0.7, seed: int | None = -1, strata: Sequence[str] = ("clase",),
-                     id_col: str = "id_cliente", num_buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Stratified train sample and the rest (anti-join by id, so duplicate ids leave together)."""
+                     id_col: str = "id_cliente", num_buckets: int | None = None,
+                     check_unique_ids: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Stratified train sample and the rest.
+
+    The rest is the anti-join by id, so duplicate ids leave together. When the ids are unique
+    (checked on the narrow id column) that equals the complement of the sample, and both sides
+    are filters of one marked plan: no wide shuffle for the anti-join.
+    """
     s = resolve_seed(seed)
-    train = stratified_sample(df, fraction, strata, s, id_col, num_buckets=num_buckets)
-    test = anti_join_by_id(df, train, id_col)
-    return train, test
+    marked = mark_sample(df, fraction, strata, s, id_col, num_buckets=num_buckets)
+    train = marked.where(F.col("__in_sample")).drop("__in_sample")
+    if check_unique_ids and not has_duplicate_ids(df, id_col):
+        return train, marked.where(~F.col("__in_sample")).drop("__in_sample")
+    return train, anti_join_by_id(df, train, id_col)
+
+
+def has_duplicate_ids(df: DataFrame, id_col: str = "id_cliente") -> bool:
+    """True if an id occurs twice (or is NULL); reads and shuffles only the id column."""
+    ids = df.select(id_col)
+    dup = ids.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull())
+    return len(dup.limit(1).collect()) > 0
 
 
 def anti_join_by_id(full: DataFrame, taken: DataFrame, id_col: str = "id_cliente") -> DataFrame:

@@ -173,8 +173,9 @@ def _seed_split_sql(fraction: float, seeds=SEEDS) -> str:
     select cutoff, round(avg(profit), {ROUND}) as avg_gain from sweeps group by cutoff""", **scored_views()))
 def q_mean_gain_by_cutoff(spark, sf):
     rows = S.cross_seed_rows(FX.scored(spark, sf), SEEDS)
-    train = S.stratified_sample(rows, SPLIT_FRACTION, ["seed", "target"], seed="seed", id_col="id")
-    test = rows.join(train.select("seed", "id"), ["seed", "id"], "left_anti")
+    # ids are unique within a seed: the test part is the complement of the marked sample
+    marked = S.mark_sample(rows, SPLIT_FRACTION, ["seed", "target"], seed="seed", id_col="id")
+    test = marked.where(~F.col("__in_sample")).drop("__in_sample")
     sweeps = M.cutoff_sweep(test, by=["seed"])
     out = M.mean_gain_by_cutoff(sweeps)
     return out.select("cutoff", F.round("avg_gain", ROUND).alias("avg_gain"))

@@ -48,7 +48,12 @@ class Fitted:
 def fit(train: DataFrame, features: Sequence[str], estimator: GBTClassifier, label: str = "clase01") -> Fitted:
     """Missing-value step fitted on the training rows, then the booster."""
     prep = ML.Prepared.fit(train, features)
-    model = estimator.fit(prep.transform(train, label))
+    # MLlib reads its input several times (split candidates, metadata, binning): persist it once
+    data = prep.transform(train, label).select(ML.FEATURES, ML.LABEL).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = estimator.fit(data)
+    finally:
+        data.unpersist()
     return Fitted(prep, model)
 
 
