@@ -15,18 +15,25 @@ one task. Both are replaced by the same two-level plan:
 
 ``order`` must be a total order (end with a unique key), as ties would make any running sum
 depend on the engine's row order.
+
+Inputs counted at no more than ``SINGLE_TASK_MAX_ROWS`` rows (e.g. the distinct-score table of a
+ROC curve, or a small labelled set) use a plain window instead: a bounded size in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactlift.session import broadcast_if_small, reliable_checkpoint
 
 _BUCKET = "__cl_bucket"
+# Inputs up to this many rows (counted first) use a plain window: it is bounded, and cheaper
+# than range partitioning plus a checkpoint. Larger inputs take the distributed plan.
+SINGLE_TASK_MAX_ROWS = 1_000_000
 
 
 def _num_buckets(df: DataFrame, num_buckets: int | None) -> int:
@@ -49,6 +56,7 @@ def running_sums(
     partition_by: Sequence[str] = (),
     num_buckets: int | None = None,
     totals_out: list | None = None,
+    single_task_max_rows: int | None = None,
 ) -> DataFrame:
     """Add one column per ``values`` entry: its inclusive running sum in ``order`` within ``partition_by``.
 
@@ -56,6 +64,12 @@ def running_sums(
     the small bucket-totals table) are appended to it.
     """
     partition_by = list(partition_by)
+    limit = SINGLE_TASK_MAX_ROWS if single_task_max_rows is None else single_task_max_rows
+    if limit > 0:
+        small = df.persist(StorageLevel.MEMORY_AND_DISK)
+        if small.count() <= limit:
+            return _window_sums(small, order, values, partition_by, totals_out)
+        small.unpersist()
     vcols = {name: f"__cl_v_{i}" for i, name in enumerate(values)}
     staged = df.withColumns({vcols[name]: col for name, col in values.items()})
     ranged = _bucketed(staged, partition_by, order, num_buckets)
@@ -82,6 +96,14 @@ def running_sums(
     return out.drop(*drop)
 
 
+def _window_sums(df: DataFrame, order, values, partition_by, totals_out) -> DataFrame:
+    w = Window.partitionBy(*partition_by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = df.withColumns({name: F.sum(col).over(w) for name, col in values.items()})
+    if totals_out is not None:
+        totals_out.append(df.groupBy(*partition_by).agg(*[F.sum(col).alias(name) for name, col in values.items()]))
+    return out
+
+
 def row_numbers(
     df: DataFrame,
     order: Sequence[Column],
@@ -89,10 +111,12 @@ def row_numbers(
     partition_by: Sequence[str] = (),
     num_buckets: int | None = None,
     totals_out: list | None = None,
+    single_task_max_rows: int | None = None,
 ) -> DataFrame:
     """``row_number()`` over ``partition_by`` in ``order``, without one task per stratum.
 
     With ``totals_out`` the stratum sizes (column ``name``) are appended to that list.
     """
-    out = running_sums(df, order, {name: F.lit(1).cast("bigint")}, partition_by, num_buckets, totals_out)
+    out = running_sums(df, order, {name: F.lit(1).cast("bigint")}, partition_by, num_buckets, totals_out,
+                       single_task_max_rows)
     return out

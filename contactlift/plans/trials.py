@@ -59,7 +59,7 @@ def fit(train: DataFrame, features: Sequence[str], estimator: GBTClassifier, lab
 
 def cv_profit_log(df: DataFrame, features: Sequence[str], estimator: GBTClassifier, k: int = 5,
                   seed: int = S.MASTER_SEED, label: str = "clase01", id_col: str = "id_cliente",
-                  cutoff: float = M.CUTOFF, parallelism: int = 4, folded: DataFrame | None = None,
+                  cutoff: float = M.CUTOFF, parallelism: int | None = None, folded: DataFrame | None = None,
                   relative: bool = True) -> DataFrame:
     """Stratified k-fold CV; profit on the held-out fold after every boosting round: (fold, iter, profit)."""
     if folded is None:
@@ -72,7 +72,7 @@ def cv_profit_log(df: DataFrame, features: Sequence[str], estimator: GBTClassifi
         log = ML.staged_profit(f.model, f.prepared.transform(valid, label), cutoff=cutoff, relative=relative)
         return log.withColumn("fold", F.lit(j))
 
-    logs = parallel_map(one, list(range(k)), parallelism)
+    logs = parallel_map(one, list(range(k)), parallelism or k)
     return _union(logs).select("fold", "iter", "profit")
 
 
@@ -97,7 +97,7 @@ def cv_best_score(log: DataFrame) -> DataFrame:
 def early_stop_rounds(train: DataFrame, features: Sequence[str], estimator: GBTClassifier, k: int = 3,
                       patience: int = 30, seed: int = S.MASTER_SEED, label: str = "clase01",
                       id_col: str = "id_cliente", cutoff: float = M.CUTOFF, relative: bool = False,
-                      parallelism: int = 4) -> tuple[int, Fitted]:
+                      parallelism: int | None = None) -> tuple[int, Fitted]:
     """Best round from a k-fold CV profit log (patience rounds), then a refit on all training rows."""
     log = cv_profit_log(train, features, estimator, k, seed, label, id_col, cutoff, parallelism, relative=relative)
     curve = [(r["iter"], r["test_mean"]) for r in cv_summary(log).collect()]  # one row per round

@@ -79,8 +79,26 @@ def test_running_sum_matches_single_task_window(spark, n, buckets):
     from pyspark.sql import Window
     w = Window.partitionBy("k").orderBy("v", "id").rowsBetween(Window.unboundedPreceding, 0)
     want = {r["id"]: r["s"] for r in df.withColumn("s", F.sum("v").over(w)).collect()}
-    got = running_sums(df, [F.asc("v"), F.asc("id")], {"s": F.col("v")}, ["k"], num_buckets=buckets)
-    assert {r["id"]: r["s"] for r in got.collect()} == want
+    for limit in (0, 10**6):  # 0 forces the distributed plan
+        got = running_sums(df, [F.asc("v"), F.asc("id")], {"s": F.col("v")}, ["k"], num_buckets=buckets,
+                           single_task_max_rows=limit)
+        assert {r["id"]: r["s"] for r in got.collect()} == want
+
+
+@pytest.fixture
+def distributed_only(monkeypatch):
+    from contactlift.operators import ranking
+    monkeypatch.setattr(ranking, "SINGLE_TASK_MAX_ROWS", 0)
+
+
+def test_distributed_sample_and_gain_equal_small_path(spark, distributed_only):
+    a = FX.scored(spark, SF_SMALL)
+    g = sorted(tuple(r) for r in M.cumulative_gain(a).collect())
+    s = sorted(tuple(r) for r in S.stratified_sample(a, 0.3, ["grp"], 5, id_col="id").collect())
+    from contactlift.operators import ranking
+    ranking.SINGLE_TASK_MAX_ROWS = 10**6
+    assert g == sorted(tuple(r) for r in M.cumulative_gain(a).collect())
+    assert s == sorted(tuple(r) for r in S.stratified_sample(a, 0.3, ["grp"], 5, id_col="id").collect())
 
 
 def test_result_unchanged_by_repartitioning(spark):
