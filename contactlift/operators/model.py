@@ -31,6 +31,11 @@ FEATURES = "features"
 LABEL = "label"
 
 
+def _dbl(v: float) -> str:
+    """A double literal that parses whatever the magnitude (1e+20, -3.5e-07, ...)."""
+    return f"cast('{float(v)!r}' as double)"
+
+
 @dataclass
 class MissingValueStep:
     """Fill, cap and flag missing or infinite feature values (fitted on training rows only)."""
@@ -43,15 +48,17 @@ class MissingValueStep:
 
     @classmethod
     def fit(cls, df: DataFrame, features: Sequence[str], relative_error: float = 0.001) -> MissingValueStep:
+        acc = int(1 / relative_error)
         aggs = []
         for i, f in enumerate(features):
-            x = F.col(f).cast("double")
-            finite = F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
+            # one SQL expression per aggregate: parsed in the JVM, no per-node Python calls
+            x = f"cast(`{f}` as double)"
+            finite = f"(case when isnan({x}) or abs({x}) = double('Infinity') then null else {x} end)"
             aggs += [
-                F.percentile_approx(finite, 0.5, int(1 / relative_error)).alias(f"m{i}"),
-                F.min(finite).alias(f"lo{i}"),
-                F.max(finite).alias(f"hi{i}"),
-                F.sum(F.when(finite.isNull(), 1).otherwise(0)).alias(f"bad{i}"),
+                F.expr(f"percentile_approx({finite}, 0.5, {acc})").alias(f"m{i}"),
+                F.expr(f"min({finite})").alias(f"lo{i}"),
+                F.expr(f"max({finite})").alias(f"hi{i}"),
+                F.expr(f"count_if({finite} is null)").alias(f"bad{i}"),
             ]
         row = df.agg(*aggs).first()  # one row, four numbers per feature
         step = cls(list(features))
@@ -67,19 +74,18 @@ class MissingValueStep:
         return list(self.features) + [f"{f}__missing" for f in self.flagged]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        cols = {}
-        for f in self.features:
-            x = F.col(f).cast("double")
-            cols[f] = (F.when(x.isNull() | F.isnan(x), F.lit(self.fills[f]))
-                       .when(x == F.lit(float("inf")), F.lit(self.highs[f]))
-                       .when(x == F.lit(float("-inf")), F.lit(self.lows[f]))
-                       .otherwise(x))
+        flags, filled = {}, {}
         for f in self.flagged:
-            x = F.col(f).cast("double")
-            cols[f"{f}__missing"] = F.when(x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), 1.0).otherwise(0.0)
+            x = f"cast(`{f}` as double)"
+            flags[f"{f}__missing"] = F.expr(
+                f"case when {x} is null or isnan({x}) or abs({x}) = double('Infinity') then 1.0D else 0.0D end")
+        for f in self.features:
+            x = f"cast(`{f}` as double)"
+            filled[f] = F.expr(
+                f"case when {x} is null or isnan({x}) then {_dbl(self.fills[f])} "
+                f"when {x} = double('Infinity') then {_dbl(self.highs[f])} "
+                f"when {x} = double('-Infinity') then {_dbl(self.lows[f])} else {x} end")
         # indicators read the raw values, so add them before the filled columns replace them
-        flags = {k: v for k, v in cols.items() if k.endswith("__missing")}
-        filled = {k: v for k, v in cols.items() if not k.endswith("__missing")}
         return df.withColumns(flags).withColumns(filled)
 
 
@@ -119,7 +125,7 @@ def profile_a(eta: float = 0.04, nrounds: int = 300, colsample_bytree: float = 0
     """Histogram trees, 31 bins (the xgboost profile); defaults are its recorded default run."""
     return GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, maxBins=31, maxDepth=max_depth, stepSize=eta,
                          maxIter=nrounds, featureSubsetStrategy=_fraction(colsample_bytree), seed=seed,
-                         lossType="logistic", cacheNodeIds=True)
+                         lossType="logistic", cacheNodeIds=False)
 
 
 def profile_b(learning_rate: float = 0.0155, num_iterations: int = 300, feature_fraction: float = 0.33,
@@ -130,7 +136,7 @@ def profile_b(learning_rate: float = 0.0155, num_iterations: int = 300, feature_
                          minInstancesPerNode=min_data_in_leaf, minInfoGain=min_gain_to_split,
                          stepSize=learning_rate, maxIter=num_iterations,
                          featureSubsetStrategy=_fraction(feature_fraction), seed=seed, lossType="logistic",
-                         cacheNodeIds=True)
+                         cacheNodeIds=False)
 
 
 def _fraction(x: float) -> str:
