@@ -88,7 +88,10 @@ def running_sums(
         totals_out.append(totals.groupBy(*partition_by).agg(*[F.sum(v).alias(name) for name, v in vcols.items()]))
 
     w_in = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumns({f"{v}_loc": F.sum(v).over(w_in) for v in vcols.values()})
+    # range on the bucket id: one bucket per task (a hash of B ids into B partitions would stack
+    # several buckets in some tasks); it also satisfies the window's clustering, so no other exchange
+    by_bucket = ranged.repartitionByRange(_num_buckets(ranged, num_buckets), F.col(_BUCKET))
+    local = by_bucket.withColumns({f"{v}_loc": F.sum(v).over(w_in) for v in vcols.values()})
     cond = [local[k].eqNullSafe(offsets[okeys[k]]) for k in group]
     joined = local.join(offsets, cond, "inner")
     out = joined.withColumns({name: F.col(f"{v}_loc") + F.col(f"{v}_off") for name, v in vcols.items()})
