@@ -572,9 +572,13 @@ def q_catalog(spark, sf):
 
 @register("snapshot_extract", FX.with_views(f"select * from f_snapshot where foto_mes = {MONTH}", **SNAP_VIEW))
 def q_snapshot_extract(spark, sf):
-    path = scratch_path(spark, "month")
-    IO.sink_columnar(IO.snapshot_extract(FX.snapshot(spark, sf), MONTH), path)
-    return IO.scan_columnar(spark, path)
+    """Store the snapshot one folder per month, read one month back (partition pruning), save it alone."""
+    months = scratch_path(spark, "months")
+    IO.snapshot_partitions(FX.snapshot(spark, sf), months)
+    one = scratch_path(spark, "month")
+    IO.sink_columnar(IO.read_month(spark, months, str(MONTH)), one)
+    back = IO.scan_columnar(spark, one)
+    return back.select("numero_de_cliente", "o_orderkey", F.col("foto_mes").cast("int"), "fecha")
 
 
 @register("snapshot_partitions", FX.with_views(

@@ -61,6 +61,11 @@ def snapshot_extract(df: DataFrame, month: int | str, month_col: str = "foto_mes
     return df.where(F.col(month_col) == F.lit(int(month)))
 
 
+def read_month(spark: SparkSession, path: str, month: int | str, month_col: str = "foto_mes") -> DataFrame:
+    """One month of a month-partitioned snapshot: the filter prunes to that month's folder."""
+    return snapshot_extract(scan_columnar(spark, path), month, month_col)
+
+
 def snapshot_partitions(df: DataFrame, path: str, month_col: str = "foto_mes",
                         sort_cols: Iterable[str] = ("numero_de_cliente",)) -> None:
     """One folder per month, rows sorted by customer inside each file.

@@ -183,3 +183,20 @@ def test_top5_and_tail(spark):
     r = M.top5_mean(df).first()
     assert r["top_mean"] == pytest.approx((9 + 8 + 7 + 5 + 3) / 5)
     assert r["iter_mean"] == pytest.approx((2 + 5 + 3 + 0 + 4) / 5)
+
+
+def test_month_read_prunes_partitions(spark):
+    import tempfile
+
+    from contactlift.plans import fixtures as FX
+    from contactlift.sources import files as IO
+    from conftest import SF_SMALL
+
+    path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/months"
+    snap = FX.snapshot(spark, SF_SMALL)
+    IO.snapshot_partitions(snap, path)
+    month = snap.select(F.min("foto_mes")).first()[0]
+    one = IO.read_month(spark, path, str(month))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(foto_mes" in plan and f"(foto_mes#" in plan
+    assert one.count() == snap.where(F.col("foto_mes") == month).count()
