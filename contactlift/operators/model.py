@@ -20,6 +20,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -206,3 +207,28 @@ def best_round(curve: Sequence[tuple[int, float]], patience: int = 30) -> int:
             if since >= patience:
                 break
     return int(best_k or 1)
+
+
+class ProfitEvaluator(Evaluator):
+    """The profit metric as an MLlib ``Evaluator``: usable by ``CrossValidator`` / ``TrainValidationSplit``.
+
+    Scores ``probability[1] >= cutoff`` (inclusive, relative to all rows) like ``profit_score``;
+    with ``strict=True, relative=False`` it is the boosting metric (``>``, absolute).
+    """
+
+    def __init__(self, cutoff: float = CUTOFF, label_col: str = LABEL, probability_col: str = "probability",
+                 relative: bool = True, strict: bool = False):
+        super().__init__()
+        self.cutoff, self.label_col, self.probability_col = cutoff, label_col, probability_col
+        self.relative, self.strict = relative, strict
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        p = vector_to_array(F.col(self.probability_col))[1]
+        hit = p > F.lit(self.cutoff) if self.strict else p >= F.lit(self.cutoff)
+        pts = F.when(F.col(self.label_col) == 1, F.lit(GAIN)).otherwise(F.lit(-COST)).cast("bigint")
+        s = F.coalesce(F.sum(F.when(hit, pts)), F.lit(0).cast("bigint"))
+        val = s / F.count(F.lit(1)) if self.relative else s.cast("double")
+        return float(dataset.agg(val.alias("v")).first()["v"])
+
+    def isLargerBetter(self) -> bool:
+        return True

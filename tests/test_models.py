@@ -52,3 +52,23 @@ def test_cv_log_shape(cards):
     log = T.cv_profit_log(cards, feats, ML.profile_a(0.1, 3, 1.0), k=3)
     rows = log.collect()
     assert {(r["fold"], r["iter"]) for r in rows} == {(f, i) for f in range(3) for i in (1, 2, 3)}
+
+
+def test_profit_evaluator_in_cross_validator(cards):
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    from contactlift.operators import sampling as S
+
+    feats = PR.feature_columns(cards)
+    prep = ML.Prepared.fit(cards, feats)
+    data = prep.transform(S.stratified_folds(cards, 3, 5, ["clase01"]))
+    gbt = ML.profile_a(0.1, 3, 1.0)
+    grid = ParamGridBuilder().addGrid(gbt.stepSize, [0.05, 0.2]).build()
+    ev = ML.ProfitEvaluator()
+    cv = CrossValidator(estimator=gbt, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", parallelism=2)
+    model = cv.fit(data)
+    assert len(model.avgMetrics) == 2
+    direct = ev.evaluate(model.bestModel.transform(data))
+    from contactlift.operators import metrics as M
+    preds = ML.predict_probs(model.bestModel, data, keep=["label"]).withColumnRenamed("label", "target")
+    assert direct == pytest.approx(M.profit_score(preds).first()["profit"])
