@@ -151,39 +151,81 @@ def predict_probs(model: GBTClassificationModel, df: DataFrame, id_col: str = "i
     return scored.select(id_col, *keep, vector_to_array(F.col("probability"))[1].alias(name))
 
 
-def staged_probabilities(model: GBTClassificationModel, df: DataFrame, rounds: Sequence[int] | None = None,
-                         keep: Sequence[str] = ()) -> tuple[DataFrame, list[int]]:
-    """Add ``__p{k}`` = probability after ``k`` trees for each k in ``rounds`` (default: every round)."""
-    trees = model.trees
-    weights = model.treeWeights
-    k_all = len(trees)
-    rounds = list(rounds or range(1, k_all + 1))
+def tree_outputs(model: GBTClassificationModel, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """``keep`` columns plus ``__trees``: the array of every tree's output for the row.
+
+    Each tree is MLlib's own model (JVM prediction); the chain of transforms stays flat because
+    each adds one independent column.
+    """
     scored = df
-    for i, t in enumerate(trees):
+    for i, t in enumerate(model.trees):
         scored = t.copy().setFeaturesCol(FEATURES).setPredictionCol(f"__t{i}").transform(scored)
-    margin = None
+    arr = F.array(*[F.col(f"__t{i}") for i in range(len(model.trees))])
+    return scored.select(*keep, arr.alias("__trees"))
+
+
+def staged_probabilities(model: GBTClassificationModel, df: DataFrame, rounds: Sequence[int] | None = None,
+                         keep: Sequence[str] = ()) -> tuple[DataFrame, list[int]]:
+    """``keep`` plus ``__p{k}`` = probability after ``k`` trees, for each k in ``rounds``.
+
+    Row-level form for inspection and tests; ``staged_profit`` aggregates without it.
+    """
+    weights = [float(w) for w in model.treeWeights]
+    rounds = list(rounds or range(1, len(weights) + 1))
+    outs = tree_outputs(model, df, keep)
     cols = []
-    for k in range(1, k_all + 1):
-        term = F.lit(float(weights[k - 1])) * F.col(f"__t{k - 1}")
-        margin = term if margin is None else margin + term
-        if k in rounds:
-            cols.append((F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * margin))).alias(f"__p{k}"))
-    return scored.select(*keep, *cols), rounds
+    for k in rounds:
+        terms = F.slice(F.col("__trees"), 1, k)
+        wts = F.array(*[F.lit(w) for w in weights[:k]])
+        m = F.aggregate(F.arrays_zip(terms.alias("t"), wts.alias("w")), F.lit(0.0),
+                        lambda acc, e: acc + e["t"] * e["w"])
+        cols.append((F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * m))).alias(f"__p{k}"))
+    return outs.select(*keep, *cols), rounds
 
 
 def staged_profit(model: GBTClassificationModel, df: DataFrame, label: str = LABEL, cutoff: float = CUTOFF,
-                  relative: bool = True, rounds: Sequence[int] | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Profit (``prob >= cutoff``) after every boosting round, long form: (by..., iter, profit)."""
-    staged, rounds = staged_probabilities(model, df, rounds, keep=[*by, label])
-    pts = F.when(F.col(label) == 1, F.lit(GAIN)).otherwise(F.lit(-COST)).cast("bigint")
-    n = F.count(F.lit(1))
-    aggs = []
-    for k in rounds:
-        s = F.coalesce(F.sum(F.when(F.col(f"__p{k}") >= F.lit(cutoff), pts)), F.lit(0).cast("bigint"))
-        aggs.append((s / n if relative else s.cast("double")).alias(f"r{k}"))
-    wide = staged.groupBy(*by).agg(*aggs)
-    pairs = F.array(*[F.struct(F.lit(k).alias("iter"), F.col(f"r{k}").alias("profit")) for k in rounds])
-    return wide.select(*by, F.inline(pairs))
+                  relative: bool = True, rounds: Sequence[int] | None = None, by: Sequence[str] = (),
+                  strict: bool = False) -> DataFrame:
+    """Profit after every boosting round, long form: (by..., iter, profit).
+
+    The trees' outputs come from MLlib (JVM); per Arrow batch, a vectorised prefix sum over the
+    (rows x rounds) matrix gives every round's probability and the batch emits one partial
+    profit per round, so Spark aggregates rounds x batches rows, never rows x rounds.
+    """
+    import numpy as np
+    import pandas as pd
+
+    by = list(by)
+    weights = np.array([float(w) for w in model.treeWeights])
+    k_all = len(weights)
+    rounds = np.array(list(rounds or range(1, k_all + 1)), dtype=np.int64)
+    outs = tree_outputs(model, df, keep=[*by, label]).withColumn(label, F.col(label).cast("int"))
+    schema = ", ".join([f"`{b}` {outs.schema[b].dataType.simpleString()}" for b in by]
+                       + ["iter long", "pts long", "n long"])
+
+    def per_batch(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            trees = np.stack(pdf["__trees"].to_numpy())
+            probs = 1.0 / (1.0 + np.exp(-2.0 * np.cumsum(trees * weights, axis=1)))[:, rounds - 1]
+            hit = probs > cutoff if strict else probs >= cutoff
+            pts = np.where(pdf[label].to_numpy() == 1, GAIN, -COST).astype(np.int64)
+            keys = pdf[by].drop_duplicates() if by else pd.DataFrame(index=[0])
+            for _, key in keys.iterrows():
+                mask = np.ones(len(pdf), bool)
+                for b in by:
+                    mask &= (pdf[b] == key[b]).to_numpy()
+                sums = pts[mask] @ hit[mask]
+                out = pd.DataFrame({"iter": rounds, "pts": sums.astype(np.int64), "n": int(mask.sum())})
+                for b in by:
+                    out.insert(0, b, key[b])
+                yield out
+
+    partial = outs.mapInPandas(per_batch, schema)
+    agg = partial.groupBy(*by, "iter").agg(F.sum("pts").alias("pts"), F.sum("n").alias("n"))
+    val = F.col("pts") / F.col("n") if relative else F.col("pts").cast("double")
+    return agg.select(*by, F.col("iter").cast("int").alias("iter"), val.alias("profit"))
 
 
 def feature_importance(model: GBTClassificationModel, names: Sequence[str]) -> list[tuple[str, float]]:
