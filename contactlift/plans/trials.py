@@ -121,7 +121,11 @@ def train_score_workflow(df: DataFrame, features: Sequence[str], estimator: GBTC
 # --- trials --------------------------------------------------------------------------------------
 
 class TrialLog:
-    """Append-only parquet log of finished (trial, seed) evaluations; a rerun skips finished ones."""
+    """Parquet log of finished (trial, seed) evaluations; a rerun skips finished ones.
+
+    Each evaluation writes its own partition folder ``trial_id=<t>/seed=<s>`` (overwrite), so
+    concurrent evaluations never share a job commit and a repeated one replaces itself.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
@@ -129,7 +133,7 @@ class TrialLog:
 
     def finished(self) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(self.path)
+            return self.spark.read.option("basePath", self.path).parquet(self.path)
         except Exception:
             return None
 
@@ -137,8 +141,8 @@ class TrialLog:
         done = self.finished()
         return trials if done is None else trials.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
-    def append(self, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self.path)
+    def record(self, rows: DataFrame, trial_id, seed) -> None:
+        rows.drop("trial_id", "seed").write.mode("overwrite").parquet(f"{self.path}/trial_id={trial_id}/seed={seed}")
 
 
 def trial_evaluation(df: DataFrame, features: Sequence[str], trials: DataFrame, make: Callable[[dict], GBTClassifier],
@@ -158,8 +162,8 @@ def trial_evaluation(df: DataFrame, features: Sequence[str], trials: DataFrame,
         est = make({c: p[c] for c in params}).setSeed(int(p["seed"]))
         cv = cv_profit_log(df, features, est, k, int(p["seed"]), label, id_col, parallelism=1)
         y = cv_score(cv).select(F.col("top_mean").alias("y"))
-        out = y.select(*[F.lit(p[c]).alias(c) for c in ["trial_id", "seed", *params]], "y")
-        log.append(out)
+        out = y.select(*[F.lit(p[c]).alias(c) for c in params], "y")
+        log.record(out, p["trial_id"], p["seed"])
 
     parallel_map(one, todo, parallelism)
     done = log.finished()

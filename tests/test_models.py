@@ -72,3 +72,21 @@ def test_profit_evaluator_in_cross_validator(cards):
     from contactlift.operators import metrics as M
     preds = ML.predict_probs(model.bestModel, data, keep=["label"]).withColumnRenamed("label", "target")
     assert direct == pytest.approx(M.profit_score(preds).first()["profit"])
+
+
+def test_trial_log_resumes(spark, cards):
+    import tempfile
+
+    feats = PR.feature_columns(cards)
+    trials = spark.createDataFrame([(1, 0.1), (2, 0.3)], "trial_id int, eta double")
+    make = lambda p: ML.profile_a(p["eta"], 2, 1.0)
+    log = T.TrialLog(spark, tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/log")
+    first = T.trial_evaluation(cards, feats, trials, make, [7, 8], log, k=2).collect()
+    assert {r["trial_id"] for r in first} == {1, 2} and all(r["n_seeds"] == 2 for r in first)
+    grid = S_cross(trials)
+    assert log.pending(grid, ["trial_id", "seed"]).count() == 0
+
+
+def S_cross(trials):
+    from contactlift.operators import sampling as S
+    return S.cross_seed_rows(trials, [7, 8])
