@@ -31,7 +31,13 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def parallel_map(fn, items, parallelism: int = 4) -> list:
+# Concurrent fits: small fits are single-task job chains, so several run side by side. Bounded,
+# as each fit holds its split statistics (nodes x features x bins) on the driver and executors.
+DEFAULT_PARALLELISM = 4
+
+
+def parallel_map(fn, items, parallelism: int | None = None) -> list:
+    parallelism = parallelism or DEFAULT_PARALLELISM
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(items)))) as pool:
         return list(pool.map(fn, items))
 
@@ -72,7 +78,7 @@ def cv_profit_log(df: DataFrame, features: Sequence[str], estimator: GBTClassifi
         log = ML.staged_profit(f.model, f.prepared.transform(valid, label), cutoff=cutoff, relative=relative)
         return log.withColumn("fold", F.lit(j))
 
-    logs = parallel_map(one, list(range(k)), parallelism or k)
+    logs = parallel_map(one, list(range(k)), parallelism or min(k, DEFAULT_PARALLELISM + 1))
     return _union(logs).select("fold", "iter", "profit")
 
 
@@ -147,7 +153,7 @@ class TrialLog:
 
 def trial_evaluation(df: DataFrame, features: Sequence[str], trials: DataFrame, make: Callable[[dict], GBTClassifier],
                      seeds: Sequence[int], log: TrialLog, k: int = 5, label: str = "clase01",
-                     id_col: str = "id_cliente", parallelism: int = 4) -> DataFrame:
+                     id_col: str = "id_cliente", parallelism: int | None = None) -> DataFrame:
     """For each parameter set and seed: k-fold CV objective (top-5 mean); mean over seeds per trial.
 
     ``trials`` is a small parameter table with a ``trial_id`` column; finished (trial, seed) pairs
@@ -174,7 +180,7 @@ def trial_evaluation(df: DataFrame, features: Sequence[str], trials: DataFrame,
 
 def compare_over_seeds(df: DataFrame, seeds: Sequence[int], variants: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]],
                        baseline: str, label: str = "clase01", id_col: str = "id_cliente",
-                       strata: Sequence[str] = ("clase01",), parallelism: int = 4) -> DataFrame:
+                       strata: Sequence[str] = ("clase01",), parallelism: int | None = None) -> DataFrame:
     """For each seed: one split; every variant trains on it and scores the test part.
 
     ``variants[name](train, test, seed)`` returns predictions (id, prob, label). Result: long
@@ -196,7 +202,8 @@ def compare_over_seeds(df: DataFrame, seeds: Sequence[int], variants: dict[str,
 
 
 def cutoff_sweep_experiment(df: DataFrame, features: Sequence[str], estimator: GBTClassifier, seeds: Sequence[int],
-                            label: str = "clase01", id_col: str = "id_cliente", parallelism: int = 4) -> DataFrame:
+                            label: str = "clase01", id_col: str = "id_cliente",
+                            parallelism: int | None = None) -> DataFrame:
     """Per seed: split (with that seed), train, profit at each sweep cutoff on the test part; then the mean."""
     def one(s: int) -> DataFrame:
         train, test = S.train_test_split(df, 0.7, s, [label], id_col)
@@ -211,7 +218,7 @@ def cutoff_sweep_experiment(df: DataFrame, features: Sequence[str], estimator: G
 def oof_score_table(df: DataFrame, features: Sequence[str], grid: Sequence[dict], make: Callable[[dict], GBTClassifier],
                     k: int = 5, seed: int = S.MASTER_SEED, undersampling: float = 0.2, inner_folds: int = 3,
                     patience: int = 30, label: str = "clase01", id_col: str = "id_cliente",
-                    parallelism: int = 4) -> DataFrame:
+                    parallelism: int | None = None) -> DataFrame:
     """Every parameter set x outer fold: undersample the rest, pick rounds by inner CV, refit,
     predict the fold; long (id, model_id, prob) pivoted to one column per parameter set."""
     folded = S.uniform_sample_column(S.stratified_folds(df, k, seed, [label], id_col), seed)
