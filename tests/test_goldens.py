@@ -200,3 +200,17 @@ def test_month_read_prunes_partitions(spark):
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(foto_mes" in plan and f"(foto_mes#" in plan
     assert one.count() == snap.where(F.col("foto_mes") == month).count()
+
+
+def test_auc_matches_mllib_evaluator(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    from contactlift.plans import fixtures as FX
+    from conftest import SF_SMALL
+
+    scored = FX.scored(spark, SF_SMALL)
+    ours = M.roc_auc(scored).first()["auc"]
+    ev = BinaryClassificationEvaluator(rawPredictionCol="prob", labelCol="label", metricName="areaUnderROC",
+                                       numBins=0)
+    theirs = ev.evaluate(scored.withColumn("label", F.col("target").cast("double")))
+    assert ours == pytest.approx(theirs, abs=1e-12)
