@@ -118,3 +118,23 @@ def test_sample_with_replacement_size(spark):
     out = S.sample_with_replacement(df, 1.5, ["clase"], 3)
     got = {r["clase"]: r["count"] for r in out.groupBy("clase").count().collect()}
     assert got == {r["clase"]: round(r["count"] * 1.5) for r in n}
+
+
+def test_hot_score_and_hot_stratum_are_split_across_buckets(spark):
+    """A third of the rows share one score and one stratum: buckets stay balanced."""
+    from contactlift.operators import ranking
+
+    n = 30000
+    df = spark.range(n).select(
+        F.col("id"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 7).cast("string")).alias("grp"),
+        F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise((F.col("id") % 1000) / 1000.0).alias("prob"),
+    )
+    ranged = ranking._bucketed(df, [], [F.desc("prob"), F.asc("id")], 8)
+    sizes = [r["count"] for r in ranged.groupBy("__cl_bucket").count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2.0 * (n / 8)
+    hot = [r["count"] for r in ranged.where(F.col("prob") == 0.5).groupBy("__cl_bucket").count().collect()]
+    assert len(hot) >= 2  # the tied score is split by id across buckets
+    strat = ranking._bucketed(df, ["grp"], [F.asc("id")], 8)
+    sizes = [r["count"] for r in strat.groupBy("__cl_bucket").count().collect()]
+    assert max(sizes) <= 2.0 * (n / 8)  # the hot stratum spans several buckets
