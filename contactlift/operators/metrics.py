@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactlift.operators.ranking import running_sums
-from contactlift.session import broadcast_if_small
 
 # Points per contact and the default probability cutoff.
 GAIN = 19500

@@ -19,7 +19,7 @@ from contactlift.operators import projections as PR
 from contactlift.operators import sampling as S
 from contactlift.operators.ranking import row_numbers
 from contactlift.plans import fixtures as FX
-from contactlift.plans.sqltext import dbl, finite, ieee, pack_sql, q
+from contactlift.plans.sqltext import dbl, finite, ieee, pack_sql
 from contactlift.sources import files as IO
 from contactlift.session import scratch_path
 
