@@ -194,9 +194,10 @@ def top5_mean(summary: DataFrame, by: Sequence[str] = ("seed",), iter_col: str =
               k: int = 5) -> DataFrame:
     """Mean of the ``k`` best per-iteration values per trial, with mean and sd of those iterations.
 
-    The per-trial group has one row per boosting round (bounded by the round count).
+    Ties go to the later round (an ascending stable sort by value, then the last ``k``). The
+    per-trial group has one row per boosting round (bounded by the round count).
     """
-    w = Window.partitionBy(*by).orderBy(F.desc(value), F.asc(iter_col))
+    w = Window.partitionBy(*by).orderBy(F.desc(value), F.desc(iter_col))
     best = summary.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
     return best.groupBy(*by).agg(
         F.avg(value).alias("top_mean"),

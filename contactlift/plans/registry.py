@@ -220,7 +220,7 @@ register("top5_mean", FX.with_views(
     f"""with {_CV_SUMMARY_SQL}
     select seed, round(avg(test_mean), {ROUND}) as top_mean, round(avg(cast(iter as double)), {ROUND}) as iter_mean,
            round(stddev_samp(cast(iter as double)), {ROUND}) as iter_sd
-    from (select *, row_number() over (partition by seed order by test_mean desc, iter) as r from summary) t
+    from (select *, row_number() over (partition by seed order by test_mean desc, iter desc) as r from summary) t
     where r <= 5 group by seed""", **CV_VIEW))(
     lambda spark, sf: _rounded(M.top5_mean(_cv_summary(spark, sf)), ["top_mean", "iter_mean", "iter_sd"]))
 

@@ -94,7 +94,7 @@ def cv_score(log: DataFrame, k: int = 5) -> DataFrame:
 
 
 def cv_best_score(log: DataFrame) -> DataFrame:
-    """Best round and its mean profit (one row)."""
+    """Best round and its mean profit (one row); the first round reaching the best wins."""
     s = cv_summary(log)
     return s.orderBy(F.desc("test_mean"), F.asc("iter")).limit(1).select(
         F.col("iter").alias("best_iter"), F.col("test_mean").alias("best_score"), "test_std")
