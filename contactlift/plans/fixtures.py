@@ -45,12 +45,14 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = F.col("o_orderstatus") == "O"
     price = F.col("o_totalprice")
     # aggregate orders per customer before the join: the shuffle moves one row per customer
+    # prices have two decimals: rounding a sum to 2 places gives the exact decimal sum, the same in
+    # every engine whatever the summation order
     per_cust = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-        F.sum(F.when(f, price)).alias("Master_msaldototal"),
+        F.round(F.sum(F.when(f, price)), 2).alias("Master_msaldototal"),
         F.count(F.when(f, 1)).alias("Master_tconsumos"),
         F.max(F.when(f, price)).alias("Master_mlimitecompra"),
         F.min(F.when(f, price)).alias("Master_mpagominimo"),
-        F.sum(F.when(op, price)).alias("Visa_msaldototal"),
+        F.round(F.sum(F.when(op, price)), 2).alias("Visa_msaldototal"),
         F.count(F.when(op, 1)).alias("Visa_tconsumos"),
         F.max(F.when(op, price)).alias("Visa_mlimitecompra"),
         F.min(F.when(op, price)).alias("Visa_mpagominimo"),
@@ -69,11 +71,11 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CARDS_SQL = """select c_custkey as id_cliente,
        case when max(c_acctbal) < 0 then 'SI' else 'NO' end as clase,
-       sum(case when o_orderstatus = 'F' then o_totalprice end) as Master_msaldototal,
+       round(sum(case when o_orderstatus = 'F' then o_totalprice end), 2) as Master_msaldototal,
        count(case when o_orderstatus = 'F' then 1 end)          as Master_tconsumos,
        max(case when o_orderstatus = 'F' then o_totalprice end) as Master_mlimitecompra,
        min(case when o_orderstatus = 'F' then o_totalprice end) as Master_mpagominimo,
-       sum(case when o_orderstatus = 'O' then o_totalprice end) as Visa_msaldototal,
+       round(sum(case when o_orderstatus = 'O' then o_totalprice end), 2) as Visa_msaldototal,
        count(case when o_orderstatus = 'O' then 1 end)          as Visa_tconsumos,
        max(case when o_orderstatus = 'O' then o_totalprice end) as Visa_mlimitecompra,
        min(case when o_orderstatus = 'O' then o_totalprice end) as Visa_mpagominimo
