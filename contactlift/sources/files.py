@@ -89,6 +89,29 @@ def dates_to_day_offsets(df: DataFrame, month_col: str = "foto_mes", date_cols:
     return df.withColumns({c: days_to_snapshot_end(F.col(month_col), F.col(c)) for c in present})
 
 
+def ingest_snapshots(spark: SparkSession, source: str | list[str], out_dir: str, raw_months: Iterable[int] = (),
+                     schema: StructType | str | None = None, month_col: str = "foto_mes",
+                     id_col: str = "numero_de_cliente", sep: str = "\t") -> dict[str, str]:
+    """The ingest job: delimited snapshot (plain or gzip) -> raw copies of chosen months -> card
+    dates as day offsets -> month partitions sorted by customer, plus the whole table as text.
+
+    Returns the output paths. Every step is a distributed read or write; nothing is collected.
+    """
+    out = out_dir.rstrip("/")
+    raw = scan_delimited(spark, source, schema, sep)
+    paths = {}
+    for m in raw_months:
+        paths[f"raw_{m}"] = f"{out}/raw/{month_col}={m}"
+        sink_delimited(snapshot_extract(raw, m, month_col).drop(month_col), paths[f"raw_{m}"], sep=sep)
+    dated = dates_to_day_offsets(raw, month_col)
+    paths["months"] = f"{out}/months"
+    snapshot_partitions(dated, paths["months"], month_col, [id_col])
+    paths["whole"] = f"{out}/whole"
+    # the whole table is written from the month partitions, sorted by (month, customer)
+    sink_delimited(sort_snapshot(scan_columnar(spark, paths["months"]), month_col, id_col), paths["whole"], sep=sep)
+    return paths
+
+
 def export_ranked_probs(scores: DataFrame, path: str, id_col: str = "id_cliente", prob: str = "prob_positivo") -> None:
     """All (id, prob) by descending prob, tab separated, CRLF, with header.
 

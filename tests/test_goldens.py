@@ -214,3 +214,24 @@ def test_auc_matches_mllib_evaluator(spark):
                                        numBins=0)
     theirs = ev.evaluate(scored.withColumn("label", F.col("target").cast("double")))
     assert ours == pytest.approx(theirs, abs=1e-12)
+
+
+def test_ingest_snapshots(spark):
+    import tempfile
+
+    from contactlift.plans import fixtures as FX
+    from contactlift.sources import files as IO
+    from conftest import SF_SMALL
+
+    work = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    snap = FX.snapshot(spark, SF_SMALL).withColumnRenamed("fecha", "Master_fechaalta")
+    IO.sink_delimited(snap, work + "/src")
+    month = snap.select(F.min("foto_mes")).first()[0]
+    paths = IO.ingest_snapshots(spark, work + "/src", work + "/out", [month], schema=snap.schema)
+    months = IO.scan_columnar(spark, paths["months"])
+    assert months.count() == snap.count()
+    want = snap.select(rw.days_to_snapshot_end("foto_mes", "Master_fechaalta").alias("d")).agg(F.sum("d")).first()[0]
+    assert months.agg(F.sum("Master_fechaalta")).first()[0] == want
+    raw = IO.scan_delimited(spark, paths[f"raw_{month}"])
+    assert raw.count() == snap.where(F.col("foto_mes") == month).count()
+    assert IO.scan_delimited(spark, paths["whole"]).count() == snap.count()
