@@ -131,17 +131,19 @@ def sample_with_replacement(df: DataFrame, fraction: float, strata: Sequence[str
 
 def train_test_split(df: DataFrame, fraction: float = 0.7, seed: int | None = -1, strata: Sequence[str] = ("clase",),
                      id_col: str = "id_cliente", num_buckets: int | None = None,
-                     check_unique_ids: bool = True) -> tuple[DataFrame, DataFrame]:
+                     ids_unique: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """Stratified train sample and the rest.
 
     The rest is the anti-join by id, so duplicate ids leave together. When the ids are unique
-    (checked on the narrow id column) that equals the complement of the sample, and both sides
-    are filters of one marked plan: no wide shuffle for the anti-join.
+    that equals the complement of the sample, and both sides are filters of one marked plan: no
+    wide shuffle for the anti-join. ``ids_unique``: None checks (on the narrow id column), True
+    trusts the caller, False always anti-joins.
     """
     s = resolve_seed(seed)
     marked = mark_sample(df, fraction, strata, s, id_col, num_buckets=num_buckets)
     train = marked.where(F.col("__in_sample")).drop("__in_sample")
-    if check_unique_ids and not has_duplicate_ids(df, id_col):
+    unique = ids_unique if ids_unique is not None else not has_duplicate_ids(df, id_col)
+    if unique:
         return train, marked.where(~F.col("__in_sample")).drop("__in_sample")
     return train, anti_join_by_id(df, train, id_col)
 
