@@ -68,7 +68,8 @@ def cv_profit_log(df: DataFrame, features: Sequence[str], estimator: GBTClassifi
                   cutoff: float = M.CUTOFF, parallelism: int | None = None, folded: DataFrame | None = None,
                   relative: bool = True) -> DataFrame:
     """Stratified k-fold CV; profit on the held-out fold after every boosting round: (fold, iter, profit)."""
-    if folded is None:
+    own = folded is None
+    if own:
         folded = S.stratified_folds(df, k, seed, [label], id_col).persist(StorageLevel.MEMORY_AND_DISK)
 
     def one(j: int) -> DataFrame:
@@ -79,7 +80,13 @@ def cv_profit_log(df: DataFrame, features: Sequence[str], estimator: GBTClassifi
         return log.withColumn("fold", F.lit(j))
 
     logs = parallel_map(one, list(range(k)), parallelism or min(k, DEFAULT_PARALLELISM + 1))
-    return _union(logs).select("fold", "iter", "profit")
+    log = _union(logs).select("fold", "iter", "profit")
+    if own:
+        # the log is small (folds x rounds): keep it, release the folded training rows
+        log = log.persist(StorageLevel.MEMORY_AND_DISK)
+        log.count()
+        folded.unpersist()
+    return log
 
 
 def cv_summary(log: DataFrame) -> DataFrame:

@@ -91,6 +91,6 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     Call it on tables whose size is bounded by a parameter (buckets, strata, cutoffs), never on
     row-level data; the count is one cheap job over an already aggregated table.
     """
-    df = df.cache()  # small by construction; the join reuses what the count computed
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    if df.limit(max_rows + 1).count() > max_rows:  # reads at most max_rows + 1 rows per partition
+        return df
+    return F.broadcast(df.cache())  # proven small: cached so the broadcast does not recompute it
