@@ -235,3 +235,37 @@ def test_ingest_snapshots(spark):
     raw = IO.scan_delimited(spark, paths[f"raw_{month}"])
     assert raw.count() == snap.where(F.col("foto_mes") == month).count()
     assert IO.scan_delimited(spark, paths["whole"]).count() == snap.count()
+
+
+def test_exports_are_crlf_with_and_without_header(spark):
+    import glob
+    import tempfile
+
+    from contactlift.sources import files as IO
+
+    work = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    scores = spark.createDataFrame([(1, 0.5), (2, 0.01), (3, 0.9)], "id_cliente long, prob_positivo double")
+    IO.export_ranked_probs(scores, work + "/ranked")
+    IO.export_target_ids(scores, work + "/ids", 0.025)
+    ranked = b"".join(open(p, "rb").read() for p in sorted(glob.glob(work + "/ranked/part-*")))
+    assert ranked.startswith(b"id_cliente\tprob_positivo\r\n")
+    assert ranked.split(b"\r\n")[1:4] == [b"3\t0.9", b"1\t0.5", b"2\t0.01"]
+    ids = b"".join(open(p, "rb").read() for p in sorted(glob.glob(work + "/ids/part-*")))
+    assert ids == b"3\r\n1\r\n"
+
+
+def test_delimited_read_infers_types(spark):
+    import tempfile
+
+    from contactlift.plans import fixtures as FX
+    from contactlift.sources import files as IO
+    from conftest import SF_SMALL
+
+    path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/cards"
+    cards = FX.cards(spark, SF_SMALL)
+    IO.sink_delimited(cards, path)
+    back = IO.scan_delimited(spark, path)  # no schema: inferred from the header and values
+    assert dict(back.dtypes)["Master_msaldototal"] == "double" and dict(back.dtypes)["clase"] == "string"
+    assert back.count() == cards.count()
+    assert back.where(F.col("Master_msaldototal").isNull()).count() == cards.where(
+        F.col("Master_msaldototal").isNull()).count()
