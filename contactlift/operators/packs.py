@@ -19,90 +19,81 @@ from contactlift.functions.rowwise import row_max_narm, row_mean_narm, row_min_n
 Spec = tuple[str, str, tuple[str, ...]]
 
 # ---------------------------------------------------------------------------------------------
-# The source column names of the monthly snapshot that the packs read, in the
-# order of the data dictionary (cards first). Names must equal the source files' header.
+# The 139 source column names of the monthly snapshot that the packs read, in the
+# order of the data dictionary (Master card, Visa card, customer, counts, money, flags). Names
+# must equal the source files' header.
 # ---------------------------------------------------------------------------------------------
-CARD_FIELDS = (
-    "Finiciomora", "Fvencimiento", "cuenta_estado", "fechaalta", "fultimo_cierre", "madelantodolares",
-    "madelantopesos", "marca_atraso", "mconsumosdolares", "mconsumospesos", "mconsumototal",
-    "mfinanciacion_limite", "mlimitecompra", "mpagado", "mpagominimo", "mpagosdolares", "mpagospesos",
-    "msaldodolares", "msaldopesos", "msaldototal", "tadelantosefectivo", "tconsumos",
-)
-CUSTOMER_FIELDS = ("cliente_antiguedad", "cliente_edad")
-COUNT_FIELDS = (
-    "cautoservicio_transacciones", "ccajeros_ajenos_transacciones", "ccajeros_propio_transacciones",
-    "ccajeros_propios_descuentos", "ccambio_monedas_compra", "ccambio_monedas_venta", "ccheques_depositados",
-    "ccheques_depositados_rechazados", "ccheques_emitidos", "ccheques_emitidos_rechazados",
+SOURCE_COLUMNS = (
+    "Master_Finiciomora", "Master_Fvencimiento", "Master_cuenta_estado", "Master_fechaalta",
+    "Master_fultimo_cierre", "Master_madelantodolares", "Master_madelantopesos", "Master_marca_atraso",
+    "Master_mconsumosdolares", "Master_mconsumospesos", "Master_mconsumototal", "Master_mfinanciacion_limite",
+    "Master_mlimitecompra", "Master_mpagado", "Master_mpagominimo", "Master_mpagosdolares",
+    "Master_mpagospesos", "Master_msaldodolares", "Master_msaldopesos", "Master_msaldototal",
+    "Master_tadelantosefectivo", "Master_tconsumos", "Visa_Finiciomora", "Visa_Fvencimiento",
+    "Visa_cuenta_estado", "Visa_fechaalta", "Visa_fultimo_cierre", "Visa_madelantodolares",
+    "Visa_madelantopesos", "Visa_marca_atraso", "Visa_mconsumosdolares", "Visa_mconsumospesos",
+    "Visa_mconsumototal", "Visa_mfinanciacion_limite", "Visa_mlimitecompra", "Visa_mpagado",
+    "Visa_mpagominimo", "Visa_mpagosdolares", "Visa_mpagospesos", "Visa_msaldodolares",
+    "Visa_msaldopesos", "Visa_msaldototal", "Visa_tadelantosefectivo", "Visa_tconsumos",
+    "cliente_antiguedad", "cliente_edad", "cautoservicio_transacciones", "ccajeros_ajenos_transacciones",
+    "ccajeros_propio_transacciones", "ccajeros_propios_descuentos", "ccambio_monedas_compra", "ccambio_monedas_venta",
+    "ccheques_depositados", "ccheques_depositados_rechazados", "ccheques_emitidos", "ccheques_emitidos_rechazados",
     "ccomisiones_mantenimiento", "ccomisiones_otras", "ccuenta_descuentos", "cextraccion_autoservicio",
     "cplan_sueldo_transaccion", "cprestamos_hipotecarios", "cprestamos_personales", "cprestamos_prendarios",
-    "ctarjeta_debito_transacciones", "ctarjeta_master_descuentos", "ctarjeta_master_transacciones",
-    "ctarjeta_visa_descuentos", "ctarjeta_visa_transacciones", "ctransferencias_emitidas",
-    "ctransferencias_recibidas",
-)
-MONEY_FIELDS = (
-    "mactivos_margen", "mautoservicio", "mbonos_corporativos", "mcaja_ahorro_Nopaquete", "mcaja_ahorro_Paquete",
+    "ctarjeta_debito_transacciones", "ctarjeta_master_descuentos", "ctarjeta_master_transacciones", "ctarjeta_visa_descuentos",
+    "ctarjeta_visa_transacciones", "ctransferencias_emitidas", "ctransferencias_recibidas", "mactivos_margen",
+    "mautoservicio", "mbonos_corporativos", "mcaja_ahorro_Nopaquete", "mcaja_ahorro_Paquete",
     "mcaja_ahorro_dolares", "mcajeros_ajenos", "mcajeros_propio", "mcajeros_propios_descuentos",
     "mcambio_monedas_compra", "mcambio_monedas_venta", "mcheques_depositados", "mcheques_depositados_rechazados",
     "mcheques_emitidos", "mcheques_emitidos_rechazados", "mcomisiones_mantenimiento", "mcomisiones_otras",
-    "mcuenta_corriente_Nopaquete", "mcuenta_corriente_Paquete", "mcuenta_corriente_dolares",
-    "mcuenta_debitos_automaticos", "mcuenta_descuentos", "mextraccion_autoservicio",
-    "mfondos_comunes_inversion_dolares", "mfondos_comunes_inversion_pesos", "minversiones_otras",
-    "mmonedas_extranjeras", "mpagodeservicios", "mpagomiscuentas", "mpasivos_margen", "mplan_sueldo",
-    "mplan_sueldo_manual", "mplazo_fijo_dolares", "mplazo_fijo_pesos", "mprestamos_hipotecarios",
-    "mprestamos_personales", "mprestamos_prendarios", "mrentabilidad", "mrentabilidad_annual",
-    "mtarjeta_master_consumo", "mtarjeta_master_descuentos", "mtarjeta_visa_consumo", "mtarjeta_visa_descuentos",
-    "mtitulos", "mtransferencias_emitidas", "mtransferencias_recibidas", "mttarjeta_master_debitos_automaticos",
-    "mttarjeta_visa_debitos_automaticos",
-)
-FLAG_FIELDS = (
-    "tautoservicio", "tcaja_ahorro", "tcambio_monedas", "tcuenta_corriente", "tcuenta_debitos_automaticos",
-    "tfondos_comunes_inversion", "tpagodeservicios", "tpagomiscuentas", "tplan_sueldo", "tplazo_fijo",
-    "tseguro_accidentes_personales", "tseguro_auto", "tseguro_vida_mercado_abierto", "tseguro_vivienda",
-    "ttarjeta_debito", "ttarjeta_master", "ttarjeta_master_debitos_automaticos", "ttarjeta_visa",
-    "ttarjeta_visa_debitos_automaticos", "ttitulos",
-)
-SOURCE_COLUMNS = (
-    tuple(f"Master_{f}" for f in CARD_FIELDS)
-    + tuple(f"Visa_{f}" for f in CARD_FIELDS)
-    + CUSTOMER_FIELDS + COUNT_FIELDS + MONEY_FIELDS + FLAG_FIELDS
+    "mcuenta_corriente_Nopaquete", "mcuenta_corriente_Paquete", "mcuenta_corriente_dolares", "mcuenta_debitos_automaticos",
+    "mcuenta_descuentos", "mextraccion_autoservicio", "mfondos_comunes_inversion_dolares", "mfondos_comunes_inversion_pesos",
+    "minversiones_otras", "mmonedas_extranjeras", "mpagodeservicios", "mpagomiscuentas",
+    "mpasivos_margen", "mplan_sueldo", "mplan_sueldo_manual", "mplazo_fijo_dolares",
+    "mplazo_fijo_pesos", "mprestamos_hipotecarios", "mprestamos_personales", "mprestamos_prendarios",
+    "mrentabilidad", "mrentabilidad_annual", "mtarjeta_master_consumo", "mtarjeta_master_descuentos",
+    "mtarjeta_visa_consumo", "mtarjeta_visa_descuentos", "mtitulos", "mtransferencias_emitidas",
+    "mtransferencias_recibidas", "mttarjeta_master_debitos_automaticos", "mttarjeta_visa_debitos_automaticos", "tautoservicio",
+    "tcaja_ahorro", "tcambio_monedas", "tcuenta_corriente", "tcuenta_debitos_automaticos",
+    "tfondos_comunes_inversion", "tpagodeservicios", "tpagomiscuentas", "tplan_sueldo",
+    "tplazo_fijo", "tseguro_accidentes_personales", "tseguro_auto", "tseguro_vida_mercado_abierto",
+    "tseguro_vivienda", "ttarjeta_debito", "ttarjeta_master", "ttarjeta_master_debitos_automaticos",
+    "ttarjeta_visa", "ttarjeta_visa_debitos_automaticos", "ttitulos",
 )
 # the eight card date columns stored as yyyymmdd and turned into day offsets at ingest
-CARD_DATE_COLUMNS = tuple(
-    f"{card}_{f}" for card in ("Master", "Visa") for f in ("Fvencimiento", "Finiciomora", "fultimo_cierre", "fechaalta")
+CARD_DATE_COLUMNS = (
+    "Master_Fvencimiento", "Master_Finiciomora", "Master_fultimo_cierre", "Master_fechaalta",
+    "Visa_Fvencimiento", "Visa_Finiciomora", "Visa_fultimo_cierre", "Visa_fechaalta",
 )
 
 
-def _cards(op: str, field: str, name: str | None = None) -> Spec:
-    return (name or f"mv_{field}", op, (f"Master_{field}", f"Visa_{field}"))
-
-
 # ---------------------------------------------------------------------------------------------
 # The three packs of derived columns (names, operations and inputs as defined by
 # the scoring team's feature dictionary), in definition order.
 # ---------------------------------------------------------------------------------------------
 STD_PACK: list[Spec] = [
-    _cards("max", "cuenta_estado", "mv_cuenta_estado2"),
-    _cards("max", "marca_atraso"),
-    _cards("sum", "mfinanciacion_limite"),
-    _cards("min", "Fvencimiento"),
-    _cards("min", "Finiciomora"),
-    _cards("sum", "msaldototal"),
-    _cards("sum", "msaldopesos"),
-    _cards("sum", "msaldodolares"),
-    _cards("sum", "mconsumospesos"),
-    _cards("sum", "mconsumosdolares"),
-    _cards("sum", "mlimitecompra"),
-    _cards("sum", "madelantopesos"),
-    _cards("sum", "madelantodolares"),
-    _cards("max", "fultimo_cierre"),
-    _cards("sum", "mpagado"),
-    _cards("sum", "mpagospesos"),
-    _cards("sum", "mpagosdolares"),
-    _cards("max", "fechaalta"),
-    _cards("sum", "mconsumototal"),
-    _cards("sum", "tconsumos"),
-    _cards("sum", "tadelantosefectivo"),
-    _cards("sum", "mpagominimo"),
+    ("mv_cuenta_estado2", "max", ("Master_cuenta_estado", "Visa_cuenta_estado")),
+    ("mv_marca_atraso", "max", ("Master_marca_atraso", "Visa_marca_atraso")),
+    ("mv_mfinanciacion_limite", "sum", ("Master_mfinanciacion_limite", "Visa_mfinanciacion_limite")),
+    ("mv_Fvencimiento", "min", ("Master_Fvencimiento", "Visa_Fvencimiento")),
+    ("mv_Finiciomora", "min", ("Master_Finiciomora", "Visa_Finiciomora")),
+    ("mv_msaldototal", "sum", ("Master_msaldototal", "Visa_msaldototal")),
+    ("mv_msaldopesos", "sum", ("Master_msaldopesos", "Visa_msaldopesos")),
+    ("mv_msaldodolares", "sum", ("Master_msaldodolares", "Visa_msaldodolares")),
+    ("mv_mconsumospesos", "sum", ("Master_mconsumospesos", "Visa_mconsumospesos")),
+    ("mv_mconsumosdolares", "sum", ("Master_mconsumosdolares", "Visa_mconsumosdolares")),
+    ("mv_mlimitecompra", "sum", ("Master_mlimitecompra", "Visa_mlimitecompra")),
+    ("mv_madelantopesos", "sum", ("Master_madelantopesos", "Visa_madelantopesos")),
+    ("mv_madelantodolares", "sum", ("Master_madelantodolares", "Visa_madelantodolares")),
+    ("mv_fultimo_cierre", "max", ("Master_fultimo_cierre", "Visa_fultimo_cierre")),
+    ("mv_mpagado", "sum", ("Master_mpagado", "Visa_mpagado")),
+    ("mv_mpagospesos", "sum", ("Master_mpagospesos", "Visa_mpagospesos")),
+    ("mv_mpagosdolares", "sum", ("Master_mpagosdolares", "Visa_mpagosdolares")),
+    ("mv_fechaalta", "max", ("Master_fechaalta", "Visa_fechaalta")),
+    ("mv_mconsumototal", "sum", ("Master_mconsumototal", "Visa_mconsumototal")),
+    ("mv_tconsumos", "sum", ("Master_tconsumos", "Visa_tconsumos")),
+    ("mv_tadelantosefectivo", "sum", ("Master_tadelantosefectivo", "Visa_tadelantosefectivo")),
+    ("mv_mpagominimo", "sum", ("Master_mpagominimo", "Visa_mpagominimo")),
     ("mvr_Master_mlimitecompra", "ratio", ("Master_mlimitecompra", "mv_mlimitecompra")),
     ("mvr_Visa_mlimitecompra", "ratio", ("Visa_mlimitecompra", "mv_mlimitecompra")),
     ("mvr_msaldototal", "ratio", ("mv_msaldototal", "mv_mlimitecompra")),
