@@ -24,7 +24,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,10 +64,9 @@ def running_sums(
     """
     partition_by = list(partition_by)
     limit = SINGLE_TASK_MAX_ROWS if single_task_max_rows is None else single_task_max_rows
-    # the check reads at most limit + 1 rows per partition; only a proven-small input is cached
+    # the check reads at most limit + 1 rows per partition
     if limit > 0 and df.limit(limit + 1).count() <= limit:
-        small = df.persist(StorageLevel.MEMORY_AND_DISK)
-        return _window_sums(small, order, values, partition_by, totals_out)
+        return _window_sums(df, order, values, partition_by, totals_out)
     vcols = {name: f"__cl_v_{i}" for i, name in enumerate(values)}
     staged = df.withColumns({vcols[name]: col for name, col in values.items()})
     ranged = _bucketed(staged, partition_by, order, num_buckets)

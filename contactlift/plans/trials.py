@@ -22,7 +22,7 @@ from contactlift.operators import metrics as M
 from contactlift.operators import model as ML
 from contactlift.operators import sampling as S
 from contactlift.operators.projections import feature_columns
-from contactlift.session import scratch_path
+from contactlift.session import reliable_checkpoint, scratch_path
 
 Estimator = Callable[[], GBTClassifier]
 
@@ -82,9 +82,8 @@ def cv_profit_log(df: DataFrame, features: Sequence[str], estimator: GBTClassifi
     logs = parallel_map(one, list(range(k)), parallelism or min(k, DEFAULT_PARALLELISM + 1))
     log = _union(logs).select("fold", "iter", "profit")
     if own:
-        # the log is small (folds x rounds): keep it, release the folded training rows
-        log = log.persist(StorageLevel.MEMORY_AND_DISK)
-        log.count()
+        # the log is small (folds x rounds): checkpoint it, then release the folded training rows
+        log = reliable_checkpoint(log)
         folded.unpersist()
     return log
 
@@ -202,8 +201,7 @@ def compare_over_seeds(df: DataFrame, seeds: Sequence[int], variants: dict[str,
         prof = M.profit_score(preds.withColumnRenamed(label, "target"))
         return prof.select(F.lit(s).alias("seed"), F.lit(name).alias("variant"), "profit")
 
-    long = _union(parallel_map(one, jobs, parallelism))
-    long = long.persist(StorageLevel.MEMORY_AND_DISK)
+    long = reliable_checkpoint(_union(parallel_map(one, jobs, parallelism)))  # seeds x variants rows
     base = long.where(F.col("variant") == baseline).select("seed", F.col("profit").alias("__base"))
     return long.join(base, "seed").withColumn("pct_of_baseline", F.col("profit") / F.col("__base") * 100.0).drop("__base")
 
@@ -244,7 +242,9 @@ def oof_score_table(df: DataFrame, features: Sequence[str], grid: Sequence[dict]
     long = _union(parallel_map(one, jobs, parallelism))
     ids = [int(p["id"]) for p in grid]
     wide = long.groupBy(id_col).pivot("model_id", ids).agg(F.max("prob"))
-    return wide.withColumnsRenamed({str(i): f"modelito_{i}" for i in ids})
+    wide = reliable_checkpoint(wide.withColumnsRenamed({str(i): f"modelito_{i}" for i in ids}))
+    folded.unpersist()
+    return wide
 
 
 def default_features(df: DataFrame, id_col: str = "id_cliente", label: str = "clase01") -> list[str]:

@@ -89,8 +89,10 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     """Broadcast ``df`` only after counting it; above the bound the planner keeps a shuffle join.
 
     Call it on tables whose size is bounded by a parameter (buckets, strata, cutoffs), never on
-    row-level data; the count is one cheap job over an already aggregated table.
+    row-level data; the check reads at most ``max_rows + 1`` rows per partition.
     """
     if df.limit(max_rows + 1).count() > max_rows:  # reads at most max_rows + 1 rows per partition
         return df
-    return F.broadcast(df.cache())  # proven small: cached so the broadcast does not recompute it
+    # proven small: checkpointed (disk, shared folder) so the broadcast reads it without
+    # recomputing its lineage, and nothing stays pinned in executor memory
+    return F.broadcast(reliable_checkpoint(df))
