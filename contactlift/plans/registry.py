@@ -607,3 +607,17 @@ def q_export_ids(spark, sf):
     path = scratch_path(spark, "ids")
     IO.export_target_ids(scores, path, 0.025)
     return spark.read.option("header", False).option("lineSep", "\r\n").schema("id_cliente bigint").csv(path)
+
+
+@register("ingest_snapshots", FX.with_views(
+    f"""select numero_de_cliente, o_orderkey, foto_mes, cast({_DAYS_SQL.replace('fecha', 'Master_fechaalta')} as integer)
+        as Master_fechaalta from (select numero_de_cliente, o_orderkey, foto_mes, fecha as Master_fechaalta
+        from f_snapshot) s""", **SNAP_VIEW))
+def q_ingest(spark, sf):
+    """The whole ingest job: TSV snapshot -> raw month copy -> day offsets -> month partitions."""
+    snap = FX.snapshot(spark, sf).withColumnRenamed("fecha", "Master_fechaalta")
+    src = scratch_path(spark, "snapshot-tsv")
+    IO.sink_delimited(snap, src)
+    paths = IO.ingest_snapshots(spark, src, scratch_path(spark, "ingest"), [MONTH], schema=snap.schema)
+    months = IO.scan_columnar(spark, paths["months"])
+    return months.select("numero_de_cliente", "o_orderkey", F.col("foto_mes").cast("int"), "Master_fechaalta")
