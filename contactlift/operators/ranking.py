@@ -27,12 +27,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contactlift.session import broadcast_if_small, reliable_checkpoint
+from contactlift.session import broadcast_if_small, estimated_bytes, reliable_checkpoint
 
 _BUCKET = "__cl_bucket"
 # Inputs up to this many rows (counted first) use a plain window: it is bounded, and cheaper
-# than range partitioning plus a checkpoint. Larger inputs take the distributed plan.
+# than range partitioning plus a checkpoint. Larger inputs take the distributed plan. Inputs
+# whose plan-size estimate exceeds SINGLE_TASK_MAX_BYTES go there without being counted.
 SINGLE_TASK_MAX_ROWS = 1_000_000
+SINGLE_TASK_MAX_BYTES = 256 * 1024 * 1024
 
 
 def _num_buckets(df: DataFrame, num_buckets: int | None) -> int:
@@ -64,9 +66,12 @@ def running_sums(
     """
     partition_by = list(partition_by)
     limit = SINGLE_TASK_MAX_ROWS if single_task_max_rows is None else single_task_max_rows
-    # the check reads at most limit + 1 rows per partition
-    if limit > 0 and df.limit(limit + 1).count() <= limit:
-        return _window_sums(df, order, values, partition_by, totals_out)
+    if limit > 0:
+        # metadata first (no scan): a large estimate goes straight to the distributed plan; a small
+        # one is proven by an exact count that reads at most limit + 1 rows per partition
+        est = estimated_bytes(df)
+        if (est is None or est <= SINGLE_TASK_MAX_BYTES) and df.limit(limit + 1).count() <= limit:
+            return _window_sums(df, order, values, partition_by, totals_out)
     vcols = {name: f"__cl_v_{i}" for i, name in enumerate(values)}
     staged = df.withColumns({vcols[name]: col for name, col in values.items()})
     ranged = _bucketed(staged, partition_by, order, num_buckets)

@@ -138,3 +138,16 @@ def test_hot_score_and_hot_stratum_are_split_across_buckets(spark):
     strat = ranking._bucketed(df, ["grp"], [F.asc("id")], 8)
     sizes = [r["count"] for r in strat.groupBy("__cl_bucket").count().collect()]
     assert max(sizes) <= 2.0 * (n / 8)  # the hot stratum spans several buckets
+
+
+def test_size_estimate_gate_routes_large_inputs_without_counting(spark, monkeypatch):
+    from contactlift.operators import ranking
+
+    a = FX.scored(spark, SF_SMALL)
+    small = sorted(tuple(r) for r in M.cumulative_gain(a).collect())
+    monkeypatch.setattr(ranking, "SINGLE_TASK_MAX_BYTES", 0)  # every input now "looks" large
+    calls = []
+    orig = ranking._window_sums
+    monkeypatch.setattr(ranking, "_window_sums", lambda *x, **k: calls.append(1) or orig(*x, **k))
+    big = sorted(tuple(r) for r in M.cumulative_gain(a).collect())
+    assert big == small and not calls
