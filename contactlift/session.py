@@ -27,6 +27,8 @@ def build_session(master: str | None = None, app: str = "contactlift", shuffle_p
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # checkpoints of DataFrames that are no longer referenced are deleted (long sessions)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # spark.sql.codegen.maxFields stays at its default: the packs' 270-column rows cannot be
         # split into small enough methods, and per-operator codegen measured as fast
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
