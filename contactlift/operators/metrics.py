@@ -22,8 +22,9 @@ SWEEP_FIRST, SWEEP_STEP, SWEEP_COUNT, SWEEP_SCALE = 100, 2, 201, 10000
 
 
 def points(target: Column | str, gain: int = GAIN, cost: int = COST) -> Column:
+    """+gain for a positive, -cost otherwise; NULL for a missing label."""
     t = F.col(target) if isinstance(target, str) else target
-    return F.when(t == 1, F.lit(gain)).otherwise(F.lit(-cost)).cast("bigint")
+    return F.when(t.isNull(), F.lit(None)).when(t == 1, F.lit(gain)).otherwise(F.lit(-cost)).cast("bigint")
 
 
 def profit_score(df: DataFrame, cutoff: float = CUTOFF, relative: bool = True, prob: str = "prob",
@@ -34,14 +35,21 @@ def profit_score(df: DataFrame, cutoff: float = CUTOFF, relative: bool = True, p
     ``relative=True`` divides by all rows of the group (not only the contacted ones); nothing
     contacted gives 0. ``target`` is 0/1 (normalise 'SI' first).
     """
-    pts = F.coalesce(F.sum(F.when(F.col(prob) >= F.lit(cutoff), points(target, gain, cost))), F.lit(0).cast("bigint"))
+    hit = F.col(prob) >= F.lit(cutoff)
+    pts = F.coalesce(F.sum(F.when(hit, points(target, gain, cost))), F.lit(0).cast("bigint"))
     val = (pts / F.count(F.lit(1))) if relative else pts
-    return df.groupBy(*by).agg(val.alias(name))
+    # a contacted row with a missing label makes the score missing (NA propagates through the sum)
+    missing = F.count(F.when(hit & F.col(target).isNull(), 1)) > 0
+    return df.groupBy(*by).agg(F.when(~missing, val).alias(name))
 
 
 def profit_absolute(df: DataFrame, cutoff: float = CUTOFF, prob: str = "prob", target: str = "target",
                     by: Sequence[str] = (), name: str = "profit", gain: int = GAIN, cost: int = COST) -> DataFrame:
-    """Absolute profit with the strict ``prob > cutoff`` rule of the boosting metric; empty is 0."""
+    """Absolute profit with the strict ``prob > cutoff`` rule of the boosting metric; empty is 0.
+
+    A missing probability is not contacted. (The metric only ever scores model predictions and
+    training labels, which are never missing.)
+    """
     pts = F.sum(F.when(F.col(prob) > F.lit(cutoff), points(target, gain, cost)))
     return df.groupBy(*by).agg(F.coalesce(pts, F.lit(0).cast("bigint")).alias(name))
 
@@ -53,9 +61,16 @@ def label_mean(df: DataFrame, label: str = "clase01", by: Sequence[str] = ()) ->
 
 def cumulative_gain(df: DataFrame, id_col: str = "id", prob: str = "prob", target: str = "target",
                     by: Sequence[str] = (), num_buckets: int | None = None) -> DataFrame:
-    """Running profit when contacting rows by descending probability (missing last, ties by id)."""
+    """Running profit when contacting rows by descending probability (missing last, ties by id).
+
+    From the first row with a missing label on, the running profit is missing (as a cumulative
+    sum over a missing value is).
+    """
     order = [F.desc_nulls_last(prob), F.asc(id_col)]
-    return running_sums(df, order, {"gain": points(target)}, partition_by=by, num_buckets=num_buckets)
+    missing = F.when(F.col(target).isNull(), 1).otherwise(0).cast("bigint")
+    out = running_sums(df, order, {"gain": points(target), "__missing": missing}, partition_by=by,
+                       num_buckets=num_buckets)
+    return out.withColumn("gain", F.when(F.col("__missing") == 0, F.col("gain"))).drop("__missing")
 
 
 def gain_by_prob(df: DataFrame, prob: str = "prob", target: str = "target", num_buckets: int | None = None) -> DataFrame:

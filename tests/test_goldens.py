@@ -269,3 +269,17 @@ def test_delimited_read_infers_types(spark):
     assert back.count() == cards.count()
     assert back.where(F.col("Master_msaldototal").isNull()).count() == cards.where(
         F.col("Master_msaldototal").isNull()).count()
+
+
+def test_missing_labels_propagate_like_the_original(spark):
+    rows = [(1, 0.9, 1), (2, 0.5, None), (3, 0.3, 0), (4, 0.01, 1)]
+    df = spark.createDataFrame(rows, "id long, prob double, target int")
+    # a contacted missing label: the score is missing
+    assert M.profit_score(df, 0.2).first()["profit"] is None
+    # not contacted: it does not matter
+    assert M.profit_score(df, 0.6).first()["profit"] == pytest.approx(19500 / 4)
+    # boosting metric: nothing contacted is 0
+    assert M.profit_absolute(df, 0.95).first()["profit"] == 0
+    assert M.profit_absolute(df, 0.6).first()["profit"] == 19500
+    gains = {r["id"]: r["gain"] for r in M.cumulative_gain(df).collect()}
+    assert gains == {1: 19500, 2: None, 3: None, 4: None}
