@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections import deque
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,8 +105,23 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     Call it on tables whose size is bounded by a parameter (buckets, strata, cutoffs), never on
     row-level data; the check reads at most ``max_rows + 1`` rows per partition.
     """
-    if df.limit(max_rows + 1).count() > max_rows:  # reads at most max_rows + 1 rows per partition
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if cached.limit(max_rows + 1).count() > max_rows:  # reads at most max_rows + 1 rows per partition
+        cached.unpersist()
         return df
-    # proven small: checkpointed (disk, shared folder) so the broadcast reads it without
-    # recomputing its lineage, and nothing stays pinned in executor memory
-    return F.broadcast(reliable_checkpoint(df))
+    _remember(cached)
+    return F.broadcast(cached)
+
+
+# Small helper tables stay cached for reuse, but only the most recent few: an older one is
+# unpersisted (recomputed from its lineage if touched again), so a long session does not pile up.
+SMALL_CACHE_SLOTS = 32
+_SMALL_CACHE: deque = deque()
+_SMALL_LOCK = threading.Lock()
+
+
+def _remember(df: DataFrame) -> None:
+    with _SMALL_LOCK:
+        _SMALL_CACHE.append(df)
+        while len(_SMALL_CACHE) > SMALL_CACHE_SLOTS:
+            _SMALL_CACHE.popleft().unpersist()
