@@ -201,7 +201,7 @@ def staged_profit(model: GBTClassificationModel, df: DataFrame, label: str = LAB
     rounds = np.array(list(rounds or range(1, k_all + 1)), dtype=np.int64)
     outs = tree_outputs(model, df, keep=[*by, label]).withColumn(label, F.col(label).cast("int"))
     schema = ", ".join([f"`{b}` {outs.schema[b].dataType.simpleString()}" for b in by]
-                       + ["iter long", "pts long", "n long"])
+                       + ["iter long", "pts long", "n long", "miss long"])
 
     def per_batch(batches):
         for pdf in batches:
@@ -210,22 +210,28 @@ def staged_profit(model: GBTClassificationModel, df: DataFrame, label: str = LAB
             trees = np.stack(pdf["__trees"].to_numpy())
             probs = 1.0 / (1.0 + np.exp(-2.0 * np.cumsum(trees * weights, axis=1)))[:, rounds - 1]
             hit = probs > cutoff if strict else probs >= cutoff
-            pts = np.where(pdf[label].to_numpy() == 1, GAIN, -COST).astype(np.int64)
+            labels = pdf[label]
+            missing = labels.isna().to_numpy()
+            pts = np.where(missing, 0, np.where(labels.fillna(0).to_numpy() == 1, GAIN, -COST)).astype(np.int64)
             keys = pdf[by].drop_duplicates() if by else pd.DataFrame(index=[0])
             for _, key in keys.iterrows():
                 mask = np.ones(len(pdf), bool)
                 for b in by:
                     mask &= (pdf[b] == key[b]).to_numpy()
                 sums = pts[mask] @ hit[mask]
-                out = pd.DataFrame({"iter": rounds, "pts": sums.astype(np.int64), "n": int(mask.sum())})
+                miss = missing[mask].astype(np.int64) @ hit[mask]
+                out = pd.DataFrame({"iter": rounds, "pts": sums.astype(np.int64), "n": int(mask.sum()),
+                                    "miss": miss.astype(np.int64)})
                 for b in by:
                     out.insert(0, b, key[b])
                 yield out
 
     partial = outs.mapInPandas(per_batch, schema)
-    agg = partial.groupBy(*by, "iter").agg(F.sum("pts").alias("pts"), F.sum("n").alias("n"))
+    agg = partial.groupBy(*by, "iter").agg(F.sum("pts").alias("pts"), F.sum("n").alias("n"),
+                                           F.sum("miss").alias("miss"))
     val = F.col("pts") / F.col("n") if relative else F.col("pts").cast("double")
-    return agg.select(*by, F.col("iter").cast("int").alias("iter"), val.alias("profit"))
+    # a contacted row with a missing label makes that round's score missing
+    return agg.select(*by, F.col("iter").cast("int").alias("iter"), F.when(F.col("miss") == 0, val).alias("profit"))
 
 
 def feature_importance(model: GBTClassificationModel, names: Sequence[str]) -> list[tuple[str, float]]:

@@ -90,3 +90,20 @@ def test_trial_log_resumes(spark, cards):
 def S_cross(trials):
     from contactlift.operators import sampling as S
     return S.cross_seed_rows(trials, [7, 8])
+
+
+def test_staged_profit_matches_profit_score_per_round(cards):
+    from contactlift.operators import metrics as M
+
+    feats = PR.feature_columns(cards)
+    f = T.fit(cards, feats, ML.profile_a(0.2, 4, 1.0))
+    data = f.prepared.transform(cards)
+    log = {r["iter"]: r["profit"] for r in ML.staged_profit(f.model, data, cutoff=0.3).collect()}
+    staged, rounds = ML.staged_probabilities(f.model, data, keep=["label"])
+    for k in rounds:
+        p = staged.select(F.col(f"__p{k}").alias("prob"), F.col("label").cast("int").alias("target"))
+        assert log[k] == pytest.approx(M.profit_score(p, 0.3).first()["profit"])
+    # a missing label among contacted rows makes the round's score missing
+    holed = data.withColumn("label", F.when(F.col("id_cliente") == F.lit(data.first()["id_cliente"]), None)
+                            .otherwise(F.col("label")))
+    assert all(r["profit"] is None for r in ML.staged_profit(f.model, holed, cutoff=0.0).collect())
