@@ -107,3 +107,13 @@ def test_staged_profit_matches_profit_score_per_round(cards):
     holed = data.withColumn("label", F.when(F.col("id_cliente") == F.lit(data.first()["id_cliente"]), None)
                             .otherwise(F.col("label")))
     assert all(r["profit"] is None for r in ML.staged_profit(f.model, holed, cutoff=0.0).collect())
+
+
+def test_log_loss_falls_with_rounds_on_separable_data(cards):
+    feats = PR.feature_columns(cards)
+    cut = cards.approxQuantile("Master_tconsumos", [0.5], 0.0)[0]
+    sep = cards.withColumn("clase01", (F.col("Master_tconsumos") > cut).cast("int"))
+    f = T.fit(sep, feats, ML.profile_b(0.3, 8, 1.0))
+    losses = f.model.evaluateEachIteration(f.prepared.transform(sep), "logistic")
+    assert all(b <= a + 1e-12 for a, b in zip(losses, losses[1:]))
+    assert losses[-1] < losses[0]
