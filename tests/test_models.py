@@ -114,6 +114,6 @@ def test_log_loss_falls_with_rounds_on_separable_data(cards):
     cut = cards.approxQuantile("Master_tconsumos", [0.5], 0.0)[0]
     sep = cards.withColumn("clase01", (F.col("Master_tconsumos") > cut).cast("int"))
     f = T.fit(sep, feats, ML.profile_b(0.3, 8, 1.0))
-    losses = f.model.evaluateEachIteration(f.prepared.transform(sep), "logistic")
+    losses = f.model.evaluateEachIteration(f.prepared.transform(sep))  # the model's logistic loss
     assert all(b <= a + 1e-12 for a, b in zip(losses, losses[1:]))
     assert losses[-1] < losses[0]
