@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,25 +92,41 @@ class MissingValueStep:
 
 @dataclass
 class Prepared:
-    """A fitted missing-value step plus the assembler over its output columns."""
+    """A fitted missing-value step plus the assembler over its output columns.
+
+    Array columns (e.g. embeddings) are taken whole as vectors (``array_to_vector``); the
+    missing-value step applies to scalar columns.
+    """
 
     step: MissingValueStep
     assembler: VectorAssembler
+    arrays: dict[str, int] = field(default_factory=dict)
 
     @classmethod
     def fit(cls, df: DataFrame, features: Sequence[str]) -> Prepared:
-        step = MissingValueStep.fit(df, features)
-        return cls(step, VectorAssembler(inputCols=step.output_columns(), outputCol=FEATURES, handleInvalid="error"))
+        types = dict(df.dtypes)
+        scalars = [f for f in features if not types[f].startswith("array")]
+        arrays = [f for f in features if types[f].startswith("array")]
+        sizes = {}
+        if arrays:
+            row = df.select(*[F.max(F.size(a)).alias(a) for a in arrays]).first()  # one number per array
+            sizes = {a: int(row[a] or 0) for a in arrays}
+        step = MissingValueStep.fit(df, scalars) if scalars else MissingValueStep([])
+        cols = step.output_columns() + [f"{a}__vec" for a in arrays]
+        return cls(step, VectorAssembler(inputCols=cols, outputCol=FEATURES, handleInvalid="error"), sizes)
 
     def transform(self, df: DataFrame, label: str | None = "clase01") -> DataFrame:
-        out = self.assembler.transform(self.step.transform(df))
+        out = self.step.transform(df) if self.step.features else df
+        if self.arrays:
+            out = out.withColumns({f"{a}__vec": array_to_vector(F.col(a).cast("array<double>")) for a in self.arrays})
+        out = self.assembler.transform(out)
         if label and label in df.columns:
             out = out.withColumn(LABEL, F.col(label).cast("double"))
         return out
 
     @property
     def names(self) -> list[str]:
-        return self.step.output_columns()
+        return self.step.output_columns() + [f"{a}[{i}]" for a, n in self.arrays.items() for i in range(n)]
 
 
 def feature_matrix(df: DataFrame, features: Sequence[str], id_col: str = "id_cliente", label: str = "clase01",

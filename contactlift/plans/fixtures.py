@@ -150,6 +150,15 @@ CVLOG_SQL = """select user_id % 5 as seed, event_id % 60 as iter,
 from events"""
 
 
+# --- f_vectors: embeddings as a model table (FIXTURES 2.7) ---------------------------------------
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id_cliente = vec_id, embedding array, clase01 = label is 0)."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("id_cliente"), "embedding",
+                    (F.col("label") == 0).cast("int").alias("clase01"))
+
+
 def with_views(sql: str, **views: str) -> str:
     """Prefix ``sql`` with ``with name as (...)`` for each fixture view it reads."""
     if not views:

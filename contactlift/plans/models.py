@@ -246,3 +246,11 @@ def q_trials(spark, sf):
     make = lambda p: ML.profile_a(p["eta"], ROUNDS, p["colsample_bytree"])
     log = T.TrialLog(spark)
     return T.trial_evaluation(df, feats(df), trials, make, SEEDS, log, k=3)
+
+
+@model_query("train_profile_a_vectors")
+def q_train_vectors(spark, sf):
+    """Profile A on the embedding vectors (target: label 0), scored on the held-out part."""
+    df = FX.vectors(spark, sf)
+    train, test = S.train_test_split(df, 0.7, -1, ["clase01"])
+    return T.fit(train, ["embedding"], est_a()).predict(test, keep=["clase01"])

@@ -117,3 +117,13 @@ def test_log_loss_falls_with_rounds_on_separable_data(cards):
     losses = f.model.evaluateEachIteration(f.prepared.transform(sep))  # the model's logistic loss
     assert all(b <= a + 1e-12 for a, b in zip(losses, losses[1:]))
     assert losses[-1] < losses[0]
+
+
+def test_vector_features(spark):
+    from contactlift.plans import fixtures as FX
+
+    df = FX.vectors(spark, SF_SMALL)
+    f = T.fit(df, ["embedding"], ML.profile_a(0.2, 3, 1.0))
+    assert len(f.prepared.names) == 64
+    preds = f.predict(df).collect()
+    assert len(preds) == df.count() and all(0 <= r["prob"] <= 1 for r in preds)
