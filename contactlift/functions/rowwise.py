@@ -68,9 +68,10 @@ def safe_ratio(num: ColumnLike, den: ColumnLike, mode: str = "ieee") -> Column:
         return F.when(d != 0, n / d)
     if mode != "ieee":
         raise ValueError(f"unknown mode {mode!r}")
-    # x * Inf is exactly the IEEE x / 0: +-Inf by the sign of x, NaN for 0 and NaN, NULL for NULL.
-    # A NULL or NaN denominator falls to the plain division, which gives NULL or NaN.
-    return F.when(d == 0, n * F.lit(float("inf"))).otherwise(n / d)
+    # For d = +-0, pow(d, -1) is +-Inf (no ANSI check on pow), and x * (+-Inf) is exactly the IEEE
+    # x / (+-0): +-Inf by the signs, NaN for 0 and NaN, NULL for NULL. A NULL or NaN denominator
+    # falls to the plain division (NULL or NaN).
+    return F.when(d == 0, n * F.pow(d, F.lit(-1.0))).otherwise(n / d)
 
 
 def finite_or_null(c: ColumnLike) -> Column:

@@ -317,7 +317,7 @@ def spec_sql(op: str, inputs: Sequence[str]) -> str:
         return f"(case when ({cnt}) > 0 then {_sum_sql(xs)} / ({cnt}) end)"
     if op == "ratio":
         n, d = f"cast({xs[0]} as double)", f"cast({xs[1]} as double)"
-        return f"(case when {d} = 0 then {n} * double('Infinity') else {n} / {d} end)"
+        return f"(case when {d} = 0 then {n} * pow({d}, -1D) else {n} / {d} end)"
     raise ValueError(f"unknown op {op!r}")
 
 

@@ -283,3 +283,13 @@ def test_missing_labels_propagate_like_the_original(spark):
     assert M.profit_absolute(df, 0.6).first()["profit"] == 19500
     gains = {r["id"]: r["gain"] for r in M.cumulative_gain(df).collect()}
     assert gains == {1: 19500, 2: None, 3: None, 4: None}
+
+
+def test_negative_zero_denominator(spark):
+    df = spark.createDataFrame([(1, 2.0, -0.0), (2, -2.0, -0.0), (3, 2.0, 0.0), (4, 0.0, -0.0)],
+                               "k int, a double, b double")
+    got = _col(df, rw.safe_ratio("a", "b"))
+    assert got[1] == -INF and got[2] == INF and got[3] == INF and math.isnan(got[4])
+    spec = [("r", "ratio", ("a", "b"))]
+    packed = {r["k"]: r["r"] for r in P.apply_pack(df, spec).collect()}
+    assert packed[1] == -INF and packed[2] == INF and packed[3] == INF and math.isnan(packed[4])
