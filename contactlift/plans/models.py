@@ -180,16 +180,19 @@ def q_holdout(spark, sf):
 
 @model_query("feature_pack_comparison")
 def q_pack_comparison(spark, sf):
+    """Raw features, + standard pack, + standard then extended packs; default profile A; % of raw."""
     df = wide(spark, sf)
     raw = feats(df)
+    stacks = {"none": [], "std": ["std"], "extended": ["std", "extended"]}
     variants = {}
-    for pack in ("none", "std", "extended"):
-        def run(train, test, seed, pack=pack):
-            tr = train if pack == "none" else P.apply_pack(train, pack)
-            te = test if pack == "none" else P.apply_pack(test, pack)
-            fs = raw if pack == "none" else raw + P.pack_columns(pack)
-            return T.fit(tr, fs, est_a(TUNED_A, seed=seed)).predict(te, keep=["clase01"])
-        variants[pack] = run
+    for name, packs in stacks.items():
+        def run(train, test, seed, packs=packs):
+            tr, te, fs = train, test, list(raw)
+            for pk in packs:
+                tr, te = P.apply_pack(tr, pk), P.apply_pack(te, pk)
+                fs += P.pack_columns(pk)
+            return T.fit(tr, fs, est_a(DEFAULT_A, seed=seed)).predict(te, keep=["clase01"])
+        variants[name] = run
     return T.compare_over_seeds(df, SEEDS, variants, "none")
 
 
