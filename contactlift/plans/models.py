@@ -26,10 +26,13 @@ MODEL_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 ROUNDS = 10
 SEEDS = (19381, 19387)
-# Recorded parameter sets (default and tuned runs of profile A, chosen profile B).
+# Recorded parameter sets. Profile A: default run, tuned run, and the set used by
+# the blends; profile B: the search's choice, and the set used by the blends.
 DEFAULT_A = {"eta": 0.04, "colsample_bytree": 0.6}
 TUNED_A = {"eta": 0.0245, "colsample_bytree": 0.212}
+BLEND_A = {"eta": 0.025, "colsample_bytree": 0.29}
 CHOSEN_B = {"learning_rate": 0.0155, "feature_fraction": 0.33, "max_depth": 7}
+BLEND_B = {"learning_rate": 0.015, "feature_fraction": 0.33, "max_depth": 7}
 
 
 def model_query(name: str):
@@ -150,18 +153,25 @@ def q_baseline_run(spark, sf):
 
 
 def _blend(train: DataFrame, test: DataFrame, features, seed: int = S.MASTER_SEED) -> DataFrame:
-    a = T.fit(train, features, est_a(TUNED_A, seed=seed)).predict(test, keep=["clase01"], name="prob_a")
-    b = T.fit(train, features, est_b(seed=seed)).predict(test, name="prob_b")
+    """0.7 x profile A + 0.3 x profile B probabilities, joined on id (the blend parameter sets)."""
+    a = T.fit(train, features, est_a(BLEND_A, seed=seed)).predict(test, keep=["clase01"], name="prob_a")
+    b = T.fit(train, features, est_b(BLEND_B, seed=seed)).predict(test, name="prob_b")
     j = a.join(b, "id_cliente")
     return j.select("id_cliente", "clase01", (F.lit(0.7) * F.col("prob_a") + F.lit(0.3) * F.col("prob_b")).alias("prob"))
 
 
+def _std(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The standard pack added; features = raw + pack columns."""
+    return P.apply_pack(df, "std"), feats(df) + P.pack_columns("std")
+
+
 @model_query("blended_delivery")
 def q_blended_delivery(spark, sf):
-    """Enrich both sets, two models, blend 0.7/0.3, strict cutoff, ids by descending probability."""
-    df = P.apply_pack(wide(spark, sf), "combined")
+    """Standard pack on both sets, two models, blend 0.7/0.3, strict cutoff, ids by descending probability."""
+    df = wide(spark, sf)
     train, apply_ = split(df)
-    blended = _blend(train, apply_, feats(df))
+    (train_fe, fs), (apply_fe, _) = _std(train), _std(apply_)
+    blended = _blend(train_fe, apply_fe, fs)
     path = scratch_path(spark, "delivery")
     IO.export_target_ids(blended, path, 0.025, prob="prob", ranked=True)
     return spark.read.option("lineSep", "\r\n").schema("id_cliente bigint").csv(path)
@@ -169,13 +179,19 @@ def q_blended_delivery(spark, sf):
 
 @model_query("holdout_comparison")
 def q_holdout(spark, sf):
-    df = cards(spark, sf)
+    """Per training seed: default profile A on raw features against the blend on the standard
+    pack, both scored on the same external labelled set."""
+    df = wide(spark, sf)
     train, hold = split(df)
-    base = T.fit(train, feats(df), est_a()).predict(hold, keep=["clase01"])
-    blend = _blend(train, hold, feats(df))
-    rows = [M.profit_score(p.withColumnRenamed("clase01", "target")).select(F.lit(n).alias("model"), "profit")
-            for n, p in (("baseline", base), ("blend", blend))]
-    return rows[0].unionByName(rows[1])
+    (train_fe, fs), (hold_fe, _) = _std(train), _std(hold)
+    rows = []
+    for seed in SEEDS:
+        base = T.fit(train, feats(df), est_a(DEFAULT_A, seed=seed)).predict(hold, keep=["clase01"])
+        blend = _blend(train_fe, hold_fe, fs, seed)
+        for name, p in (("baseline", base), ("blend", blend)):
+            rows.append(M.profit_score(p.withColumnRenamed("clase01", "target")).select(
+                F.lit(seed).alias("seed"), F.lit(name).alias("model"), "profit"))
+    return T._union(rows)
 
 
 @model_query("feature_pack_comparison")
@@ -198,29 +214,39 @@ def q_pack_comparison(spark, sf):
 
 @model_query("model_comparison")
 def q_model_comparison(spark, sf):
-    df = cards(spark, sf)
-    fs = feats(df)
+    """Per seed: default profile A on raw features (baseline); profile A, profile B and their
+    blend on the standard pack; % of baseline."""
+    df = wide(spark, sf)
+    raw = feats(df)
+
+    def enriched(fn):
+        def run(tr, te, s):
+            (tr_fe, fs), (te_fe, _) = _std(tr), _std(te)
+            return fn(tr_fe, te_fe, fs, s)
+        return run
+
     variants = {
-        "baseline": lambda tr, te, s: T.fit(tr, fs, est_a(seed=s)).predict(te, keep=["clase01"]),
-        "profile_a": lambda tr, te, s: T.fit(tr, fs, est_a(TUNED_A, seed=s)).predict(te, keep=["clase01"]),
-        "profile_b": lambda tr, te, s: T.fit(tr, fs, est_b(seed=s)).predict(te, keep=["clase01"]),
-        "blend": lambda tr, te, s: _blend(tr, te, fs, s),
+        "baseline": lambda tr, te, s: T.fit(tr, raw, est_a(DEFAULT_A, seed=s)).predict(te, keep=["clase01"]),
+        "profile_a": enriched(lambda tr, te, fs, s: T.fit(tr, fs, est_a(BLEND_A, seed=s)).predict(te, keep=["clase01"])),
+        "profile_b": enriched(lambda tr, te, fs, s: T.fit(tr, fs, est_b(BLEND_B, seed=s)).predict(te, keep=["clase01"])),
+        "blend": enriched(lambda tr, te, fs, s: _blend(tr, te, fs, s)),
     }
     return T.compare_over_seeds(df, SEEDS, variants, "baseline")
 
 
 @model_query("tuned_comparison")
 def q_tuned(spark, sf):
-    """Default against tuned parameters, and raw against enriched features, on one split."""
+    """On one split: default against tuned profile A (tuned runs 1.5x the rounds), and raw
+    against standard-pack features with the default parameters; training seed 102191."""
     df = wide(spark, sf)
     train, test = split(df)
     raw = feats(df)
-    rich_train, rich_test = P.apply_pack(train, "combined"), P.apply_pack(test, "combined")
-    rich = raw + P.pack_columns("combined")
+    (train_fe, fs), (test_fe, _) = _std(train), _std(test)
+    seed = 102191
     runs = {
-        "default_raw": T.fit(train, raw, est_a(DEFAULT_A)).predict(test, keep=["clase01"]),
-        "tuned_raw": T.fit(train, raw, est_a(TUNED_A)).predict(test, keep=["clase01"]),
-        "tuned_enriched": T.fit(rich_train, rich, est_a(TUNED_A)).predict(rich_test, keep=["clase01"]),
+        "default_raw": T.fit(train, raw, est_a(DEFAULT_A, seed=seed)).predict(test, keep=["clase01"]),
+        "tuned_raw": T.fit(train, raw, est_a(TUNED_A, rounds=ROUNDS * 3 // 2, seed=seed)).predict(test, keep=["clase01"]),
+        "default_std": T.fit(train_fe, fs, est_a(DEFAULT_A, seed=seed)).predict(test_fe, keep=["clase01"]),
     }
     rows = [M.profit_score(p.withColumnRenamed("clase01", "target")).select(F.lit(n).alias("variant"), "profit")
             for n, p in runs.items()]
