@@ -142,7 +142,7 @@ def q_baseline_run(spark, sf):
     """Train on the labelled part, score the application part; ranked probs, target ids, importance."""
     df = cards(spark, sf)
     train, apply_ = split(df)
-    f = T.fit(train, feats(df), est_a())
+    f = T.fit(train, feats(df), est_a(DEFAULT_A, seed=102191))
     probs = f.predict(apply_.drop("clase01"), name="prob_positivo")
     base = scratch_path(spark, "baseline")
     IO.export_ranked_probs(probs, f"{base}/ranked")
