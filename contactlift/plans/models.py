@@ -265,7 +265,7 @@ def q_oof(spark, sf):
     grid = [{"id": 100, "learning_rate": 0.02, "feature_fraction": 0.5},
             {"id": 101, "learning_rate": 0.05, "feature_fraction": 0.8}]
     make = lambda p: ML.profile_b(p["learning_rate"], ROUNDS, p["feature_fraction"])
-    return T.oof_score_table(df, feats(df), grid, make, k=3, inner_folds=3, patience=5)
+    return T.oof_score_table(df, feats(df), grid, make, k=5, inner_folds=3, patience=5)
 
 
 @model_query("trial_evaluation")
