@@ -95,9 +95,9 @@ def ieee_class(c: ColumnLike) -> Column:
 def days_to_snapshot_end(month: ColumnLike, date: ColumnLike) -> Column:
     """Days from a ``yyyymmdd`` date to the first day of the month after ``yyyymm``.
 
-    Future dates give negative numbers; unparseable dates give NULL.
+    Future dates give negative numbers; an unparseable date or month gives NULL.
     """
-    month_start = F.to_date(F.concat(_col(month).cast("string"), F.lit("01")), "yyyyMMdd")
+    month_start = F.try_to_date(F.concat(_col(month).cast("string"), F.lit("01")), "yyyyMMdd")
     d = F.try_to_date(_col(date).cast("string"), "yyyyMMdd")
     return F.datediff(F.add_months(month_start, 1), d)
 

@@ -160,10 +160,10 @@ def test_seed_minus_one_is_master():
 
 def test_day_offsets(spark):
     rows = [(1, 201901, 20190115), (2, 201901, 20190301), (3, 201901, 0), (4, 201901, None),
-            (5, 201902, 20190230), (6, 201912, 20191231)]
+            (5, 201902, 20190230), (6, 201912, 20191231), (7, 201913, 20190101)]
     df = spark.createDataFrame(rows, "k int, foto_mes int, fecha int")
     got = _col(df, rw.days_to_snapshot_end("foto_mes", "fecha"))
-    assert got == {1: 17, 2: -28, 3: None, 4: None, 5: None, 6: 1}
+    assert got == {1: 17, 2: -28, 3: None, 4: None, 5: None, 6: 1, 7: None}
 
 
 def test_frequency_shares(spark):
