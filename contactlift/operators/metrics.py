@@ -35,7 +35,7 @@ def profit_score(df: DataFrame, cutoff: float = CUTOFF, relative: bool = True, p
     ``relative=True`` divides by all rows of the group (not only the contacted ones); nothing
     contacted gives 0. ``target`` is 0/1 (normalise 'SI' first).
     """
-    hit = F.col(prob) >= F.lit(cutoff)
+    hit = F.nanvl(F.col(prob).cast("double"), F.lit(None).cast("double")) >= F.lit(cutoff)  # NaN: missing
     pts = F.coalesce(F.sum(F.when(hit, points(target, gain, cost))), F.lit(0).cast("bigint"))
     val = (pts / F.count(F.lit(1))) if relative else pts
     # a contacted row with a missing label makes the score missing (NA propagates through the sum)
@@ -50,7 +50,8 @@ def profit_absolute(df: DataFrame, cutoff: float = CUTOFF, prob: str = "prob", t
     A missing probability is not contacted. (The metric only ever scores model predictions and
     training labels, which are never missing.)
     """
-    pts = F.sum(F.when(F.col(prob) > F.lit(cutoff), points(target, gain, cost)))
+    hit = F.nanvl(F.col(prob).cast("double"), F.lit(None).cast("double")) > F.lit(cutoff)  # NaN: missing
+    pts = F.sum(F.when(hit, points(target, gain, cost)))
     return df.groupBy(*by).agg(F.coalesce(pts, F.lit(0).cast("bigint")).alias(name))
 
 
@@ -125,7 +126,10 @@ def _cutoffs_passed(prob: Column) -> Column:
     """Number of sweep cutoffs c_i with c_i <= prob (0..201), exact at the boundaries."""
     def cut(i: Column) -> Column:
         return (F.lit(SWEEP_FIRST) + F.lit(SWEEP_STEP) * i) / F.lit(SWEEP_SCALE)
-    est = F.ceil((prob * SWEEP_SCALE - SWEEP_FIRST) / SWEEP_STEP)
+    # NaN is missing (never contacted); clipping keeps ceil() far from any overflow under ANSI
+    prob = F.nanvl(prob.cast("double"), F.lit(None).cast("double"))
+    clipped = F.least(F.greatest(prob, F.lit(-1.0)), F.lit(2.0))
+    est = F.ceil((clipped * SWEEP_SCALE - SWEEP_FIRST) / SWEEP_STEP)
     est = F.least(F.greatest(est, F.lit(0)), F.lit(SWEEP_COUNT))
     # the estimate can be off by one through rounding; compare with the exact cutoff values
     fixed = (F.when((est > 0) & (cut(est - 1) > prob), est - 1)

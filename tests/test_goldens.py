@@ -293,3 +293,12 @@ def test_negative_zero_denominator(spark):
     spec = [("r", "ratio", ("a", "b"))]
     packed = {r["k"]: r["r"] for r in P.apply_pack(df, spec).collect()}
     assert packed[1] == -INF and packed[2] == INF and packed[3] == INF and math.isnan(packed[4])
+
+
+def test_nan_and_infinite_scores(spark):
+    rows = [(1, float("nan"), 1), (2, float("inf"), 1), (3, 0.03, 0)]
+    df = spark.createDataFrame(rows, "id long, prob double, target int")
+    assert M.profit_score(df, relative=False).first()["profit"] == 19500 - 500  # NaN not contacted
+    assert M.profit_absolute(df).first()["profit"] == 19500 - 500
+    sweep = {r["cutoff_index"]: r["profit"] for r in M.cutoff_sweep(df, relative=False).collect()}
+    assert sweep[0] == 19500 - 500 and sweep[200] == 19500
