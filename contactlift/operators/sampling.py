@@ -71,8 +71,12 @@ def stratified_sample(df: DataFrame, fraction: float, strata: Sequence[str] = ()
     that column in ``strata`` as well).
     """
     strata = list(strata)
+    if fraction < 0:
+        raise ValueError("fraction must be >= 0")
     if replace:
         return sample_with_replacement(df, fraction, strata, seed, id_col, num_buckets)
+    if fraction > 1:
+        raise ValueError("fraction > 1 needs replace=True (a stratum cannot give more rows than it has)")
     if not strata:
         df = df.withColumn("__all", F.lit(0))
         strata = ["__all"]
@@ -89,6 +93,8 @@ def mark_sample(df: DataFrame, fraction: float, strata: Sequence[str] = (), seed
     stratum), so train and test come from one plan without shuffling the wide rows.
     """
     strata = list(strata)
+    if not 0 <= fraction <= 1:
+        raise ValueError("a sample without replacement needs 0 <= fraction <= 1")
     work = df
     if not strata:
         work = df.withColumn("__all", F.lit(0))

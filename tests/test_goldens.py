@@ -302,3 +302,14 @@ def test_nan_and_infinite_scores(spark):
     assert M.profit_absolute(df).first()["profit"] == 19500 - 500
     sweep = {r["cutoff_index"]: r["profit"] for r in M.cutoff_sweep(df, relative=False).collect()}
     assert sweep[0] == 19500 - 500 and sweep[200] == 19500
+
+
+def test_fraction_bounds(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a")], "id_cliente long, clase string")
+    with pytest.raises(ValueError):
+        S.stratified_sample(df, 1.5, ["clase"])
+    with pytest.raises(ValueError):
+        S.stratified_sample(df, -0.1, ["clase"])
+    assert S.stratified_sample(df, 1.0, ["clase"]).count() == 2
+    assert S.stratified_sample(df, 0.0, ["clase"]).count() == 0
+    assert S.stratified_sample(df, 1.5, ["clase"], replace=True).count() == 3
