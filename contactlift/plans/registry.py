@@ -19,7 +19,7 @@ from contactlift.operators import projections as PR
 from contactlift.operators import sampling as S
 from contactlift.operators.ranking import row_numbers
 from contactlift.plans import fixtures as FX
-from contactlift.plans.sqltext import dbl, finite, ieee, pack_sql
+from contactlift.plans.sqltext import dbl, finite, ieee, pack_sql, sql_ratio
 from contactlift.sources import files as IO
 from contactlift.session import scratch_path
 
@@ -316,7 +316,6 @@ register("row_mean_narm", _pair_sql(
 
 
 def _ratio_sql(n: str, d: str, name: str) -> str:
-    from contactlift.plans.sqltext import sql_ratio
     r = sql_ratio(n, d)
     return f"{finite(r)} as {name}, cast({ieee(r)} as integer) as {name}__ieee"
 
@@ -345,9 +344,14 @@ def pack_output(df: DataFrame, pack: str, id_col: str = "id_cliente") -> DataFra
     return enriched.selectExpr(*cols)
 
 
+def _pack_query(pack: str) -> Builder:
+    def build(spark: SparkSession, sf: str) -> DataFrame:
+        return pack_output(FX.wide(spark, sf), pack)
+    return build
+
+
 for _pack in ("std", "small_extended", "extended", "combined"):
-    register(f"enrich_{_pack}", FX.with_views(pack_sql(_pack, "f_wide"), f_wide=FX.wide_sql()))(
-        (lambda p: lambda spark, sf: pack_output(FX.wide(spark, sf), p))(_pack))
+    register(f"enrich_{_pack}", FX.with_views(pack_sql(_pack, "f_wide"), f_wide=FX.wide_sql()))(_pack_query(_pack))
 
 register("blend_scores", FX.with_views(
     f"select a.id, {dbl(0.7)} * a.prob + {dbl(0.3)} * b.prob as prob from f_scored a join f_scored_alt b on a.id = b.id",
