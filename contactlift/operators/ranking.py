@@ -4,7 +4,8 @@ A bare ``sum(x).over(Window.orderBy(...))`` moves every row into one task, and
 ``row_number().over(Window.partitionBy(label)...)`` puts a whole class (most of the rows) into
 one task. Both are replaced by the same two-level plan:
 
-1. range-partition the rows on ``(strata, order)`` into ``B`` ordered buckets; the range
+1. range-partition the rows on ``(strata, order)`` into ordered buckets (their number starts at
+   ``spark.sql.shuffle.partitions`` and AQE may merge adjacent small ranges); the range
    partitioner samples the composite key, so heavy ties on the score are split by the unique
    tie-break column and no bucket holds a hot group whole;
 2. checkpoint into the shared checkpoint folder, which fixes the bucket of every row (a retried
@@ -37,17 +38,12 @@ SINGLE_TASK_MAX_ROWS = 1_000_000
 SINGLE_TASK_MAX_BYTES = 256 * 1024 * 1024
 
 
-def _num_buckets(df: DataFrame, num_buckets: int | None) -> int:
-    if num_buckets:
-        return int(num_buckets)
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def _bucketed(df: DataFrame, partition_by: Sequence[str], order: Sequence[Column], num_buckets: int | None) -> DataFrame:
-    n = _num_buckets(df, num_buckets)
     keys = [F.asc_nulls_first(c) for c in partition_by] + list(order)
-    ranged = df.repartitionByRange(n, *keys).withColumn(_BUCKET, F.spark_partition_id())
-    return reliable_checkpoint(ranged)
+    # without an explicit count AQE may coalesce adjacent ranges (the ranges stay contiguous and
+    # ordered), so the bucket count follows the data size; an explicit num_buckets pins it
+    ranged = df.repartitionByRange(num_buckets, *keys) if num_buckets else df.repartitionByRange(*keys)
+    return reliable_checkpoint(ranged.withColumn(_BUCKET, F.spark_partition_id()))
 
 
 def running_sums(
@@ -92,7 +88,9 @@ def running_sums(
     w_in = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # range on the bucket id: one bucket per task (a hash of B ids into B partitions would stack
     # several buckets in some tasks); it also satisfies the window's clustering, so no other exchange
-    by_bucket = ranged.repartitionByRange(_num_buckets(ranged, num_buckets), F.col(_BUCKET))
+    # one task per bucket: the bucket count is read from the small offsets table
+    n_buckets = num_buckets or offsets.select(okeys[_BUCKET]).distinct().count()
+    by_bucket = ranged.repartitionByRange(max(1, n_buckets), F.col(_BUCKET))
     local = by_bucket.withColumns({f"{v}_loc": F.sum(v).over(w_in) for v in vcols.values()})
     cond = [local[k].eqNullSafe(offsets[okeys[k]]) for k in group]
     joined = local.join(offsets, cond, "inner")
