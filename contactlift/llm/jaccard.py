@@ -1,7 +1,8 @@
 """N-gram Jaccard join by token-combination prefixes.
 
 A document's set is its distinct ``k``-word shingles. Documents link when the Jaccard similarity of their sets
-is at least ``percent`` / 100. The shingles are ordered by (class, hash), rare class before frequent class.
+is at least ``percent`` / 100. The shingles are ordered by (class, hash), the rare class before the
+frequent class.
 
 * Two linked sets share at least j shingles in their prefixes of ``n - ceil(t n) + j`` shingles.
 * If they share a rare shingle in the prefixes for j = 1, it is a common signature by itself.
@@ -11,9 +12,11 @@ is at least ``percent`` / 100. The shingles are ordered by (class, hash), rare c
   prefix shingles singly; sets from ``t * combine_to`` to ``combine_to`` do both, so that linked sets of
   different sizes always have a common kind of signature.
 
-The class only steers the cost: any class function gives the same links. A shingle is frequent when more
-than ``max(32, shingles of the corpus / 2**21)`` documents hold it, so there are at most 2**21 frequent ones,
-which bounds the broadcast to 16 MB at every corpus size. Equal sets are one vertex.
+The class only steers the cost: any class function gives the same links. Shingles that no other set holds are a
+third class before the rare one; they fill the front of the prefixes, can't be shared and are not indexed. A
+shingle is frequent when more than ``max(32, shingles of the corpus / 2**21)`` sets hold it, so there are at most
+2**21 frequent ones: 16 MB to broadcast at every corpus size, besides a bitmap of at most 64 MB. Equal sets are one
+vertex.
 
 Members of a signature are compared with its smallest member first (a star, not all pairs). Once linked
 members have one component, only members of one signature that are still in different components are
@@ -33,7 +36,11 @@ from contactlift.llm import words as W
 from contactlift.llm.store import components, parts_of, written
 
 FREQUENT_MAX = 1 << 21
+BITMAP_MAX = 1 << 29
 BLOOM_BITS = 1 << 27
+# Sets are compared by the first 6 bytes of their shingles' hashes: two unequal shingles of a pair of sets of n
+# shingles look equal with a chance of n * n / 2**48.
+WIDTH = 6
 
 
 def ceil_share(n: int, percent: int) -> int:
@@ -74,8 +81,8 @@ def _meta(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
     return docs.select(id_col, text).mapInArrow(task, "id long, n long, v long")
 
 
-def _blobs(docs: DataFrame, parts: int, make, per: int = 1 << 21) -> DataFrame:
-    """Run ``make(batches)``, which yields (part numbers, records), and send the records to their part."""
+def _blobs(docs: DataFrame, parts: int, make, code, per: int = 1 << 21) -> DataFrame:
+    """Run ``make(batches)``, which yields (part numbers, records), and send the coded records to their part."""
     def task(batches):
         held, size = [], 0
 
@@ -84,98 +91,136 @@ def _blobs(docs: DataFrame, parts: int, make, per: int = 1 << 21) -> DataFrame:
             rec = np.concatenate([r for _, r in held])
             got = W.split_by(part, parts)
             return pa.RecordBatch.from_arrays(
-                [pa.array([p for p, _ in got], pa.int32()), W.binary([rec[i].tobytes() for _, i in got])],
+                [pa.array([p for p, _ in got], pa.int32()), W.binary([code(rec[i]) for _, i in got])],
                 ["part", "blob"])
 
         for part, rec in make(batches):
             held.append((part, rec))
-            size += rec.nbytes
-            if size > 16 * per:
+            size += len(rec)
+            if size > per:
                 yield flush()
                 held, size = [], 0
         if held:
             yield flush()
 
-    return docs.mapInArrow(task, "part int, blob binary").repartition(parts, "part")
+    return docs.mapInArrow(task, "part int, blob binary").repartition(min(parts, parts_of(docs.sparkSession)), "part")
 
 
-def _gathered(batches, dtype) -> dict[int, np.ndarray]:
+def _gathered(batches, decode) -> dict[int, np.ndarray]:
     got: dict[int, list] = {}
     for b in batches:
         for p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            got.setdefault(p, []).append(np.frombuffer(x, dtype))
+            got.setdefault(p, []).append(decode(x))
     return {p: np.concatenate(x) for p, x in got.items()}
 
 
-def frequent_shingles(docs: DataFrame, text: str, k: int, total: int) -> np.ndarray:
-    """Sorted 40-bit prefixes of the hashes of shingles that more than max(32, total / 2**21) documents hold."""
-    parts = min(parts_of(docs.sparkSession), 256)
-    least = max(32, total // FREQUENT_MAX)
+class Classes:
+    """The class of each shingle: 0 held by one set only, 1 rare, 2 frequent.
+
+    ``twice`` is a bitmap over the leading bits of the hashes with a bit for every shingle held at least twice; a
+    shingle whose bit is clear is in no other set. ``often`` are the 40-bit prefixes of the frequent ones, sorted.
+    """
+
+    def __init__(self, twice: np.ndarray, often: np.ndarray):
+        self.twice, self.often = twice, often
+        self.shift = 64 - (8 * len(twice)).bit_length() + 1
+
+    def of(self, u: np.ndarray) -> np.ndarray:
+        at = u >> np.uint64(self.shift)
+        bit = (self.twice[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+        return np.where(W.member(u >> np.uint64(24), self.often), 2, bit)
+
+
+def shingle_classes(docs: DataFrame, text: str, k: int, total: int, least: int | None = None) -> Classes:
+    """Count in how many sets each shingle occurs (by the first 40 bits of its hash; a clash only moves a class).
+
+    The bitmap has about four bits for each shingle of the corpus, from 2**16 to ``BITMAP_MAX`` bits. In a corpus
+    beyond that bound more single shingles look shared, which costs signatures and loses none.
+    """
+    bits = 1 << min(max(int(total * 4).bit_length(), 16), BITMAP_MAX.bit_length() - 1)
+    fine = min(bits, 1 << 40)
+    parts = 256
+    least = max(32, total // FREQUENT_MAX) if least is None else least
 
     def make(batches):
         for _, u in _distinct_sets(batches, text, k):
             x = u >> np.uint64(24)
-            yield ((x >> np.uint64(32)).astype(np.int64) * parts >> 8), (x & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            yield (x >> np.uint64(32)).astype(np.int64), x
 
     def count(batches):
-        # the low 32 bits of equal high bytes may meet in one part; a clash only moves a shingle's class
-        for x in _gathered(batches, np.uint32).values():
+        for p, x in _gathered(batches, lambda b: W.unpack(b, 5)).items():
             value, n = np.unique(x, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value[n > least].astype(np.int64))], ["x"])
-
-    got = _blobs(docs.select(text), parts, make).mapInArrow(count, "x long").toArrow()
-    return np.unique(np.asarray(got.column("x"), dtype=np.uint64))
-
-
-def signatures(u: np.ndarray, frequent: np.ndarray, percent: int, combine_to: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of one set: hashes, and whether they come from the frequent class."""
+            slot = np.zeros(fine // parts, bool)
+            at = value[n > 1] >> np.uint64(40 - (fine.bit_length() - 1))
+            slot[(at - np.uint64(p * (fine // parts))).astype(np.int64)] = True
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p], pa.int32()), W.binary([np.packbits(slot, bitorder="little").tobytes()]),
+                 W.binary([value[n > least].tobytes()])], ["part", "twice", "often"])
+
+    got = (_blobs(docs.select(text), parts, make, lambda x: W.pack(np.sort(x), 5))
+           .mapInArrow(count, "part int, twice binary, often binary").collect())
+    twice = np.zeros((parts, fine // parts // 8), np.uint8)
+    for r in got:
+        twice[r["part"]] = np.frombuffer(r["twice"], np.uint8)
+    often = [np.frombuffer(r["often"], np.uint64) for r in got]
+    return Classes(twice.ravel(), np.sort(np.concatenate(often)) if often else np.zeros(0, np.uint64))
+
+
+def signatures(u: np.ndarray, kind: np.ndarray, percent: int, combine_to: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of one set, given its shingles' classes: hashes, and whether they come from the frequent class.
+    Shingles that no other set holds fill the front of the prefix and are not emitted."""
     n = len(u)
+    none = np.zeros(0, np.uint64), np.zeros(0, bool)
     if n < 2:  # a one-shingle set links only with its equal
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    common = W.member((u >> np.uint64(24)) & np.uint64(0xFFFFFFFF), frequent)
-    rare, often = u[~common], u[common]
+        return none
     p1 = n - ceil_share(n, percent) + 1
-    out, kind = [rare[:p1]], [np.zeros(min(p1, len(rare)), bool)]
-    if len(rare) < p1:
+    alone = int((kind == 0).sum())
+    if alone >= p1:
+        return none
+    rare, often = u[kind == 1][:p1 - alone], u[kind == 2]
+    out, frequent = [rare], [np.zeros(len(rare), bool)]
+    if alone + len(rare) < p1:
+        before = alone + len(rare)
         if n <= combine_to:
-            f = often[:min(p1 + 1, n) - len(rare)]
+            f = often[:min(p1 + 1, n) - before]
             i, j = np.triu_indices(len(f), 1)
             out.append(W.mix(f[i] * np.uint64(0xA24BAED4963EE407) + f[j]))
-            kind.append(np.ones(len(i), bool))
+            frequent.append(np.ones(len(i), bool))
         if 100 * n > percent * combine_to:
-            f = often[:p1 - len(rare)]
+            f = often[:p1 - before]
             out.append(f)
-            kind.append(np.ones(len(f), bool))
-    return np.concatenate(out), np.concatenate(kind)
+            frequent.append(np.ones(len(f), bool))
+    return np.concatenate(out), np.concatenate(frequent)
 
 
 _PAIR = np.dtype([("sig", np.uint64), ("v", np.int64)])
 
 
 def shared_signatures(docs: DataFrame, text: str, k: int, percent: int, combine_to: int,
-                      frequent: np.ndarray) -> DataFrame:
+                      classes: Classes) -> DataFrame:
     """(sig, v): signatures that at least two different sets hold. Those of the frequent class may be held by
     any share of all documents, so they are dealt by their holder and kept without a count."""
     parts = parts_of(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
+    held = docs.sparkSession.sparkContext.broadcast(classes)
 
     def make(batches):
         for v, u in _distinct_sets(batches, text, k):
-            sig, often = signatures(u, held.value, percent, combine_to)
+            sig, often = signatures(u, held.value.of(u), percent, combine_to)
             rec = np.empty(len(sig), _PAIR)
             rec["sig"], rec["v"] = sig, v
             deal = np.where(often, W.mix(np.array([v]).view(np.uint64)), sig) >> np.uint64(33)
             yield (deal % np.uint64(parts)).astype(np.int64) + np.where(often, parts, 0), rec
 
     def keep(batches):
-        for p, rec in _gathered(batches, _PAIR).items():
+        for p, rec in _gathered(batches, lambda b: np.frombuffer(b, _PAIR)).items():
             rec = np.unique(rec)
             if p < parts:
                 same = rec["sig"][1:] == rec["sig"][:-1]
                 rec = rec[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
             yield pa.RecordBatch.from_arrays([pa.array(rec["sig"].view(np.int64)), pa.array(rec["v"])], ["sig", "v"])
 
-    return _blobs(docs.select(text), 2 * parts, make).mapInArrow(keep, "sig long, v long")
+    return (_blobs(docs.select(text), 2 * parts, make, lambda x: x.tobytes())
+            .mapInArrow(keep, "sig long, v long"))
 
 
 def _bloom(values: DataFrame) -> np.ndarray:
@@ -202,6 +247,10 @@ def _xxhash_long(v: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _coded(u: np.ndarray) -> bytes:
+    return W.pack(u >> np.uint64(64 - 8 * WIDTH), WIDTH)
+
+
 def _wanted_sets(docs: DataFrame, text: str, k: int, vertices: DataFrame) -> DataFrame:
     """(v, n, u): the sets of the given vertices, once each. The Bloom filter only saves shuffling the others."""
     held = docs.sparkSession.sparkContext.broadcast(_bloom(vertices))
@@ -214,7 +263,7 @@ def _wanted_sets(docs: DataFrame, text: str, k: int, vertices: DataFrame) -> Dat
             ok = (held.value.view(np.uint64)[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
             keep = np.flatnonzero(ok)
             yield pa.RecordBatch.from_arrays([pa.array(v[keep]), pa.array([len(got[i][1]) for i in keep], pa.int32()),
-                                              W.binary([got[i][1].tobytes() for i in keep])], ["v", "n", "u"])
+                                              W.binary([_coded(got[i][1]) for i in keep])], ["v", "n", "u"])
 
     got = docs.select(text).mapInArrow(task, "v long, n int, u binary")
     return got.groupBy("v").agg(F.min(F.struct("n", "u")).alias("s")).select("v", "s.n", "s.u")
@@ -226,7 +275,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             ok = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = W.unpack(x.as_py(), WIDTH), W.unpack(y.as_py(), WIDTH)
                 if len(x) > len(y):
                     x, y = y, x
                 both = int(W.member(x, y).sum())
@@ -241,7 +290,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80,
-                    combine_to: int = 160) -> DataFrame:
+                    combine_to: int = 160, frequent_from: int | None = None) -> DataFrame:
     """One row per row of ``docs``: (id_col, n_shingles, component_id).
 
     ``component_id`` is the smallest id reachable by links, itself included. A null or word-free text has an empty
@@ -252,15 +301,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), text)
     meta = written(_meta(docs, id_col, text, k), "sets")
     total = meta.agg(F.sum("n")).first()[0] or 0
-    frequent = frequent_shingles(docs, text, k, int(total))
-    live = written(shared_signatures(docs, text, k, percent, combine_to, frequent), "signatures")
+    classes = shingle_classes(docs, text, k, int(total), frequent_from)
+    live = written(shared_signatures(docs, text, k, percent, combine_to, classes), "signatures")
     sets = written(_wanted_sets(docs, text, k, live.select("v").distinct()), "members")
 
+    # each member with the smallest one of its signatures, the most often shared one first
     low = live.groupBy("sig").agg(F.min("v").alias("b"))
-    star = live.join(low, "sig").where("v <> b").select(F.col("v").alias("a"), "b").distinct()
-    edges = written(_linked(star, sets, percent), "links")
+    star = written(live.join(low, "sig").where("v <> b").groupBy(F.col("v").alias("a"), "b")
+                   .agg(F.count("*").alias("shared")), "star")
+    first = star.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    edges = written(_linked(first, sets, percent), "links")
     label = components(edges)
 
+    la, lb = label.select(F.col("v").alias("a"), F.col("label").alias("la")), label.select(
+        F.col("v").alias("b"), F.col("label").alias("lb"))
+    apart = F.coalesce("la", "a") != F.coalesce("lb", "b")
+    second = (star.join(first, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").where(apart)
+              .select("a", "b"))
+    more = written(_linked(second, sets, percent), "links")
+    if not more.isEmpty():
+        edges = edges.union(more)
+        label = components(edges)
+
     # members of one signature that are not in one component yet
     part = written(live.join(label, "v", "left").select("sig", "v", F.coalesce("label", "v").alias("label")), "open")
     mixed = part.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("sig")
@@ -271,9 +333,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                                    & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
             .select("a", "b").distinct())
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(_linked(rest.join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
-    if not more.isEmpty():
-        label = components(edges.union(more))
+    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        more = written(_linked(rest, sets, percent), "links")
+        if not more.isEmpty():
+            label = components(edges.union(more))
 
     named = (meta.where("n > 0").groupBy("v").agg(F.min("id").alias("id")).join(label, "v", "left")
              .select("v", "id", F.coalesce("label", "v").alias("label")))

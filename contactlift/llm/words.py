@@ -139,3 +139,17 @@ def split_by(part: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
 
 def binary(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
+
+
+def pack(x: np.ndarray, width: int) -> bytes:
+    """Sorted numbers below 2**(8 * width) as the byte planes of their differences (the high planes, mostly zero,
+    then cost almost nothing in a compressed shuffle)."""
+    d = np.diff(x.astype(np.uint64), prepend=np.uint64(0)).astype("<u8")
+    return d.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpack(b: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(b, np.uint8).reshape(width, -1)
+    d = np.zeros((planes.shape[1], 8), np.uint8)
+    d[:, :width] = planes.T
+    return np.cumsum(d.view("<u8").ravel(), dtype=np.uint64)
