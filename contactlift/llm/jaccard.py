@@ -15,7 +15,7 @@ frequent class.
 The class only steers the cost: any class function gives the same links. Shingles that no other set holds are a
 third class before the rare one; they fill the front of the prefixes, can't be shared and are not indexed. A
 shingle is frequent when more than ``max(32, shingles of the corpus / 2**21)`` sets hold it, so there are at most
-2**21 frequent ones: 16 MB to broadcast at every corpus size, besides a bitmap of at most 64 MB. Equal sets are one
+2**21 frequent ones: 16 MB to broadcast at every corpus size, besides a bitmap of at most 16 MB. Equal sets are one
 vertex.
 
 Members of a signature are compared with its smallest member first (a star, not all pairs). Once linked
@@ -29,18 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactlift.llm import words as W
 from contactlift.llm.store import components, parts_of, written
 
 FREQUENT_MAX = 1 << 21
-BITMAP_MAX = 1 << 29
+BITMAP_MAX = 1 << 27
 BLOOM_BITS = 1 << 27
 # Sets are compared by the first 6 bytes of their shingles' hashes: two unequal shingles of a pair of sets of n
 # shingles look equal with a chance of n * n / 2**48.
 WIDTH = 6
+MARKS = 8
 
 
 def ceil_share(n: int, percent: int) -> int:
@@ -193,21 +194,23 @@ def signatures(u: np.ndarray, kind: np.ndarray, percent: int, combine_to: int) -
     return np.concatenate(out), np.concatenate(frequent)
 
 
-_PAIR = np.dtype([("sig", np.uint64), ("v", np.int64)])
+_PAIR = np.dtype([("sig", np.uint64), ("v", np.int64), ("own", np.int32), ("n", np.int32)])
 
 
 def shared_signatures(docs: DataFrame, text: str, k: int, percent: int, combine_to: int,
                       classes: Classes) -> DataFrame:
-    """(sig, v): signatures that at least two different sets hold. Those of the frequent class may be held by
-    any share of all documents, so they are dealt by their holder and kept without a count."""
+    """(sig, v, own, n): signatures that at least two different sets hold, their sets' sizes and how many of their
+    shingles no other set holds. Signatures of the frequent class may be held by any share of all documents, so they
+    are dealt by their holder and kept without a count."""
     parts = parts_of(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(classes)
 
     def make(batches):
         for v, u in _distinct_sets(batches, text, k):
-            sig, often = signatures(u, held.value.of(u), percent, combine_to)
+            kind = held.value.of(u)
+            sig, often = signatures(u, kind, percent, combine_to)
             rec = np.empty(len(sig), _PAIR)
-            rec["sig"], rec["v"] = sig, v
+            rec["sig"], rec["v"], rec["own"], rec["n"] = sig, v, (kind == 0).sum(), len(u)
             deal = np.where(often, W.mix(np.array([v]).view(np.uint64)), sig) >> np.uint64(33)
             yield (deal % np.uint64(parts)).astype(np.int64) + np.where(often, parts, 0), rec
 
@@ -217,10 +220,12 @@ def shared_signatures(docs: DataFrame, text: str, k: int, percent: int, combine_
             if p < parts:
                 same = rec["sig"][1:] == rec["sig"][:-1]
                 rec = rec[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-            yield pa.RecordBatch.from_arrays([pa.array(rec["sig"].view(np.int64)), pa.array(rec["v"])], ["sig", "v"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.ascontiguousarray(rec["sig"]).view(np.int64)), *(pa.array(rec[c]) for c in ("v", "own", "n"))],
+                ["sig", "v", "own", "n"])
 
     return (_blobs(docs.select(text), 2 * parts, make, lambda x: x.tobytes())
-            .mapInArrow(keep, "sig long, v long"))
+            .mapInArrow(keep, "sig long, v long, own int, n int"))
 
 
 def _bloom(values: DataFrame) -> np.ndarray:
@@ -251,6 +256,13 @@ def _coded(u: np.ndarray) -> bytes:
     return W.pack(u >> np.uint64(64 - 8 * WIDTH), WIDTH)
 
 
+def _marks(u: np.ndarray) -> np.ndarray:
+    """A bitmap with a bit for each shingle. Two sets differ in at least as many shingles as their bitmaps in bits."""
+    bits = np.zeros(64 * MARKS, bool)
+    bits[(u & np.uint64(64 * MARKS - 1)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def _wanted_sets(docs: DataFrame, text: str, k: int, vertices: DataFrame) -> DataFrame:
     """(v, n, u): the sets of the given vertices, once each. The Bloom filter only saves shuffling the others."""
     held = docs.sparkSession.sparkContext.broadcast(_bloom(vertices))
@@ -262,11 +274,22 @@ def _wanted_sets(docs: DataFrame, text: str, k: int, vertices: DataFrame) -> Dat
             at = _xxhash_long(v) & np.uint64(BLOOM_BITS - 1)
             ok = (held.value.view(np.uint64)[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
             keep = np.flatnonzero(ok)
-            yield pa.RecordBatch.from_arrays([pa.array(v[keep]), pa.array([len(got[i][1]) for i in keep], pa.int32()),
-                                              W.binary([_coded(got[i][1]) for i in keep])], ["v", "n", "u"])
+            marks = np.stack([_marks(got[i][1]) for i in keep] or [np.zeros(MARKS, np.int64)])[:len(keep)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v[keep]), pa.array([len(got[i][1]) for i in keep], pa.int32()),
+                 W.binary([_coded(got[i][1]) for i in keep]),
+                 *(pa.array(np.ascontiguousarray(marks[:, j])) for j in range(MARKS))], names)
+
+    names = ["v", "n", "u", *(f"m{j}" for j in range(MARKS))]
+    kinds = ["long", "int", "binary"] + ["long"] * MARKS
+    got = docs.select(text).mapInArrow(task, ", ".join(map(" ".join, zip(names, kinds))))
+    return got.groupBy("v").agg(F.min(F.struct(*names[1:])).alias("s")).select("v", "s.*")
+
 
-    got = docs.select(text).mapInArrow(task, "v long, n int, u binary")
-    return got.groupBy("v").agg(F.min(F.struct("n", "u")).alias("s")).select("v", "s.n", "s.u")
+def _possible(percent: int, n1: str, own1: str, n2: str, own2: str) -> Column:
+    """Whether two sets can reach the similarity, given their sizes and how many shingles no other set holds."""
+    both = F.least(F.col(n1) - F.col(own1), F.col(n2) - F.col(own2)).cast("long")
+    return 100 * both >= percent * (F.col(n1) + F.col(n2) - both)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -305,10 +328,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     live = written(shared_signatures(docs, text, k, percent, combine_to, classes), "signatures")
     sets = written(_wanted_sets(docs, text, k, live.select("v").distinct()), "members")
 
-    # each member with the smallest one of its signatures, the most often shared one first
-    low = live.groupBy("sig").agg(F.min("v").alias("b"))
-    star = written(live.join(low, "sig").where("v <> b").groupBy(F.col("v").alias("a"), "b")
-                   .agg(F.count("*").alias("shared")), "star")
+    # each member with the one of its signatures that has the smallest share of shingles of its own (the text that
+    # the others were made from, if it is there), the most often shared one first
+    low = (live.groupBy("sig").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("r"), "v", "own", "n")).alias("c"))
+           .select("sig", F.col("c.v").alias("b"), F.col("c.own").alias("ob"), F.col("c.n").alias("nb")))
+    star = written(live.join(low, "sig").where(F.col("v") != F.col("b")).where(_possible(percent, "n", "own", "nb", "ob"))
+                   .groupBy(F.col("v").alias("a"), "b").agg(F.count("*").alias("shared")), "star")
     first = star.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     edges = written(_linked(first, sets, percent), "links")
     label = components(edges)
@@ -324,13 +349,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         label = components(edges)
 
     # members of one signature that are not in one component yet
-    part = written(live.join(label, "v", "left").select("sig", "v", F.coalesce("label", "v").alias("label")), "open")
+    part = live.join(label, "v", "left").select("sig", "v", "own", "n", F.coalesce("label", "v").alias("label"))
+    part = written(part.where(_possible(percent, "n", "own", "n", "own")), "open")
     mixed = part.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("sig")
-    part = part.join(mixed, "sig").join(sets.select("v", "n"), "v")
-    x = part.select("sig", F.col("v").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    y = part.select("sig", F.col("v").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+    marks = [f"m{j}" for j in range(MARKS)]
+    part = part.join(mixed, "sig").join(sets.select("v", *marks), "v")
+    cols = ["v", "label", "n", "own", *marks]
+    x = part.select("sig", *(F.col(c).alias(d) for c, d in zip(cols, ["a", "la", "na", "oa", *(f"x{j}" for j in range(MARKS))])))
+    y = part.select("sig", *(F.col(c).alias(d) for c, d in zip(cols, ["b", "lb", "nb", "ob", *(f"y{j}" for j in range(MARKS))])))
+    differ = sum((F.bit_count(F.col(f"x{j}").bitwiseXOR(F.col(f"y{j}"))) for j in range(MARKS)), F.lit(0))
+    near = 100 * (F.col("na") + F.col("nb") - differ) >= percent * (F.col("na") + F.col("nb") + differ)
     rest = (x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
-                                   & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+                                   & _possible(percent, "na", "oa", "nb", "ob") & near)
             .select("a", "b").distinct())
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(rest.join(tried, ["a", "b"], "left_anti"), "rest")
