@@ -19,6 +19,29 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), weights=[5, 2, 1], share=1.0, most=3)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contactlift.llm.decontam import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# The rules of the query, and hosts that its blocklist names.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+URL_BLOCKLIST = ["spam-farm.example.org/", "adult-x.example.com/"]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contactlift.llm.urlfilter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, URL_BLOCKLIST)
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contactlift.llm.pii import digest_columns, personal_data
+
+    return digest_columns(personal_data(table(spark, sf_dir, "documents")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contactlift.llm.quality import quality
 
@@ -31,7 +54,14 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op1_mix_sources, op8_quality_rules, op9_near_duplicates]
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contactlift.llm.chains import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+_QUERIES = [op1_mix_sources, op2_decontamination, op3_url_filter, op5_personal_data, op8_quality_rules,
+            op9_near_duplicates, op10_repeated_passages]
 
 
 def _query(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
