@@ -42,6 +42,12 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(personal_data(table(spark, sf_dir, "documents")))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contactlift.llm.lm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contactlift.llm.quality import quality
 
@@ -60,8 +66,8 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op1_mix_sources, op2_decontamination, op3_url_filter, op5_personal_data, op8_quality_rules,
-            op9_near_duplicates, op10_repeated_passages]
+_QUERIES = [op1_mix_sources, op2_decontamination, op3_url_filter, op5_personal_data, op7_lm_scores,
+            op8_quality_rules, op9_near_duplicates, op10_repeated_passages]
 
 
 def _query(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
