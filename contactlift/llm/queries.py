@@ -36,12 +36,24 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, URL_BLOCKLIST)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contactlift.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contactlift.llm.pii import digest_columns, personal_data
 
     return digest_columns(personal_data(table(spark, sf_dir, "documents")))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contactlift.llm.wrapper import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contactlift.llm.lm import score_texts
 
@@ -66,8 +78,8 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op1_mix_sources, op2_decontamination, op3_url_filter, op5_personal_data, op7_lm_scores,
-            op8_quality_rules, op9_near_duplicates, op10_repeated_passages]
+_QUERIES = [op1_mix_sources, op2_decontamination, op3_url_filter, op4_license_scan, op5_personal_data,
+            op6_main_text, op7_lm_scores, op8_quality_rules, op9_near_duplicates, op10_repeated_passages]
 
 
 def _query(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
