@@ -376,3 +376,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     out = meta.join(to.withColumn("some", F.lit(True)), (meta["v"] == to["v"]) & (meta["n"] > 0), "left")
     return out.select(meta["id"].alias(id_col), meta["n"].alias("n_shingles"),
                       F.when(F.col("some"), F.col("component_id")).otherwise(meta["id"]).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs``, all columns, with one row of every group of linked or equal documents: the one with the smallest id (null
+    last; the first read of equal ids). Rows with word-free texts stay. ``docs`` must be a stored table: rows are numbered."""
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    group = near_duplicates(rows, "_row", text, k, percent)
+    named = rows.select("_row", F.col(id_col).alias("_id")).join(group, "_row")
+    keep = (named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("m"))
+            .select(F.col("m._row").alias("_row")))
+    return rows.join(keep, "_row", "left_semi").drop("_row")

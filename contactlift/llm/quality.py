@@ -21,8 +21,10 @@ COMMON_WORDS = {
 }
 ANY_WORDS = sorted({w for words in COMMON_WORDS.values() for w in words})
 SPACES = r"[\x20\x09-\x0D]+"
-MAX_CHAR_DISTANCE = 0.35
-MAX_WORD_DISTANCE = 0.6
+# A document is too far from its language if its characters are, or if its words are and its characters nearly so.
+MAX_CHAR_DISTANCE = 0.28
+MAX_WORD_DISTANCE = 0.275
+MAX_CHAR_WITH_WORD = 0.13
 
 
 def _quoted(words: list[str]) -> str:
@@ -35,7 +37,7 @@ def _without(pattern: str) -> Column:
 
 def features(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang",
              key: Column | None = None) -> DataFrame:
-    """Counts and histograms per row. A generator between the steps keeps Catalyst from inlining the word array
+    """Counts and histograms per row, and ``key`` if one is given. A generator between the steps keeps Catalyst from inlining the word array
     into every use (a plain projection would be collapsed and the text split again for each word)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang).cast("string").alias("lang"),
                        F.coalesce(F.col(text), F.lit("")).alias("t"), *([] if key is None else [key.alias("key")]))
@@ -90,31 +92,51 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def references(rows: DataFrame, min_words: int) -> DataFrame:
+    """Mean histograms by language (``of``), of the rows that pass the count rules."""
+    def mean(c: str, n: int) -> Column:
+        return F.array(*[F.avg(F.get(c, F.lit(i))) for i in range(n)])
+
+    widest = max(map(len, COMMON_WORDS.values())) + 1
+    return (rows.where(~base_failed() & (F.col("n_words") >= min_words)).groupBy(F.col("lang").alias("of"))
+            .agg(F.count("*").alias("docs"), mean("p_char", 7).alias("q_char"), mean("p_word", widest).alias("q_word"))
+            .withColumn("q_word", F.filter("q_word", lambda x: x.isNotNull())))
+
+
+def judged(rows: DataFrame, ref: DataFrame, min_words: int, min_docs: int, max_char: float, max_word: float,
+           max_char_with_word: float) -> DataFrame:
+    """``rows`` with base_failed, char_distance, word_distance and kept."""
+    out = rows.join(ref, F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("base_failed", base_failed())
+    ok = (F.col("n_words") >= min_words) & (F.col("docs") >= min_docs)
+    out = out.select("*", F.when(ok, js_distance("p_char", "q_char")).alias("char_distance"),
+                     F.when(ok, js_distance("p_word", "q_word")).alias("word_distance"))
+    far = (F.col("char_distance") > max_char) | ((F.col("word_distance") > max_word)
+                                                 & (F.col("char_distance") > max_char_with_word))
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
+
+
 def quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", min_words: int = 50,
             min_docs: int = 20, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE,
-            key: Column | None = None) -> DataFrame:
+            max_char_with_word: float = MAX_CHAR_WITH_WORD) -> DataFrame:
     """One row per row of ``docs``: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    kept, char_distance, word_distance (null where not judged) and ``key`` if one is given.
+    kept, char_distance, word_distance (null where not judged).
 
     A null or word-free text has no words and fails. Documents with a null or unknown language are compared with
     the mean of their own ``lang`` value too (null is a group of its own), with one common-word bin. Equal rows get
     equal results; a null id is allowed; extra columns are ignored; an empty table gives an empty result.
     """
-    rows = written(features(docs, id_col, text, lang, key).withColumn("base_failed", base_failed()), "quality")
+    rows = written(features(docs, id_col, text, lang), "quality")
+    out = judged(rows, written(references(rows, min_words), "references"), min_words, min_docs, max_char, max_word,
+                 max_char_with_word)
+    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                      "base_failed", "kept", "char_distance", "word_distance")
 
-    def mean(c: str, n: int) -> Column:
-        return F.array(*[F.avg(F.get(c, F.lit(i))) for i in range(n)])
 
-    widest = max(map(len, COMMON_WORDS.values())) + 1
-    ref = (rows.where(~F.col("base_failed") & (F.col("n_words") >= min_words)).groupBy(F.col("lang").alias("of"))
-           .agg(F.count("*").alias("docs"), mean("p_char", 7).alias("q_char"), mean("p_word", widest).alias("q_word"))
-           .withColumn("q_word", F.filter("q_word", lambda x: x.isNotNull())))
-    out = rows.join(ref, F.col("lang").eqNullSafe(F.col("of")), "left")
-    judged = (F.col("n_words") >= min_words) & (F.col("docs") >= min_docs)
-    out = out.select("*", F.when(judged, js_distance("p_char", "q_char")).alias("char_distance"),
-                     F.when(judged, js_distance("p_word", "q_word")).alias("word_distance"))
-    far = (F.coalesce(F.col("char_distance") > max_char, F.lit(False))
-           | F.coalesce(F.col("word_distance") > max_word, F.lit(False)))
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                      "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "char_distance", "word_distance",
-                      *([] if key is None else ["key"]))
+def kept_documents(docs: DataFrame, text: str = "text", lang: str = "lang", min_words: int = 50, min_docs: int = 20,
+                   max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE,
+                   max_char_with_word: float = MAX_CHAR_WITH_WORD) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``quality`` keeps."""
+    ref = written(references(features(docs, text, text, lang), min_words), "references")
+    rows = features(docs, text, text, lang, key=F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    out = judged(rows, ref, min_words, min_docs, max_char, max_word, max_char_with_word)
+    return out.where("kept").select("key.*")
