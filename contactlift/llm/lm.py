@@ -30,10 +30,11 @@ END = np.uint64(0x5EED0E0D0C0B0A09)  # the end token, also the context of a text
 LEAST_COUNT = 8
 KEPT_SHARE = 2.0**-20
 FOLDS, TEST_FOLD, TUNE_FOLD = 7, 2, 3
-BLOCK_TOKENS = 1 << 21  # tokens and documents of one block
+BLOCK_TOKENS = 1 << 20  # tokens and documents of one block
 BLOCK_DOCS = 1 << 15
-PART_TOKENS = 4_000_000
+PART_TOKENS = 3_000_000
 MIN_PARTS = 32
+SUB_PARTS = 4  # a part is worked off in so many pieces
 _WORD = np.dtype([("w", np.uint64), ("c", np.uint32), ("d", np.uint32)])
 _EVENT = np.dtype([("w", np.uint64), ("ctx", np.uint32), ("doc", np.uint16), ("m", np.uint32)])
 _SUM = np.dtype([("doc", np.uint16), ("known", np.uint32), ("base", np.float64), ("score", np.float64)])
@@ -158,7 +159,7 @@ def _events(docs: DataFrame, id_col: str, text: str, model, parts: int) -> DataF
             ctx[last[:-1] + 1] = start
             doc = np.repeat(number, n)
             key = W.mix(tok + ctx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            deal = ((np.where(row >= 0, key, tok) >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
+            deal = ((np.where(row >= 0, key, tok) >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)  # as _deal
             o = np.lexsort((doc, key))
             same = np.concatenate([[True], (key[o][1:] != key[o][:-1]) | (doc[o][1:] != doc[o][:-1])])
             cut = np.flatnonzero(same)
@@ -176,26 +177,41 @@ def _events(docs: DataFrame, id_col: str, text: str, model, parts: int) -> DataF
                  W.binary([_planes(rec[x]) for _, x in got] + [table])], ["part", "block", "bounds", "blob"])
 
     return (docs.mapInArrow(task, "part int, block long, bounds binary, blob binary")
-            .repartition(min(parts, max(MIN_PARTS, parts_of(docs.sparkSession))), "part"))
+            .repartitionById(parts, F.pmod("part", F.lit(parts)).cast("int")))
 
 
-def _parts(batches, parts: int, extra=None):
-    """Part by part: (blocks, bounds, records, block number of each record, extra value); others are passed on as rows."""
-    got: dict[int, list] = {}
+def _deal(m: Model, w: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    """The number that an event is dealt by: of its token, or of token and context for the frequent tokens."""
+    key = W.mix(w + ctx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.where(m.find(w) >= 0, key, w)
+
+
+def _pieces(batches, parts: int, m: Model, extra=None):
+    """The one part of a task in pieces: (blocks, records, block number of each record, document group, extra value). Rows of
+    documents are passed on."""
+    rows, value = [], None
     for b in batches:
-        for r in b.to_pylist():
-            if r["part"] < parts:
-                got.setdefault(r["part"], []).append(
-                    (r["block"], np.frombuffer(r["bounds"], np.int32), _records(r["blob"], _EVENT), r.get(extra)))
-            elif extra:
-                yield r
-    for p in sorted(got):
-        rows = got.pop(p)
-        rec = np.concatenate([x[2] for x in rows])
-        of = np.repeat(np.arange(len(rows)), [len(x[2]) for x in rows])
-        bounds = np.array([x[1] for x in rows])
-        group = (rec["doc"] >= bounds[of, 0]).astype(np.int8) + (rec["doc"] >= bounds[of, 1])
-        yield [x[0] for x in rows], rec, of, group, rows[0][3]
+        for i, p in enumerate(b.column("part").to_pylist()):
+            block, bounds, blob = (b.column(c)[i].as_py() for c in ("block", "bounds", "blob"))
+            if p >= parts:
+                if extra:
+                    yield block, blob
+                continue
+            if extra:
+                value = b.column(extra)[i].as_py()
+            rows.append((block, np.frombuffer(bounds, np.int32), _records(blob, _EVENT)))
+    if not rows:
+        return
+    rec = np.concatenate([x[2] for x in rows])
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x[2]) for x in rows])
+    bounds, blocks = np.array([x[1] for x in rows]), [x[0] for x in rows]
+    del rows
+    piece = ((_deal(m, rec["w"], rec["ctx"]) >> np.uint64(8)) % np.uint64(SUB_PARTS)).astype(np.int8)
+    for p in range(SUB_PARTS):
+        i = np.flatnonzero(piece == p)
+        r, o = rec[i], of[i]
+        group = (r["doc"] >= bounds[o, 0]).astype(np.int8) + (r["doc"] >= bounds[o, 1])
+        yield blocks, r, o, group, value
 
 
 def _counts(m: Model, rec: np.ndarray, group: np.ndarray):
@@ -214,6 +230,11 @@ def _counts(m: Model, rec: np.ndarray, group: np.ndarray):
     return c1, d1, c2, d2
 
 
+def _by_document(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    u, inverse = np.unique(key, return_inverse=True)
+    return (u, *(np.bincount(inverse, weights=z, minlength=len(u)) for z in values))
+
+
 def _ratio(x: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
         return np.where(x > 0, np.rint(_STEP * np.log10(np.maximum(x, 1e-300))), -9999).astype(np.int32)
@@ -255,7 +276,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     def held_out(batches):
         m = model.value
-        for _, rec, _, group, _ in _parts(batches, parts):
+        for _, rec, _, group, _ in _pieces(batches, parts, m):
             c1, d1, c2, d2 = _counts(m, rec, group)
             i = np.flatnonzero(group == 1)
             ctx = rec["ctx"][i]
@@ -277,9 +298,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     def scored(batches):
         m = model.value
-        for x in _parts(batches, parts, "mix"):
-            if isinstance(x, dict):
-                yield pa.RecordBatch.from_arrays([pa.array([x["block"]], pa.int64()), pa.array([True]), W.binary([x["blob"]])],
+        held, blocks = [], []
+        for x in _pieces(batches, parts, m, "mix"):
+            if len(x) == 2:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0]], pa.int64()), pa.array([True]), W.binary([x[1]])],
                                                  ["block", "table", "blob"])
                 continue
             blocks, rec, of, group, mix = x
@@ -289,14 +311,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
             c1, _, c2, _ = _counts(m, rec, group)
             by = lam[m.bucket[rec["ctx"]]]
             p = by[:, 0] * c2 / np.maximum(m.ctx_c[rec["ctx"]], 1) + by[:, 1] * c1 / max(m.n, 1) + by[:, 2] / (m.v + 1)
-            score = rec["m"] * np.log10(p)
-            base = rec["m"] * np.log10((c1 + 1) / (m.n + m.v + 1))
-            known = rec["m"] * (c1 > 0)
-            key = of.astype(np.int64) * 65536 + rec["doc"]
-            u, inverse = np.unique(key, return_inverse=True)
+            held.append(_by_document(of.astype(np.int64) * 65536 + rec["doc"], rec["m"] * (c1 > 0),
+                                     rec["m"] * np.log10((c1 + 1) / (m.n + m.v + 1)), rec["m"] * np.log10(p)))
+        if held:
+            u, known, base, score = _by_document(*(np.concatenate(z) for z in zip(*held, strict=True)))
             out = np.empty(len(u), _SUM)
-            out["doc"] = u % 65536
-            out["known"], out["base"], out["score"] = (np.bincount(inverse, weights=z, minlength=len(u)) for z in (known, base, score))
+            out["doc"], out["known"], out["base"], out["score"] = u % 65536, known, base, score
             cut = np.searchsorted(u, np.arange(len(blocks) + 1) * 65536)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(blocks, pa.int64()), pa.array([False] * len(blocks)),
