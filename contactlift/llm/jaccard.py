@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactlift.llm import words as W
-from contactlift.llm.store import components, parts_of, written
+from contactlift.llm.store import components, fresh, parts_of, written
 
 FREQUENT_MAX = 1 << 21
 BITMAP_MAX = 1 << 27
@@ -381,9 +381,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """``docs``, all columns, with one row of every group of linked or equal documents: the one with the smallest id (null
     last; the first read of equal ids). Rows with word-free texts stay. ``docs`` must be a stored table: rows are numbered."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    group = near_duplicates(rows, "_row", text, k, percent)
-    named = rows.select("_row", F.col(id_col).alias("_id")).join(group, "_row")
-    keep = (named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("m"))
-            .select(F.col("m._row").alias("_row")))
-    return rows.join(keep, "_row", "left_semi").drop("_row")
+    row = fresh(docs, "_row")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    group = near_duplicates(rows, row, text, k, percent).select(F.col(row).alias("r"), "component_id")
+    named = rows.select(row, F.col(id_col).alias("i")).join(group, F.col(row) == F.col("r"))
+    keep = (named.groupBy("component_id").agg(F.min(F.struct(F.col("i").isNull().alias("none"), "i", "r")).alias("m"))
+            .select(F.col("m.r").alias(row)))
+    return rows.join(keep, row, "left_semi").drop(row)

@@ -19,6 +19,7 @@ from contactlift.llm.store import written
 WORD = r"[^\x20\x09-\x0D]+"
 # Documents of one source and size are ranked in bins of about this many, so no task ranks a whole hot group.
 BIN_ROWS = 5000
+TABLE = 1 << 16
 
 
 def n_words(text: str = "text") -> Column:
@@ -63,8 +64,9 @@ def targets(sources: DataFrame, weights: list[float], share: float, most: float)
 def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each size to take so that their words come as near to ``budget`` as can be found.
 
-    Equal shares of each size first, then sizes from the largest while the rest exceeds twice the largest size;
-    the knapsack table then covers every sum up to that bound, so its length follows the longest document only.
+    Up to ``TABLE`` words (or twice the largest size, if that is more) the knapsack table covers every sum and the
+    result is the nearest one. A larger budget is first brought down to that bound: by equal shares of each size, then
+    by taking sizes from the largest.
     """
     take = np.zeros(len(sizes), np.int64)
     total = int((sizes * counts).sum())
@@ -72,9 +74,10 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
         return take
     if budget >= total:
         return counts.copy()
-    take = (counts.astype(object) * budget // total).astype(np.int64)
+    bound = max(TABLE, 2 * int(sizes.max()))
+    if budget > bound:
+        take = (counts.astype(object) * budget // total).astype(np.int64)
     rest = budget - int((take * sizes).sum())
-    bound = 2 * int(sizes.max())
     for i in np.argsort(-sizes, kind="stable"):
         if rest <= bound:
             break

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactlift.llm.store import written
+from contactlift.llm.store import fresh, written
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -172,14 +172,15 @@ def redacted(docs: DataFrame, key: str, text: str = "text", **parameters) -> Dat
     """``docs`` with every span of ``text`` replaced by its kind in brackets; overlapping spans count as one. ``key`` is a
     column that differs between rows."""
     spans = personal_data(docs, key, text, **parameters).where(F.size("spans") > 0)
-    cut = spans.select(F.col(key).alias("_key"), F.expr("array_sort(transform(spans, x -> struct(x.start, x.end, x.kind)))").alias("_s"))
-    joined = docs.join(cut, docs[key] == F.col("_key"), "left").drop("_key")
+    k, c = fresh(docs, "_key"), fresh(docs, "_spans")
+    cut = spans.select(F.col(key).alias(k), F.expr("array_sort(transform(spans, x -> struct(x.start, x.end, x.kind)))").alias(c))
+    joined = docs.join(cut, docs[key] == F.col(k), "left").drop(k)
     # fold from the left: text so far, position; a span that begins before the position only moves the position
-    fold = F.expr(f"""aggregate(_s, named_struct('o', '', 'p', 0L),
+    fold = F.expr(f"""aggregate(`{c}`, named_struct('o', '', 'p', 0L),
         (a, x) -> if(x.start >= a.p, named_struct('o', concat(a.o, substring(`{text}`, cast(a.p + 1 AS int), cast(x.start - a.p AS int)),
             '[', upper(x.kind), ']'), 'p', x.end), named_struct('o', a.o, 'p', greatest(a.p, x.end))),
         a -> concat(a.o, substring(`{text}`, cast(a.p + 1 AS int))))""")
-    return joined.withColumn(text, F.when(F.col("_s").isNull(), F.col(text)).otherwise(fold)).drop("_s")
+    return joined.withColumn(text, F.when(F.col(c).isNull(), F.col(text)).otherwise(fold)).drop(c)
 
 
 def digest_columns(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

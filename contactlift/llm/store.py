@@ -24,6 +24,13 @@ def parts_of(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, label): the smallest vertex reachable over ``edges`` (a, b), for each vertex with an edge.
 

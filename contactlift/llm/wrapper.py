@@ -1,6 +1,6 @@
 """HTML extraction by wrapper induction.
 
-For every host two reference pages are drawn by hash. Each page's DOM tree is aligned with the references' trees by
+For every host up to three reference pages are drawn by hash. Each page's DOM tree is aligned with the references' trees by
 simple tree matching (labels are tag, class and id; runs of equal siblings are one list node). Nodes that match a
 reference node of equal content are template; the others are slots. The content slot is the article-like element, or
 else the element, that holds the most text in slots; its text is the page's main text, whole, as lines of the article
@@ -35,6 +35,7 @@ _BOILER = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advert[a-z]+|sponsor(?:ed|s)
                      r"newsletter|subscribe|popup|modal|nav|navbar|navigation|menu|breadcrumbs?|sidebar|comments?|commentlist|"
                      r"disqus|respond|footer|masthead|share|social|related|pagination|skip-link)(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+REFERENCES = 3
 _KEPT_TEMPLATE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 
 
@@ -246,20 +247,24 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[^?#]*?://([^/?#]*)", 1))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("host"))
-    one, two = F.xxhash64(F.lit(1), "id", "url"), F.xxhash64(F.lit(2), "id", "url")
-    drawn = written(rows.where("html IS NOT NULL").groupBy("host").agg(F.min(one).alias("one"), F.min(two).alias("two")), "drawn")
-    refs = (rows.join(drawn.withColumnRenamed("host", "of"), (F.col("host") == F.col("of"))
-                      & ((one == F.col("one")) | (two == F.col("two"))))
-            .groupBy("host").agg(F.max(F.when(one == F.col("one"), F.col("html"))).alias("r1"),
-                                 F.max(F.when(two == F.col("two"), F.col("html"))).alias("r2")))
+    names = [f"r{j}" for j in range(REFERENCES)]
+    draw = {c: F.xxhash64(F.lit(j), "id", "url") for j, c in enumerate(names)}
+    drawn = written(rows.where("html IS NOT NULL").groupBy(F.col("host").alias("of"))
+                    .agg(*[F.min(x).alias(f"{c}_least") for c, x in draw.items()]), "drawn")
+    hit = {c: x == F.col(f"{c}_least") for c, x in draw.items()}
+    some = F.lit(False)
+    for x in hit.values():
+        some = some | x
+    refs = (rows.join(drawn, (F.col("host") == F.col("of")) & some).groupBy("host")
+            .agg(*[F.max(F.when(x, F.col("html"))).alias(c) for c, x in hit.items()]))
     refs = written(refs.withColumnRenamed("host", "of"), "references")
 
     def task(batches):
         for b in batches:
-            text = [main_text(h, [x, y]) for h, x, y in zip(*(b.column(c).to_pylist() for c in ("html", "r1", "r2")), strict=True)]
+            text = [main_text(h, refs) for h, *refs in zip(*(b.column(c).to_pylist() for c in ("html", *names)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(text, pa.string()),
                                               pa.array([len(t) for t in text], pa.int64())], [id_col, "url", "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return rows.join(refs, F.col("host") == F.col("of"), "left").select("id", "url", "html", "r1", "r2").mapInArrow(
+    return rows.join(refs, F.col("host") == F.col("of"), "left").select("id", "url", "html", *names).mapInArrow(
         task, f"`{id_col}` {kind}, url string, text string, n_chars long")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactlift.llm import decontam, jaccard, mixing, pii, quality
-from contactlift.llm.store import ship, written
+from contactlift.llm.store import fresh, ship, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     names = docs.columns
-    out = pii.redacted(docs.withColumn("_row", F.monotonically_increasing_id()), "_row")
+    row = fresh(docs, "_row")
+    out = pii.redacted(docs.withColumn(row, F.monotonically_increasing_id()), row)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in names])
