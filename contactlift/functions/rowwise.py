@@ -102,6 +102,12 @@ def days_to_snapshot_end(month: ColumnLike, date: ColumnLike) -> Column:
     return F.datediff(F.add_months(month_start, 1), d)
 
 
+def present(score: Column | str) -> Column:
+    """A score as a double, NaN as missing: missing scores pass no filter and rank last."""
+    score = F.col(score) if isinstance(score, str) else score
+    return F.nanvl(score.cast("double"), F.lit(None).cast("double"))
+
+
 def hash_key(seed: int | Column, *parts: ColumnLike) -> Column:
     """md5 hex of ``seed:part1:part2...``; the ordering key of every repeatable draw."""
     pieces: list[Column] = [F.lit(str(seed)) if not isinstance(seed, Column) else seed.cast("string")]

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contactlift.functions.rowwise import present
 from contactlift.operators.ranking import running_sums
 
 # Points per contact and the default probability cutoff.
@@ -67,7 +68,7 @@ def cumulative_gain(df: DataFrame, id_col: str = "id", prob: str = "prob", targe
     From the first row with a missing label on, the running profit is missing (as a cumulative
     sum over a missing value is).
     """
-    order = [F.desc_nulls_last(prob), F.asc(id_col)]
+    order = [F.desc_nulls_last(present(prob)), F.asc(id_col)]
     missing = F.when(F.col(target).isNull(), 1).otherwise(0).cast("bigint")
     out = running_sums(df, order, {"gain": points(target), "__missing": missing}, partition_by=by,
                        num_buckets=num_buckets)
@@ -82,7 +83,7 @@ def gain_by_prob(df: DataFrame, prob: str = "prob", target: str = "target", num_
 
 
 def _score_counts(df: DataFrame, prob: str, target: str, num_buckets: int | None) -> DataFrame:
-    per = (df.where(F.col(prob).isNotNull())
+    per = (df.where(present(prob).isNotNull())
            .groupBy(prob)
            .agg(F.sum(F.col(target).cast("bigint")).alias("pos"),
                 F.sum((1 - F.col(target)).cast("bigint")).alias("neg")))
@@ -91,7 +92,7 @@ def _score_counts(df: DataFrame, prob: str, target: str, num_buckets: int | None
 
 
 def roc_auc(df: DataFrame, prob: str = "prob", target: str = "target", num_buckets: int | None = None) -> DataFrame:
-    """Area under the ROC curve, ties handled at distinct scores (trapezoids). One row: auc, n_pos, n_neg."""
+    """Area under the ROC curve, ties handled at distinct scores (trapezoids). One row: auc (NULL when a class is missing), n_pos, n_neg."""
     c = _score_counts(df, prob, target, num_buckets)
     agg = c.agg(
         F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / F.lit(2.0))).alias("area"),
@@ -99,7 +100,7 @@ def roc_auc(df: DataFrame, prob: str = "prob", target: str = "target", num_bucke
         F.sum("neg").alias("n_neg"),
     )
     return agg.select(
-        (F.col("area") / (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auc"),
+        (F.col("area") / F.nullif((F.col("n_pos") * F.col("n_neg")).cast("double"), F.lit(0.0))).alias("auc"),
         F.col("n_pos").cast("bigint").alias("n_pos"),
         F.col("n_neg").cast("bigint").alias("n_neg"),
     )
@@ -111,8 +112,8 @@ def roc_curve(df: DataFrame, prob: str = "prob", target: str = "target", num_buc
     n_pos, n_neg = c.agg(F.sum("pos"), F.sum("neg")).first()  # two numbers reach the driver
     pts = c.select(
         F.col(prob).alias("cutoff"),
-        (F.col("cum_neg") / F.lit(n_neg).cast("bigint")).alias("x"),
-        (F.col("cum_pos") / F.lit(n_pos).cast("bigint")).alias("y"),
+        (F.col("cum_neg") / F.nullif(F.lit(n_neg).cast("bigint"), F.lit(0).cast("bigint"))).alias("x"),
+        (F.col("cum_pos") / F.nullif(F.lit(n_pos).cast("bigint"), F.lit(0).cast("bigint"))).alias("y"),
     )
     origin = df.sparkSession.createDataFrame([(None, 0.0, 0.0)], "cutoff double, x double, y double")
     return pts.unionByName(origin)

@@ -233,7 +233,7 @@ def staged_profit(model: GBTClassificationModel, df: DataFrame, label: str = LAB
             for _, key in keys.iterrows():
                 mask = np.ones(len(pdf), bool)
                 for b in by:
-                    mask &= (pdf[b] == key[b]).to_numpy()
+                    mask &= ((pdf[b] == key[b]) | (pdf[b].isna() & pd.isna(key[b]))).to_numpy(dtype=bool)
                 sums = pts[mask] @ hit[mask]
                 miss = missing[mask].astype(np.int64) @ hit[mask]
                 out = pd.DataFrame({"iter": rounds, "pts": sums.astype(np.int64), "n": int(mask.sum()),

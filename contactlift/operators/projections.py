@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactlift.functions.rowwise import columns_like
+from contactlift.functions.rowwise import columns_like, present
 
 
 def label_from_class(df: DataFrame, class_col: str = "clase", label: str = "clase01", positive: str = "SI") -> DataFrame:
@@ -52,7 +52,7 @@ def blend_scores(left: DataFrame, right: DataFrame, id_col: str = "id", left_pro
 def relative_to_baseline(df: DataFrame, baseline: str, pattern: str, keep: Sequence[str] = ()) -> DataFrame:
     """Every column matching ``pattern`` as a percentage of the ``baseline`` column."""
     cols = columns_like(df.columns, pattern)
-    return df.select(*keep, *[(F.col(c) / F.col(baseline) * F.lit(100.0)).alias(c) for c in cols])
+    return df.select(*keep, *[(F.col(c) / F.nullif(F.col(baseline), F.lit(0)) * F.lit(100.0)).alias(c) for c in cols])
 
 
 def explode_results(df: DataFrame, list_col: str) -> DataFrame:
@@ -61,6 +61,16 @@ def explode_results(df: DataFrame, list_col: str) -> DataFrame:
     return df.select(*others, F.inline(F.col(list_col)))
 
 
+def filter_cutoff_inclusive(df: DataFrame, cutoff: float, prob: str = "prob") -> DataFrame:
+    """Rows with ``prob >= cutoff``; a missing or NaN probability does not pass."""
+    return df.where(present(prob) >= F.lit(cutoff))
+
+
+def filter_cutoff_strict(df: DataFrame, cutoff: float, prob: str = "prob") -> DataFrame:
+    """Rows with ``prob > cutoff``; a missing or NaN probability does not pass."""
+    return df.where(present(prob) > F.lit(cutoff))
+
+
 def head_n(df: DataFrame, n: int, order: Sequence) -> DataFrame:
     """First ``n`` rows after a sort: planned as a top-n (TakeOrderedAndProject), not a full sort."""
     return df.orderBy(*order).limit(n)

@@ -17,8 +17,7 @@ one task. Both are replaced by the same two-level plan:
 ``order`` must be a total order (end with a unique key), as ties would make any running sum
 depend on the engine's row order.
 
-Inputs counted at no more than ``SINGLE_TASK_MAX_ROWS`` rows (e.g. the distinct-score table of a
-ROC curve, or a small labelled set) use a plain window instead: a bounded size in one task.
+One plan for every size: there is no small-input path.
 """
 
 from __future__ import annotations
@@ -28,14 +27,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contactlift.session import broadcast_if_small, estimated_bytes, reliable_checkpoint
+from contactlift.session import reliable_checkpoint, sized
 
 _BUCKET = "__cl_bucket"
-# Inputs up to this many rows (counted first) use a plain window: it is bounded, and cheaper
-# than range partitioning plus a checkpoint. Larger inputs take the distributed plan. Inputs
-# whose plan-size estimate exceeds SINGLE_TASK_MAX_BYTES go there without being counted.
-SINGLE_TASK_MAX_ROWS = 1_000_000
-SINGLE_TASK_MAX_BYTES = 256 * 1024 * 1024
 
 
 def _bucketed(df: DataFrame, partition_by: Sequence[str], order: Sequence[Column], num_buckets: int | None) -> DataFrame:
@@ -53,7 +47,6 @@ def running_sums(
     partition_by: Sequence[str] = (),
     num_buckets: int | None = None,
     totals_out: list | None = None,
-    single_task_max_rows: int | None = None,
 ) -> DataFrame:
     """Add one column per ``values`` entry: its inclusive running sum in ``order`` within ``partition_by``.
 
@@ -61,13 +54,6 @@ def running_sums(
     the small bucket-totals table) are appended to it.
     """
     partition_by = list(partition_by)
-    limit = SINGLE_TASK_MAX_ROWS if single_task_max_rows is None else single_task_max_rows
-    if limit > 0:
-        # metadata first (no scan): a large estimate goes straight to the distributed plan; a small
-        # one is proven by an exact count that reads at most limit + 1 rows per partition
-        est = estimated_bytes(df)
-        if (est is None or est <= SINGLE_TASK_MAX_BYTES) and df.limit(limit + 1).count() <= limit:
-            return _window_sums(df, order, values, partition_by, totals_out)
     vcols = {name: f"__cl_v_{i}" for i, name in enumerate(values)}
     staged = df.withColumns({vcols[name]: col for name, col in values.items()})
     ranged = _bucketed(staged, partition_by, order, num_buckets)
@@ -80,8 +66,7 @@ def running_sums(
         *[F.col(k).alias(okeys[k]) for k in group],
         *[F.coalesce(F.sum(v).over(w_prev), F.lit(0)).alias(f"{v}_off") for v in vcols.values()],
     )
-    # at most buckets + strata rows; counted before it is broadcast
-    offsets = broadcast_if_small(offsets)
+    offsets = sized(offsets)  # at most buckets + strata rows
     if totals_out is not None:
         totals_out.append(totals.groupBy(*partition_by).agg(*[F.sum(v).alias(name) for name, v in vcols.items()]))
 
@@ -99,14 +84,6 @@ def running_sums(
     return out.drop(*drop)
 
 
-def _window_sums(df: DataFrame, order, values, partition_by, totals_out) -> DataFrame:
-    w = Window.partitionBy(*partition_by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = df.withColumns({name: F.sum(col).over(w) for name, col in values.items()})
-    if totals_out is not None:
-        totals_out.append(df.groupBy(*partition_by).agg(*[F.sum(col).alias(name) for name, col in values.items()]))
-    return out
-
-
 def row_numbers(
     df: DataFrame,
     order: Sequence[Column],
@@ -114,12 +91,10 @@ def row_numbers(
     partition_by: Sequence[str] = (),
     num_buckets: int | None = None,
     totals_out: list | None = None,
-    single_task_max_rows: int | None = None,
 ) -> DataFrame:
     """``row_number()`` over ``partition_by`` in ``order``, without one task per stratum.
 
     With ``totals_out`` the stratum sizes (column ``name``) are appended to that list.
     """
-    out = running_sums(df, order, {name: F.lit(1).cast("bigint")}, partition_by, num_buckets, totals_out,
-                       single_task_max_rows)
+    out = running_sums(df, order, {name: F.lit(1).cast("bigint")}, partition_by, num_buckets, totals_out)
     return out

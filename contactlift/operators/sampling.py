@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from contactlift.functions.rowwise import hash_key, hash_uniform
 from contactlift.operators.ranking import row_numbers
-from contactlift.session import broadcast_if_small
+from contactlift.session import sized
 
 # The reference's master seed (used when the split gets seed -1).
 MASTER_SEED = 123457
@@ -47,7 +47,7 @@ def _ranked(df: DataFrame, strata: Sequence[str], id_col: str, seed, num_buckets
                          totals_out=sizes)
     # stratum sizes come from the bucket totals of the checkpointed narrow table
     n = sizes[0].withColumnRenamed("rn", "__n")
-    return _attach(ranked, broadcast_if_small(n), strata)
+    return _attach(ranked, sized(n), strata)
 
 
 def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -103,7 +103,7 @@ def mark_sample(df: DataFrame, fraction: float, strata: Sequence[str] = (), seed
     bounds = ranked.where(F.col("rn") == stratum_quota(F.col("__n"), fraction)).select(
         *strata, F.col("__h").alias("__bh"), F.col(id_col).alias("__bid"))
     keyed = work.withColumn("__h", hash_key(_seed_col(seed), F.col(id_col)))
-    out = _attach(keyed, broadcast_if_small(bounds), strata, how="left")
+    out = _attach(keyed, sized(bounds), strata, how="left")
     inside = (F.col("__bh").isNotNull()
               & ((F.col("__h") < F.col("__bh")) | ((F.col("__h") == F.col("__bh")) & (F.col(id_col) <= F.col("__bid")))))
     return out.withColumn(name, inside).drop("__h", "__bh", "__bid", "__all")
@@ -128,7 +128,7 @@ def sample_with_replacement(df: DataFrame, fraction: float, strata: Sequence[str
              .withColumn("__i", F.col("rn") + F.col("__j") * F.col("__n"))
              .where(F.col("__i") <= k))
     stratum_key = F.concat_ws(":", *[F.coalesce(F.col(s).cast("string"), F.lit("")) for s in strata])
-    pick = F.conv(F.substring(hash_key(_seed_col(seed), stratum_key, F.col("__i")), 1, 8), 16, 10).cast("bigint")
+    pick = F.conv(F.substring(hash_key(_seed_col(seed), stratum_key, F.col("__i")), 1, 15), 16, 10).cast("bigint")
     draws = draws.select(*strata, "__i", (F.lit(1) + pick % F.col("__n")).alias("__pos"))
     picked = _attach(draws, ranked.select(*strata, F.col("rn").alias("__pos"), id_col), [*strata, "__pos"])
     out = picked.select(id_col, "__i").join(df, id_col, "inner")

@@ -405,11 +405,11 @@ def q_explode(spark, sf):
 
 register("filter_cutoff_inclusive", FX.with_views(
     f"select * from f_scored where prob >= {dbl(0.025)}", **scored_views()))(
-    lambda spark, sf: FX.scored(spark, sf).where(F.col("prob") >= F.lit(0.025)))
+    lambda spark, sf: PR.filter_cutoff_inclusive(FX.scored(spark, sf), 0.025))
 
 register("filter_cutoff_strict", FX.with_views(
     f"select * from f_scored where prob > {dbl(0.025)}", **scored_views()))(
-    lambda spark, sf: FX.scored(spark, sf).where(F.col("prob") > F.lit(0.025)))
+    lambda spark, sf: PR.filter_cutoff_strict(FX.scored(spark, sf), 0.025))
 
 register("filter_month", FX.with_views(f"select * from f_snapshot where foto_mes = cast('{MONTH}' as integer)",
                                        **SNAP_VIEW))(
@@ -468,7 +468,7 @@ register("sample_with_replacement", FX.with_views(
         count(*) over (partition by clase) as n from f_cards),
     sizes as (select distinct clase, n from ranked),
     draws as (select clase, n, unnest(range(1, {_sql_quota('n', _REPLACE_FRACTION)} + 1)) as i from sizes),
-    picks as (select clase, i, 1 + (('0x' || substr(md5('{S.MASTER_SEED}:' || coalesce(cast(clase as varchar), '') || ':' || cast(i as varchar)), 1, 8))::bigint % n) as pos from draws)
+    picks as (select clase, i, 1 + (('0x' || substr(md5('{S.MASTER_SEED}:' || coalesce(cast(clase as varchar), '') || ':' || cast(i as varchar)), 1, 15))::bigint % n) as pos from draws)
     select r.* exclude (rn, n) from picks p join ranked r on p.clase is not distinct from r.clase and p.pos = r.rn""",
     **CARDS_VIEW))(
     lambda spark, sf: S.sample_with_replacement(FX.cards(spark, sf), _REPLACE_FRACTION, ["clase"], S.MASTER_SEED))

@@ -12,16 +12,18 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
+from hashlib import md5
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from contactlift.operators import metrics as M
 from contactlift.operators import model as ML
 from contactlift.operators import sampling as S
-from contactlift.operators.projections import feature_columns
 from contactlift.session import reliable_checkpoint, scratch_path
 
 Estimator = Callable[[], GBTClassifier]
@@ -109,12 +111,12 @@ def cv_best_score(log: DataFrame) -> DataFrame:
 def early_stop_rounds(train: DataFrame, features: Sequence[str], estimator: GBTClassifier, k: int = 3,
                       patience: int = 30, seed: int = S.MASTER_SEED, label: str = "clase01",
                       id_col: str = "id_cliente", cutoff: float = M.CUTOFF, relative: bool = False,
-                      parallelism: int | None = None) -> tuple[int, Fitted]:
-    """Best round from a k-fold CV profit log (patience rounds), then a refit on all training rows."""
+                      parallelism: int | None = None, refit_on: DataFrame | None = None) -> tuple[int, Fitted]:
+    """Best round from a k-fold CV profit log (patience rounds), then a refit on all training rows, or on ``refit_on``."""
     log = cv_profit_log(train, features, estimator, k, seed, label, id_col, cutoff, parallelism, relative=relative)
     curve = [(r["iter"], r["test_mean"]) for r in cv_summary(log).collect()]  # one row per round
     best = ML.best_round(curve, patience)
-    refit = fit(train, features, estimator.copy().setMaxIter(best), label)
+    refit = fit(train if refit_on is None else refit_on, features, estimator.copy().setMaxIter(best), label)
     return best, refit
 
 
@@ -123,7 +125,9 @@ def train_score_workflow(df: DataFrame, features: Sequence[str], estimator: GBTC
                          test: DataFrame | None = None, label: str = "clase01", id_col: str = "id_cliente",
                          cutoff: float = M.CUTOFF) -> tuple[Fitted, DataFrame, DataFrame]:
     """Optional split -> train -> predict -> profit. Returns (fitted, predictions, profit row)."""
-    train, hold = split(df) if split else (df, test if test is not None else df)
+    if split is None and test is None:
+        raise ValueError("give a split or a test frame: rows that were trained on are not a test")
+    train, hold = split(df) if split else (df, test)
     f = fit(train, features, estimator, label)
     preds = f.predict(hold, id_col, keep=[label])
     profit = M.profit_score(preds.withColumnRenamed(label, "target"), cutoff)
@@ -135,8 +139,8 @@ def train_score_workflow(df: DataFrame, features: Sequence[str], estimator: GBTC
 class TrialLog:
     """Parquet log of finished (trial, seed) evaluations; a rerun skips finished ones.
 
-    Each evaluation writes its own partition folder ``trial_id=<t>/seed=<s>`` (overwrite), so
-    concurrent evaluations never share a job commit and a repeated one replaces itself.
+    Each evaluation writes its own partition folder ``trial_id=<t>/seed=<s>/run=<key>`` (overwrite; the
+    key stands for its parameters, folds, rounds and features), so concurrent evaluations never share a job commit and a repeated one replaces itself.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
@@ -146,15 +150,18 @@ class TrialLog:
     def finished(self) -> DataFrame | None:
         try:
             return self.spark.read.option("basePath", self.path).parquet(self.path)
-        except Exception:
-            return None
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in (e.getCondition() or ""):
+                return None
+            raise
 
     def pending(self, trials: DataFrame, keys: Sequence[str]) -> DataFrame:
         done = self.finished()
         return trials if done is None else trials.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
-    def record(self, rows: DataFrame, trial_id, seed) -> None:
-        rows.drop("trial_id", "seed").write.mode("overwrite").parquet(f"{self.path}/trial_id={trial_id}/seed={seed}")
+    def record(self, rows: DataFrame, trial_id, seed, key: str = "0") -> None:
+        rows.drop("trial_id", "seed", "run").write.mode("overwrite").parquet(
+            f"{self.path}/trial_id={trial_id}/seed={seed}/run={key}")
 
 
 def trial_evaluation(df: DataFrame, features: Sequence[str], trials: DataFrame, make: Callable[[dict], GBTClassifier],
@@ -167,7 +174,16 @@ def trial_evaluation(df: DataFrame, features: Sequence[str], trials: DataFrame,
     """
     params = [c for c in trials.columns if c != "trial_id"]
     grid = S.cross_seed_rows(trials, seeds)
-    todo = log.pending(grid, ["trial_id", "seed"]).collect()  # trials x seeds: a parameter list
+    wanted = []
+    for row in grid.collect():  # trials x seeds: a parameter list
+        p = row.asDict()
+        est = make({c: p[c] for c in params})
+        what = [sorted((c, repr(p[c])) for c in params), k, sorted(features), label, id_col,
+                sorted((str(x.name), repr(v)) for x, v in est.extractParamMap().items() if x.name != "seed")]
+        wanted.append((p["trial_id"], p["seed"], "r" + md5(repr(what).encode()).hexdigest()[:12]))
+    keys = df.sparkSession.createDataFrame(
+        wanted, StructType([grid.schema["trial_id"], grid.schema["seed"], StructField("run", StringType())]))
+    todo = log.pending(grid.join(keys, ["trial_id", "seed"]), ["trial_id", "seed", "run"]).collect()
 
     def one(row) -> None:
         p = row.asDict()
@@ -175,10 +191,10 @@ def trial_evaluation(df: DataFrame, features: Sequence[str], trials: DataFrame,
         cv = cv_profit_log(df, features, est, k, int(p["seed"]), label, id_col, parallelism=1)
         y = cv_score(cv).select(F.col("top_mean").alias("y"))
         out = y.select(*[F.lit(p[c]).alias(c) for c in params], "y")
-        log.record(out, p["trial_id"], p["seed"])
+        log.record(out, p["trial_id"], p["seed"], p["run"])
 
     parallel_map(one, todo, parallelism)
-    done = log.finished()
+    done = log.finished().join(keys, ["trial_id", "seed", "run"], "left_semi")
     return M.seed_mean(done, ["trial_id", *params], "y")
 
 
@@ -203,7 +219,7 @@ def compare_over_seeds(df: DataFrame, seeds: Sequence[int], variants: dict[str,
 
     long = reliable_checkpoint(_union(parallel_map(one, jobs, parallelism)))  # seeds x variants rows
     base = long.where(F.col("variant") == baseline).select("seed", F.col("profit").alias("__base"))
-    return long.join(base, "seed").withColumn("pct_of_baseline", F.col("profit") / F.col("__base") * 100.0).drop("__base")
+    return long.join(base, "seed").withColumn("pct_of_baseline", F.col("profit") / F.nullif(F.col("__base"), F.lit(0.0)) * 100.0).drop("__base")
 
 
 def cutoff_sweep_experiment(df: DataFrame, features: Sequence[str], estimator: GBTClassifier, seeds: Sequence[int],
@@ -224,8 +240,8 @@ def oof_score_table(df: DataFrame, features: Sequence[str], grid: Sequence[dict]
                     k: int = 5, seed: int = S.MASTER_SEED, undersampling: float = 0.2, inner_folds: int = 3,
                     patience: int = 30, label: str = "clase01", id_col: str = "id_cliente",
                     parallelism: int | None = None) -> DataFrame:
-    """Every parameter set x outer fold: undersample the rest, pick rounds by inner CV, refit,
-    predict the fold; long (id, model_id, prob) pivoted to one column per parameter set."""
+    """Every parameter set x outer fold: undersample the rest, pick rounds by inner CV, refit on the
+    whole rest, predict the fold; long (id, model_id, prob) pivoted to one column per parameter set."""
     folded = S.uniform_sample_column(S.stratified_folds(df, k, seed, [label], id_col), seed)
     folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
     cutoff = (500 / undersampling) / (19500 + 500 / undersampling)
@@ -235,7 +251,8 @@ def oof_score_table(df: DataFrame, features: Sequence[str], grid: Sequence[dict]
         p, j = job
         train = S.undersample_majority(folded, undersampling, fold=j, label=label).drop("fold", "sample")
         _, refit = early_stop_rounds(train, features, make(p), inner_folds, patience, seed, label, id_col,
-                                     cutoff=cutoff, relative=False, parallelism=1)
+                                     cutoff=cutoff, relative=False, parallelism=1,
+                                     refit_on=S.fold_complement(folded, j).drop("fold", "sample"))
         held = folded.where(F.col("fold") == j)
         return refit.predict(held, id_col).withColumn("model_id", F.lit(int(p["id"])))
 
@@ -247,5 +264,3 @@ def oof_score_table(df: DataFrame, features: Sequence[str], grid: Sequence[dict]
     return wide
 
 
-def default_features(df: DataFrame, id_col: str = "id_cliente", label: str = "clase01") -> list[str]:
-    return feature_columns(df, id_col, label)

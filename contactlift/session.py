@@ -1,28 +1,19 @@
-"""Session, checkpoint and broadcast helpers shared by every module."""
+"""Session, checkpoint and small-table helpers shared by every module."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import threading
 import uuid
-from collections import deque
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows above which a side is never broadcast, whatever its byte estimate.
-BROADCAST_MAX_ROWS = 2_000_000
-
 
 def build_session(master: str | None = None, app: str = "contactlift", shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
     """Session for tests and the bench. On a cluster pass nothing and let spark-submit decide."""
     cpus = os.environ.get("BENCH_CPUS", "8")
     builder = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
-        .appName(app)
+        SparkSession.builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         .config("spark.sql.adaptive.enabled", "true")
@@ -34,8 +25,9 @@ def build_session(master: str | None = None, app: str = "contactlift", shuffle_p
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # spark.sql.codegen.maxFields stays at its default: the packs' 270-column rows cannot be
         # split into small enough methods, and per-operator codegen measured as fast
-        .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
     )
+    if master:  # otherwise spark-submit decides the master and the driver's memory
+        builder = builder.master(master).config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -46,7 +38,8 @@ def build_session(master: str | None = None, app: str = "contactlift", shuffle_p
 
 def _is_local(spark: SparkSession) -> bool:
     try:
-        return spark.sparkContext.master.startswith("local")
+        master = spark.sparkContext.master  # the executors of local-cluster[...] are processes of their own
+        return master.startswith("local") and not master.startswith("local-cluster")
     except Exception:  # Spark Connect has no SparkContext
         return False
 
@@ -90,38 +83,12 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df`` (plan metadata, no data read); None when unavailable."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(size if isinstance(size, int) else size.toString())
-    except Exception:  # e.g. Spark Connect: no JVM handle
-        return None
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting it; above the bound the planner keeps a shuffle join.
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back, so the planner knows its bytes.
 
-    Call it on tables whose size is bounded by a parameter (buckets, strata, cutoffs), never on
-    row-level data; the check reads at most ``max_rows + 1`` rows per partition.
+    Small derived tables (bucket offsets, stratum bounds) go through this: Spark broadcasts them below
+    ``spark.sql.autoBroadcastJoinThreshold`` and keeps a shuffle join above, one rule for every size.
     """
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if cached.limit(max_rows + 1).count() > max_rows:  # reads at most max_rows + 1 rows per partition
-        cached.unpersist()
-        return df
-    _remember(cached)
-    return F.broadcast(cached)
-
-
-# Small helper tables stay cached for reuse, but only the most recent few: an older one is
-# unpersisted (recomputed from its lineage if touched again), so a long session does not pile up.
-SMALL_CACHE_SLOTS = 32
-_SMALL_CACHE: deque = deque()
-_SMALL_LOCK = threading.Lock()
-
-
-def _remember(df: DataFrame) -> None:
-    with _SMALL_LOCK:
-        _SMALL_CACHE.append(df)
-        while len(_SMALL_CACHE) > SMALL_CACHE_SLOTS:
-            _SMALL_CACHE.popleft().unpersist()
+    path = scratch_path(df.sparkSession, "sized")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

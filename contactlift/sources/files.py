@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from contactlift.functions.rowwise import days_to_snapshot_end
+from contactlift.functions.rowwise import days_to_snapshot_end, present
 from contactlift.operators.packs import CARD_DATE_COLUMNS
 
 
@@ -117,14 +117,14 @@ def export_ranked_probs(scores: DataFrame, path: str, id_col: str = "id_cliente"
 
     A global sort writes part files in order: reading the parts by name gives the ranking.
     """
-    ranked = scores.select(id_col, prob).orderBy(F.desc_nulls_last(prob), F.asc(id_col))
+    ranked = scores.select(id_col, prob).orderBy(F.desc_nulls_last(present(prob)), F.asc(id_col))
     sink_delimited(ranked, path, header=True, line_sep="\r\n")
 
 
 def target_ids(scores: DataFrame, cutoff: float = 0.025, id_col: str = "id_cliente", prob: str = "prob_positivo",
                ranked: bool = True) -> DataFrame:
     """Ids to contact: strict ``prob > cutoff``; optionally by descending probability."""
-    sel = scores.where(F.col(prob) > F.lit(cutoff))
+    sel = scores.where(present(prob) > F.lit(cutoff))
     if ranked:
         sel = sel.orderBy(F.desc(prob), F.asc(id_col))
     return sel.select(id_col)

@@ -16,7 +16,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from contactlift.operators.packs import apply_pack
-from contactlift.session import scratch_path
 from contactlift.sources.files import dates_to_day_offsets
 
 
@@ -32,14 +31,17 @@ def start_enrichment(spark: SparkSession, source_dir: str, schema: StructType |
                      packs: Sequence[str] = ("std",), month_col: str = "foto_mes",
                      checkpoint: str | None = None, source_format: str = "parquet",
                      max_files_per_trigger: int = 8, available_now: bool = False) -> StreamingQuery:
-    """Start a query that enriches every new snapshot file in ``source_dir`` into ``sink_dir``."""
+    """Start a query that enriches every new snapshot file in ``source_dir`` into ``sink_dir``.
+
+    Without ``checkpoint`` the progress is kept beside the sink, so a restart resumes where it stopped.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
     if source_format == "csv":
         reader = reader.option("sep", "\t").option("header", True).option("nullValue", "")
     stream = reader.format(source_format).load(source_dir)
     enriched = enrich_stream(stream, packs, month_col)
     writer = (enriched.writeStream.format("parquet").option("path", sink_dir)
-              .option("checkpointLocation", checkpoint or scratch_path(spark, "stream"))
+              .option("checkpointLocation", checkpoint or sink_dir.rstrip("/") + "_checkpoint")
               .outputMode("append"))
     if month_col in enriched.columns:
         writer = writer.partitionBy(month_col)

@@ -83,8 +83,13 @@ def test_trial_log_resumes(spark, cards):
     log = T.TrialLog(spark, tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/log")
     first = T.trial_evaluation(cards, feats, trials, make, [7, 8], log, k=2).collect()
     assert {r["trial_id"] for r in first} == {1, 2} and all(r["n_seeds"] == 2 for r in first)
-    grid = S_cross(trials)
-    assert log.pending(grid, ["trial_id", "seed"]).count() == 0
+    assert log.pending(S_cross(trials), ["trial_id", "seed"]).count() == 0
+    # fewer seeds are not averaged with the logged ones, and other parameters are trained anew
+    fewer = T.trial_evaluation(cards, feats, trials, make, [8], log, k=2).collect()
+    assert all(r["n_seeds"] == 1 for r in fewer)
+    other = spark.createDataFrame([(1, 0.5)], "trial_id int, eta double")
+    again = T.trial_evaluation(cards, feats, other, make, [8], log, k=2).collect()
+    assert [(r["trial_id"], r["eta"]) for r in again] == [(1, 0.5)]
 
 
 def S_cross(trials):

@@ -32,16 +32,3 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) > 0
     assert {"id", "prob", "target", "gain", "profit_at_cutoff"} <= set(df.columns)
-
-
-DISTRIBUTED = ["cumulative_gain", "cumulative_gain_ties", "roc_auc", "roc_curve", "stratified_sample",
-               "train_test_split", "stratified_folds", "sample_with_replacement", "rank_within_stratum",
-               "cross_seed_rows"]
-
-
-@pytest.mark.parametrize("name", DISTRIBUTED)
-def test_distributed_path_matches_oracle(spark, con, name, monkeypatch):
-    from contactlift.operators import ranking
-
-    monkeypatch.setattr(ranking, "SINGLE_TASK_MAX_ROWS", 0)
-    test_query_matches_oracle(spark, con, name)

@@ -79,26 +79,38 @@ def test_running_sum_matches_single_task_window(spark, n, buckets):
     from pyspark.sql import Window
     w = Window.partitionBy("k").orderBy("v", "id").rowsBetween(Window.unboundedPreceding, 0)
     want = {r["id"]: r["s"] for r in df.withColumn("s", F.sum("v").over(w)).collect()}
-    for limit in (0, 10**6):  # 0 forces the distributed plan
-        got = running_sums(df, [F.asc("v"), F.asc("id")], {"s": F.col("v")}, ["k"], num_buckets=buckets,
-                           single_task_max_rows=limit)
-        assert {r["id"]: r["s"] for r in got.collect()} == want
+    got = running_sums(df, [F.asc("v"), F.asc("id")], {"s": F.col("v")}, ["k"], num_buckets=buckets)
+    assert {r["id"]: r["s"] for r in got.collect()} == want
 
 
-@pytest.fixture
-def distributed_only(monkeypatch):
-    from contactlift.operators import ranking
-    monkeypatch.setattr(ranking, "SINGLE_TASK_MAX_ROWS", 0)
+def test_one_plan_for_every_size(spark):
+    """The same plan shape for 10 and for a million rows, with no single partition over data rows."""
+    import re
 
+    shapes = []
+    for n in (10, 1_000_000):
+        df = spark.range(n).select("id", F.rand(1).alias("prob"), (F.col("id") % 2).cast("int").alias("target"))
+        plan = M.cumulative_gain(df, num_buckets=8)._jdf.queryExecution().sparkPlan().toString()
+        assert "SinglePartition" not in plan
+        shapes.append(re.findall(r"(\w+Join|Exchange|Window|Sort|HashAggregate)", plan))
+    assert shapes[0] == shapes[1]
 
-def test_distributed_sample_and_gain_equal_small_path(spark, distributed_only):
-    a = FX.scored(spark, SF_SMALL)
-    g = sorted(tuple(r) for r in M.cumulative_gain(a).collect())
-    s = sorted(tuple(r) for r in S.stratified_sample(a, 0.3, ["grp"], 5, id_col="id").collect())
-    from contactlift.operators import ranking
-    ranking.SINGLE_TASK_MAX_ROWS = 10**6
-    assert g == sorted(tuple(r) for r in M.cumulative_gain(a).collect())
-    assert s == sorted(tuple(r) for r in S.stratified_sample(a, 0.3, ["grp"], 5, id_col="id").collect())
+
+def test_nan_is_missing_and_one_class_gives_null(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, 0.9, 1), (2, nan, 0), (3, 0.5, 1), (4, None, 0), (5, 0.1, 0)], "id long, prob double, target int")
+    from contactlift.operators import projections as PR
+    from contactlift.sources import files as IO
+
+    assert [r["id"] for r in IO.target_ids(df, 0.2, "id", "prob").collect()] == [1, 3]
+    assert PR.filter_cutoff_inclusive(df, 0.5).count() == 2 and PR.filter_cutoff_strict(df, 0.5).count() == 1
+    assert M.roc_auc(df).first()["auc"] == 1.0
+    last = {r["id"]: r["gain"] for r in M.cumulative_gain(df).collect()}
+    assert last[1] == max(last.values()) - last[1] or last[3] == 2 * last[1]
+    ones = df.where("target = 1")
+    assert M.roc_auc(ones).first()["auc"] is None and M.roc_curve(ones).count() == 3
+    zero = spark.createDataFrame([(0.0, 1.0)], "p_base double, p_other double")
+    assert PR.relative_to_baseline(zero, "p_base", "p_").first()[0] is None
 
 
 def test_result_unchanged_by_repartitioning(spark):
@@ -138,16 +150,3 @@ def test_hot_score_and_hot_stratum_are_split_across_buckets(spark):
     strat = ranking._bucketed(df, ["grp"], [F.asc("id")], 8)
     sizes = [r["count"] for r in strat.groupBy("__cl_bucket").count().collect()]
     assert max(sizes) <= 2.0 * (n / 8)  # the hot stratum spans several buckets
-
-
-def test_size_estimate_gate_routes_large_inputs_without_counting(spark, monkeypatch):
-    from contactlift.operators import ranking
-
-    a = FX.scored(spark, SF_SMALL)
-    small = sorted(tuple(r) for r in M.cumulative_gain(a).collect())
-    monkeypatch.setattr(ranking, "SINGLE_TASK_MAX_BYTES", 0)  # every input now "looks" large
-    calls = []
-    orig = ranking._window_sums
-    monkeypatch.setattr(ranking, "_window_sums", lambda *x, **k: calls.append(1) or orig(*x, **k))
-    big = sorted(tuple(r) for r in M.cumulative_gain(a).collect())
-    assert big == small and not calls

@@ -1,6 +1,6 @@
 """The checkpoint folder comes from the session; scratch tables are written under it."""
 
-from contactlift.session import broadcast_if_small, ensure_checkpoint_dir, scratch_path
+from contactlift.session import ensure_checkpoint_dir, scratch_path, sized
 
 
 def test_checkpoint_dir_is_read_from_the_session(spark):
@@ -10,10 +10,7 @@ def test_checkpoint_dir_is_read_from_the_session(spark):
     assert path.startswith(ck.rstrip("/")) and "contactlift-x-" in path
 
 
-def test_broadcast_only_when_small(spark):
-    df = spark.range(10)
-    small = broadcast_if_small(df, max_rows=100)
-    big = broadcast_if_small(df, max_rows=5)
-    joined_small = spark.range(1000).join(small, "id")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastExchange" in joined_small
-    assert big.count() == 10
+def test_small_tables_are_broadcast_by_their_bytes(spark):
+    small = sized(spark.range(10).toDF("id"))
+    plan = spark.range(1000).join(small, "id")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and small.count() == 10
