@@ -20,8 +20,8 @@ Spec = tuple[str, str, tuple[str, ...]]
 
 # ---------------------------------------------------------------------------------------------
 # The 139 source column names of the monthly snapshot that the packs read, in the
-# order of the data dictionary (Master card, Visa card, customer, counts, money, flags). Names
-# must equal the source files' header.
+# fixed order (Master card, Visa card, customer, counts, money, flags). Names must equal the
+# source files' header.
 # ---------------------------------------------------------------------------------------------
 SOURCE_COLUMNS = (
     "Master_Finiciomora", "Master_Fvencimiento", "Master_cuenta_estado", "Master_fechaalta",
@@ -68,8 +68,8 @@ CARD_DATE_COLUMNS = (
 
 
 # ---------------------------------------------------------------------------------------------
-# The three packs of derived columns (names, operations and inputs as defined by
-# the scoring team's feature dictionary), in definition order.
+# The three packs of derived columns (names, operations and inputs must match), in
+# definition order.
 # ---------------------------------------------------------------------------------------------
 STD_PACK: list[Spec] = [
     ("mv_cuenta_estado2", "max", ("Master_cuenta_estado", "Visa_cuenta_estado")),
