@@ -56,7 +56,7 @@ def main(argv=None) -> None:
         probs = f.predict(apply_, args.id, name="prob_positivo")
         IO.export_ranked_probs(probs, f"{args.out}/ranked", args.id)
         IO.export_target_ids(probs, f"{args.out}/ids", args.cutoff, args.id)
-        IO.sink_delimited(ML.importance_frame(spark, f.model, f.prepared.names), f"{args.out}/importance")
+        IO.sink_delimited(ML.importance_frame(spark, f.model, f.prepared.names), f"{args.out}/importance", line_sep="\r\n")
         print("written", args.out)
 
 

@@ -8,14 +8,17 @@
 * ``profile_a`` / ``profile_b``: the two parameter profiles of the reference (histogram trees
   with 31 bins; leaf-wise trees with 255 bins, depth 6, 5 rows per leaf) mapped onto
   ``GBTClassifier``. MLlib differences: the feature subset is drawn per node rather than per
-  tree, there are no L1/L2 terms or leaf-count cap, no base score, and the first tree has weight 1.
+  tree, there are no L1/L2 terms or leaf-count cap, and the first tree has weight 1. MLlib starts
+  boosting at 0; ``class_balance`` gives both classes half of the weight and returns the log-odds
+  of the positive rate as an offset to add to the margin, so scores start at the positive rate.
 * ``staged_profit``: MLlib logs only the loss per round, so the profit after every round is
   computed from the trees themselves: margin_k = sum_{i<=k} w_i * tree_i(x),
-  prob_k = 1 / (1 + exp(-2 margin_k)); all rounds are scored in one pass and one aggregate.
+  prob_k = 1 / (1 + exp(-2 margin_k - offset)); all rounds are scored in one pass and one aggregate.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -30,6 +33,7 @@ from contactlift.operators.metrics import COST, CUTOFF, GAIN
 
 FEATURES = "features"
 LABEL = "label"
+WEIGHT = "weight"
 
 
 def _dbl(v: float) -> str:
@@ -160,11 +164,24 @@ def _fraction(x: float) -> str:
     return "all" if x >= 1.0 else repr(float(x))
 
 
+def class_balance(data: DataFrame, label: str = LABEL, weight: str = WEIGHT) -> tuple[DataFrame, float]:
+    """``data`` with a weight column that gives both classes the same total, and the log-odds of the positive rate.
+
+    Data of one class (or none) get weight 1 and offset 0.
+    """
+    p = data.agg(F.avg(F.col(label))).first()[0]
+    if p is None or not 0.0 < p < 1.0:
+        return data.withColumn(weight, F.lit(1.0)), 0.0
+    return (data.withColumn(weight, F.when(F.col(label) == 1, F.lit(0.5 / p)).otherwise(F.lit(0.5 / (1.0 - p)))),
+            math.log(p / (1.0 - p)))
+
+
 def predict_probs(model: GBTClassificationModel, df: DataFrame, id_col: str = "id_cliente",
-                  keep: Sequence[str] = (), name: str = "prob") -> DataFrame:
-    """(id, prob of the positive class, kept columns)."""
-    scored = model.transform(df)
-    return scored.select(id_col, *keep, vector_to_array(F.col("probability"))[1].alias(name))
+                  keep: Sequence[str] = (), name: str = "prob", offset: float = 0.0) -> DataFrame:
+    """(id, prob of the positive class, kept columns); ``offset`` is the log-odds that boosting starts at."""
+    margin = vector_to_array(F.col("rawPrediction"))[1]
+    prob = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * margin - F.lit(float(offset))))
+    return model.transform(df).select(id_col, *keep, prob.alias(name))
 
 
 def tree_outputs(model: GBTClassificationModel, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -181,7 +198,7 @@ def tree_outputs(model: GBTClassificationModel, df: DataFrame, keep: Sequence[st
 
 
 def staged_probabilities(model: GBTClassificationModel, df: DataFrame, rounds: Sequence[int] | None = None,
-                         keep: Sequence[str] = ()) -> tuple[DataFrame, list[int]]:
+                         keep: Sequence[str] = (), offset: float = 0.0) -> tuple[DataFrame, list[int]]:
     """``keep`` plus ``__p{k}`` = probability after ``k`` trees, for each k in ``rounds``.
 
     Row-level form for inspection and tests; ``staged_profit`` aggregates without it.
@@ -195,13 +212,13 @@ def staged_probabilities(model: GBTClassificationModel, df: DataFrame, rounds: S
         wts = F.array(*[F.lit(w) for w in weights[:k]])
         m = F.aggregate(F.arrays_zip(terms.alias("t"), wts.alias("w")), F.lit(0.0),
                         lambda acc, e: acc + e["t"] * e["w"])
-        cols.append((F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * m))).alias(f"__p{k}"))
+        cols.append((F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * m - F.lit(float(offset))))).alias(f"__p{k}"))
     return outs.select(*keep, *cols), rounds
 
 
 def staged_profit(model: GBTClassificationModel, df: DataFrame, label: str = LABEL, cutoff: float = CUTOFF,
                   relative: bool = True, rounds: Sequence[int] | None = None, by: Sequence[str] = (),
-                  strict: bool = False) -> DataFrame:
+                  strict: bool = False, offset: float = 0.0) -> DataFrame:
     """Profit after every boosting round, long form: (by..., iter, profit).
 
     The trees' outputs come from MLlib (JVM); per Arrow batch, a vectorised prefix sum over the
@@ -224,7 +241,7 @@ def staged_profit(model: GBTClassificationModel, df: DataFrame, label: str = LAB
             if pdf.empty:
                 continue
             trees = np.stack(pdf["__trees"].to_numpy())
-            probs = 1.0 / (1.0 + np.exp(-2.0 * np.cumsum(trees * weights, axis=1)))[:, rounds - 1]
+            probs = 1.0 / (1.0 + np.exp(-2.0 * np.cumsum(trees * weights, axis=1) - offset))[:, rounds - 1]
             hit = probs > cutoff if strict else probs >= cutoff
             labels = pdf[label]
             missing = labels.isna().to_numpy()

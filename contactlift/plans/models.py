@@ -105,7 +105,7 @@ def q_export_importance(spark, sf):
     df = cards(spark, sf)
     f = T.fit(df, feats(df), est_a())
     path = scratch_path(spark, "importance")
-    IO.sink_delimited(ML.importance_frame(spark, f.model, f.prepared.names), path)
+    IO.sink_delimited(ML.importance_frame(spark, f.model, f.prepared.names), path, line_sep="\r\n")
     return IO.scan_delimited(spark, path, "feature string, importance double")
 
 
@@ -147,7 +147,7 @@ def q_baseline_run(spark, sf):
     base = scratch_path(spark, "baseline")
     IO.export_ranked_probs(probs, f"{base}/ranked")
     IO.export_target_ids(probs, f"{base}/ids", 0.025)
-    IO.sink_delimited(ML.importance_frame(spark, f.model, f.prepared.names), f"{base}/importance")
+    IO.sink_delimited(ML.importance_frame(spark, f.model, f.prepared.names), f"{base}/importance", line_sep="\r\n")
     return spark.read.option("sep", "\t").option("header", True).option("lineSep", "\r\n").schema(
         "id_cliente bigint, prob_positivo double").csv(f"{base}/ranked")
 

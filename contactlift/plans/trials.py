@@ -48,21 +48,23 @@ def parallel_map(fn, items, parallelism: int | None = None) -> list:
 class Fitted:
     prepared: ML.Prepared
     model: object
+    offset: float = 0.0
 
     def predict(self, df: DataFrame, id_col: str = "id_cliente", keep: Sequence[str] = (), name: str = "prob"):
-        return ML.predict_probs(self.model, self.prepared.transform(df), id_col, keep, name)
+        return ML.predict_probs(self.model, self.prepared.transform(df), id_col, keep, name, self.offset)
 
 
 def fit(train: DataFrame, features: Sequence[str], estimator: GBTClassifier, label: str = "clase01") -> Fitted:
-    """Missing-value step fitted on the training rows, then the booster."""
+    """Missing-value step fitted on the training rows, then the booster, started at their positive rate."""
     prep = ML.Prepared.fit(train, features)
     # MLlib reads its input several times (split candidates, metadata, binning): persist it once
     data = prep.transform(train, label).select(ML.FEATURES, ML.LABEL).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = estimator.fit(data)
+        weighted, offset = ML.class_balance(data)
+        model = estimator.copy().setWeightCol(ML.WEIGHT).fit(weighted)
     finally:
         data.unpersist()
-    return Fitted(prep, model)
+    return Fitted(prep, model, offset)
 
 
 def cv_profit_log(df: DataFrame, features: Sequence[str], estimator: GBTClassifier, k: int = 5,
@@ -78,7 +80,7 @@ def cv_profit_log(df: DataFrame, features: Sequence[str], estimator: GBTClassifi
         train = folded.where(F.col("fold") != j)
         valid = folded.where(F.col("fold") == j)
         f = fit(train, features, estimator.copy(), label)
-        log = ML.staged_profit(f.model, f.prepared.transform(valid, label), cutoff=cutoff, relative=relative)
+        log = ML.staged_profit(f.model, f.prepared.transform(valid, label), cutoff=cutoff, relative=relative, offset=f.offset)
         return log.withColumn("fold", F.lit(j))
 
     logs = parallel_map(one, list(range(k)), parallelism or min(k, DEFAULT_PARALLELISM + 1))

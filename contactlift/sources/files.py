@@ -70,11 +70,11 @@ def snapshot_partitions(df: DataFrame, path: str, month_col: str = "foto_mes",
                         sort_cols: Iterable[str] = ("numero_de_cliente",)) -> None:
     """One folder per month, rows sorted by customer inside each file.
 
-    Range-partition on (month, customer) so every task writes few month folders with sorted rows.
+    Range-partition on (month, customer) so every task writes few month folders with sorted rows; the number of
+    ranges is left to AQE.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [month_col, *sort_cols]
-    ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     sink_columnar(ordered, path, partition_by=[month_col])
 
 
@@ -92,23 +92,27 @@ def dates_to_day_offsets(df: DataFrame, month_col: str = "foto_mes", date_cols:
 def ingest_snapshots(spark: SparkSession, source: str | list[str], out_dir: str, raw_months: Iterable[int] = (),
                      schema: StructType | str | None = None, month_col: str = "foto_mes",
                      id_col: str = "numero_de_cliente", sep: str = "\t") -> dict[str, str]:
-    """The ingest job: delimited snapshot (plain or gzip) -> raw copies of chosen months -> card
-    dates as day offsets -> month partitions sorted by customer, plus the whole table as text.
+    """The ingest job: delimited snapshot (plain or gzip) -> raw columnar copy of the whole table and raw text copies of
+    chosen months (all columns) -> card dates as day offsets -> month partitions sorted by customer, plus the whole
+    table as text in the source's column order.
 
-    Returns the output paths. Every step is a distributed read or write; nothing is collected.
+    The text is parsed once: everything else reads the columnar copy. Returns the output paths. Every step is a
+    distributed read or write; nothing is collected.
     """
     out = out_dir.rstrip("/")
-    raw = scan_delimited(spark, source, schema, sep)
-    paths = {}
+    paths = {"raw": f"{out}/raw/whole"}
+    sink_columnar(scan_delimited(spark, source, schema, sep), paths["raw"])
+    raw = scan_columnar(spark, paths["raw"])
     for m in raw_months:
-        paths[f"raw_{m}"] = f"{out}/raw/{month_col}={m}"
-        sink_delimited(snapshot_extract(raw, m, month_col).drop(month_col), paths[f"raw_{m}"], sep=sep)
+        paths[f"raw_{m}"] = f"{out}/raw/{m}"
+        sink_delimited(snapshot_extract(raw, m, month_col), paths[f"raw_{m}"], sep=sep)
     dated = dates_to_day_offsets(raw, month_col)
     paths["months"] = f"{out}/months"
     snapshot_partitions(dated, paths["months"], month_col, [id_col])
     paths["whole"] = f"{out}/whole"
     # the whole table is written from the month partitions, sorted by (month, customer)
-    sink_delimited(sort_snapshot(scan_columnar(spark, paths["months"]), month_col, id_col), paths["whole"], sep=sep)
+    whole = scan_columnar(spark, paths["months"]).select(*[F.col(f"`{c}`") for c in raw.columns])
+    sink_delimited(sort_snapshot(whole, month_col, id_col), paths["whole"], sep=sep)
     return paths
 
 

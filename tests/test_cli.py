@@ -27,6 +27,7 @@ def test_cli_ingest_and_score(spark, capsys):
     assert ranked.count() == cards.count()
     probs = [float(r["prob_positivo"]) for r in ranked.collect()]
     assert probs == sorted(probs, reverse=True)
-    assert glob.glob(work + "/out/importance/part-*")
+    importance = glob.glob(work + "/out/importance/part-*")
+    assert importance and all(x.endswith("\r") for p in importance for x in open(p, newline="").read().split("\n")[:-1])
     ids = spark.read.option("lineSep", "\r\n").csv(work + "/out/ids")
     assert ids.count() == ranked.where(F.col("prob_positivo").cast("double") > 0.025).count()

@@ -232,9 +232,13 @@ def test_ingest_snapshots(spark):
     assert months.count() == snap.count()
     want = snap.select(rw.days_to_snapshot_end("foto_mes", "Master_fechaalta").alias("d")).agg(F.sum("d")).first()[0]
     assert months.agg(F.sum("Master_fechaalta")).first()[0] == want
-    raw = IO.scan_delimited(spark, paths[f"raw_{month}"])
-    assert raw.count() == snap.where(F.col("foto_mes") == month).count()
-    assert IO.scan_delimited(spark, paths["whole"]).count() == snap.count()
+    raw = IO.scan_delimited(spark, paths[f"raw_{month}"], snap.schema)
+    one = snap.where(F.col("foto_mes") == month)
+    assert raw.columns == snap.columns and raw.count() == one.count()
+    assert raw.exceptAll(one).isEmpty() and one.exceptAll(raw).isEmpty()
+    assert IO.scan_columnar(spark, paths["raw"]).exceptAll(snap).isEmpty()
+    whole = IO.scan_delimited(spark, paths["whole"])
+    assert whole.columns == snap.columns and whole.count() == snap.count()
 
 
 def test_exports_are_crlf_with_and_without_header(spark):

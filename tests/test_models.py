@@ -1,8 +1,11 @@
 """Model jobs: repeatable, probabilities in [0, 1], staged scores agree with the model."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
+from contactlift.operators import metrics as M
 from contactlift.operators import model as ML
 from contactlift.operators import projections as PR
 from contactlift.plans import fixtures as FX
@@ -35,12 +38,32 @@ def test_staged_last_round_equals_model(cards):
     feats = PR.feature_columns(cards)
     f = T.fit(cards, feats, ML.profile_b(0.1, 5, 1.0))
     data = f.prepared.transform(cards)
-    staged, rounds = ML.staged_probabilities(f.model, data, keep=["id_cliente"])
+    staged, rounds = ML.staged_probabilities(f.model, data, keep=["id_cliente"], offset=f.offset)
     last = {r["id_cliente"]: r[f"__p{rounds[-1]}"] for r in staged.collect()}
     full = {r["id_cliente"]: r["prob"] for r in f.predict(cards).collect()}
     assert all(abs(last[k] - full[k]) < 1e-9 for k in full)
 
 
+def test_scores_start_at_the_positive_rate(cards):
+    feats = PR.feature_columns(cards)
+    top = cards.approxQuantile("Master_tconsumos", [0.97], 0.0)[0]
+    rare = cards.withColumn("clase01", F.coalesce((F.col("Master_tconsumos") > top).cast("int"), F.lit(0)))
+    rate = rare.agg(F.avg("clase01")).first()[0]
+    f = T.fit(rare, feats, ML.profile_a(0.1, 4, 1.0))
+    assert 0.0 < rate < 0.05 and f.offset == pytest.approx(math.log(rate / (1 - rate)))
+    got = f.predict(rare, keep=["clase01"]).groupBy("clase01").agg(F.avg("prob")).collect()
+    mean = {r["clase01"]: r["avg(prob)"] for r in got}
+    assert mean[0] < 0.025 < mean[1]  # the delivery cutoff separates the classes
+    log = ML.staged_profit(f.model, f.prepared.transform(rare), offset=f.offset).collect()
+    direct = f.predict(rare, keep=["clase01"]).withColumnRenamed("clase01", "target")
+    assert {r["iter"]: r["profit"] for r in log}[4] == pytest.approx(M.profit_score(direct).first()["profit"])
+
+
+def test_one_class_trains_without_an_offset(cards):
+    data, offset = ML.class_balance(cards.select(F.lit(1.0).alias("label")))
+    assert offset == 0.0 and data.where("weight <> 1").isEmpty()
+
+
 def test_best_round_patience():
     curve = [(1, 1.0), (2, 3.0), (3, 2.0), (4, 2.5), (5, 9.0)]
     assert ML.best_round(curve, patience=2) == 2
@@ -119,7 +142,7 @@ def test_log_loss_falls_with_rounds_on_separable_data(cards):
     cut = cards.approxQuantile("Master_tconsumos", [0.5], 0.0)[0]
     sep = cards.withColumn("clase01", (F.col("Master_tconsumos") > cut).cast("int"))
     f = T.fit(sep, feats, ML.profile_b(0.3, 8, 1.0))
-    losses = f.model.evaluateEachIteration(f.prepared.transform(sep))  # the model's logistic loss
+    losses = f.model.evaluateEachIteration(ML.class_balance(f.prepared.transform(sep))[0])  # the model's logistic loss
     assert all(b <= a + 1e-12 for a, b in zip(losses, losses[1:]))
     assert losses[-1] < losses[0]
 
