@@ -350,7 +350,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     # members of one signature that are not in one component yet
     part = live.join(label, "v", "left").select("sig", "v", "own", "n", F.coalesce("label", "v").alias("label"))
-    part = written(part.where(_possible(percent, "n", "own", "n", "own")), "open")
+    # a set can still link with a smaller one, which may lie in it whole: only its own size bounds the union here
+    part = written(part.where(100 * (F.col("n") - F.col("own")).cast("long") >= percent * F.col("n")), "open")
     mixed = part.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("sig")
     marks = [f"m{j}" for j in range(MARKS)]
     part = part.join(mixed, "sig").join(sets.select("v", *marks), "v")

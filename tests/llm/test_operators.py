@@ -103,6 +103,23 @@ def test_near_duplicates(spark, table, frequent_from, combine_to):
     assert collections.Counter(map(tuple, got)) == collections.Counter(links(rows))
 
 
+def test_near_duplicates_beside_a_quotation(spark, table):
+    """Appended and truncated copies beside a text that quotes them and has an exact copy elsewhere."""
+    from contactlift.llm.jaccard import near_duplicates
+
+    texts = []
+    for s in range(120):
+        n = 11 if s < 100 else 60
+        b = prose(n, 7000 + s).split()
+        more = prose(n, 8000 + s).split()
+        quote = " ".join([*more[3:6 if n == 11 else 20], *b])
+        texts += [" ".join(b), " ".join(b + more[:1 if n == 11 else 8]), quote, quote]
+        texts.append(" ".join(b[:-1] + more[-1:]) if s % 2 else " ".join(b[1:]))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = near_duplicates(table(rows)).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(links(rows))
+
+
 def test_one_of_each_group(spark, table):
     from contactlift.llm.jaccard import one_of_each_group
 
