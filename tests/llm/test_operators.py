@@ -406,6 +406,28 @@ def test_repeated_passages(spark, table):
     assert repeated_passages(table([])).count() == 0
 
 
+def test_equal_words():
+    from contactlift.llm.chains import _equal_words
+
+    def lcs(x, y):
+        row = [0] * (len(y) + 1)
+        for w in x:
+            last = 0
+            for j, v in enumerate(y):
+                last, row[j + 1] = row[j + 1], max(row[j + 1], row[j], last + 1 if v == w else 0)
+        return row[-1]
+
+    for seed in range(60):
+        r = np.random.default_rng(seed)
+        x, y = (r.integers(0, 6, r.integers(0, 90)).astype(np.uint32) for _ in range(2))
+        assert _equal_words(x, y) == lcs(x.tolist(), y.tolist())
+    # a long copy with as many insertions as deletions
+    x = np.random.default_rng(1).integers(0, 2**32, 3000).astype(np.uint32)
+    y = np.insert(np.delete(x, 2700), 300, 7)
+    y[[0, -1]] = 8, 9
+    assert len(x) == len(y) and _equal_words(x, y) == 2997
+
+
 def test_pipeline(spark, table, tmp_path):
     import corpus_pipeline
 
