@@ -406,6 +406,36 @@ def test_repeated_passages(spark, table):
     assert repeated_passages(table([])).count() == 0
 
 
+def test_chains_within_the_gap():
+    from contactlift.llm.chains import chains
+
+    for seed in range(60):
+        r = random.Random(seed)
+        pos, at = np.array([[r.randrange(40), r.randrange(40)] for _ in range(9)]).T
+        gap, best = r.randrange(4, 20), 0
+        for mask in range(1, 512):
+            s = sorted((int(pos[i]), int(at[i])) for i in range(9) if mask >> i & 1)
+            if all(0 < b[0] - a[0] <= gap and 0 < b[1] - a[1] <= gap for a, b in zip(s, s[1:])):
+                best = max(best, 4 * len(s) - 0.1 * sum(b[0] - a[0] + b[1] - a[1] for a, b in zip(s, s[1:])))
+        c = chains(pos, at, 4, gap, 0.1)[0]
+        assert 4 * len(c) - 0.1 * float(np.diff(pos[c]).sum() + np.diff(at[c]).sum()) == pytest.approx(best)
+    # two passages 100 words apart, and one match out of order
+    x = np.array([*range(0, 60, 6), *range(160, 220, 6)])
+    pos, at = np.append(x, 5), np.append(x, 300)
+    assert sorted(len(c) for c in chains(pos, at, 8, 40, 0.1)) == [1, 10, 10]
+
+
+def test_passages_twice_in_the_first_document(spark, table):
+    from contactlift.llm.chains import repeated_passages
+
+    p = prose(80, 91)
+    for rows in ([(1, prose(60, 92) + " " + p + " " + prose(60, 93) + " " + p), (2, p + " " + prose(60, 94))],
+                 [(2, p + " " + prose(60, 94)), (1, prose(60, 92) + " " + p + " " + prose(60, 93) + " " + p)]):
+        for parts in (1, 2):
+            got = sorted((r.doc_id, r.first_word, r.n_words, r.other_id) for r in repeated_passages(table(rows, parts=parts)).collect())
+            assert got == [(1, 60, 80, 2), (1, 200, 80, 2), (2, 0, 80, 1)]
+
+
 def test_equal_words():
     from contactlift.llm.chains import _equal_words
 
