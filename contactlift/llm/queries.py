@@ -25,9 +25,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-# The rules of the query, and hosts that its blocklist names.
+# The rules of the query, and the site names that its blocklist holds under each domain they use.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-URL_BLOCKLIST = ["spam-farm.example.org/", "adult-x.example.com/"]
+URL_BLOCKLIST = [f"{name}.example.{top}/" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+                 for top in ("com", "net", "org")]
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

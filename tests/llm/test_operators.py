@@ -241,6 +241,17 @@ def test_urls(spark):
     assert split_url("HTTP://A.Example.NET/en/x?u=/fr/") == ("a.example.net", "/en/x") and split_url(None) == ("", "")
 
 
+def test_blocklist_of_the_query(spark):
+    from contactlift.llm.queries import QUERIES
+
+    names = re.compile(r"(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)$")
+    for sf in ("0.001", "0.01", "0.1"):
+        got = QUERIES["op3_url_filter"](spark, f"/root/testdata/sf{sf}").collect()
+        assert all((r.listed is not None) == bool(names.search(r.host)) for r in got)
+        assert any(r.listed for r in got)
+        assert all(r.verdict == ("block" if r.listed else "allow") for r in got if r.rule is None)
+
+
 def base(t):
     """The plain expressions, as given."""
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
