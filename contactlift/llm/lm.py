@@ -3,8 +3,8 @@
 The model mixes three maximum-likelihood estimates of a token after its context (the token before it): bigram,
 unigram and uniform. The mixture weights depend on the bucket of the context's frequency (its binary logarithm) and are
 learned by expectation-maximisation on held-out counts: the events of one part of the training documents under the
-counts of the others. Contexts whose relative frequency is below 2**-20 (or with fewer than 8 occurrences) are one shared
-context, so at most 2**20 contexts are kept apart at every corpus size, which bounds the one table that is broadcast.
+counts of the others. Contexts with fewer than 8 occurrences are one shared context, at every corpus size; the others are
+kept apart, so the one table that is broadcast grows with the number of words seen 8 times.
 
 All tokens are shuffled once, dealt by token (frequent tokens by token and context, so no task holds a hot one), with
 the number of their document in its block; counts, held-out statistics and scores are taken from that one shuffle, and
@@ -28,7 +28,6 @@ from contactlift.llm.store import parts_of, written
 
 END = np.uint64(0x5EED0E0D0C0B0A09)  # the end token, also the context of a text's first token
 LEAST_COUNT = 8
-KEPT_SHARE = 2.0**-20
 FOLDS, TEST_FOLD, TUNE_FOLD = 7, 2, 3
 BLOCK_TOKENS = 1 << 20  # tokens and documents of one block
 BLOCK_DOCS = 1 << 15
@@ -267,8 +266,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     count = written(word_counts(docs, "id", "text"), "words")
     total = count.where("w IS NULL").agg(F.sum("n"), F.sum("v"), F.sum("d"), F.sum("c")).first()
     n, v, d, every = (int(x or 0) for x in total)
-    least = max(LEAST_COUNT, n * KEPT_SHARE)  # at most 2**20 words reach it
-    top = count.where("w IS NOT NULL").where(F.col("c") >= least).select("w", "c", "d").toArrow()
+    top = count.where("w IS NOT NULL").where(F.col("c") >= LEAST_COUNT).select("w", "c", "d").toArrow()
     cols = [np.asarray(top.column(x)) for x in ("w", "c", "d")]
     model = spark.sparkContext.broadcast(Model(n, v, d, cols[0].astype(np.int64).view(np.uint64), cols[1], cols[2]))
     parts = max(MIN_PARTS, -(-every // PART_TOKENS))

@@ -342,6 +342,20 @@ def test_language_model(spark, table):
     assert score_texts(table([])).count() == 0
 
 
+def test_contexts_of_a_large_corpus(spark, tmp_path):
+    """A context seen 9 times keeps its bigrams among 12 million tokens."""
+    from contactlift.llm.lm import fold_of, score_texts
+
+    few = [i for i in range(1000, 1100) if fold_of(i) != 2][:9]
+    rows = [(i, "before after") for i in few] + [(2000 + i, " ".join(f"u{i}x{j}" for j in range(100))) for i in range(300)]
+    large = spark.range(75).selectExpr("id AS doc_id", "repeat('z ', 200000) AS text")
+    path = str(tmp_path / "large")
+    large.union(spark.createDataFrame(rows, "doc_id long, text string")).write.parquet(path)
+    got = score_texts(spark.read.parquet(path)).where("doc_id >= 1000 AND doc_id < 2000").collect()
+    assert len(got) == 9 and all(r.train_tokens > 12_000_000 for r in got)
+    assert all(r.score > -5 for r in got)
+
+
 def test_main_text(spark):
     from contactlift.llm.wrapper import extract, main_text, parse, simple_tree_matching
 
