@@ -4,7 +4,7 @@ import pytest
 
 from contactlift import api
 from contactlift.plans import fixtures as FX
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_seeds(spark):

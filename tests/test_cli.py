@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from contactlift.__main__ import main
 from contactlift.plans import fixtures as FX
 from contactlift.sources import files as IO
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_cli_ingest_and_score(spark, capsys):

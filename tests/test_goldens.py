@@ -190,7 +190,7 @@ def test_month_read_prunes_partitions(spark):
 
     from contactlift.plans import fixtures as FX
     from contactlift.sources import files as IO
-    from conftest import SF_SMALL
+    from paths import SF_SMALL
 
     path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/months"
     snap = FX.snapshot(spark, SF_SMALL)
@@ -206,7 +206,7 @@ def test_auc_matches_mllib_evaluator(spark):
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
     from contactlift.plans import fixtures as FX
-    from conftest import SF_SMALL
+    from paths import SF_SMALL
 
     scored = FX.scored(spark, SF_SMALL)
     ours = M.roc_auc(scored).first()["auc"]
@@ -221,7 +221,7 @@ def test_ingest_snapshots(spark):
 
     from contactlift.plans import fixtures as FX
     from contactlift.sources import files as IO
-    from conftest import SF_SMALL
+    from paths import SF_SMALL
 
     work = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     snap = FX.snapshot(spark, SF_SMALL).withColumnRenamed("fecha", "Master_fechaalta")
@@ -263,7 +263,7 @@ def test_delimited_read_infers_types(spark):
 
     from contactlift.plans import fixtures as FX
     from contactlift.sources import files as IO
-    from conftest import SF_SMALL
+    from paths import SF_SMALL
 
     path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/cards"
     cards = FX.cards(spark, SF_SMALL)

@@ -6,7 +6,7 @@ import pytest
 
 from contactlift.plans import fixtures as FX
 from contactlift.sources import files as IO
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_gzip_tsv_is_read_transparently(spark):

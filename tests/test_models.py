@@ -10,7 +10,7 @@ from contactlift.operators import model as ML
 from contactlift.operators import projections as PR
 from contactlift.plans import fixtures as FX
 from contactlift.plans import trials as T
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 @pytest.fixture(scope="module")

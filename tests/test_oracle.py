@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_ORACLE
+from paths import SF_ORACLE
 from oracle import duck, rows_of, same
 
 NAMES = sorted(E.oracle_sql())

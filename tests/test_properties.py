@@ -10,7 +10,7 @@ from contactlift.operators import metrics as M
 from contactlift.operators import sampling as S
 from contactlift.operators.ranking import running_sums
 from contactlift.plans import fixtures as FX
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 SETTINGS = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck), derandomize=True)
 

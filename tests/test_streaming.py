@@ -4,7 +4,7 @@ import tempfile
 
 from contactlift.plans import fixtures as FX
 from contactlift.streaming.enrich import enrich_stream, start_enrichment
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_stream_equals_batch(spark):
