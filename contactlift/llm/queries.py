@@ -79,8 +79,29 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contactlift.llm.periodic import planted, run_digests
+
+    return run_digests(table(spark, sf_dir, "documents"), planted)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contactlift.llm.resample import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from contactlift.llm.tokens import token_digests
+
+    return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 _QUERIES = [op1_mix_sources, op2_decontamination, op3_url_filter, op4_license_scan, op5_personal_data,
-            op6_main_text, op7_lm_scores, op8_quality_rules, op9_near_duplicates, op10_repeated_passages]
+            op6_main_text, op7_lm_scores, op8_quality_rules, op9_near_duplicates, op10_repeated_passages,
+            op11_periodic_runs, op12_importance_resampling, op13_token_files]
 
 
 def _query(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:

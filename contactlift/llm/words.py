@@ -1,7 +1,7 @@
 """Whole-batch word splitting and hashing with numpy, for use inside Arrow tasks.
 
 A word is a maximal run of characters other than space and U+0009..U+000D. All six separators are single
-bytes in UTF-8, so splitting bytes equals splitting characters. A-Z are lower-cased before hashing.
+bytes in UTF-8, so splitting bytes equals splitting characters. A-Z are lower-cased before hashing, unless asked not to.
 A word's hash is a polynomial over random 64-bit byte values, mixed; a k-word shingle's hash is a polynomial
 over its words' hashes, mixed. Both are 64 bits wide, so in a table of n distinct items about n*n/2^65 pairs
 share a hash (one pair expected at six billion items).
@@ -23,6 +23,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _rng = np.random.Generator(np.random.PCG64(20240611))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_CASED = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -72,8 +73,8 @@ class Run:
         return lead[np.asarray(byte) - a]
 
 
-def runs(column: pa.Array) -> Iterator[Run]:
-    """Split a string column (null: empty) into hashed words, run by run."""
+def runs(column: pa.Array, cased: bool = False) -> Iterator[Run]:
+    """Split a string column (null: empty) into hashed words, run by run; ``cased`` tells A from a."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -98,7 +99,7 @@ def runs(column: pa.Array) -> Iterator[Run]:
         closes[inner - 1] = word[inner - 1]
         starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _power(_R, len(data)), out=sums[1:])
+        np.cumsum((_CASED if cased else _BYTE)[data] * _power(_R, len(data)), out=sums[1:])
         hashes = mix((sums[ends] - sums[starts]) * _power(_R_INV, len(data) + 1)[starts])
         yield Run(at, np.searchsorted(starts, begins), hashes, starts, ends, data, begins)
         at = to
