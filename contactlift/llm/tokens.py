@@ -45,33 +45,39 @@ FOOTER = np.dtype([("index", "<u8"), ("documents", "<u8"), ("ids", "<u8"), ("mag
 FILE_IDS = 1 << 25  # ids per file, about
 LEVEL = 3
 # The dictionary is trained on at most so many documents, of at most so many bytes of ids each, and has at most so many bytes.
-TRAIN_DOCUMENTS, TRAIN_BYTES, DICTIONARY_BYTES = 4000, 1 << 14, 1 << 16
-# Words whose ids a worker remembers, and the longest one.
-MEMO_WORDS, MEMO_BYTES = 1 << 20, 64
-
-
-class Words(dict):
-    """Word -> its ids as bytes, filled by the tokenizer."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        out = np.array(ids, "<u4").tobytes()
-        if len(word) <= MEMO_BYTES:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = out
+TRAIN_DOCUMENTS, TRAIN_BYTES, DICTIONARY_BYTES = 4000, 1 << 12, 1 << 16
+# Words whose ids a worker remembers, and the longest one; documents that are encoded at once.
+MEMO_WORDS, MEMO_BYTES, AT_ONCE = 1 << 20, 64, 256
+
+
+class Words:
+    """The ids of texts, as bytes; the ids of short words are remembered."""
+
+    def __init__(self, path: str, width: int):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.kind, self.memo = Tokenizer.from_file(path), f"<u{width}", {}
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
+        new = {w for words in split for w in words if w not in self.memo}
+        if len(self.memo) + len(new) > MEMO_WORDS:
+            self.memo = {}
+            new = {w for words in split for w in words}
+        words = list(new)
+        if words:
+            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+            self.memo.update(zip(words, [np.array(e.ids, self.kind).tobytes() for e in encoded]))
+        out = [b"".join(map(self.memo.__getitem__, words)) for words in split]
+        for w in words:
+            if len(w) > MEMO_BYTES:
+                del self.memo[w]
         return out
 
 
 @lru_cache(maxsize=4)
-def _words(path: str) -> Words:
-    from tokenizers import Tokenizer
-
-    return Words(Tokenizer.from_file(path))
+def _words(path: str, width: int) -> Words:
+    return Words(path, width)
 
 
 def id_width(path: str) -> int:
@@ -82,36 +88,32 @@ def id_width(path: str) -> int:
     return 2 if most < 1 << 16 else 4
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, ids) with the ids of each whole text and the end id, as little-endian unsigned 32-bit integers."""
-    end = np.array([end_id], "<u4").tobytes()
+def encode(docs: DataFrame, tokenizer: str, end_id: int, width: int = 4) -> DataFrame:
+    """(doc_id, ids) with the ids of each whole text and the end id, as little-endian unsigned integers of ``width`` bytes."""
+    end = np.array([end_id], f"<u{width}").tobytes()
 
     def per_batch(batches):
-        memo = _words(tokenizer)
+        words = _words(tokenizer, width)
         for batch in batches:
             texts = batch["text"].cast(pa.large_string()).cast(pa.large_binary())
-            for at in range(0, len(texts), 256):  # some documents at a time
-                ids = [b"".join([*map(memo.__getitem__, (x.as_py() or b"").split()), end]) for x in texts.slice(at, 256)]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, 256), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for at in range(0, len(texts), AT_ONCE):
+                ids = [x + end for x in words.ids([x.as_py() or b"" for x in texts.slice(at, AT_ONCE)])]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, AT_ONCE), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(per_batch, "doc_id long, ids binary")
 
 
-def train_dictionary(encoded: DataFrame, width: int) -> bytes:
+def train_dictionary(placed: DataFrame) -> bytes:
     """A dictionary fitted on the ids of documents drawn by a hash of id and ids; empty if there are too few."""
-    short = encoded.where(F.length("ids") <= TRAIN_BYTES * 4 // width)
-    rows = short.orderBy(F.xxhash64("doc_id", "ids")).limit(TRAIN_DOCUMENTS).collect()
-    samples = [_narrow(r["ids"], width) for r in rows]
+    short = placed.where(F.length("ids") <= TRAIN_BYTES)
+    drawn = short.select("place", F.xxhash64("doc_id", "ids").alias("draw")).orderBy("draw", "place").limit(TRAIN_DOCUMENTS).collect()
+    rows = short.where(F.col("place").isin([r["place"] for r in drawn])).orderBy("place").select("ids").collect()
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [r["ids"] for r in rows]).as_bytes()
     except zstandard.ZstdError:
         return b""
 
 
-def _narrow(ids: bytes, width: int) -> bytes:
-    return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
-
-
 def _wide(ids: bytes, width: int) -> bytes:
     return ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
 
@@ -130,10 +132,10 @@ def _records(batches, width: int, raw: bytes):
     for batch in batches:
         for doc, x in zip(batch["doc_id"].to_pylist(), batch["ids"]):
             x = x.as_py()
-            frame = packer.compress(_narrow(x, width))
-            index.append((doc or 0, doc is not None, len(frame), at, len(x) // 4, ids))
+            frame = packer.compress(x)
+            index.append((doc or 0, doc is not None, len(frame), at, len(x) // width, ids))
             at += len(frame) + 1
-            ids += len(x) // 4
+            ids += len(x) // width
             out.append(frame)
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
         out = []
@@ -151,10 +153,10 @@ def _sink(records: DataFrame, path: str) -> None:
 def write_files(encoded: DataFrame, path: str, width: int, ids_per_file: int = FILE_IDS) -> bytes:
     """Write a stored table of ``encode`` as files in ascending ``doc_id`` order under ``path``; returns the dictionary."""
     spark = encoded.sparkSession
-    raw = train_dictionary(encoded, width)
-    _sink(spark.createDataFrame([(raw,)], "record binary").coalesce(1), f"{path}/dictionary")
     placed = encoded.withColumn("place", F.monotonically_increasing_id())
-    total = encoded.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0)).alias("n")).first()["n"] // 4
+    raw = train_dictionary(placed)
+    _sink(spark.createDataFrame([(raw,)], "record binary").coalesce(1), f"{path}/dictionary")
+    total = encoded.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0)).alias("n")).first()["n"] // width
     files = max(parts_of(spark), math.ceil(total / ids_per_file))
     ordered = placed.repartitionByRange(files, F.asc_nulls_first("doc_id"), "place").sortWithinPartitions(F.asc_nulls_first("doc_id"), "place")
     _sink(ordered.select("doc_id", "ids").mapInArrow(lambda batches: _records(batches, width, raw), "record binary"), f"{path}/files")
@@ -251,7 +253,7 @@ def token_digests(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str |
     spark = docs.sparkSession
     width = id_width(tokenizer)
     path = path or scratch_path(spark, "token-ids")
-    write_files(written(encode(docs, tokenizer, end_id), "encoded"), path, width)
+    write_files(written(encode(docs, tokenizer, end_id, width), "encoded"), path, width)
 
     def digests(batches):
         for batch in batches:
