@@ -12,7 +12,7 @@ to any file system): a header, one frame per document, the index, and the footer
 * index: one ``INDEX`` row per document, in file order
 * footer: ``FOOTER``: place of the index, documents, ids, ``MAGIC``
 
-The dictionary is a file of its own beside the files. Ids are cut at the six ASCII separators and encoded word by word: the
+The dictionary is a file of its own beside the files. Texts are cut at the six ASCII separators and encoded word by word: the
 tokenizer's pattern never crosses white space, and its normaliser composes nothing across one, so the ids are those of the
 whole text (tests compare). Null text: empty, so the end id alone. A null ``doc_id`` sorts first and is flagged in the index;
 rows that repeat are kept, in the order of the encoded table. Extra columns are not read. A task holds one batch of
@@ -25,6 +25,7 @@ import hashlib
 import io
 import json
 import math
+import os
 from functools import lru_cache
 from itertools import accumulate
 from typing import BinaryIO
@@ -32,6 +33,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,34 +48,50 @@ FILE_IDS = 1 << 25  # ids per file, about
 LEVEL = 3
 # The dictionary is trained on at most so many documents, of at most so many bytes of ids each, and has at most so many bytes.
 TRAIN_DOCUMENTS, TRAIN_BYTES, DICTIONARY_BYTES = 4000, 1 << 12, 1 << 16
-# Words whose ids a worker remembers, and the longest one; documents that are encoded at once.
-MEMO_WORDS, MEMO_BYTES, AT_ONCE = 1 << 20, 64, 256
+# Words whose ids a worker remembers, and the longest one; about how many bytes of text are encoded at once.
+MEMO_WORDS, MEMO_BYTES, AT_ONCE = 1 << 19, 64, 1 << 22
 
 
 class Words:
-    """The ids of texts, as bytes; the ids of short words are remembered."""
+    """The ids of whole texts; each distinct word is encoded once, and the ids of short words are remembered."""
 
     def __init__(self, path: str, width: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.memo = Tokenizer.from_file(path), f"<u{width}", {}
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = {w for words in split for w in words if w not in self.memo}
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo = {}
-            new = {w for words in split for w in words}
-        words = list(new)
-        if words:
-            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-            self.memo.update(zip(words, [np.array(e.ids, self.kind).tobytes() for e in encoded]))
-        out = [b"".join(map(self.memo.__getitem__, words)) for words in split]
-        for w in words:
+    def _of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each distinct word."""
+        memo = self.memo
+        new = [w for w in words if w not in memo]
+        if len(memo) + len(new) > MEMO_WORDS:  # frequent words stay, as they are in any text
+            memo = {w: memo[w] for w in words if w in memo}
+        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        memo.update(zip(new, [np.array(e.ids, self.kind).tobytes() for e in encoded]))
+        out = [memo[w] for w in words]
+        self.memo = memo
+        for w in new:
             if len(w) > MEMO_BYTES:
-                del self.memo[w]
+                del memo[w]
         return out
 
+    def ids(self, texts: pa.Array, end: bytes) -> pa.Array:
+        """Each text's ids and ``end``, as bytes."""
+        split = pc.ascii_split_whitespace(texts)  # the six separators; an edge separator leaves an empty word, without ids
+        flat = split.flatten().dictionary_encode()
+        table = [*self._of(flat.dictionary.cast(pa.large_binary()).to_pylist()), end]
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // len(end)
+        starts = np.cumsum(sizes) - sizes
+        cut = np.asarray(split.offsets).astype(np.int64)
+        word = np.insert(flat.indices.to_numpy(zero_copy_only=False), cut[1:] - cut[0], len(table) - 1)
+        n = sizes[word]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        at = np.arange(upto[-1]) + np.repeat(starts[word] - upto[:-1], n)
+        body = np.frombuffer(b"".join(table), self.kind)[at]
+        ends = upto[cut - cut[0] + np.arange(len(cut))] * len(end)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(body)])
+
 
 @lru_cache(maxsize=4)
 def _words(path: str, width: int) -> Words:
@@ -95,10 +113,12 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, width: int = 4) -> Data
     def per_batch(batches):
         words = _words(tokenizer, width)
         for batch in batches:
-            texts = batch["text"].cast(pa.large_string()).cast(pa.large_binary())
-            for at in range(0, len(texts), AT_ONCE):
-                ids = [x + end for x in words.ids([x.as_py() or b"" for x in texts.slice(at, AT_ONCE)])]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, AT_ONCE), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            texts = pc.fill_null(batch["text"].cast(pa.large_string()), "")
+            upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // AT_ONCE
+            for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(upto)) + 1):
+                at, n = int(part[0]), len(part)
+                ids = words.ids(texts.slice(at, n), end).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, n), ids], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(per_batch, "doc_id long, ids binary")
 
