@@ -26,8 +26,9 @@ import io
 import json
 import math
 import os
+import re
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 from typing import BinaryIO
 from zlib import crc32
 
@@ -49,17 +50,53 @@ LEVEL = 3
 # The dictionary is trained on at most so many documents, of at most so many bytes of ids each, and has at most so many bytes.
 TRAIN_DOCUMENTS, TRAIN_BYTES, DICTIONARY_BYTES = 4000, 1 << 12, 1 << 16
 # Words whose ids a worker remembers, and the longest one; about how many bytes of text are encoded at once.
-MEMO_WORDS, MEMO_BYTES, AT_ONCE = 1 << 19, 64, 1 << 22
+MEMO_WORDS, MEMO_BYTES, AT_ONCE = 1 << 18, 64, 1 << 22
+
+
+# Printable ASCII but for the sign that special tokens begin with.
+_PLAIN = re.compile(rb"[!-;=-~]+")
+
+
+def _pattern(path: str) -> re.Pattern | None:
+    """The pre-tokenizer's pattern for words of lower-case printable ASCII, if the tokenizer file has no step but composing,
+    collapsing white space, lower-casing, splitting by that pattern, mapping bytes, and merging."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if (steps != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in split] != ["Split", "ByteLevel"]
+            or (split[0]["behavior"], split[0]["invert"]) != ("Removed", True) or split[1]["use_regex"] or split[1]["add_prefix_space"]
+            or not all(t["content"].startswith("<") for t in spec.get("added_tokens", []))):
+        return None
+    ascii_only = split[0]["pattern"]["Regex"].replace(r"[^\s\p{L}\p{N}]", "[^\\sa-z0-9]").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")
+    return None if "\\p" in ascii_only else re.compile(ascii_only.encode())
 
 
 class Words:
-    """The ids of whole texts; each distinct word is encoded once, and the ids of short words are remembered."""
+    """The ids of whole texts. Each distinct word is encoded once, and the ids of short words are remembered.
+
+    A word of printable ASCII takes the tokenizer's own steps one by one, which saves most of the time: lower case, the
+    pre-tokenizer's pattern, and the model on each piece (the other steps do nothing to such words). All other words, and
+    all words of a tokenizer with other steps, go through the whole tokenizer.
+    """
 
     def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.memo = Tokenizer.from_file(path), f"<u{width}", {}
+        self.tokenizer, self.kind = Tokenizer.from_file(path), f"<u{width}"
+        self.model, self.pattern = self.tokenizer.model, _pattern(path)
+        self.memo: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, list[int]] = {}
+
+    def _plain(self, word: bytes) -> list[int]:
+        out = []
+        for piece in self.pattern.findall(word.lower()):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                ids = self.pieces[piece] = [t.id for t in self.model.tokenize(piece.decode())]
+            out += ids
+        return out
 
     def _of(self, words: list[bytes]) -> list[bytes]:
         """The ids of each distinct word."""
@@ -67,8 +104,15 @@ class Words:
         new = [w for w in words if w not in memo]
         if len(memo) + len(new) > MEMO_WORDS:  # frequent words stay, as they are in any text
             memo = {w: memo[w] for w in words if w in memo}
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        memo.update(zip(new, [np.array(e.ids, self.kind).tobytes() for e in encoded]))
+        if len(self.pieces) > MEMO_WORDS:
+            self.pieces = {}
+        simple = [len(w) <= MEMO_BYTES and _PLAIN.fullmatch(w) is not None for w in new] if self.pattern else [False] * len(new)
+        rest = iter(self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w, s in zip(new, simple) if not s], add_special_tokens=False))
+        ids = [self._plain(w) if s else next(rest).ids for w, s in zip(new, simple)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        body = np.fromiter(chain.from_iterable(ids), self.kind, int(sizes.sum())).tobytes()
+        ends = (np.cumsum(sizes) * int(self.kind[-1])).tolist()
+        memo.update(zip(new, map(body.__getitem__, map(slice, [0, *ends], ends))))
         out = [memo[w] for w in words]
         self.memo = memo
         for w in new:
