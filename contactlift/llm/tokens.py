@@ -28,7 +28,7 @@ import math
 import os
 import re
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate
 from typing import BinaryIO
 from zlib import crc32
 
@@ -49,8 +49,8 @@ FILE_IDS = 1 << 25  # ids per file, about
 LEVEL = 3
 # The dictionary is trained on at most so many documents, of at most so many bytes of ids each, and has at most so many bytes.
 TRAIN_DOCUMENTS, TRAIN_BYTES, DICTIONARY_BYTES = 4000, 1 << 12, 1 << 16
-# Words whose ids a worker remembers, and the longest one; about how many bytes of text are encoded at once.
-MEMO_WORDS, MEMO_BYTES, AT_ONCE = 1 << 18, 64, 1 << 22
+# Pieces, and other words, whose ids a worker remembers; their longest one; about how many bytes of text are encoded at once.
+MEMO, MEMO_BYTES, AT_ONCE = 1 << 18, 64, 1 << 22
 
 
 # Printable ASCII but for the sign that special tokens begin with.
@@ -72,52 +72,57 @@ def _pattern(path: str) -> re.Pattern | None:
     return None if "\\p" in ascii_only else re.compile(ascii_only.encode())
 
 
+class Pieces(dict):
+    """Piece of a word of printable ASCII -> its ids as bytes, filled by the tokenizer's model."""
+
+    def __init__(self, model, kind: str):
+        super().__init__()
+        self.model, self.kind = model, kind
+
+    def __missing__(self, piece: bytes) -> bytes:
+        out = np.array([t.id for t in self.model.tokenize(piece.decode())], self.kind).tobytes()
+        if len(self) >= MEMO:
+            self.clear()
+        self[piece] = out
+        return out
+
+
 class Words:
-    """The ids of whole texts. Each distinct word is encoded once, and the ids of short words are remembered.
+    """The ids of whole texts. Each distinct word of some texts is encoded once.
 
     A word of printable ASCII takes the tokenizer's own steps one by one, which saves most of the time: lower case, the
     pre-tokenizer's pattern, and the model on each piece (the other steps do nothing to such words). All other words, and
-    all words of a tokenizer with other steps, go through the whole tokenizer.
+    all words of a tokenizer with other steps, go through the whole tokenizer. Ids of pieces and of other words are remembered.
     """
 
     def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind = Tokenizer.from_file(path), f"<u{width}"
-        self.model, self.pattern = self.tokenizer.model, _pattern(path)
-        self.memo: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, list[int]] = {}
-
-    def _plain(self, word: bytes) -> list[int]:
-        out = []
-        for piece in self.pattern.findall(word.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self.pieces[piece] = [t.id for t in self.model.tokenize(piece.decode())]
-            out += ids
-        return out
+        self.tokenizer, self.kind, self.pattern = Tokenizer.from_file(path), f"<u{width}", _pattern(path)
+        self.pieces, self.others = Pieces(self.tokenizer.model, self.kind), {}
 
     def _of(self, words: list[bytes]) -> list[bytes]:
         """The ids of each distinct word."""
-        memo = self.memo
-        new = [w for w in words if w not in memo]
-        if len(memo) + len(new) > MEMO_WORDS:  # frequent words stay, as they are in any text
-            memo = {w: memo[w] for w in words if w in memo}
-        if len(self.pieces) > MEMO_WORDS:
-            self.pieces = {}
-        simple = [len(w) <= MEMO_BYTES and _PLAIN.fullmatch(w) is not None for w in new] if self.pattern else [False] * len(new)
-        rest = iter(self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w, s in zip(new, simple) if not s], add_special_tokens=False))
-        ids = [self._plain(w) if s else next(rest).ids for w, s in zip(new, simple)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        body = np.fromiter(chain.from_iterable(ids), self.kind, int(sizes.sum())).tobytes()
-        ends = (np.cumsum(sizes) * int(self.kind[-1])).tolist()
-        memo.update(zip(new, map(body.__getitem__, map(slice, [0, *ends], ends))))
-        out = [memo[w] for w in words]
-        self.memo = memo
-        for w in new:
-            if len(w) > MEMO_BYTES:
-                del memo[w]
+        out: list[bytes] = []
+        rest: list[int] = []
+        piece = self.pieces.__getitem__
+        for i, w in enumerate(words):
+            if self.pattern and len(w) <= MEMO_BYTES and _PLAIN.fullmatch(w):
+                parts = self.pattern.findall(w.lower())
+                out.append(piece(parts[0]) if len(parts) == 1 else b"".join(map(piece, parts)))
+            else:
+                known = self.others.get(w)
+                out.append(known)
+                if known is None:
+                    rest.append(i)
+        texts = [words[i].decode("utf-8", "replace") for i in rest]
+        if len(self.others) + len(rest) > MEMO:
+            self.others.clear()
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            out[i] = np.array(e.ids, self.kind).tobytes()
+            if len(words[i]) <= MEMO_BYTES:
+                self.others[words[i]] = out[i]
         return out
 
     def ids(self, texts: pa.Array, end: bytes) -> pa.Array:
@@ -131,7 +136,8 @@ class Words:
         word = np.insert(flat.indices.to_numpy(zero_copy_only=False), cut[1:] - cut[0], len(table) - 1)
         n = sizes[word]
         upto = np.concatenate([[0], np.cumsum(n)])
-        at = np.arange(upto[-1]) + np.repeat(starts[word] - upto[:-1], n)
+        small = np.int32 if max(upto[-1], starts[-1]) < 1 << 31 else np.int64
+        at = np.repeat((starts[word] - upto[:-1]).astype(small), n) + np.arange(upto[-1], dtype=small)
         body = np.frombuffer(b"".join(table), self.kind)[at]
         ends = upto[cut - cut[0] + np.arange(len(cut))] * len(end)
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(body)])
@@ -280,14 +286,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/files").where("length > 0").select(
         F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("file"), "content")
 
-    def sizes(batches):
-        for batch in batches:
-            opened = [(f, TokenFile(io.BytesIO(x.as_py()), raw)) for f, x in zip(batch["file"].to_pylist(), batch["content"])]
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in opened], pa.int32()), pa.array([t.n_ids for _, t in opened], pa.int64())],
-                                             ["file", "ids"])
-
-    rows = files.mapInArrow(sizes, "file int, ids long").collect()  # one row per file
-    ordered = sorted((r["file"], r["ids"]) for r in rows)
+    foot = F.expr(f"substring(content, length(content) - {FOOTER.itemsize}, {FOOTER.itemsize})")
+    rows = files.select("file", foot.alias("foot")).collect()  # one row per file
+    ordered = sorted((r["file"], int(np.frombuffer(r["foot"], FOOTER)["ids"][0])) for r in rows)
     before = dict(zip([f for f, _ in ordered], accumulate([n for _, n in ordered], initial=0)))
 
     def documents(batches):
