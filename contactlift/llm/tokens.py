@@ -50,7 +50,7 @@ LEVEL = 3
 # The dictionary is trained on at most so many documents, of at most so many bytes of ids each, and has at most so many bytes.
 TRAIN_DOCUMENTS, TRAIN_BYTES, DICTIONARY_BYTES = 4000, 1 << 12, 1 << 16
 # Pieces, and other words, whose ids a worker remembers; their longest one; about how many bytes of text are encoded at once.
-MEMO, MEMO_BYTES, AT_ONCE = 1 << 18, 64, 1 << 22
+MEMO, MEMO_BYTES, AT_ONCE = 1 << 17, 64, 1 << 21
 
 
 # Printable ASCII but for the sign that special tokens begin with.
@@ -169,6 +169,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, width: int = 4) -> Data
                 at, n = int(part[0]), len(part)
                 ids = words.ids(texts.slice(at, n), end).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, n), ids], ["doc_id", "ids"])
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(per_batch, "doc_id long, ids binary")
 
@@ -280,37 +281,33 @@ class TokenFile:
         return [np.frombuffer(self.frame(r), "<u4") for r in rows]
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document; ``start`` counts the ids of all documents before it."""
+def read_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of every document, decompressed: ``start`` counts the ids of all documents
+    before it, the checksum is that of the ids as little-endian unsigned 32-bit integers, and ``with_ids`` keeps those, too."""
     raw = read_dictionary(spark, path)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/files").where("length > 0").select(
         F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("file"), "content")
-
     foot = F.expr(f"substring(content, length(content) - {FOOTER.itemsize}, {FOOTER.itemsize})")
     rows = files.select("file", foot.alias("foot")).collect()  # one row per file
     ordered = sorted((r["file"], int(np.frombuffer(r["foot"], FOOTER)["ids"][0])) for r in rows)
     before = dict(zip([f for f, _ in ordered], accumulate([n for _, n in ordered], initial=0)))
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()),
+                        *[("ids", pa.binary())] * with_ids])
 
     def documents(batches):
         for batch in batches:
             for f, x in zip(batch["file"].to_pylist(), batch["content"]):
                 out, size = [], 0
-                for doc, start, ids in TokenFile(io.BytesIO(x.as_py()), raw).documents():
-                    out.append((doc, before[f] + start, len(ids) // 4, ids))
+                for doc, start, ids in TokenFile(pa.BufferReader(x.as_buffer()), raw).documents():
+                    out.append((doc, before[f] + start, len(ids) // 4, crc32(ids), ids)[:len(schema)])
                     size += len(ids)
                     if size > 1 << 22:
-                        yield _frames(out)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), schema.types)], schema=schema)
                         out, size = [], 0
                 if out:
-                    yield _frames(out)
-
-    return files.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
-
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), schema.types)], schema=schema)
 
-def _frames(rows: list[tuple]) -> pa.RecordBatch:
-    doc, start, n, ids = zip(*rows)
-    return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in (doc, start, n)], pa.array(ids, pa.binary())],
-                                      ["doc_id", "start", "n_tokens", "ids"])
+    return files.mapInArrow(documents, ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in schema.names))
 
 
 def token_digests(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = None) -> DataFrame:
@@ -319,11 +316,4 @@ def token_digests(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str |
     width = id_width(tokenizer)
     path = path or scratch_path(spark, "token-ids")
     write_files(written(encode(docs, tokenizer, end_id, width), "encoded"), path, width)
-
-    def digests(batches):
-        for batch in batches:
-            crc = [crc32(x.as_py()) for x in batch["ids"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["start"], batch["n_tokens"], pa.array(crc, pa.int64())],
-                                             ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_files(spark, path).mapInArrow(digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_files(spark, path, with_ids=False)
