@@ -50,16 +50,20 @@ LEVEL = 3
 # The dictionary is trained on at most so many documents, of at most so many bytes of ids each, and has at most so many bytes.
 TRAIN_DOCUMENTS, TRAIN_BYTES, DICTIONARY_BYTES = 4000, 1 << 12, 1 << 16
 # Pieces, and other words, whose ids a worker remembers; their longest one; about how many bytes of text are encoded at once.
-MEMO, MEMO_BYTES, AT_ONCE = 1 << 17, 64, 1 << 21
+MEMO, MEMO_BYTES, AT_ONCE = 1 << 19, 64, 1 << 21
 
 
-# Printable ASCII but for the sign that special tokens begin with.
-_PLAIN = re.compile(rb"[!-;=-~]+")
+# Words that only lower case, the pattern and the model change: printable ASCII but for the sign that special tokens begin with,
+# and the letters of U+00C0 to U+00FF (in UTF-8), which are composed already.
+_PLAIN = re.compile(rb"(?:[!-;=-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+# Byte-level models name a byte by its own character if that is visible, the n-th of the others by character 256 + n.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_NAMES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SEEN)}
 
 
 def _pattern(path: str) -> re.Pattern | None:
-    """The pre-tokenizer's pattern for words of lower-case printable ASCII, if the tokenizer file has no step but composing,
-    collapsing white space, lower-casing, splitting by that pattern, mapping bytes, and merging."""
+    """The pre-tokenizer's pattern for lower-cased words of ``_PLAIN``, if the tokenizer file has no step but composing,
+    collapsing white space, lower-casing, splitting by that pattern, naming bytes, and merging."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
@@ -68,19 +72,21 @@ def _pattern(path: str) -> re.Pattern | None:
             or (split[0]["behavior"], split[0]["invert"]) != ("Removed", True) or split[1]["use_regex"] or split[1]["add_prefix_space"]
             or not all(t["content"].startswith("<") for t in spec.get("added_tokens", []))):
         return None
-    ascii_only = split[0]["pattern"]["Regex"].replace(r"[^\s\p{L}\p{N}]", "[^\\sa-z0-9]").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")
-    return None if "\\p" in ascii_only else re.compile(ascii_only.encode())
+    letters = "a-z\u00df-\u00f6\u00f8-\u00ff"
+    known = (split[0]["pattern"]["Regex"].replace(r"[^\s\p{L}\p{N}]", rf"[^\s{letters}0-9]").replace(r"\p{L}", letters).replace(r"\p{N}", "0-9"))
+    return None if r"\p" in known else re.compile(known)
 
 
 class Pieces(dict):
-    """Piece of a word of printable ASCII -> its ids as bytes, filled by the tokenizer's model."""
+    """Piece of a plain word -> its ids as bytes, filled by the tokenizer's model."""
 
     def __init__(self, model, kind: str):
         super().__init__()
         self.model, self.kind = model, kind
 
-    def __missing__(self, piece: bytes) -> bytes:
-        out = np.array([t.id for t in self.model.tokenize(piece.decode())], self.kind).tobytes()
+    def __missing__(self, piece: str) -> bytes:
+        named = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_NAMES)
+        out = np.array([t.id for t in self.model.tokenize(named)], self.kind).tobytes()
         if len(self) >= MEMO:
             self.clear()
         self[piece] = out
@@ -90,7 +96,7 @@ class Pieces(dict):
 class Words:
     """The ids of whole texts. Each distinct word of some texts is encoded once.
 
-    A word of printable ASCII takes the tokenizer's own steps one by one, which saves most of the time: lower case, the
+    A plain word takes the tokenizer's own steps one by one, which saves most of the time: lower case, the
     pre-tokenizer's pattern, and the model on each piece (the other steps do nothing to such words). All other words, and
     all words of a tokenizer with other steps, go through the whole tokenizer. Ids of pieces and of other words are remembered.
     """
@@ -109,7 +115,7 @@ class Words:
         piece = self.pieces.__getitem__
         for i, w in enumerate(words):
             if self.pattern and len(w) <= MEMO_BYTES and _PLAIN.fullmatch(w):
-                parts = self.pattern.findall(w.lower())
+                parts = self.pattern.findall(w.decode().lower())
                 out.append(piece(parts[0]) if len(parts) == 1 else b"".join(map(piece, parts)))
             else:
                 known = self.others.get(w)
