@@ -49,7 +49,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
         if(n < 3, cast(array() AS array<bigint>), sort_array(transform(sequence(0, n - 3), i ->
             shiftleft(shiftright(xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)), b), b) + i))) AS s,
         filter(transform(w, x -> lower(x)), x -> x IN (""" + _quoted(ANY_WORDS) + """)) AS c,
-        filter(split(t, '\\n'), x -> length(translate(x, ' \\t\\n\\u000B\\f\\r', '')) > 0) AS l)))"""))
+        filter(split(t, '\\n'), x -> length(translate(x, ' \\t\\n\\u000B\\u000C\\r', '')) > 0) AS l)))"""))
     again = """size(array_distinct(flatten(transform(filter(s, (x, i) ->
         coalesce(shiftright(x, b) = shiftright(get(s, i - 1), b), false)
         OR coalesce(shiftright(x, b) = shiftright(get(s, i + 1), b), false)),

@@ -300,6 +300,8 @@ def test_quality(spark, table):
     rows = list(EDGE) + [(20, lines * 40), (21, lines + "other\n \n\n" + lines + "a\\nb | # $"), (22, "x x x x x"), (23, prose(60, 3), None),
                          (24, "La " * 3 + "é"), (25, "%%% ### " * 60)]
     rows += [(100 + i, prose(100, i, 200) + " the of and.") for i in range(30)] + [(200, "#*$ %&| <>* " * 40 + prose(20, 9))]
+    # each separator alone on two equal lines, and lines of one letter or digit
+    rows += [(300 + i, f"{c}\n{c}\nw") for i, c in enumerate(" \t\x0b\x0c\rabefnrtuvxABC0123456789\\'")]
     docs = table(rows)
     got = collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
                               for r in quality(docs).collect())
