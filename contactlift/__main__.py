@@ -44,7 +44,7 @@ def main(argv=None) -> None:
         for k, v in ingest_snapshots(spark, args.source, args.out, args.raw_month).items():
             print(k, v)
     else:
-        from contactlift.operators import model as ML
+        from contactlift.operators import boosting as BO
         from contactlift.operators.projections import feature_columns, label_from_class
         from contactlift.plans.trials import fit
         from contactlift.sources import files as IO
@@ -52,11 +52,11 @@ def main(argv=None) -> None:
         train = label_from_class(IO.scan_columnar(spark, args.train))
         apply_ = IO.scan_columnar(spark, args.apply)
         feats = [c for c in feature_columns(train, args.id) if c in apply_.columns]
-        f = fit(train, feats, ML.profile_a(args.eta, args.rounds, args.colsample))
+        f = fit(train, feats, BO.profile_a(args.eta, args.rounds, args.colsample))
         probs = f.predict(apply_, args.id, name="prob_positivo")
         IO.export_ranked_probs(probs, f"{args.out}/ranked", args.id)
         IO.export_target_ids(probs, f"{args.out}/ids", args.cutoff, args.id)
-        IO.sink_delimited(ML.importance_frame(spark, f.model, f.prepared.names), f"{args.out}/importance", line_sep="\r\n")
+        IO.sink_delimited(f.importance_frame(spark), f"{args.out}/importance", line_sep="\r\n")
         print("written", args.out)
 
 

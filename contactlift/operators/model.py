@@ -141,6 +141,13 @@ def feature_matrix(df: DataFrame, features: Sequence[str], id_col: str = "id_cli
     return prep.transform(df, label).select(*cols)
 
 
+def matrix_rows(df: DataFrame, features: Sequence[str], id_col: str = "id_cliente", label: str = "clase01") -> DataFrame:
+    """(id, label, features array of doubles) with missing values (NULL or NaN) as NULL: the matrix a booster that routes
+    missing values by itself reads."""
+    x = F.array(*[F.expr(f"nullif(cast(`{f}` as double), double('NaN'))") for f in features]).alias(FEATURES)
+    return df.select(id_col, *([F.col(label).cast("int").alias(LABEL)] if label in df.columns else []), x)
+
+
 def profile_a(eta: float = 0.04, nrounds: int = 300, colsample_bytree: float = 0.6, max_depth: int = 6,
               seed: int = 102191) -> GBTClassifier:
     """Histogram trees, 31 bins (the xgboost profile); defaults are its recorded default run."""

@@ -1,4 +1,4 @@
-"""Registered model-job queries (MLlib). Not SQL-expressible: the driver checks rows only.
+"""Registered model-job queries: the two boosting profiles of ``operators.boosting``.
 
 Round counts are kept small so the checks stay quick; the parameters are arguments of the
 library functions, not limits of them.
@@ -7,11 +7,12 @@ library functions, not limits of them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactlift.operators import boosting as BO
 from contactlift.operators import metrics as M
 from contactlift.operators import model as ML
 from contactlift.operators import packs as P
@@ -23,9 +24,12 @@ from contactlift.session import scratch_path
 from contactlift.sources import files as IO
 
 MODEL_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+# SQL of those that have one: inputs, and invariants that hold for any trained model.
+MODEL_ORACLE: dict[str, str] = {}
 
-ROUNDS = 10
-SEEDS = (19381, 19387)
+ROUNDS = 15
+# The first recorded seeds; every comparison trains all of them in the same passes.
+SEEDS = (19381, 19387, 19391, 19403, 19417)
 # Recorded parameter sets. Profile A: default run, tuned run, and the set used by
 # the blends; profile B: the search's choice, and the set used by the blends.
 DEFAULT_A = {"eta": 0.04, "colsample_bytree": 0.6}
@@ -35,6 +39,17 @@ CHOSEN_B = {"learning_rate": 0.0155, "feature_fraction": 0.33, "max_depth": 7}
 BLEND_B = {"learning_rate": 0.015, "feature_fraction": 0.33, "max_depth": 7}
 
 
+# The out-of-fold table's parameter sets, one of its own and a grid of 24, numbered from 100.
+OOF_GRID = [{"learning_rate": 0.3, "max_depth": 4, "min_data_in_leaf": 10, "feature_fraction": 1.0}] + [
+    {"learning_rate": rate, "max_depth": depth, "min_data_in_leaf": rows, "feature_fraction": fraction}
+    for rate in (0.3, 0.03) for depth in (2, 6, 12) for rows in (1, 100) for fraction in (0.5, 1.0)]
+OOF_GRID = [{"id": 100 + i, "min_gain_to_split": 1.0, "lambda_l1": 10.0, "lambda_l2": 20.0, **p} for i, p in enumerate(OOF_GRID)]
+
+
+def oof_params(p: dict) -> BO.Params:
+    return BO.profile_b(num_iterations=ROUNDS, num_leaves=2048, max_bin=255, **{k: v for k, v in p.items() if k != "id"})
+
+
 def model_query(name: str):
     def deco(fn):
         MODEL_QUERIES[name] = fn
@@ -55,11 +70,11 @@ def feats(df: DataFrame) -> list[str]:
 
 
 def est_a(params=DEFAULT_A, rounds=ROUNDS, seed=S.MASTER_SEED):
-    return ML.profile_a(params["eta"], rounds, params["colsample_bytree"], seed=seed)
+    return BO.profile_a(params["eta"], rounds, params["colsample_bytree"], seed=seed)
 
 
 def est_b(params=CHOSEN_B, rounds=ROUNDS, seed=S.MASTER_SEED):
-    return ML.profile_b(params["learning_rate"], rounds, params["feature_fraction"], params.get("max_depth", 6), seed=seed)
+    return BO.profile_b(params["learning_rate"], rounds, params["feature_fraction"], params.get("max_depth", 6), seed=seed)
 
 
 def split(df: DataFrame, seed: int = -1):
@@ -68,9 +83,18 @@ def split(df: DataFrame, seed: int = -1):
 
 @model_query("feature_matrix")
 def q_feature_matrix(spark, sf):
+    """(id, label, one column per position of the matrix row), missing values kept for the booster to route."""
     df = cards(spark, sf)
-    m = ML.feature_matrix(df, feats(df))
-    return m.select("id_cliente", "label", vector_to_array("features").alias("features"))
+    fs = feats(df)
+    m = ML.matrix_rows(df, fs)
+    return m.select("id_cliente", "label", *[F.col("features")[i].alias(f"x{i}") for i in range(len(fs))])
+
+
+MODEL_ORACLE["feature_matrix"] = FX.with_views("""select id_cliente, case when clase = 'SI' then 1 else 0 end as label,
+       cast(Master_msaldototal as double) as x0, cast(Master_tconsumos as double) as x1, cast(Master_mlimitecompra as double) as x2,
+       cast(Master_mpagominimo as double) as x3, cast(Visa_msaldototal as double) as x4, cast(Visa_tconsumos as double) as x5,
+       cast(Visa_mlimitecompra as double) as x6, cast(Visa_mpagominimo as double) as x7
+from f_cards""", f_cards=FX.CARDS_SQL)
 
 
 @model_query("train_profile_a")
@@ -96,17 +120,16 @@ def q_predict(spark, sf):
 @model_query("feature_importance")
 def q_importance(spark, sf):
     df = cards(spark, sf)
-    f = T.fit(df, feats(df), est_a())
-    return ML.importance_frame(spark, f.model, f.prepared.names)
+    return T.fit(df, feats(df), est_a()).importance_frame(spark)
 
 
 @model_query("export_importance")
 def q_export_importance(spark, sf):
     df = cards(spark, sf)
-    f = T.fit(df, feats(df), est_a())
     path = scratch_path(spark, "importance")
-    IO.sink_delimited(ML.importance_frame(spark, f.model, f.prepared.names), path, line_sep="\r\n")
-    return IO.scan_delimited(spark, path, "feature string, importance double")
+    IO.sink_delimited(T.fit(df, feats(df), est_a()).importance_frame(spark), path, line_sep="\r\n")
+    return spark.read.option("sep", "\t").option("header", True).option("lineSep", "\r\n").schema(
+        "feature string, gain double, cover double, frequency double").csv(path)
 
 
 @model_query("train_score_workflow")
@@ -147,9 +170,13 @@ def q_baseline_run(spark, sf):
     base = scratch_path(spark, "baseline")
     IO.export_ranked_probs(probs, f"{base}/ranked")
     IO.export_target_ids(probs, f"{base}/ids", 0.025)
-    IO.sink_delimited(ML.importance_frame(spark, f.model, f.prepared.names), f"{base}/importance", line_sep="\r\n")
-    return spark.read.option("sep", "\t").option("header", True).option("lineSep", "\r\n").schema(
-        "id_cliente bigint, prob_positivo double").csv(f"{base}/ranked")
+    IO.sink_delimited(f.importance_frame(spark), f"{base}/importance", line_sep="\r\n")
+    lines = spark.read.option("sep", "\t").option("lineSep", "\r\n")
+    ranked = lines.option("header", True).schema("id_cliente bigint, prob_positivo double").csv(f"{base}/ranked")
+    targets = lines.option("header", False).schema("id_cliente bigint").csv(f"{base}/ids").withColumn("contacted", F.lit(True))
+    used = lines.option("header", True).schema("feature string, gain double").csv(f"{base}/importance").agg(F.count(F.lit(1)).alias("n_features"))
+    return (ranked.join(targets, "id_cliente", "left").withColumn("contacted", F.coalesce("contacted", F.lit(False)))
+            .withColumn("n_features", F.lit(used.first()["n_features"])))
 
 
 def _blend(train: DataFrame, test: DataFrame, features, seed: int = S.MASTER_SEED) -> DataFrame:
@@ -177,39 +204,51 @@ def q_blended_delivery(spark, sf):
     return spark.read.option("lineSep", "\r\n").schema("id_cliente bigint").csv(path)
 
 
+def _blend_variant(features) -> T.Variant:
+    return T.Variant(tuple(features), ((est_a(BLEND_A), 0.7), (est_b(BLEND_B), 0.3)))
+
+
 @model_query("holdout_comparison")
 def q_holdout(spark, sf):
     """Per training seed: default profile A on raw features against the blend on the standard
-    pack, both scored on the same external labelled set."""
+    pack, both scored on the same external labelled set. All seeds are trained in the same passes."""
     df = wide(spark, sf)
     train, hold = split(df)
     (train_fe, fs), (hold_fe, _) = _std(train), _std(hold)
+    raw = feats(df)
+
+    def seeds_of(data, features, params):
+        return BO.train(data, features, [BO.Job(replace(params, seed=s), group=i) for i, s in enumerate(SEEDS)])[0]
+
+    base, a, b = seeds_of(train, raw, est_a(DEFAULT_A)), seeds_of(train_fe, fs, est_a(BLEND_A)), seeds_of(train_fe, fs, est_b(BLEND_B))
     rows = []
-    for seed in SEEDS:
-        base = T.fit(train, feats(df), est_a(DEFAULT_A, seed=seed)).predict(hold, keep=["clase01"])
-        blend = _blend(train_fe, hold_fe, fs, seed)
-        for name, p in (("baseline", base), ("blend", blend)):
+    for i, seed in enumerate(SEEDS):
+        j = a[i].predict(hold_fe, keep=["clase01"], name="prob_a").join(b[i].predict(hold_fe, name="prob_b"), "id_cliente")
+        blend = j.select("clase01", (F.lit(0.7) * F.col("prob_a") + F.lit(0.3) * F.col("prob_b")).alias("prob"))
+        for name, p in (("baseline", base[i].predict(hold, keep=["clase01"])), ("blend", blend)):
             rows.append(M.profit_score(p.withColumnRenamed("clase01", "target")).select(
                 F.lit(seed).alias("seed"), F.lit(name).alias("model"), "profit"))
     return T._union(rows)
 
 
+def _enriched(df: DataFrame, packs) -> tuple[DataFrame, list[str]]:
+    names = []
+    for pk in packs:
+        df = P.apply_pack(df, pk)
+        names += P.pack_columns(pk)
+    return df, names
+
+
 @model_query("feature_pack_comparison")
 def q_pack_comparison(spark, sf):
     """Raw features, + standard pack, + standard then extended packs; default profile A; % of raw."""
     df = wide(spark, sf)
     raw = feats(df)
-    stacks = {"none": [], "std": ["std"], "extended": ["std", "extended"]}
-    variants = {}
-    for name, packs in stacks.items():
-        def run(train, test, seed, packs=packs):
-            tr, te, fs = train, test, list(raw)
-            for pk in packs:
-                tr, te = P.apply_pack(tr, pk), P.apply_pack(te, pk)
-                fs += P.pack_columns(pk)
-            return T.fit(tr, fs, est_a(DEFAULT_A, seed=seed)).predict(te, keep=["clase01"])
-        variants[name] = run
-    return T.compare_over_seeds(df, SEEDS, variants, "none")
+    full, added = _enriched(df, ["std", "extended"])
+    n = len(P.pack_columns("std"))
+    lists = {"none": raw, "std": raw + added[:n], "extended": raw + added}
+    variants = {name: T.Variant(tuple(fs), ((est_a(DEFAULT_A), 1.0),)) for name, fs in lists.items()}
+    return T.compare_params(full, SEEDS, variants, "none")
 
 
 @model_query("model_comparison")
@@ -218,20 +257,14 @@ def q_model_comparison(spark, sf):
     blend on the standard pack; % of baseline."""
     df = wide(spark, sf)
     raw = feats(df)
-
-    def enriched(fn):
-        def run(tr, te, s):
-            (tr_fe, fs), (te_fe, _) = _std(tr), _std(te)
-            return fn(tr_fe, te_fe, fs, s)
-        return run
-
+    full, fs = _std(df)
     variants = {
-        "baseline": lambda tr, te, s: T.fit(tr, raw, est_a(DEFAULT_A, seed=s)).predict(te, keep=["clase01"]),
-        "profile_a": enriched(lambda tr, te, fs, s: T.fit(tr, fs, est_a(BLEND_A, seed=s)).predict(te, keep=["clase01"])),
-        "profile_b": enriched(lambda tr, te, fs, s: T.fit(tr, fs, est_b(BLEND_B, seed=s)).predict(te, keep=["clase01"])),
-        "blend": enriched(lambda tr, te, fs, s: _blend(tr, te, fs, s)),
+        "baseline": T.Variant(tuple(raw), ((est_a(DEFAULT_A), 1.0),)),
+        "profile_a": T.Variant(tuple(fs), ((est_a(BLEND_A), 1.0),)),
+        "profile_b": T.Variant(tuple(fs), ((est_b(BLEND_B), 1.0),)),
+        "blend": _blend_variant(fs),
     }
-    return T.compare_over_seeds(df, SEEDS, variants, "baseline")
+    return T.compare_params(full, SEEDS, variants, "baseline")
 
 
 @model_query("tuned_comparison")
@@ -243,11 +276,10 @@ def q_tuned(spark, sf):
     raw = feats(df)
     (train_fe, fs), (test_fe, _) = _std(train), _std(test)
     seed = 102191
-    runs = {
-        "default_raw": T.fit(train, raw, est_a(DEFAULT_A, seed=seed)).predict(test, keep=["clase01"]),
-        "tuned_raw": T.fit(train, raw, est_a(TUNED_A, rounds=ROUNDS * 3 // 2, seed=seed)).predict(test, keep=["clase01"]),
-        "default_std": T.fit(train_fe, fs, est_a(DEFAULT_A, seed=seed)).predict(test_fe, keep=["clase01"]),
-    }
+    default, tuned = est_a(DEFAULT_A, seed=seed), est_a(TUNED_A, rounds=ROUNDS * 3 // 2, seed=seed)
+    a, b = BO.train(train, raw, [BO.Job(default), BO.Job(tuned)])[0]
+    runs = {"default_raw": a.predict(test, keep=["clase01"]), "tuned_raw": b.predict(test, keep=["clase01"]),
+            "default_std": T.fit(train_fe, fs, default).predict(test_fe, keep=["clase01"])}
     rows = [M.profit_score(p.withColumnRenamed("clase01", "target")).select(F.lit(n).alias("variant"), "profit")
             for n, p in runs.items()]
     return T._union(rows)
@@ -262,19 +294,16 @@ def q_sweep_experiment(spark, sf):
 @model_query("oof_score_table")
 def q_oof(spark, sf):
     df = cards(spark, sf)
-    grid = [{"id": 100, "learning_rate": 0.02, "feature_fraction": 0.5},
-            {"id": 101, "learning_rate": 0.05, "feature_fraction": 0.8}]
-    make = lambda p: ML.profile_b(p["learning_rate"], ROUNDS, p["feature_fraction"])
-    return T.oof_score_table(df, feats(df), grid, make, k=5, inner_folds=3, patience=5)
+    return T.oof_score_table(df, feats(df), OOF_GRID, oof_params, k=5, inner_folds=3, patience=5)
 
 
 @model_query("trial_evaluation")
 def q_trials(spark, sf):
     df = cards(spark, sf)
     trials = spark.createDataFrame([(1, 0.04, 0.6), (2, 0.0245, 0.212)], "trial_id int, eta double, colsample_bytree double")
-    make = lambda p: ML.profile_a(p["eta"], ROUNDS, p["colsample_bytree"])
+    make = lambda p: BO.profile_a(p["eta"], ROUNDS, p["colsample_bytree"])
     log = T.TrialLog(spark)
-    return T.trial_evaluation(df, feats(df), trials, make, SEEDS, log, k=3)
+    return T.trial_evaluation(df, feats(df), trials, make, SEEDS, log, k=5)
 
 
 @model_query("train_profile_a_vectors")

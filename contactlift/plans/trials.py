@@ -1,5 +1,8 @@
 """Experiment jobs: cross-validated profit logs, early stopping, trials over seeds, comparisons.
 
+A booster is a ``boosting.Params`` (the two profiles of the model jobs) or an MLlib ``GBTClassifier``. With ``Params``, folds,
+seeds and parameter sets that read the same rows are trained in the same passes over one binned copy of them.
+
 Every experiment is a small driver-side loop over *parameters* (folds, seeds, parameter sets:
 driver-size lists), each step launching distributed Spark jobs; no row-level data reaches the
 driver. Independent fits run concurrently from a thread pool, as ``CrossValidator(parallelism=)``
@@ -10,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, replace
 from functools import reduce
 from hashlib import md5
 
@@ -21,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from contactlift.operators import boosting as BO
 from contactlift.operators import metrics as M
 from contactlift.operators import model as ML
 from contactlift.operators import sampling as S
 from contactlift.session import reliable_checkpoint, scratch_path
 
-Estimator = Callable[[], GBTClassifier]
+Booster = GBTClassifier | BO.Params
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
@@ -54,8 +58,10 @@ class Fitted:
         return ML.predict_probs(self.model, self.prepared.transform(df), id_col, keep, name, self.offset)
 
 
-def fit(train: DataFrame, features: Sequence[str], estimator: GBTClassifier, label: str = "clase01") -> Fitted:
-    """Missing-value step fitted on the training rows, then the booster, started at their positive rate."""
+def fit(train: DataFrame, features: Sequence[str], estimator: Booster, label: str = "clase01") -> Fitted | BO.Boosted:
+    """The booster, started at the positive rate of the training rows; for MLlib, after the missing-value step fitted on them."""
+    if isinstance(estimator, BO.Params):
+        return BO.fit(train, features, estimator, label)
     prep = ML.Prepared.fit(train, features)
     # MLlib reads its input several times (split candidates, metadata, binning): persist it once
     data = prep.transform(train, label).select(ML.FEATURES, ML.LABEL).persist(StorageLevel.MEMORY_AND_DISK)
@@ -67,7 +73,19 @@ def fit(train: DataFrame, features: Sequence[str], estimator: GBTClassifier, lab
     return Fitted(prep, model, offset)
 
 
-def cv_profit_log(df: DataFrame, features: Sequence[str], estimator: GBTClassifier, k: int = 5,
+def cv_profit_logs(folded: DataFrame, features: Sequence[str], sets: Sequence[BO.Params], k: int = 5, label: str = "clase01",
+                   cutoff: float = M.CUTOFF, relative: bool = True, fold: str = "fold", patience: int | None = None) -> DataFrame:
+    """The profit log of several parameter sets over the folds of one table, all in the same passes: (set, fold, iter, profit).
+
+    With ``patience``, a set stops for itself when its mean over the folds has not risen for so many rounds.
+    """
+    jobs = [BO.Job(p, j, n) for n, p in enumerate(sets) for j in range(k)]
+    _, log = BO.train(folded, features, jobs, label, [fold], cutoff, relative, patience=patience)
+    rows = [(m // k, m % k, r, v) for m, r, v in log]  # models x rounds
+    return folded.sparkSession.createDataFrame(rows, "set int, fold int, iter int, profit double")
+
+
+def cv_profit_log(df: DataFrame, features: Sequence[str], estimator: Booster, k: int = 5,
                   seed: int = S.MASTER_SEED, label: str = "clase01", id_col: str = "id_cliente",
                   cutoff: float = M.CUTOFF, parallelism: int | None = None, folded: DataFrame | None = None,
                   relative: bool = True) -> DataFrame:
@@ -75,6 +93,11 @@ def cv_profit_log(df: DataFrame, features: Sequence[str], estimator: GBTClassifi
     own = folded is None
     if own:
         folded = S.stratified_folds(df, k, seed, [label], id_col).persist(StorageLevel.MEMORY_AND_DISK)
+    if isinstance(estimator, BO.Params):
+        log = cv_profit_logs(folded, features, [estimator], k, label, cutoff, relative).drop("set")
+        if own:
+            folded.unpersist()
+        return log
 
     def one(j: int) -> DataFrame:
         train = folded.where(F.col("fold") != j)
@@ -110,11 +133,18 @@ def cv_best_score(log: DataFrame) -> DataFrame:
         F.col("iter").alias("best_iter"), F.col("test_mean").alias("best_score"), "test_std")
 
 
-def early_stop_rounds(train: DataFrame, features: Sequence[str], estimator: GBTClassifier, k: int = 3,
+def early_stop_rounds(train: DataFrame, features: Sequence[str], estimator: Booster, k: int = 3,
                       patience: int = 30, seed: int = S.MASTER_SEED, label: str = "clase01",
                       id_col: str = "id_cliente", cutoff: float = M.CUTOFF, relative: bool = False,
-                      parallelism: int | None = None, refit_on: DataFrame | None = None) -> tuple[int, Fitted]:
-    """Best round from a k-fold CV profit log (patience rounds), then a refit on all training rows, or on ``refit_on``."""
+                      parallelism: int | None = None, refit_on: DataFrame | None = None) -> tuple[int, Fitted | BO.Boosted]:
+    """Best round from a k-fold CV profit log (patience rounds), then a refit on all training rows, or on ``refit_on``.
+
+    ``Params`` train ``patience`` rounds beyond the best one and stop; an MLlib estimator trains all its rounds first.
+    """
+    if isinstance(estimator, BO.Params):
+        whole = train if refit_on is None else refit_on
+        (best, model), = early_stop_sets(train, features, [estimator], whole, k, patience, seed, label, id_col, cutoff, relative)
+        return best, model
     log = cv_profit_log(train, features, estimator, k, seed, label, id_col, cutoff, parallelism, relative=relative)
     curve = [(r["iter"], r["test_mean"]) for r in cv_summary(log).collect()]  # one row per round
     best = ML.best_round(curve, patience)
@@ -122,10 +152,28 @@ def early_stop_rounds(train: DataFrame, features: Sequence[str], estimator: GBTC
     return best, refit
 
 
-def train_score_workflow(df: DataFrame, features: Sequence[str], estimator: GBTClassifier,
+def early_stop_sets(train: DataFrame, features: Sequence[str], sets: Sequence[BO.Params], refit_on: DataFrame, k: int = 3,
+                    patience: int = 30, seed: int = S.MASTER_SEED, label: str = "clase01", id_col: str = "id_cliente",
+                    cutoff: float = M.CUTOFF, relative: bool = False) -> list[tuple[int, BO.Boosted]]:
+    """For each parameter set the best round of its CV on ``train`` and a model of so many rounds on ``refit_on``.
+
+    All sets share the folds' passes, and all refits share theirs.
+    """
+    folded = S.stratified_folds(train, k, seed, [label], id_col).persist(StorageLevel.MEMORY_AND_DISK)
+    log = cv_profit_logs(folded, features, sets, k, label, cutoff, relative, patience=patience)
+    curves: dict[int, list[tuple[int, float]]] = {}
+    for r in M.cv_fold_summary(log, by=["set"], iter_col="iter", fold="fold", value="profit").collect():  # sets x rounds
+        curves.setdefault(r["set"], []).append((r["iter"], r["test_mean"]))
+    folded.unpersist()
+    best = [ML.best_round(curves.get(n, []), patience) for n in range(len(sets))]
+    models, _ = BO.train(refit_on, features, [BO.Job(replace(p, rounds=b)) for p, b in zip(sets, best)], label)
+    return list(zip(best, models))
+
+
+def train_score_workflow(df: DataFrame, features: Sequence[str], estimator: Booster,
                          split: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None,
                          test: DataFrame | None = None, label: str = "clase01", id_col: str = "id_cliente",
-                         cutoff: float = M.CUTOFF) -> tuple[Fitted, DataFrame, DataFrame]:
+                         cutoff: float = M.CUTOFF) -> tuple[Fitted | BO.Boosted, DataFrame, DataFrame]:
     """Optional split -> train -> predict -> profit. Returns (fitted, predictions, profit row)."""
     if split is None and test is None:
         raise ValueError("give a split or a test frame: rows that were trained on are not a test")
@@ -166,7 +214,7 @@ class TrialLog:
             f"{self.path}/trial_id={trial_id}/seed={seed}/run={key}")
 
 
-def trial_evaluation(df: DataFrame, features: Sequence[str], trials: DataFrame, make: Callable[[dict], GBTClassifier],
+def trial_evaluation(df: DataFrame, features: Sequence[str], trials: DataFrame, make: Callable[[dict], Booster],
                      seeds: Sequence[int], log: TrialLog, k: int = 5, label: str = "clase01",
                      id_col: str = "id_cliente", parallelism: int | None = None) -> DataFrame:
     """For each parameter set and seed: k-fold CV objective (top-5 mean); mean over seeds per trial.
@@ -180,8 +228,9 @@ def trial_evaluation(df: DataFrame, features: Sequence[str], trials: DataFrame,
     for row in grid.collect():  # trials x seeds: a parameter list
         p = row.asDict()
         est = make({c: p[c] for c in params})
+        own = asdict(est).items() if isinstance(est, BO.Params) else [(x.name, v) for x, v in est.extractParamMap().items()]
         what = [sorted((c, repr(p[c])) for c in params), k, sorted(features), label, id_col,
-                sorted((str(x.name), repr(v)) for x, v in est.extractParamMap().items() if x.name != "seed")]
+                sorted((str(x), repr(v)) for x, v in own if x != "seed")]
         wanted.append((p["trial_id"], p["seed"], "r" + md5(repr(what).encode()).hexdigest()[:12]))
     keys = df.sparkSession.createDataFrame(
         wanted, StructType([grid.schema["trial_id"], grid.schema["seed"], StructField("run", StringType())]))
@@ -195,7 +244,21 @@ def trial_evaluation(df: DataFrame, features: Sequence[str], trials: DataFrame,
         out = y.select(*[F.lit(p[c]).alias(c) for c in params], "y")
         log.record(out, p["trial_id"], p["seed"], p["run"])
 
-    parallel_map(one, todo, parallelism)
+    def together(seed) -> None:
+        """All unfinished trials of a seed whose estimators are ``Params``, over the seed's folds."""
+        mine = [row.asDict() for row in todo if row["seed"] == seed]
+        folded = S.stratified_folds(df, k, int(seed), [label], id_col).persist(StorageLevel.MEMORY_AND_DISK)
+        sets = [replace(make({c: p[c] for c in params}), seed=int(seed)) for p in mine]
+        cv = reliable_checkpoint(cv_profit_logs(folded, features, sets, k, label))
+        for n, p in enumerate(mine):
+            y = cv_score(cv.where(F.col("set") == n)).select(F.col("top_mean").alias("y"))
+            log.record(y.select(*[F.lit(p[c]).alias(c) for c in params], "y"), p["trial_id"], p["seed"], p["run"])
+        folded.unpersist()
+
+    if todo and isinstance(make({c: todo[0][c] for c in params}), BO.Params):
+        parallel_map(together, sorted({row["seed"] for row in todo}), parallelism or 2)
+    else:
+        parallel_map(one, todo, parallelism)
     done = log.finished().join(keys, ["trial_id", "seed", "run"], "left_semi")
     return M.seed_mean(done, ["trial_id", *params], "y")
 
@@ -210,24 +273,90 @@ def compare_over_seeds(df: DataFrame, seeds: Sequence[int], variants: dict[str,
     ``variants[name](train, test, seed)`` returns predictions (id, prob, label). Result: long
     (seed, variant, profit, pct_of_baseline).
     """
-    jobs = [(s, name) for s in seeds for name in variants]
+    def one(s: int) -> list[DataFrame]:
+        train, test = (x.persist(StorageLevel.MEMORY_AND_DISK) for x in S.train_test_split(df, 0.7, s, list(strata), id_col))
+        out = []
+        for name, run in variants.items():
+            prof = M.profit_score(run(train, test, s).withColumnRenamed(label, "target"))
+            out.append(reliable_checkpoint(prof.select(F.lit(s).alias("seed"), F.lit(name).alias("variant"), "profit")))
+        train.unpersist()
+        test.unpersist()
+        return out
 
-    def one(job) -> DataFrame:
-        s, name = job
-        train, test = S.train_test_split(df, 0.7, s, list(strata), id_col)
-        preds = variants[name](train, test, s)
-        prof = M.profit_score(preds.withColumnRenamed(label, "target"))
-        return prof.select(F.lit(s).alias("seed"), F.lit(name).alias("variant"), "profit")
+    long = reliable_checkpoint(_union([x for xs in parallel_map(one, list(seeds), parallelism) for x in xs]))  # seeds x variants rows
+    return _against(long, baseline)
 
-    long = reliable_checkpoint(_union(parallel_map(one, jobs, parallelism)))  # seeds x variants rows
+
+def _against(long: DataFrame, baseline: str) -> DataFrame:
     base = long.where(F.col("variant") == baseline).select("seed", F.col("profit").alias("__base"))
     return long.join(base, "seed").withColumn("pct_of_baseline", F.col("profit") / F.nullif(F.col("__base"), F.lit(0.0)) * 100.0).drop("__base")
 
 
-def cutoff_sweep_experiment(df: DataFrame, features: Sequence[str], estimator: GBTClassifier, seeds: Sequence[int],
+@dataclass(frozen=True)
+class Variant:
+    """What a comparison trains: shares of parameter sets over one feature list (the shares' weighted sum is the score)."""
+
+    features: tuple[str, ...]
+    parts: tuple[tuple[BO.Params, float], ...]
+
+
+def marked_splits(df: DataFrame, seeds: Sequence[int], strata: Sequence[str] = ("clase01",), id_col: str = "id_cliente",
+                  fraction: float = 0.7) -> tuple[DataFrame, list[str]]:
+    """``df`` with one column per seed that is 1 for the rows of the seed's test part and 0 for the others.
+
+    The test parts are narrow (id, seed) rows that are joined to the wide rows once, for all seeds.
+    """
+    names = [f"__test{i}" for i in range(len(seeds))]
+    tests = _union([S.train_test_split(df, fraction, s, list(strata), id_col)[1].select(id_col, F.lit(i).alias("__at")) for i, s in enumerate(seeds)])
+    marks = tests.groupBy(id_col).agg(*[F.max((F.col("__at") == i).cast("int")).alias(n) for i, n in enumerate(names)])
+    return df.join(marks, id_col, "left").fillna(0, names), names
+
+
+def compare_params(df: DataFrame, seeds: Sequence[int], variants: dict[str, Variant], baseline: str, label: str = "clase01",
+                   id_col: str = "id_cliente", strata: Sequence[str] = ("clase01",), cutoff: float = M.CUTOFF) -> DataFrame:
+    """``compare_over_seeds`` for ``Params``: every model that reads the same features and bins, whatever its seed or
+    variant, is trained in the same passes. Long (seed, variant, profit, pct_of_baseline)."""
+    marked, names = marked_splits(df, seeds, strata, id_col)
+    marked = reliable_checkpoint(marked).persist(StorageLevel.MEMORY_AND_DISK)
+    alike: dict[tuple, list[tuple[int, BO.Params]]] = {}
+    for v in variants.values():
+        for p, _ in v.parts:
+            for i, s in enumerate(seeds):
+                key, one = (v.features, p.max_bin), (i, replace(p, seed=int(s)))
+                if one not in alike.setdefault(key, []):
+                    alike[key].append(one)
+    trained = {}
+    for (features, bins), each in alike.items():
+        models, _ = BO.train(marked, list(features), [BO.Job(p, 1, n, i) for n, (i, p) in enumerate(each)], label, names)
+        trained.update({(features, i, p): m for (i, p), m in zip(each, models)})
+    rows = []
+    for name, v in variants.items():
+        for i, s in enumerate(seeds):
+            test = marked.where(F.col(names[i]) == 1)
+            preds = None
+            for n, (p, share) in enumerate(v.parts):
+                one = trained[v.features, i, replace(p, seed=int(s))].predict(test, id_col, keep=[label] if n == 0 else [], name=f"__p{n}")
+                preds = one if preds is None else preds.join(one, id_col)
+            prob = reduce(lambda a, b: a + b, [F.lit(float(share)) * F.col(f"__p{n}") for n, (_, share) in enumerate(v.parts)])
+            profit = M.profit_score(preds.select(F.col(label).alias("target"), prob.alias("prob")), cutoff)
+            rows.append(profit.select(F.lit(s).alias("seed"), F.lit(name).alias("variant"), "profit"))
+    long = reliable_checkpoint(_union(rows))  # seeds x variants rows
+    marked.unpersist()
+    return _against(long, baseline)
+
+
+def cutoff_sweep_experiment(df: DataFrame, features: Sequence[str], estimator: Booster, seeds: Sequence[int],
                             label: str = "clase01", id_col: str = "id_cliente",
                             parallelism: int | None = None) -> DataFrame:
     """Per seed: split (with that seed), train, profit at each sweep cutoff on the test part; then the mean."""
+    if isinstance(estimator, BO.Params):
+        marked, names = marked_splits(df, seeds, [label], id_col)
+        marked = reliable_checkpoint(marked)
+        models, _ = BO.train(marked, features, [BO.Job(replace(estimator, seed=int(s)), 1, i, i) for i, s in enumerate(seeds)], label, names)
+        return M.mean_gain_by_cutoff(_union([
+            M.cutoff_sweep(m.predict(marked.where(F.col(n) == 1), id_col, keep=[label]).withColumnRenamed(label, "target"))
+            .withColumn("seed", F.lit(s)) for m, n, s in zip(models, names, seeds)]))
+
     def one(s: int) -> DataFrame:
         train, test = S.train_test_split(df, 0.7, s, [label], id_col)
         f = fit(train, features, estimator.copy().setSeed(s), label)
@@ -238,12 +367,14 @@ def cutoff_sweep_experiment(df: DataFrame, features: Sequence[str], estimator: G
     return M.mean_gain_by_cutoff(sweeps)
 
 
-def oof_score_table(df: DataFrame, features: Sequence[str], grid: Sequence[dict], make: Callable[[dict], GBTClassifier],
+def oof_score_table(df: DataFrame, features: Sequence[str], grid: Sequence[dict], make: Callable[[dict], Booster],
                     k: int = 5, seed: int = S.MASTER_SEED, undersampling: float = 0.2, inner_folds: int = 3,
                     patience: int = 30, label: str = "clase01", id_col: str = "id_cliente",
                     parallelism: int | None = None) -> DataFrame:
     """Every parameter set x outer fold: undersample the rest, pick rounds by inner CV, refit on the
-    whole rest, predict the fold; long (id, model_id, prob) pivoted to one column per parameter set."""
+    whole rest, predict the fold; long (id, model_id, prob) pivoted to one column per parameter set.
+
+    With ``Params``, all sets of an outer fold share the passes of the inner CV, and of the refits."""
     folded = S.uniform_sample_column(S.stratified_folds(df, k, seed, [label], id_col), seed)
     folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
     cutoff = (500 / undersampling) / (19500 + 500 / undersampling)
@@ -258,7 +389,18 @@ def oof_score_table(df: DataFrame, features: Sequence[str], grid: Sequence[dict]
         held = folded.where(F.col("fold") == j)
         return refit.predict(held, id_col).withColumn("model_id", F.lit(int(p["id"])))
 
-    long = _union(parallel_map(one, jobs, parallelism))
+    def together(j: int) -> DataFrame:
+        train = S.undersample_majority(folded, undersampling, fold=j, label=label).drop("fold", "sample")
+        sets = [make(p) for p in grid]
+        refits = early_stop_sets(train, features, sets, S.fold_complement(folded, j).drop("fold", "sample"), inner_folds, patience, seed,
+                                 label, id_col, cutoff, relative=False)
+        held = folded.where(F.col("fold") == j)
+        return _union([m.predict(held, id_col).withColumn("model_id", F.lit(int(p["id"]))) for p, (_, m) in zip(grid, refits)])
+
+    if grid and isinstance(make(grid[0]), BO.Params):
+        long = _union(parallel_map(together, list(range(k)), parallelism or 2))
+    else:
+        long = _union(parallel_map(one, jobs, parallelism))
     ids = [int(p["id"]) for p in grid]
     wide = long.groupBy(id_col).pivot("model_id", ids).agg(F.max("prob"))
     wide = reliable_checkpoint(wide.withColumnsRenamed({str(i): f"modelito_{i}" for i in ids}))
