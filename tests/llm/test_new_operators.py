@@ -360,3 +360,53 @@ def test_wide_ids_round_trip():
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([4], pa.int64()), "ids": pa.array([ids], pa.binary())})
     blob = b"".join(x.as_py() + b"\n" for b in T._records([batch], 4, b"") for x in b["record"])
     assert T.TokenFile(io.BytesIO(blob), b"").ids(4)[0].tobytes() == ids
+
+
+# --- repeated passages whose seeds have different first documents ---
+
+def quoted(n_quotes, size, seed):
+    r = random.Random(seed)
+    body = [f"p{r.randrange(10**6)}" for _ in range(60)]
+    quotes = []
+    for i in range(n_quotes):
+        at = round(i * (60 - size) / (n_quotes - 1))
+        quotes.append(" ".join([f"q{i}x{j}" for j in range(30)] + body[at:at + size] + [f"q{i}y{j}" for j in range(30)]))
+    whole = [" ".join([f"{c}{j}" for j in range(40)] + body + [f"{c}z{j}" for j in range(40)]) for c in "ab"]
+    return quotes, whole
+
+
+@pytest.mark.parametrize("n_quotes", [7, 42])
+@pytest.mark.parametrize("place", ["after", "before", "among"])
+def test_passages_quoted_in_pieces(spark, table, n_quotes, place):
+    from contactlift.llm.chains import repeated_passages
+
+    quotes, whole = quoted(n_quotes, 19, n_quotes)
+    order = {"after": quotes + whole, "before": whole + quotes, "among": [whole[0], *quotes, whole[1]]}[place]
+    got = repeated_passages(table(list(enumerate(order)), parts=1 if place == "after" else 3)).collect()
+    both = {order.index(w) for w in whole}
+    assert {r["doc_id"] for r in got} == both
+    assert all(r["first_word"] <= 40 + 8 and r["first_word"] + r["n_words"] >= 100 - 8 for r in got)
+
+
+def test_shared_pieces_against_all_pairs(spark, table):
+    from contactlift.llm.chains import repeated_passages
+
+    r = random.Random(77)
+    pool = [[f"p{i}x{r.randrange(10**6)}" for _ in range(r.randrange(50, 120))] for i in range(25)]
+    docs = []
+    for d in range(70):
+        text = []
+        for _ in range(r.randrange(1, 5)):
+            text += [f"d{d}u{r.randrange(10**6)}" for _ in range(r.randrange(30, 60))]
+            piece = r.choice(pool)
+            a = r.choice([0, 0, r.randrange(0, len(piece) - 18)])
+            text += piece[a:] if a == 0 else piece[a:a + r.choice([18, 25])]
+        docs.append(text + [f"d{d}end"])
+    grams: dict = {}
+    for d, t in enumerate(docs):
+        for i in range(len(t) - 49):
+            grams.setdefault(tuple(t[i:i + 50]), set()).add(d)
+    want = {(d, i + j) for d, t in enumerate(docs) for i in range(len(t) - 49) if len(grams[tuple(t[i:i + 50])]) > 1 for j in range(50)}
+    got = repeated_passages(table([(d, " ".join(t)) for d, t in enumerate(docs)])).collect()
+    found = {(x["doc_id"], i) for x in got for i in range(x["first_word"], x["first_word"] + x["n_words"])}
+    assert want <= found and len(found - want) <= 8 * len(got)
