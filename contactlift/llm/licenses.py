@@ -13,7 +13,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactlift.llm.store import written
@@ -21,13 +21,20 @@ from contactlift.llm.store import written
 # Statements by which works name their licence.
 TEMPLATES = {
     "apache-2.0": ["Licensed under the Apache License, Version 2.0", "under the terms of the Apache License, Version 2.0",
-                   "SPDX-License-Identifier: Apache-2.0"],
+                   "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with "
+                   "the License", "SPDX-License-Identifier: Apache-2.0"],
     "mit": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy "
-            "of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
+            "of this software and associated documentation files", "Permission is hereby granted, free of charge, to any person "
+            "obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without "
+            "restriction", "SPDX-License-Identifier: MIT"],
     "gpl": ["This work is licensed under the GNU General Public License, version 3",
             "you can redistribute it and/or modify it under the terms of the GNU General Public License",
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+            "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
             "SPDX-License-Identifier: GPL-3.0-or-later"],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted",
+            "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+            "following conditions are met",
             "Released under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
                 "SPDX-License-Identifier: MPL-2.0"],
@@ -36,7 +43,13 @@ TEMPLATES = {
     "cc-by": ["Licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License"],
     "proprietary": ["All rights reserved", "No part of this work may be reproduced without written permission"],
 }
+# Names that are a notice if they are a whole line, perhaps with "the" before or "license" in brackets.
+TITLES = {"apache-2.0": ["Apache License", "Apache License, Version 2.0"], "mit": ["MIT License"],
+          "gpl": ["GNU General Public License", "GNU General Public License, version 3"],
+          "bsd": ["BSD License", "BSD 2-Clause License", "BSD 3-Clause License"], "mpl-2.0": ["Mozilla Public License, v. 2.0"]}
 FAMILIES = sorted(TEMPLATES)
+# A notice may be wrapped: a line is also read together with up to so many lines before and after it in its paragraph.
+BEFORE, AFTER = 3, 3
 UNKNOWN = len(FAMILIES)
 TRAIN_PARAGRAPHS = 2000  # bound of the sample of corpus paragraphs that the classifier is fitted on
 FEATURES = 1 << 14
@@ -61,6 +74,33 @@ def paragraphs(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return lines.where(F.length(F.trim("t")) > 0)
 
 
+def _wrapped(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, paragraph, t, alone, key): every line with a licence word, alone and in windows of its neighbours, which end at blank
+    lines. ``key`` tells the rows of the table apart; ``paragraph`` is the line's number, whatever the window."""
+    lines = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("key"),
+                        F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines")).where(F.array_size("lines") > 0)
+    cue = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(_cues()), i)), lambda i: i.isNotNull())
+    at = lines.withColumn("paragraph", F.explode(cue))
+
+    def near(step: int):  # a neighbour if no line up to it is blank, else null
+        between = [F.get("lines", F.col("paragraph") + (d if step > 0 else -d)) for d in range(1, abs(step) + 1)]
+        whole = F.lit(True)
+        for x in between:
+            whole = whole & F.coalesce(F.length(F.trim(x)) > 0, F.lit(False))
+        return F.when(whole, between[-1])
+
+    own = F.get("lines", F.col("paragraph"))
+    windows = [F.struct(F.lit(0).alias("size"), own.alias("t"))]
+    for before in range(BEFORE + 1):
+        for after in range(AFTER + 1):
+            if before + after:
+                parts = [near(-d) for d in range(before, 0, -1)] + [own] + [near(d) for d in range(1, after + 1)]
+                # concat is null where a neighbour is missing; that window is a shorter one's copy
+                windows.append(F.struct(F.lit(before + after).alias("size"), F.concat(*[y for x in parts for y in (x, F.lit(" "))]).alias("t")))
+    return (at.select("id", "key", "paragraph", F.explode(F.array(*windows)).alias("w"))
+            .select("id", "key", "paragraph", F.col("w.size").alias("size"), F.col("w.t").alias("t")).where("t IS NOT NULL"))
+
+
 def _features() -> Pipeline:
     steps, cols = [SQLTransformer(statement="SELECT *, substring(t, 1, 2147483647) AS whole FROM __THIS__"),
                    RegexTokenizer(inputCol="whole", outputCol="w1", pattern=TOKEN)], []
@@ -80,7 +120,7 @@ def training_rows(lines: DataFrame) -> DataFrame:
     plain = (lines.where(~F.col("t").rlike(_cues())).select(F.substring("t", 1, 400).alias("t"), F.xxhash64("id", "paragraph", "t").alias("h"))
              .orderBy("h", "t").limit(TRAIN_PARAGRAPHS))
     plain = written(plain.withColumn("part", F.pmod("h", F.lit(5))).withColumn("nr", F.pmod(F.shiftright("h", 8), F.lit(97))), "plain")
-    rows = spark.createDataFrame([(s, float(i)) for i, f in enumerate(FAMILIES) for s in TEMPLATES[f]], "s string, label double")
+    rows = spark.createDataFrame([(s, float(i)) for i, f in enumerate(FAMILIES) for s in TEMPLATES[f] + TITLES.get(f, [])], "s string, label double")
     forms = rows.select("label", F.explode(F.array(F.col("s"), F.concat("s", F.lit(".")), F.lower("s"), F.upper("s"),
                                                    F.concat(F.lit("Copyright the authors. "), F.col("s"), F.lit(".")))).alias("t"))
     around = (plain.where("nr < 8").join(rows.hint("broadcast"), F.pmod(F.xxhash64("h", "s"), F.lit(4)) == 0)
@@ -109,30 +149,44 @@ def fit(lines: DataFrame):
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per paragraph that names a licence: id_col, paragraph (line number from 0), family, probability, similarity.
+    """One row per line that names a licence: id_col, paragraph (line number from 0), family, probability, similarity.
 
-    A paragraph is classified whole. ``similarity`` is the largest share of a template's distinct words that it holds, of
+    A line is classified alone and together with its neighbours up to blank lines, as notices are wrapped; the smallest
+    window that is confirmed decides, and a wrapped notice is reported at its first line with a licence word. ``similarity`` is the largest share of a template's distinct words that it holds, of
     templates of its family; it is confirmed from 0.8 on. Paragraphs below the calibrated probability, or without a confirming template, are
     of unknown licence and not returned. Null, empty and word-free texts have none; equal rows each get their rows; null ids are
     allowed; extra columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     lines = paragraphs(docs, id_col, text)
-    named = written(lines.where(F.col("t").rlike(_cues())), "named")
+    named = _wrapped(docs, id_col, text)
+    # only what a template can confirm is classified, so the windows of a line cost little
+    named = written(named.withColumn("words", F.array_distinct(_words("t")))
+                    .withColumn("similar", F.array(*[_similarity("words", f) for f in FAMILIES]))
+                    .where(F.array_max("similar") >= CONFIRM).drop("words"), "named")
     if named.isEmpty():
         kind = docs.schema[id_col].dataType.simpleString()
         return spark.createDataFrame([], f"`{id_col}` {kind}, paragraph int, family string, probability double, similarity double")
     prepare, model, least = fit(lines)
-    got = model.transform(prepare.transform(named)).select("id", "paragraph", "t", *_best())
+    got = model.transform(prepare.transform(named)).select("id", "key", "paragraph", "size", "similar", *_best())
     got = got.where(F.col("probability_of_family") >= least)
-    words = F.array_distinct(_words("t"))
-    similar = F.lit(None).cast("double")
-    family = F.lit(None).cast("string")
-    for i, f in enumerate(FAMILIES):
-        shares = [F.size(F.array_intersect("words", bag)) / F.size(bag)
-                  for bag in (F.array_distinct(_words(F.lit(s))) for s in TEMPLATES[f])]
-        similar = F.when(F.col("family_nr") == i, F.greatest(*shares)).otherwise(similar)
-        family = F.when(F.col("family_nr") == i, F.lit(f)).otherwise(family)
-    got = got.withColumn("words", words).withColumn("similarity", similar)
-    return got.where(F.col("similarity") >= CONFIRM).select(F.col("id").alias(id_col), "paragraph", family.alias("family"),
-                                                            F.col("probability_of_family").alias("probability"), "similarity")
+    got = got.withColumn("similarity", F.get("similar", F.col("family_nr"))).where(F.col("similarity") >= CONFIRM)
+    family = F.get(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family_nr")).alias("family")
+    got = got.select("id", "key", "paragraph", "size", family, F.col("probability_of_family").alias("probability"), "similarity")
+    # a line's smallest window decides; a wrapped notice is reported once, at its first line
+    got = got.groupBy("id", "key", "paragraph").agg(F.min_by(F.struct("family", "probability", "similarity", "size"), F.struct(
+        "size", -F.col("probability"), "family")).alias("b")).select("id", "key", "paragraph", "b.*")
+    line = Window.partitionBy("id", "key", "family").orderBy("paragraph")
+    first = F.lag("paragraph").over(line)
+    again = (F.col("size") > 0) & F.coalesce(F.col("paragraph") - first <= BEFORE + AFTER, F.lit(False))
+    return got.withColumn("again", again).where(~F.col("again")).select(F.col("id").alias(id_col), "paragraph", "family", "probability", "similarity")
+
+
+def _similarity(words: str, family: str) -> Column:
+    """The largest share of a template's distinct words, 1 for a line that is one of the family's titles."""
+    shares = [F.size(F.array_intersect(F.col(words), bag)) / F.size(bag)
+              for bag in (F.array_distinct(_words(F.lit(s))) for s in TEMPLATES[family])]
+    plain = F.filter(words, lambda x: x != "the")
+    for s in TITLES.get(family, []):
+        shares.append(F.when((F.col("size") == 0) & (plain == F.array_distinct(_words(F.lit(s)))), 1.0).otherwise(0.0))
+    return F.greatest(*shares)

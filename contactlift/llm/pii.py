@@ -10,6 +10,8 @@ distinct supporters and a high score admit the unseen identifiers of a fitting s
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 from hashlib import sha256
 
 import pyarrow as pa
@@ -31,9 +33,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-_LIKE = re.compile(r"[0-9(][0-9().:/\x20-]{4,}[0-9]|[A-Za-z0-9._%+-]+(?:@|\(at\)|\[at\])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
+# Identifier-like strings, by run: each run is entered once, so scanning is linear for any text.
+_NUMBER = re.compile(r"[0-9().:/\x20-]{6,}+")
+_NUMBER_START = re.compile(r"[0-9(]")
+_MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|\(at\)|\[at\])[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+")
 _BEFORE = re.compile(r"[^\x20\x09-\x0D]+")
-_CONTEXT_CHARS = 80
+# A context is two whole words; a word of more characters than this is no part of one.
+_CONTEXT_WORD = 256
 
 
 def _luhn(digits: str) -> bool:
@@ -89,8 +95,35 @@ def _fits(s: str) -> list[str]:
 
 
 def _context(t: str, at: int) -> str | None:
-    w = _BEFORE.findall(t[max(0, at - _CONTEXT_CHARS):at].lower())[-2:]
-    return " ".join(w) if len(w) == 2 else None
+    size, most = 80, 2 * (_CONTEXT_WORD + 1) + 64
+    while True:
+        w = [m for m in _BEFORE.finditer(t, max(0, at - size), at)][-2:]
+        if len(w) == 2 and (w[0].start() > at - size or at <= size):
+            words = [m[0].lower() for m in w]
+            return None if max(map(len, words)) > _CONTEXT_WORD else " ".join(words)
+        if at <= size or size >= most:
+            return None
+        size = most
+
+
+def like_spans(t: str) -> list[tuple[int, int]]:
+    """Identifier-like strings of a text, leftmost first and not overlapping: from a digit or opening bracket to the last digit
+    of a run of digits and their marks (six characters at least), and words that an at sign joins, in whatever spelling."""
+    found = []
+    for m in _NUMBER.finditer(t):
+        a = _NUMBER_START.search(t, m.start(), m.end())
+        end = m.end()
+        while a and end > a.end() and not t[end - 1].isdigit():
+            end -= 1
+        if a and end - a.start() >= 6:
+            found.append((a.start(), end))
+    found += [m.span() for m in _MAIL.finditer(t)]
+    out, done = [], 0
+    for a, b in sorted(found, key=lambda s: s[0]):
+        if a >= done:
+            out.append((a, b))
+            done = b
+    return out
 
 
 def _found(t: str) -> list[dict]:
@@ -100,12 +133,14 @@ def _found(t: str) -> list[dict]:
            for k, a, b in base]
     if base or _DIGIT.search(t) or "@" in t or "at" in t:
         taken = sorted((a, b) for _, a, b in base)
-        for m in _LIKE.finditer(t):
-            if any(a < m.end() and m.start() < b for a, b in taken):
+        starts = [a for a, _ in taken]
+        ends = list(accumulate((b for _, b in taken), max))
+        for a, b in like_spans(t):
+            before = bisect_left(starts, b)
+            if before and ends[before - 1] > a:  # overlaps a base span
                 continue
-            if c := _context(t, m.start()):
-                out += [{"kind": k, "start": m.start(), "end": m.end(), "base": False, "context": c,
-                         "instance": m[0].lower()} for k in _fits(m[0])]
+            if c := _context(t, a):
+                out += [{"kind": k, "start": a, "end": b, "base": False, "context": c, "instance": t[a:b].lower()} for k in _fits(t[a:b])]
     return out
 
 

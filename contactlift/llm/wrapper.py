@@ -6,12 +6,14 @@ reference node of equal content are template; the others are slots. The content
 else the element, that holds the most text in slots; its text is the page's main text, whole, as lines of the article
 may well occur in other pages too. Elements whose tag, class, id or role names a menu, header, footer, sidebar, notice,
 advert, form, script, style or reader comment are never content; nor are template blocks (not headings or paragraphs)
-inside the slot.
+inside the slot. In an article-like element only boxes such as div are dropped as template: its lists, tables and quotations
+are its own, also if near copies on the same host repeat them. Scanning is linear: a tag ends at a "<" outside quotes, so unclosed tags are text.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
 
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 from contactlift.llm.store import written
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-                    r"|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
+                    r"|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|([^<]++|<)", re.S | re.I)
+# What follows the last ">": text, up to an unclosed comment.
+_REST = re.compile(r"(?:(?!<!--)[\s\S])++")
 _ATTR = re.compile(r"([A-Za-z][\w:-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 # HTML element classes.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,7 +40,10 @@ _BOILER = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advert[a-z]+|sponsor(?:ed|s)
                      r"disqus|respond|footer|masthead|share|social|related|pagination|skip-link)(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 REFERENCES = 3
+# Nodes that nest deeper are not aligned, so they are content unless their names tell otherwise.
+MOST_DEPTH = 400
 _KEPT_TEMPLATE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+_ARTICLE_OWN = frozenset("ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption".split())
 
 
 class Node:
@@ -59,12 +66,24 @@ def _opened(tag: str, attrs: str) -> Node:
     return Node(tag, f"{tag} {named.strip()}" if named.strip() else tag, never, main)
 
 
+def _tokens(html: str) -> Iterator[re.Match]:
+    """Matches of ``_TOKEN`` up to the last ">", then the text behind it, if no comment or element without tags is open there."""
+    last, m = html.rfind(">") + 1, None
+    for m in _TOKEN.finditer(html, 0, last):
+        yield m
+    if m and ((m[1] and not re.search(rf"</{m[1]}\s*>\Z", m[0], re.I)) or (m[0].startswith("<!--") and not m[0].endswith("-->"))):
+        return
+    rest = _REST.match(html, last)
+    if rest:
+        yield rest
+
+
 def parse(html: str) -> Node:
     """A tree of elements and texts; unclosed and stray tags are mended the way browsers do for simple cases."""
     root = Node("html", "html", False, False)
     stack = [root]
-    for m in _TOKEN.finditer(html):
-        text = m[5]
+    for m in _tokens(html):
+        text = m[0] if m.re is _REST else m[5]
         if text is not None:
             stack[-1].kids.append(text)
             continue
@@ -125,7 +144,7 @@ def simple_tree_matching(a: Node, b: Node, depth: int = 0) -> tuple[int, list[tu
     if a.label != b.label:
         return 0, []
     x, y = _groups(a), _groups(b)
-    if a.key == b.key or not x or not y or depth > 60:
+    if a.key == b.key or not x or not y or depth > MOST_DEPTH:
         return 1, [(a, b)]
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     pairs: dict[tuple[int, int], tuple[int, list]] = {}
@@ -212,7 +231,8 @@ def _blocks_of(n: Node) -> list[str]:
                 todo += [x for x in reversed(k.kids) if isinstance(x, Node) and x.tag in ("h1", "h2")]
             elif k.tag not in _INLINE:
                 end()
-        elif k is not n and k.template and k.tag not in _KEPT_TEMPLATE and k.tag not in _INLINE:
+        elif (k is not n and k.template and k.tag not in _KEPT_TEMPLATE and k.tag not in _INLINE
+              and not (n.main and k.tag in _ARTICLE_OWN)):
             end()
         elif k.tag in _INLINE:
             todo += reversed(k.kids)

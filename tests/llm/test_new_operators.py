@@ -410,3 +410,77 @@ def test_shared_pieces_against_all_pairs(spark, table):
     got = repeated_passages(table([(d, " ".join(t)) for d, t in enumerate(docs)])).collect()
     found = {(x["doc_id"], i) for x in got for i in range(x["first_word"], x["first_word"] + x["n_words"])}
     assert want <= found and len(found - want) <= 8 * len(got)
+
+
+# --- wrapped notices, articles that near copies repeat, long runs ---
+
+NOTICES = {
+    "mit": "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated "
+           "documentation files (the \"Software\"), to deal\nin the Software without restriction",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following "
+           "conditions\nare met",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as "
+           "published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "apache-2.0": "Licensed under the Apache License,\nVersion 2.0 (the \"License\"); you may not use this\nfile except in compliance"}
+
+
+def test_wrapped_notices(spark, table):
+    from contactlift.llm.licenses import scan
+
+    rows = [(i, f"{prose(30, i)}\n\n{t}\n\n{prose(30, i + 50)}") for i, t in enumerate(NOTICES.values())]
+    rows += [(10, "MIT License"), (11, "the license was lent with us\nthe reserved\n\nwords"), (12, NOTICES["gpl"].replace("\n", "\n\n"))]
+    rows += [(100 + i, prose(40, i) + "\n" + prose(30, 1000 + i)) for i in range(60)]
+    got = scan(table(rows)).collect()
+    assert {(r["doc_id"], r["family"]) for r in got} == {(i, f) for i, f in enumerate(NOTICES)} | {(10, "mit")}
+    assert sum(r["doc_id"] in (1, 2, 3) for r in got) == 3  # each once
+
+
+def test_equal_blocks_of_an_article_stay():
+    from contactlift.llm.wrapper import main_text
+
+    def page(x, menu):
+        return (f"<html><body>{menu}<article><h1>T</h1><p>para {x}</p><ul><li>one</li><li>two</li></ul><table><tr><td>a</td><td>b</td></tr></table>"
+                f"</article><div class='z'>same for all</div></body></html>")
+
+    deep = "<div class='q'>" * 200 + "<span>home about</span>" + "</div>" * 200
+    for menu in ("", deep):
+        assert main_text(page("one", menu), [page("two", menu)]).split("\n") == ["T", "para one", "one", "two", "a", "b"] or \
+            main_text(page("one", menu), [page("two", menu)]).replace("\n", " ").split() == "T para one one two a b".split()
+
+
+def test_deep_constant_menus_are_template():
+    from contactlift.llm.wrapper import main_text
+
+    def page(x):
+        menu = "<div>" * 150 + "<i>home about</i>" + "</div>" * 150
+        return f"<body>{menu}<div><p>{x}</p><p>more {x}</p></div></body>"
+
+    assert "home" not in main_text(page("a " * 50), [page("b " * 50)])
+
+
+def test_hard_texts_scan_in_linear_time():
+    import time
+
+    from contactlift.llm.pii import _found
+    from contactlift.llm.wrapper import main_text, parse
+
+    n = 1_000_000
+    for hard in ("a1" * (n // 2), "(" * n, "1." * (n // 2), " (" * (n // 2), "a@" * (n // 2), "+" * n, "a(at)b" * (n // 6), "1@b.c " * (n // 60)):
+        t = time.time()
+        _found(hard)
+        assert time.time() - t < 20, hard[:10]
+    for hard in ("<a " * (n // 3), "<a " * (n // 3) + ">", "<" * n, "<!-- " * (n // 5), "<script " * (n // 8), "<p>x" * 20000):
+        t = time.time()
+        parse(hard)
+        assert time.time() - t < 20, hard[:10]
+    assert main_text("<p>a<script>var x = 1; if (a > b) c", []) == "a" and main_text("<p>a</p>tail", []) == "a\ntail"
+    assert main_text("<p>a<!-- open > b", []) == "a" and main_text("<p>x</p>y <!-- open", []) == "x\ny"
+
+
+def test_identifier_like_strings():
+    from contactlift.llm.pii import like_spans
+
+    like = re.compile(r"[0-9(][0-9().:/\x20-]{4,}[0-9]|[A-Za-z0-9._%+-]+(?:@|\(at\)|\[at\])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
+    for t in ("call (030) 123-4567 or 555 1234.", "a.b(at)c.de x[at]y 1.2.3.4", "no 12345 here", "123456", "(1 2) 3 4/5 (", "x@y.z, u@v",
+              "é (12) 34 56 é", "12:34:56 a@b"):
+        assert like_spans(t) == [m.span() for m in like.finditer(t)], t
