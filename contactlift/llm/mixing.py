@@ -1,9 +1,8 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Every source gets a word budget (its target). Whole repeats of the source fill as much of it as fits; the rest is
-fitted by choosing documents whose sizes add up to it: documents are counted by exact size, equal shares of every
-size and then large sizes are taken while the rest is large, and a bounded-knapsack table over the sizes still
-available finds the sum nearest to what is left. Which documents of a size are taken is decided by a seeded hash.
+fitted by choosing documents whose sizes add up to it: documents are counted by exact size, the same share is taken all
+along the sizes, and a bounded-knapsack table over documents to add and to drop settles what is left. Which documents of a size are taken is decided by a seeded hash.
 """
 
 from __future__ import annotations
@@ -64,9 +63,11 @@ def targets(sources: DataFrame, weights: list[float], share: float, most: float)
 def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each size to take so that their words come as near to ``budget`` as can be found.
 
-    Up to ``TABLE`` words (or twice the largest size, if that is more) the knapsack table covers every sum and the
-    result is the nearest one. A larger budget is first brought down to that bound: by equal shares of each size, then
-    by taking sizes from the largest.
+    One rule at every budget: the same share of the documents is taken all along the sizes (in order of size, rounded as a
+    running sum, so classes of sizes of any count keep their share and the words miss the budget by one document at most).
+    What is missing or too much is settled by documents to add and to drop: the largest that fit while it is more than
+    ``TABLE`` words, then a bounded-knapsack table of the sums within ``2 * TABLE`` words, from small sizes on, until
+    the budget is met; else the nearest sum is taken. If all sums lie in the table, it is the nearest of all.
     """
     take = np.zeros(len(sizes), np.int64)
     total = int((sizes * counts).sum())
@@ -74,39 +75,46 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
         return take
     if budget >= total:
         return counts.copy()
-    bound = max(TABLE, 2 * int(sizes.max()))
-    if budget > bound:
-        take = (counts.astype(object) * budget // total).astype(np.int64)
+    order = np.argsort(sizes, kind="stable")
+    upto = np.cumsum(counts[order]).astype(object) * budget // total
+    take[order] = np.diff(upto, prepend=0).astype(np.int64)
     rest = budget - int((take * sizes).sum())
-    for i in np.argsort(-sizes, kind="stable"):
-        if rest <= bound:
+    for i in order[::-1]:
+        size = int(sizes[i])
+        if abs(rest) <= TABLE:
             break
-        n = min(int(counts[i] - take[i]), (rest - bound) // int(sizes[i]) + 1)
-        take[i] += n
-        rest -= n * int(sizes[i])
-    length = rest + int(sizes.max())  # sums a little above the rest may be nearer
-    via = np.full(length + 1, -1, np.int64)  # the piece that first reached a sum
-    seen = np.zeros(length + 1, bool)
-    seen[0] = True
+        if size:
+            n = min(int(counts[i] - take[i] if rest > 0 else take[i]), abs(rest) // size) * (1 if rest > 0 else -1)
+            take[i] += n
+            rest -= n * size
+    reach = 2 * TABLE
+    rest = max(-reach, min(reach, rest))  # out of reach only if no small enough documents are left
+    via = np.full(2 * reach + 1, -1, np.int32)  # the piece that first reached a sum; the sum 0 is at ``reach``
+    seen = np.zeros(2 * reach + 1, bool)
+    seen[reach] = True
     pieces = []
-    for i in np.argsort(-sizes, kind="stable"):
-        left = min(int(counts[i] - take[i]), length // int(sizes[i])) if sizes[i] else 0
-        n = 1
-        while left > 0 and not seen[rest]:
-            n = min(n, left)
-            step = n * int(sizes[i])
-            if step <= length:
+    for i in order:
+        size = int(sizes[i])
+        for sign, left in ((1, int(counts[i] - take[i])), (-1, int(take[i]))):
+            left = min(left, reach // size) if size else 0
+            n = 1
+            while left > 0 and not seen[reach + rest]:
+                n = min(n, left)
+                step = n * size
                 new = np.zeros_like(seen)
-                new[step:] = seen[:-step]
+                if sign > 0:
+                    new[step:] = seen[:-step]
+                else:
+                    new[:-step] = seen[step:]
                 new &= ~seen
                 via[new] = len(pieces)
                 seen |= new
-                pieces.append((i, n, step))
-            left -= n
-            n *= 2
+                pieces.append((i, sign * n, sign * step))
+                left -= n
+                n *= 2
     reached = np.flatnonzero(seen)
-    at = int(reached[np.argmin(np.abs(reached - rest))])
-    while at:
+    at = int(reached[np.argmin(np.abs(reached - reach - rest))])
+    while at != reach:
         i, n, step = pieces[via[at]]
         take[i] += n
         at -= step

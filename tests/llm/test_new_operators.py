@@ -484,3 +484,31 @@ def test_identifier_like_strings():
     for t in ("call (030) 123-4567 or 555 1234.", "a.b(at)c.de x[at]y 1.2.3.4", "no 12345 here", "123456", "(1 2) 3 4/5 (", "x@y.z, u@v",
               "é (12) 34 56 é", "12:34:56 a@b"):
         assert like_spans(t) == [m.span() for m in like.finditer(t)], t
+
+
+# --- budgets ---
+
+def test_shares_of_sizes_at_every_budget():
+    from contactlift.llm.mixing import fit_counts
+
+    cases = [(np.array([5, 200]), np.array([150, 150]), 23062)]
+    r = np.random.default_rng(3)
+    for scale in (10**3, 10**5, 10**7):
+        sizes = np.unique(np.maximum(1, r.lognormal(4.5, 1.2, 3000).astype(np.int64)))
+        counts = r.integers(1, 1 + max(1, 2 * scale // int(sizes.sum())), len(sizes))
+        cases += [(sizes, counts, int((sizes * counts).sum() * f)) for f in (0.1, 0.5, 0.93)]
+    cases.append((np.array([1, 7, 100_000_000]), np.array([50, 50, 3]), 210_000_123))
+    for sizes, counts, budget in cases:
+        take = fit_counts(sizes, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all()
+        if sizes.max() < 10**6:
+            assert abs(int((take * sizes).sum()) - budget) <= np.gcd.reduce(sizes) / 2
+            share = budget / int((sizes * counts).sum())
+            for lo, hi in ((0, 50), (50, 200), (200, 10**9)):
+                own = (sizes >= lo) & (sizes < hi)
+                if (words := int((sizes * counts)[own].sum())) > 3000:
+                    assert abs(int((take * sizes)[own].sum()) / words - share) < 0.1
+            part = [(x * sizes)[sizes >= 200].sum() / (x * sizes).sum() for x in (take, counts)]
+            assert abs(part[0] - part[1]) < 0.05
+        else:
+            assert abs(int((take * sizes).sum()) - budget) < 10**8
