@@ -109,6 +109,12 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all k-word windows of one word sequence (empty when it has fewer words)."""
     if len(h) < k:
         return np.zeros(0, np.uint64)
+    if k & (k - 1) == 0:  # the same sum by doubling
+        g, size, power = h, 1, _STEP
+        while size < k:
+            g = g[:-size] * power + g[size:]
+            size, power = 2 * size, np.uint64(int(power) ** 2 % 2**64)
+        return mix(g)
     g = h[:len(h) - k + 1].copy()
     for j in range(1, k):
         g = g * _STEP + h[j:len(h) - k + 1 + j]

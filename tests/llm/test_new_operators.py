@@ -509,6 +509,6 @@ def test_shares_of_sizes_at_every_budget():
                 if (words := int((sizes * counts)[own].sum())) > 3000:
                     assert abs(int((take * sizes)[own].sum()) / words - share) < 0.1
             part = [(x * sizes)[sizes >= 200].sum() / (x * sizes).sum() for x in (take, counts)]
-            assert abs(part[0] - part[1]) < 0.05
+            assert abs(part[0] - part[1]) < 0.05 + int(sizes.max()) / budget  # documents are not cut
         else:
             assert abs(int((take * sizes).sum()) - budget) < 10**8
