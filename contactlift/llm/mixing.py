@@ -65,9 +65,10 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
 
     One rule at every budget: the same share of the documents is taken all along the sizes (in order of size, rounded as a
     running sum, so classes of sizes of any count keep their share and the words miss the budget by one document at most).
-    What is missing or too much is settled by documents to add and to drop: the largest that fit while it is more than
-    ``TABLE`` words, then a bounded-knapsack table of the sums within ``2 * TABLE`` words, from small sizes on, until
-    the budget is met; else the nearest sum is taken. If all sums lie in the table, it is the nearest of all.
+    What is missing or too much is settled by documents to add or to drop: the largest that fit, one of a size (more of it
+    while more than ``TABLE`` words are left), then a bounded-knapsack table of the sums within ``2 * TABLE`` words, from
+    small sizes on, until the budget is met; else the nearest sum is taken. If all sums lie in the table, it is the nearest
+    of all.
     """
     take = np.zeros(len(sizes), np.int64)
     total = int((sizes * counts).sum())
@@ -81,10 +82,9 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     rest = budget - int((take * sizes).sum())
     for i in order[::-1]:
         size = int(sizes[i])
-        if abs(rest) <= TABLE:
-            break
-        if size:
-            n = min(int(counts[i] - take[i] if rest > 0 else take[i]), abs(rest) // size) * (1 if rest > 0 else -1)
+        if 0 < size <= abs(rest):  # one document of a size, so that no class of sizes pays for the rest
+            most = abs(rest) // size if abs(rest) > TABLE else 1
+            n = min(int(counts[i] - take[i] if rest > 0 else take[i]), most) * (1 if rest > 0 else -1)
             take[i] += n
             rest -= n * size
     reach = 2 * TABLE
