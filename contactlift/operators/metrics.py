@@ -76,8 +76,8 @@ def cumulative_gain(df: DataFrame, id_col: str = "id", prob: str = "prob", targe
 
 
 def gain_by_prob(df: DataFrame, prob: str = "prob", target: str = "target", num_buckets: int | None = None) -> DataFrame:
-    """Tie-grouped gain curve: one row per distinct probability, gain after all its rows."""
-    per = df.groupBy(prob).agg(F.count(F.lit(1)).alias("n"), F.sum(points(target)).alias("points"))
+    """Tie-grouped gain curve: one row per distinct probability, gain after all its rows (missing or NaN: one last row)."""
+    per = df.groupBy(present(prob).alias(prob)).agg(F.count(F.lit(1)).alias("n"), F.sum(points(target)).alias("points"))
     return running_sums(per, [F.desc_nulls_last(prob)], {"gain": F.col("points"), "contacted": F.col("n")},
                         num_buckets=num_buckets).drop("points")
 

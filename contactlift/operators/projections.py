@@ -79,3 +79,22 @@ def head_n(df: DataFrame, n: int, order: Sequence) -> DataFrame:
 def tail_n(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     """Last ``n`` rows of an ascending sort on ``order``: a top-n on the reversed order."""
     return df.orderBy(*[F.desc(c) for c in order]).limit(n)
+
+
+def attach_scores_by_id(left: DataFrame, right: DataFrame, id_col: str = "id", prob: str = "prob", names: Sequence[str] = ("prob_a", "prob_b"),
+                        keep: Sequence[str] = ()) -> DataFrame:
+    """(id, one score of each table, kept columns of the left one) for the ids that both have; NULL ids match nothing."""
+    return left.select(id_col, F.col(prob).alias(names[0]), *keep).join(right.select(id_col, F.col(prob).alias(names[1])), id_col)
+
+
+def scatter_by_fold(long: DataFrame, models: Sequence[int], id_col: str = "id", prob: str = "prob", model: str = "model_id",
+                    prefix: str = "modelito_") -> DataFrame:
+    """One row per id with one score column per model, from long (model, id, score) rows; the models are a given list, so no
+    pass over the data looks for them."""
+    wide = long.groupBy(id_col).pivot(model, list(models)).agg(F.max(prob))
+    return wide.withColumnsRenamed({str(m): f"{prefix}{m}" for m in models})
+
+
+def sort_by_prob_desc(df: DataFrame, id_col: str = "id", prob: str = "prob") -> DataFrame:
+    """Rows by descending score, missing and NaN scores last, ties by id."""
+    return df.orderBy(F.desc_nulls_last(present(prob)), F.asc(id_col))

@@ -488,8 +488,7 @@ def q_cross_seed(spark, sf):
 register("attach_scores_by_id", FX.with_views(
     "select a.id, a.prob as prob_a, b.prob as prob_b, a.target from f_scored a join f_scored_alt b on a.id = b.id",
     **scored_views("alt")))(
-    lambda spark, sf: FX.scored(spark, sf).select("id", F.col("prob").alias("prob_a"), "target").join(
-        FX.scored(spark, sf, 6101).select("id", F.col("prob").alias("prob_b")), "id"))
+    lambda spark, sf: PR.attach_scores_by_id(FX.scored(spark, sf), FX.scored(spark, sf, 6101), keep=["target"]))
 
 _LONG_SQL = "select 100 as model_id, id, prob from f_scored union all select 101, id, prob from f_scored_alt"
 
@@ -506,18 +505,17 @@ register("scatter_by_fold", FX.with_views(
     f"""select id, max(case when model_id = 100 then prob end) as modelito_100,
     max(case when model_id = 101 then prob end) as modelito_101 from ({_LONG_SQL}) l group by id""",
     **scored_views("alt")))(
-    lambda spark, sf: _long_scores(spark, sf).groupBy("id").pivot("model_id", [100, 101]).agg(F.max("prob"))
-    .withColumnsRenamed({"100": "modelito_100", "101": "modelito_101"}))
+    lambda spark, sf: PR.scatter_by_fold(_long_scores(spark, sf), [100, 101]))
 
 # ================================ 2.7 sorts and limits ================================
 
 register("sort_by_prob_desc", FX.with_views("select * from f_scored order by prob desc nulls last, id",
                                             **scored_views()))(
-    lambda spark, sf: FX.scored(spark, sf).orderBy(F.desc_nulls_last("prob"), F.asc("id")))
+    lambda spark, sf: PR.sort_by_prob_desc(FX.scored(spark, sf)))
 
 register("head_n", FX.with_views("select * from f_scored order by prob desc nulls last, id limit 10",
                                  **scored_views()))(
-    lambda spark, sf: PR.head_n(FX.scored(spark, sf), 10, [F.desc_nulls_last("prob"), F.asc("id")]))
+    lambda spark, sf: PR.head_n(FX.scored(spark, sf), 10, [F.desc_nulls_last(rw.present("prob")), F.asc("id")]))
 
 register("tail_n", FX.with_views(
     f"with {_CV_SUMMARY_SQL} select seed, iter, round(test_mean, {ROUND}) as test_mean from summary "

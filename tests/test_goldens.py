@@ -317,3 +317,17 @@ def test_fraction_bounds(spark):
     assert S.stratified_sample(df, 1.0, ["clase"]).count() == 2
     assert S.stratified_sample(df, 0.0, ["clase"]).count() == 0
     assert S.stratified_sample(df, 1.5, ["clase"], replace=True).count() == 3
+
+
+def test_nan_scores_rank_last(spark):
+    from contactlift.operators import metrics as M
+    from contactlift.operators import projections as PR
+
+    df = spark.createDataFrame([(1, float("nan"), 1), (2, 0.4, 0), (3, None, 1), (4, 0.9, 1)], "id int, prob double, target int")
+    assert [r["id"] for r in PR.sort_by_prob_desc(df).collect()] == [4, 2, 1, 3]
+    got = [(r["prob"], r["n"], r["gain"]) for r in sorted(M.gain_by_prob(df).collect(), key=lambda r: r["contacted"])]
+    assert got == [(0.9, 1, 19500), (0.4, 1, 19000), (None, 2, 58000)]
+    both = PR.attach_scores_by_id(df, df.where("id > 2"), names=("a", "b"), keep=["target"]).collect()
+    assert sorted(tuple(r) for r in both) == [(3, None, 1, None), (4, 0.9, 1, 0.9)]
+    long = spark.createDataFrame([(1, 7, 0.5), (1, 8, 0.6), (2, 7, 0.1)], "id int, model_id int, prob double")
+    assert sorted(tuple(r) for r in PR.scatter_by_fold(long, [7, 8]).collect()) == [(1, 0.5, 0.6), (2, 0.1, None)]
