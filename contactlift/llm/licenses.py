@@ -78,27 +78,16 @@ def _wrapped(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, paragraph, t, alone, key): every line with a licence word, alone and in windows of its neighbours, which end at blank
     lines. ``key`` tells the rows of the table apart; ``paragraph`` is the line's number, whatever the window."""
     lines = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("key"),
-                        F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines")).where(F.array_size("lines") > 0)
-    cue = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(_cues()), i)), lambda i: i.isNotNull())
-    at = lines.withColumn("paragraph", F.explode(cue))
-
-    def near(step: int):  # a neighbour if no line up to it is blank, else null
-        between = [F.get("lines", F.col("paragraph") + (d if step > 0 else -d)) for d in range(1, abs(step) + 1)]
-        whole = F.lit(True)
-        for x in between:
-            whole = whole & F.coalesce(F.length(F.trim(x)) > 0, F.lit(False))
-        return F.when(whole, between[-1])
-
-    own = F.get("lines", F.col("paragraph"))
-    windows = [F.struct(F.lit(0).alias("size"), own.alias("t"))]
-    for before in range(BEFORE + 1):
-        for after in range(AFTER + 1):
-            if before + after:
-                parts = [near(-d) for d in range(before, 0, -1)] + [own] + [near(d) for d in range(1, after + 1)]
-                # concat is null where a neighbour is missing; that window is a shorter one's copy
-                windows.append(F.struct(F.lit(before + after).alias("size"), F.concat(*[y for x in parts for y in (x, F.lit(" "))]).alias("t")))
-    return (at.select("id", "key", "paragraph", F.explode(F.array(*windows)).alias("w"))
-            .select("id", "key", "paragraph", F.col("w.size").alias("size"), F.col("w.t").alias("t")).where("t IS NOT NULL"))
+                        F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines"))
+    near = F.expr(f"""filter(transform(lines, (x, i) -> if(x rlike r'{_cues()}', struct(i AS paragraph, least(i, {BEFORE}) AS own,
+        slice(lines, greatest(i - {BEFORE}, 0) + 1, least(i, {BEFORE}) + 1 + {AFTER}) AS near), null)), r -> r IS NOT NULL)""")
+    at = lines.select("id", "key", F.explode(near).alias("r")).select("id", "key", "r.*")
+    sizes = F.array(*[F.struct(F.lit(x).alias("before"), F.lit(y).alias("after")) for x in range(BEFORE + 1) for y in range(AFTER + 1)])
+    part = "slice(near, own - before + 1, before + after + 1)"
+    return (at.select("*", F.explode(sizes).alias("w")).select("*", "w.*")
+            .where("own >= before AND own + after < size(near)")
+            .where(f"before + after = 0 OR NOT exists({part}, x -> length(trim(x)) = 0)")
+            .selectExpr("id", "key", "paragraph", "before + after AS size", f"array_join({part}, ' ') AS t"))
 
 
 def _features() -> Pipeline:
@@ -161,9 +150,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     lines = paragraphs(docs, id_col, text)
     named = _wrapped(docs, id_col, text)
     # only what a template can confirm is classified, so the windows of a line cost little
-    named = written(named.withColumn("words", F.array_distinct(_words("t")))
-                    .withColumn("similar", F.array(*[_similarity("words", f) for f in FAMILIES]))
-                    .where(F.array_max("similar") >= CONFIRM).drop("words"), "named")
+    # (a generator between the steps keeps the words from being split anew for each template)
+    named = named.select("*", F.explode(F.array(F.array_distinct(_words("t")))).alias("words"))
+    named = named.select("*", F.explode(F.array(F.array(*[_similarity("words", f) for f in FAMILIES]))).alias("similar"))
+    named = written(named.where(F.array_max("similar") >= CONFIRM).drop("words"), "named")
     if named.isEmpty():
         kind = docs.schema[id_col].dataType.simpleString()
         return spark.createDataFrame([], f"`{id_col}` {kind}, paragraph int, family string, probability double, similarity double")
