@@ -5,9 +5,10 @@ ranked inside their stratum by ``md5("seed:id")`` then id, so the draw is a pure
 the seed and the data: no global random state, no change when the input is reshuffled or a task
 is retried (unlike ``rand()``/``sampleBy``, which are Bernoulli and not exact).
 
-Scale: only a narrow projection ``(strata, id, hash)`` is ranked (see ``ranking``); the wide
-rows are then filtered against one boundary row per stratum, so selecting a sample never
-shuffles the wide table.
+Scale: a sample's threshold comes from counts by hash prefix of a narrow projection
+``(strata, id, hash)`` (see ``selection``); the wide rows are then filtered against one boundary
+row per stratum, so selecting a sample sorts nothing and never shuffles the wide table. Folds rank
+the rows where they stand.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from contactlift.functions.rowwise import hash_key, hash_uniform
 from contactlift.operators.ranking import row_numbers
+from contactlift.operators.selection import HASH, attach, hash_ranks, quota_bounds
 from contactlift.session import sized
 
 # The reference's master seed (used when the split gets seed -1).
@@ -47,16 +49,7 @@ def _ranked(df: DataFrame, strata: Sequence[str], id_col: str, seed, num_buckets
                          totals_out=sizes)
     # stratum sizes come from the bucket totals of the checkpointed narrow table
     n = sizes[0].withColumnRenamed("rn", "__n")
-    return _attach(ranked, sized(n), strata)
-
-
-def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on ``keys`` treating NULL as a value (dplyr groups NA together)."""
-    if not keys:
-        raise ValueError("a keyless attach is a cross join; use a scalar instead")
-    r = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    j = left.join(r, [left[k].eqNullSafe(r[f"__r_{k}"]) for k in keys], how)
-    return j.drop(*[f"__r_{k}" for k in keys])
+    return attach(ranked, sized(n), strata)
 
 
 def stratum_quota(n: Column, fraction: float) -> Column:
@@ -80,16 +73,15 @@ def stratified_sample(df: DataFrame, fraction: float, strata: Sequence[str] = ()
     if not strata:
         df = df.withColumn("__all", F.lit(0))
         strata = ["__all"]
-    return mark_sample(df, fraction, strata, seed, id_col, num_buckets=num_buckets).where(
-        F.col("__in_sample")).drop("__in_sample")
+    return mark_sample(df, fraction, strata, seed, id_col).where(F.col("__in_sample")).drop("__in_sample")
 
 
 def mark_sample(df: DataFrame, fraction: float, strata: Sequence[str] = (), seed: int | str = MASTER_SEED,
-                id_col: str = "id_cliente", name: str = "__in_sample", num_buckets: int | None = None) -> DataFrame:
+                id_col: str = "id_cliente", name: str = "__in_sample") -> DataFrame:
     """Every row of ``df`` with a boolean ``name``: is it in the exact stratified sample?
 
-    Only the narrow (strata, id, hash) projection is ranked; each stratum's last kept row is the
-    boundary, and rows are compared with it after a join to that small table (one row per
+    Counts by hash prefix of the narrow (strata, id, hash) projection give each stratum's last kept
+    row, the boundary; rows are compared with it after a join to that small table (one row per
     stratum), so train and test come from one plan without shuffling the wide rows.
     """
     strata = list(strata)
@@ -99,11 +91,9 @@ def mark_sample(df: DataFrame, fraction: float, strata: Sequence[str] = (), seed
     if not strata:
         work = df.withColumn("__all", F.lit(0))
         strata = ["__all"]
-    ranked = _ranked(work, strata, id_col, seed, num_buckets)
-    bounds = ranked.where(F.col("rn") == stratum_quota(F.col("__n"), fraction)).select(
-        *strata, F.col("__h").alias("__bh"), F.col(id_col).alias("__bid"))
-    keyed = work.withColumn("__h", hash_key(_seed_col(seed), F.col(id_col)))
-    out = _attach(keyed, sized(bounds), strata, how="left")
+    keyed = work.withColumn(HASH, hash_key(_seed_col(seed), F.col(id_col)))
+    bounds = quota_bounds(keyed.select(*strata, id_col, HASH), strata, id_col, stratum_quota(F.col("__n"), fraction))
+    out = attach(keyed, sized(bounds), strata, how="left")
     inside = (F.col("__bh").isNotNull()
               & ((F.col("__h") < F.col("__bh")) | ((F.col("__h") == F.col("__bh")) & (F.col(id_col) <= F.col("__bid")))))
     return out.withColumn(name, inside).drop("__h", "__bh", "__bid", "__all")
@@ -130,13 +120,13 @@ def sample_with_replacement(df: DataFrame, fraction: float, strata: Sequence[str
     stratum_key = F.concat_ws(":", *[F.coalesce(F.col(s).cast("string"), F.lit("")) for s in strata])
     pick = F.conv(F.substring(hash_key(_seed_col(seed), stratum_key, F.col("__i")), 1, 15), 16, 10).cast("bigint")
     draws = draws.select(*strata, "__i", (F.lit(1) + pick % F.col("__n")).alias("__pos"))
-    picked = _attach(draws, ranked.select(*strata, F.col("rn").alias("__pos"), id_col), [*strata, "__pos"])
+    picked = attach(draws, ranked.select(*strata, F.col("rn").alias("__pos"), id_col), [*strata, "__pos"])
     out = picked.select(id_col, "__i").join(df, id_col, "inner")
     return out.drop("__i", "__all")
 
 
 def train_test_split(df: DataFrame, fraction: float = 0.7, seed: int | None = -1, strata: Sequence[str] = ("clase",),
-                     id_col: str = "id_cliente", num_buckets: int | None = None,
+                     id_col: str = "id_cliente",
                      ids_unique: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """Stratified train sample and the rest.
 
@@ -146,7 +136,7 @@ def train_test_split(df: DataFrame, fraction: float = 0.7, seed: int | None = -1
     trusts the caller, False always anti-joins.
     """
     s = resolve_seed(seed)
-    marked = mark_sample(df, fraction, strata, s, id_col, num_buckets=num_buckets)
+    marked = mark_sample(df, fraction, strata, s, id_col)
     train = marked.where(F.col("__in_sample")).drop("__in_sample")
     unique = ids_unique if ids_unique is not None else not has_duplicate_ids(df, id_col)
     if unique:
@@ -167,16 +157,17 @@ def anti_join_by_id(full: DataFrame, taken: DataFrame, id_col: str = "id_cliente
 
 
 def stratified_folds(df: DataFrame, k: int = 5, seed: int = MASTER_SEED, strata: Sequence[str] = ("clase01",),
-                     id_col: str = "id_cliente", name: str = "fold", num_buckets: int | None = None) -> DataFrame:
+                     id_col: str = "id_cliente", name: str = "fold") -> DataFrame:
     """Fold ``(rank_in_stratum - 1) % k``: folds split each class evenly (sizes differ by at most one).
 
-    Ranks a narrow projection, then joins the fold number back by id (ids must be unique).
+    Rows are ranked where they stand, one exchange by stratum and hash prefix; there is no join by id. Rows that share an
+    id (and NULL ids among themselves) go to one fold.
     """
     if name in df.columns:
         df = df.drop(name)
-    ranked = _ranked(df, list(strata), id_col, seed, num_buckets)
-    folds = ranked.select(id_col, ((F.col("rn") - 1) % F.lit(k)).cast("int").alias(name))
-    return df.join(folds, id_col, "inner")
+    ranked = hash_ranks(df.withColumn(HASH, hash_key(_seed_col(seed), F.col(id_col))), list(strata), id_col)
+    fold = ((F.col("__rn") - 1) % F.lit(k)).cast("int")
+    return ranked.withColumn(name, fold).drop("__rn", HASH)
 
 
 def uniform_sample_column(df: DataFrame, seed: int = MASTER_SEED, id_col: str = "id_cliente",
