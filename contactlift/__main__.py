@@ -1,6 +1,9 @@
 """Command line: ``python -m contactlift ingest|score ...``.
 
-ingest  SOURCE OUT [--raw-month M ...]     delimited snapshots -> month partitions with day offsets
+ingest  SOURCE OUT [--raw-month M ...] [--schema DDL] [--upsert]
+                                            delimited snapshots -> month partitions with day offsets; with a
+                                            schema the text is read once; --upsert replaces the delivered
+                                            months only and sets lines apart that do not parse
 score   TRAIN APPLY OUT [--rounds N ...]    train profile A on a labelled parquet table, score the
                                             application table, write ranked probabilities,
                                             target ids and the importance table
@@ -20,6 +23,8 @@ def main(argv=None) -> None:
     ing.add_argument("source")
     ing.add_argument("out")
     ing.add_argument("--raw-month", type=int, action="append", default=[])
+    ing.add_argument("--schema", default=None, help="columns and types, as in a create table statement")
+    ing.add_argument("--upsert", action="store_true")
     sc = sub.add_parser("score")
     sc.add_argument("train")
     sc.add_argument("apply")
@@ -40,8 +45,9 @@ def main(argv=None) -> None:
         ensure_checkpoint_dir(spark)
 
     if args.cmd == "ingest":
-        from contactlift.sources.files import ingest_snapshots
-        for k, v in ingest_snapshots(spark, args.source, args.out, args.raw_month).items():
+        from contactlift.sources.files import ingest_snapshots, upsert_snapshots
+        ingest = upsert_snapshots if args.upsert else ingest_snapshots
+        for k, v in ingest(spark, args.source, args.out, args.raw_month, schema=args.schema).items():
             print(k, v)
     else:
         from contactlift.operators import boosting as BO

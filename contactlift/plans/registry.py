@@ -565,11 +565,39 @@ def q_convert(spark, sf):
     return IO.scan_columnar(spark, out["customer"])
 
 
-@register("dataset_catalog", "select o_orderstatus, count(*) as n from orders group by o_orderstatus")
+_VIEWS = {"train": "orders", "predict": "customer", "results": "supplier", "predict_full": "part"}
+_VIEW_GROUPS = {"train": "o_orderstatus", "predict": "c_mktsegment", "results": "cast(s_nationkey as varchar(9))", "predict_full": "p_brand"}
+
+
+@register("dataset_catalog", " union all ".join(
+    f"select '{v}' as dataset, {_VIEW_GROUPS[v]} as grp, count(*) as n from {t} group by all" for v, t in _VIEWS.items()))
 def q_catalog(spark, sf):
-    cat = IO.DatasetCatalog(spark).register("train", f"{sf}/orders.parquet").register("predict", f"{sf}/customer.parquet")
+    """All four views of the catalog, each table checked against its schema when it is registered."""
+    cat = IO.DatasetCatalog(spark)
+    for view, name in _VIEWS.items():
+        cat.register(view, f"{sf}/{name}.parquet", FX.table(spark, sf, name).schema)
     cat.as_views()
-    return spark.sql("select o_orderstatus, count(*) as n from train group by o_orderstatus")
+    return spark.sql(" union all ".join(
+        f"select '{v}' as dataset, {g} as grp, count(*) as n from {v} group by all" for v, g in _VIEW_GROUPS.items()))
+
+
+_NUMBERS = {"orders": ["o_orderkey", "o_custkey", "o_totalprice"], "customer": ["c_custkey", "c_nationkey", "c_acctbal"],
+            "supplier": ["s_suppkey", "s_nationkey", "s_acctbal"], "part": ["p_partkey", "p_size", "p_retailprice"]}
+
+
+@register("dataset_catalog_statistics", " union all ".join(
+    f"""select '{v}' as dataset, '{c}' as "column", count(*) as n_rows, count_if({c} is null) as n_missing,
+        min({c})::double as lowest, max({c})::double as highest from {t}""" for v, t in _VIEWS.items() for c in _NUMBERS[t]))
+def q_catalog_statistics(spark, sf):
+    """Tables stored in the catalog with their statistics; every numeric column of the four views."""
+    cat = IO.DatasetCatalog(spark, root=scratch_path(spark, "catalog"))
+    for view, name in _VIEWS.items():
+        cat.store(view, FX.table(spark, sf, name))
+    out = None
+    for view in _VIEWS:
+        one = cat.statistics(view).where(F.col("lowest").isNotNull())
+        out = one if out is None else out.unionByName(one)
+    return out.drop("type")
 
 
 @register("snapshot_extract", FX.with_views(f"select * from f_snapshot where foto_mes = {MONTH}", **SNAP_VIEW))
@@ -623,3 +651,37 @@ def q_ingest(spark, sf):
     paths = IO.ingest_snapshots(spark, src, scratch_path(spark, "ingest"), [MONTH], schema=snap.schema)
     months = IO.scan_columnar(spark, paths["months"])
     return months.select("numero_de_cliente", "o_orderkey", F.col("foto_mes").cast("int"), "Master_fechaalta")
+
+
+_UPSERT_SQL = f"""select numero_de_cliente, o_orderkey, foto_mes,
+    cast({_DAYS_SQL.replace('fecha', 'Master_fechaalta')} as integer) as Master_fechaalta
+    from (select numero_de_cliente, o_orderkey, foto_mes, fecha as Master_fechaalta from f_snapshot
+          where foto_mes <> {MONTH} or o_orderkey % 2 = 0) s"""
+
+
+@register("upsert_snapshots", FX.with_views(_UPSERT_SQL, **SNAP_VIEW))
+def q_upsert(spark, sf):
+    """The whole snapshot is ingested, then a second delivery of one month (its even orders) replaces that month only."""
+    snap = FX.snapshot(spark, sf).withColumnRenamed("fecha", "Master_fechaalta")
+    out = scratch_path(spark, "ingest")
+    for rows in (snap, snap.where((F.col("foto_mes") == MONTH) & (F.col("o_orderkey") % 2 == 0))):
+        src = scratch_path(spark, "snapshot-tsv")
+        IO.sink_delimited(rows, src)
+        paths = IO.upsert_snapshots(spark, src, out, schema=snap.schema)
+    months = IO.scan_columnar(spark, paths["months"])
+    return months.select("numero_de_cliente", "o_orderkey", F.col("foto_mes").cast("int"), "Master_fechaalta")
+
+
+@register("quarantine_rows", "select c_custkey, c_name, c_acctbal::double as c_acctbal, false as quarantined from customer "
+          "where c_nationkey <> 3 union all select null, c_name, null, true from customer where c_nationkey = 3")
+def q_quarantine(spark, sf):
+    """Customers as text, those of one nation with a word in a number's place: they go to the quarantine, with their line."""
+    src = FX.table(spark, sf, "customer").select(
+        F.when(F.col("c_nationkey") == 3, F.lit("unknown")).otherwise(F.col("c_custkey").cast("string")).alias("c_custkey"),
+        "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    path = scratch_path(spark, "tsv")
+    IO.sink_delimited(src, path)
+    got = IO.parse_delimited(spark, path, scratch_path(spark, "parsed"), "c_custkey bigint, c_name string, c_acctbal double")
+    lost = got.quarantine.select(F.lit(None).cast("bigint").alias("c_custkey"), F.split("raw_line", "\t")[1].alias("c_name"),
+                                 F.lit(None).cast("double").alias("c_acctbal"), F.lit(True).alias("quarantined"))
+    return got.rows.withColumn("quarantined", F.lit(False)).unionByName(lost)
