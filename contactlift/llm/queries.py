@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from contactlift.llm import sql
 from contactlift.llm.store import ship
 
 
@@ -114,4 +115,9 @@ def _query(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES = {fn.__name__: _query(fn) for fn in _QUERIES}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_url_filter": sql.url_filter(URL_RULES, URL_BLOCKLIST),
+    "op9_near_duplicates": sql.near_duplicates(),
+    "op11_periodic_runs": sql.periodic_runs(),
+    "op12_importance_resampling": sql.importance_resampling(),
+}
