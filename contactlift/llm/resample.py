@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import repeat
 from zlib import crc32
@@ -131,9 +131,9 @@ def ranked(rows: DataFrame, first: int | None = None) -> DataFrame:
     def cut(batches):
         for batch in batches:
             doc = batch["doc_id"].fill_null(_LAST).to_pylist()
-            key = list(zip((-x for x in batch["score"].to_pylist()), doc, batch["place"].to_pylist()))
-            to = [0, *[bisect_right(key, s) for s in splitters], len(key)]  # the batch is a slice of a sorted run
-            yield batch.append_column("segment", pa.array(np.repeat(np.arange(len(to) - 1, dtype=np.int32), np.diff(to))))
+            # a batch may hold the ends of several runs, as small files are read together: each row is placed for itself
+            segment = [bisect_left(splitters, key) for key in zip((-x for x in batch["score"].to_pylist()), doc, batch["place"].to_pylist())]
+            yield batch.append_column("segment", pa.array(segment, pa.int32()))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema)
     dealt = runs.mapInArrow(cut, f"{kinds}, segment int")

@@ -276,6 +276,17 @@ def test_rank_of_ties_and_repeated_rows(spark):
     assert sorted(r for r, _, _ in got) == list(range(1, 2001))
 
 
+def test_rank_where_small_runs_are_read_together(spark, tmp_path):
+    """Runs of very different sizes: Spark packs the small files into one task, whose batches then hold several runs."""
+    from contactlift.llm.resample import ranked
+
+    docs = spark.range(0, 24000, 1, 8).selectExpr("id as doc_id", "(id * 7919) % 5003 - 2500 as score", "id < 6000 or id % 3000 < 40 as fit")
+    docs.write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs")).where("fit")
+    got = sorted((r["rank"], -r["score"], r["doc_id"]) for r in ranked(df).collect())
+    assert got == [(i, *r) for i, r in enumerate(sorted((-r["score"], r["doc_id"]) for r in df.collect()), 1)]
+
+
 def test_resample_of_empty_tables(spark, table):
     from contactlift.llm.resample import resample
 
