@@ -179,6 +179,34 @@ def test_kept_margins_and_gathered_sums_change_nothing(table, monkeypatch):
     assert [i for i, _ in got] == [i for i, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want])
 
 
+def test_histograms_stay_on_the_executors(table, monkeypatch):
+    """A pass brings the driver one narrow row per open node, not the tasks' histograms; the trees are the same."""
+    p = B.Params(rounds=2, eta=0.3, max_depth=4)
+    want = B.fit(table, FEATURES, p)
+    monkeypatch.setattr(B, "DRIVER_BYTES", 0)
+    monkeypatch.setattr(B, "TASK_ROWS", 50)
+    sizes, own = [], type(table).toArrow
+    monkeypatch.setattr(type(table), "toArrow", lambda self: (sizes.append(own(self)), sizes[-1])[1])
+    got = B.fit(table, FEATURES, p)
+    assert len(sizes) == 8 and all(t.num_rows <= 8 and t.nbytes < 200 * t.num_rows for t in sizes)
+    assert [(t.feature, t.cut, t.missing_left) for t in got.trees] == [(t.feature, t.cut, t.missing_left) for t in want.trees]
+
+
+def test_tables_share_passes(table):
+    """Two tables with bins of their own, trained together, give what each gives alone."""
+    p = B.Params(rounds=3, eta=0.3, max_depth=3)
+    tables = [table.where("id_cliente < 250"), table.where("id_cliente >= 100")]
+    jobs = [B.Job(p, 0), B.Job(p, 1), B.Job(p)]
+    both = B.train_tables([B.Table(t, FEATURES, jobs, ["fold"]) for t in tables], cutoff=0.3)
+    for t, (models, log) in zip(tables, both):
+        alone, entries = B.train(t, FEATURES, jobs, folds=["fold"], cutoff=0.3)
+        assert [[x.feature for x in m.trees] for m in models] == [[x.feature for x in m.trees] for m in alone]
+        assert sorted(log) == sorted(entries)
+        wide = {r["id_cliente"]: r for r in B.predict_together(models, ["a", "b", "c"], t).collect()}
+        for n, m in zip("abc", alone):
+            assert all(wide[r["id_cliente"]][n] == pytest.approx(r["prob"]) for r in m.predict(t).collect())
+
+
 def test_stopping_by_patience(table):
     p = B.Params(rounds=40, eta=0.5, max_depth=3)
     jobs = [B.Job(p, j) for j in range(3)]
