@@ -523,3 +523,62 @@ def test_shares_of_sizes_at_every_budget():
             assert abs(part[0] - part[1]) < 0.05 + int(sizes.max()) / budget  # documents are not cut
         else:
             assert abs(int((take * sizes).sum()) - budget) < 10**8
+
+
+@pytest.mark.parametrize("place", ["after", "before", "among"])
+def test_passages_quoted_but_for_a_word(spark, table, place):
+    """Two documents share 50 words, of which others quote 49: each seed occurs first in a quote, each quote is too short."""
+    from contactlift.llm.chains import repeated_passages
+
+    for n, size, seed in ((2, 49, 1), (5, 46, 2), (18, 33, 3)):
+        r = random.Random(seed)
+        body = [f"p{r.randrange(10**6)}" for _ in range(50)]
+        quotes = [" ".join([f"q{seed}x{i}x{j}" for j in range(30)] + body[at:at + size] + [f"q{seed}y{i}y{j}" for j in range(30)])
+                  for i, at in enumerate(round(i * (50 - size) / (n - 1)) for i in range(n))]
+        whole = [" ".join([f"{c}{j}" for j in range(40)] + body + [f"{c}z{j}" for j in range(40)]) for c in "ab"]
+        order = {"after": quotes + whole, "before": whole + quotes, "among": [whole[0], *quotes, whole[1]]}[place]
+        got = repeated_passages(table(list(enumerate(order)), parts=1 if place == "after" else 3)).collect()
+        assert {(x["doc_id"], x["first_word"], x["n_words"]) for x in got} == {(order.index(w), 40, 50) for w in whole}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_runs_of_fifty_words_against_all_pairs(spark, table, seed):
+    """Every 50 words in a row that two documents share are part of a passage, whatever pieces of them others quote."""
+    from contactlift.llm.chains import repeated_passages
+
+    r = random.Random(seed)
+    pool = [[f"p{i}x{r.randrange(10**6)}" for _ in range(r.randrange(50, 64))] for i in range(4)]
+    docs = []
+    for d in range(150):
+        text = []
+        for _ in range(r.randrange(1, 4)):
+            text += [f"d{d}u{r.randrange(10**6)}" for _ in range(r.randrange(45, 60))]
+            piece = r.choice(pool)
+            n = r.choice([*range(33, 50), 50, 50, 50, 51, 55])
+            a = r.randrange(0, max(1, len(piece) - n + 1))
+            text += piece[a:a + n]
+        docs.append(text + [f"d{d}end"])
+    grams: dict = {}
+    for d, t in enumerate(docs):
+        for i in range(len(t) - 49):
+            grams.setdefault(tuple(t[i:i + 50]), set()).add(d)
+    want = {(d, i + j) for d, t in enumerate(docs) for i in range(len(t) - 49) if len(grams[tuple(t[i:i + 50])]) > 1 for j in range(50)}
+    got = repeated_passages(table([(d, " ".join(t)) for d, t in enumerate(docs)])).collect()
+    assert want <= {(x["doc_id"], i) for x in got for i in range(x["first_word"], x["first_word"] + x["n_words"])}
+
+
+def test_minimizers_of_several_texts():
+    from contactlift.llm import words as W
+    from contactlift.llm.chains import minimizers
+
+    r = np.random.default_rng(5)
+    for window in (1, 3, 12):
+        sizes = [0, 3, 8, 9, 19, 20, 0, 60, 200, 0]
+        h = r.integers(0, 4, sum(sizes)).astype(np.uint64)  # few words, so hashes repeat
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        want = set()
+        for a, b in zip(first[:-1], first[1:]):
+            g = W.shingles(h[a:b], 8)
+            windows = range(max(1, len(g) - window + 1)) if len(g) else ()
+            want |= {int(a) + i + int(np.argmin(g[i:i + window])) for i in windows}
+        assert minimizers(h, first, 8, window)[1].tolist() == sorted(want)
