@@ -567,6 +567,27 @@ def test_runs_of_fifty_words_against_all_pairs(spark, table, seed):
     assert want <= {(x["doc_id"], i) for x in got for i in range(x["first_word"], x["first_word"] + x["n_words"])}
 
 
+def test_passages_with_other_words_between(spark, table):
+    """Two passages in the same order, 30 other words apart: the chain through both has too few equal words."""
+    from contactlift.llm.chains import repeated_passages
+
+    r = random.Random(4)
+    one, two = ([f"{c}{r.randrange(10**6)}" for _ in range(50)] for c in "pq")
+    docs = [" ".join(one + [f"{c}{j}" for j in range(30)] + two) for c in "ab"]
+    got = repeated_passages(table(list(enumerate(docs)))).collect()
+    assert {(x["doc_id"], x["first_word"], x["n_words"]) for x in got} == {(d, at, 50) for d in (0, 1) for at in (0, 80)}
+
+
+def test_equal_runs():
+    from contactlift.llm.chains import _equal_runs
+
+    x, y = np.arange(100, dtype=np.uint32), np.arange(200, 300, dtype=np.uint32)
+    assert _equal_runs(x, y, 20) == []
+    y[10:35], y[40:59] = x[50:75], x[0:19]
+    assert _equal_runs(x, y, 20) == [(50, 10, 25)]
+    assert sorted(_equal_runs(x, np.concatenate([x[:20], y[:5], x[:30]]), 20)) == [(0, 0, 20), (0, 25, 30)]
+
+
 def test_minimizers_of_several_texts():
     from contactlift.llm import words as W
     from contactlift.llm.chains import minimizers
