@@ -282,3 +282,43 @@ def test_empty_tables_and_one_class(spark, table):
     ones = B.fit(table.withColumn("clase01", F.lit(1)), FEATURES, p)
     assert len(ones.predict(table).collect()) == 400
     assert B.fit(table, FEATURES, p).predict(table.where("id_cliente < 0")).collect() == []
+
+
+def test_walk_follows_each_row():
+    """every mix of bins, cuts and sides of missing values, at the ends of a byte too, against a loop over rows"""
+    r = np.random.default_rng(5)
+    bins = r.choice(np.array([0, 1, 2, 7, 254, 255], np.uint8), (3, 500))
+    tree = B.Tree()
+    tree.feature, tree.left, tree.right = [0, 1, 2, -1, 2, -1, -1, -1, -1], [1, 3, 5, -1, 7, -1, -1, -1, -1], [2, 4, 6, -1, 8, -1, -1, -1, -1]
+    tree.depth, tree.value = [0, 1, 1, 2, 2, 2, 2, 3, 3], [0.0] * 9
+    for cuts, sides in (([1, 255, 2, 0, 254], [True, False, True, False, False]), ([7, 1, 255, 0, 1], [False, True, True, False, True])):
+        tree.cut, tree.missing_left = [*cuts, 0, 0, 0, 0], [*sides, *[False] * 4]
+        want = []
+        for row in bins.T:
+            node = 0
+            while tree.feature[node] >= 0:
+                b = row[tree.feature[node]]
+                node = tree.left[node] if (tree.missing_left[node] if b == 0 else b <= tree.cut[node]) else tree.right[node]
+            want.append(node)
+        assert B.walk(tree.arrays(), bins).tolist() == want
+    assert B.walk(B.Tree().arrays(), bins).tolist() == [0] * 500
+
+
+def test_cuts_of_many_features_are_found_by_several_tasks(spark, tmp_path):
+    """groups of features give the cuts of one aggregate, their sketches are merged by more than one group; empty table and column"""
+    names = [f"x{i}" for i in range(2 * B.GROUP_FEATURES + 3)]
+    df = spark.range(0, 3000, 1, 1).selectExpr("id", *[f"if(id % 7 = {i % 7}, null, cast((id * {31 + i}) % 997 as double)) as {n}" for i, n in enumerate(names[1:], 1)],
+                                               "cast(null as double) as x0")
+    got = B.Binning.fit(df, names, 31)
+    row = df.agg(*[F.expr(f"percentile_approx({n}, array({', '.join(repr(i / 31) for i in range(1, 31))}), 1240)").alias(n) for n in names],
+                 *[F.max(n).alias(f"m_{n}") for n in names]).first()
+    want = [sorted({c for c in row[n] or [] if c < row[f"m_{n}"]}) for n in names]
+    assert [c.tolist() for c in got.cuts] == want and got.rows == 3000 and len(want[5]) == 30
+    none = B.Binning.fit(df.where("id < 0"), names, 31)
+    assert none.rows == 0 and [len(c) for c in none.cuts] == [0] * len(names)
+    seen = []
+    collect = type(df).collect
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(df), "collect", lambda self: seen.append(collect(self)) or seen[-1])
+        B.Binning.fit(df, names, 31)
+    assert len(seen[-1]) == 3

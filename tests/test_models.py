@@ -155,3 +155,15 @@ def test_vector_features(spark):
     assert len(f.prepared.names) == 64
     preds = f.predict(df).collect()
     assert len(preds) == df.count() and all(0 <= r["prob"] <= 1 for r in preds)
+
+
+def test_wide_rows_are_made_by_several_tasks(spark, tmp_path, monkeypatch):
+    """one small file of keys is dealt to the tasks, with the same rows; a table of few rows stays in its file's task"""
+    spark.range(0, 1000, 1, 1).selectExpr("id % 900 as c_custkey", "if(id % 11 = 0, -1.0, 1.0) as c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    assert FX.wide_labelled(spark, str(tmp_path)).rdd.getNumPartitions() == 1
+    whole = sorted(map(repr, FX.wide_labelled(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(FX, "SPREAD_ROWS", 250)
+    dealt = FX.wide_labelled(spark, str(tmp_path))
+    assert dealt.rdd.getNumPartitions() == 4 and sorted(map(repr, dealt.collect())) == whole
+    each = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert len(each) == 4 and max(r["count"] for r in each) <= 300
