@@ -207,6 +207,31 @@ def test_tables_share_passes(table):
             assert all(wide[r["id_cliente"]][n] == pytest.approx(r["prob"]) for r in m.predict(t).collect())
 
 
+def test_models_of_fewer_features_share_the_passes(table, monkeypatch):
+    """a model that may use some features equals one trained on a table of those alone"""
+    p, q = B.Params(rounds=4, eta=0.3, max_depth=3, colsample=0.6), B.Params(rounds=3, eta=0.3, max_depth=2)
+    passes, one_pass = [], B._pass
+    monkeypatch.setattr(B, "_pass", lambda *a: passes.append(len(a[2])) or one_pass(*a))
+    models = B.train(table, FEATURES, [B.Job(p, features=["a", "c"]), B.Job(q), B.Job(q, features=["b"])])[0]
+    assert len(passes) <= 4 * 3 and max(passes) == 3
+    few, whole, one = (B.train(table, f, [B.Job(x)])[0][0] for f, x in ((["a", "c"], p), (FEATURES, q), (["b"], q)))
+    got = B.predict_together(models, ["few", "whole", "one"], table, keep=["clase01"]).collect()
+    for name, alone in (("few", few), ("whole", whole), ("one", one)):
+        want = sorted((r["id_cliente"], r["clase01"] or 0, round(r["prob"], 9)) for r in alone.predict(table, keep=["clase01"]).collect())
+        assert sorted((r["id_cliente"], r["clase01"] or 0, round(r[name], 9)) for r in got) == want
+
+
+def test_a_task_sends_many_sums_at_once(monkeypatch):
+    assert [len(x) for x in B._sent((i, b"x" * 4000) for i in range(1000))] == [1000]
+    monkeypatch.setattr(B, "SEND_BYTES", 10000)
+    sent = list(B._sent((i, b"x" * 4000) for i in range(10)))
+    assert [len(x) for x in sent] == [3, 3, 3, 1] and [key for x in sent for key, _ in x] == list(range(10))
+
+
+def test_waves_of_tasks_are_even():
+    assert [B._even(n, 12) for n in (0, 1, 12, 13, 17, 24, 25)] == [1, 1, 12, 24, 24, 24, 36]
+
+
 def test_stopping_by_patience(table):
     p = B.Params(rounds=40, eta=0.5, max_depth=3)
     jobs = [B.Job(p, j) for j in range(3)]

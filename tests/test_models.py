@@ -5,10 +5,12 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from contactlift.operators import boosting as BO
 from contactlift.operators import metrics as M
 from contactlift.operators import model as ML
 from contactlift.operators import projections as PR
 from contactlift.plans import fixtures as FX
+from contactlift.plans import models as MQ
 from contactlift.plans import trials as T
 from paths import SF_SMALL
 
@@ -167,3 +169,39 @@ def test_wide_rows_are_made_by_several_tasks(spark, tmp_path, monkeypatch):
     assert dealt.rdd.getNumPartitions() == 4 and sorted(map(repr, dealt.collect())) == whole
     each = dealt.groupBy(F.spark_partition_id()).count().collect()
     assert len(each) == 4 and max(r["count"] for r in each) <= 300
+
+
+def test_tuned_comparison_bins_and_trains_once(spark, tmp_path, monkeypatch):
+    """three models of one split: one set of bins, one run of passes, rows as of models trained alone"""
+    spark.range(0, 600, 1, 1).selectExpr("id as c_custkey", "if(id % 11 = 0 or id % 50 = 3, -1.0, 1.0) as c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    est = MQ.est_a
+    monkeypatch.setattr(MQ, "est_a", lambda p=MQ.DEFAULT_A, rounds=2, seed=1: est({**p, "eta": 0.3}, min(rounds, 3), seed))
+    fitted, trained, fit, boost = [], [], BO.Binning.fit, BO._boost
+    monkeypatch.setattr(BO.Binning, "fit", lambda *a: fitted.append(1) or fit(*a))
+    monkeypatch.setattr(BO, "_boost", lambda *a: trained.append(1) or boost(*a))
+    got = {r["variant"]: r["profit"] for r in MQ.q_tuned(spark, str(tmp_path)).collect()}
+    assert len(fitted) == 1 and len(trained) == 1
+    df = MQ.wide(spark, str(tmp_path))
+    train, test = MQ.split(df)
+    (train_fe, fs), (test_fe, _) = MQ._std(train), MQ._std(test)
+    default, tuned, raw = MQ.est_a(seed=102191), MQ.est_a(MQ.TUNED_A, 3, 102191), MQ.feats(df)
+    for name, a, b, f, p in (("default_raw", train, test, raw, default), ("tuned_raw", train, test, raw, tuned), ("default_std", train_fe, test_fe, fs, default)):
+        alone = BO.fit(a, f, p).predict(b, keep=["clase01"]).withColumnRenamed("clase01", "target")
+        assert got[name] == pytest.approx(M.profit_score(alone).first()["profit"])
+    assert set(got) == {"default_raw", "tuned_raw", "default_std"}
+
+
+def test_seeds_of_a_search_share_the_passes(spark, cards, tmp_path, monkeypatch):
+    """all seeds are trained in one run of passes, each over its own folds; what is logged is what seeds alone give"""
+    feats = PR.feature_columns(cards)
+    trials = spark.createDataFrame([(1, 0.1), (2, 0.3)], "trial_id int, eta double")
+    make = lambda p: BO.profile_a(p["eta"], 2, 1.0)
+    log, alone = (T.TrialLog(spark, f"{tmp_path}/{n}") for n in ("log", "alone"))
+    runs, boost = [], BO._boost
+    monkeypatch.setattr(BO, "_boost", lambda *a: runs.append(1) or boost(*a))
+    T.trial_evaluation(cards, feats, trials, make, [7, 8], log, k=2)
+    assert len(runs) == 1
+    T.trial_evaluation(cards, feats, trials, make, [7, 8], alone, k=2, parallelism=1)
+    assert len(runs) == 3
+    rows = [sorted((r["trial_id"], r["seed"], round(r["y"], 6)) for r in x.finished().collect()) for x in (log, alone)]
+    assert rows[0] == rows[1] and len(rows[0]) == 4
