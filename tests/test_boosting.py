@@ -221,6 +221,48 @@ def test_models_of_fewer_features_share_the_passes(table, monkeypatch):
         assert sorted((r["id_cliente"], r["clase01"] or 0, round(r[name], 9)) for r in got) == want
 
 
+def test_whole_models_by_single_tasks_equal_the_passes(spark, table, monkeypatch):
+    """many rounds over tables that fit into a task: the same trees, logs and stops without a pass; larger and empty tables keep the passes"""
+    p, q = B.Params(rounds=12, eta=0.3, max_depth=4, colsample=0.6), B.profile_b(0.2, 9, 1.0, 5, 2)
+    tables = [B.Table(table.where(c), FEATURES, [*[B.Job(p, j, 0) for j in range(3)], *[B.Job(q, j, 1, 1) for j in range(2)], B.Job(q, group=2, features=["a", "c"])],
+                      ["fold", "other"]) for c in ("id_cliente < 300", "id_cliente >= 120")]
+    passes, one_pass = [], B._pass
+    monkeypatch.setattr(B, "_pass", lambda *a: passes.append(1) or one_pass(*a))
+    for patience in (None, 2):
+        want = B.train_tables(tables, cutoff=0.3, patience=patience)
+        monkeypatch.setattr(B, "APART_PASSES", 1)
+        count = len(passes)
+        got = B.train_tables(tables, cutoff=0.3, patience=patience)
+        assert len(passes) == count
+        for (a, log), (b, entries) in zip(want, got):
+            assert sorted(log) == sorted(entries)
+            for m, n in zip(a, b):
+                assert [list(t.feature) for t in m.trees] == [list(t.feature) for t in n.trees] and m.trees
+                assert [list(t.cut) for t in m.trees] == [list(t.cut) for t in n.trees]
+                assert [x for t in m.trees for x in t.value] == pytest.approx([x for t in n.trees for x in t.value])
+            x, y = (sorted(map(tuple, m[0].nodes_frame(spark).drop("gain", "cover", "value").collect()), key=lambda r: r[:2]) for m in (a, b))
+            assert x == y
+        monkeypatch.undo()
+        monkeypatch.setattr(B, "_pass", lambda *a: passes.append(1) or one_pass(*a))
+    monkeypatch.setattr(B, "APART_PASSES", 1)
+    for t, limit in ((table, 100), (table.where("id_cliente < 0"), B.APART_BYTES)):
+        monkeypatch.setattr(B, "APART_BYTES", limit)
+        count = len(passes)
+        assert len(B.fit(t, FEATURES, B.Params(rounds=2, max_depth=2)).trees) == 2 and len(passes) > count
+
+
+def test_a_table_scores_the_rows_of_each_model(table):
+    p = B.Params(rounds=2, eta=0.3, max_depth=2)
+    marked = table.withColumns({"even": F.col("id_cliente") % 2, "third": F.when(F.col("id_cliente") % 3 == 0, 1)})
+    models = B.train(marked, FEATURES, [B.Job(p), B.Job(B.Params(rounds=3, eta=0.1, max_depth=2))])[0]
+    got = B.predict_together(models, ["m", "n"], marked, keep=["even", "third"], of=["even", "third"]).collect()
+    want = [{r["id_cliente"]: r["prob"] for r in m.predict(table).collect()} for m in models]
+    assert len(got) == 400
+    for r in got:
+        assert r["m"] == (pytest.approx(want[0][r["id_cliente"]]) if r["even"] == 1 else None)
+        assert r["n"] == (pytest.approx(want[1][r["id_cliente"]]) if r["third"] == 1 else None)
+
+
 def test_a_task_sends_many_sums_at_once(monkeypatch):
     assert [len(x) for x in B._sent((i, b"x" * 4000) for i in range(1000))] == [1000]
     monkeypatch.setattr(B, "SEND_BYTES", 10000)

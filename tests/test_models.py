@@ -205,3 +205,28 @@ def test_seeds_of_a_search_share_the_passes(spark, cards, tmp_path, monkeypatch)
     assert len(runs) == 3
     rows = [sorted((r["trial_id"], r["seed"], round(r["y"], 6)) for r in x.finished().collect()) for x in (log, alone)]
     assert rows[0] == rows[1] and len(rows[0]) == 4
+
+
+@pytest.mark.parametrize("query, rounds, models, seeds, patience", [
+    ("blended_delivery", [400], 2, 1, None), ("cv_best_score", [500], 5, 1, None),
+    ("model_comparison", [300, 400], 15, 5, None), ("tuned_comparison", [300, 450], 3, 1, None)])
+def test_queries_train_the_recorded_rounds(spark, tmp_path, monkeypatch, query, rounds, models, seeds, patience):
+    """the whole search, delivery or comparison: every recorded round, seed and limit reaches the trainer"""
+    spark.range(0, 80, 1, 1).selectExpr("id as c_custkey", "if(id % 5 = 0, -1.0, 1.0) as c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(0, 300, 1, 1).selectExpr("id as o_orderkey", "id % 70 as o_custkey", "if(id % 2 = 0, 'F', 'O') as o_orderstatus",
+                                         "cast(id * 37 % 101 as double) as o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    asked = []
+
+    class Enough(Exception):
+        pass
+
+    def boost(packs, models, jobs, at, cutoff, relative, strict, patience):
+        asked.append((jobs, patience))
+        raise Enough
+
+    monkeypatch.setattr(BO, "_boost", boost)
+    with pytest.raises(Enough):
+        MQ.MODEL_QUERIES[query](spark, str(tmp_path))
+    (jobs, stop), = asked
+    assert sorted({j.params.rounds for j in jobs}) == rounds and len(jobs) == models
+    assert len({j.params.seed for j in jobs}) == seeds and stop == patience
