@@ -209,7 +209,7 @@ def test_seeds_of_a_search_share_the_passes(spark, cards, tmp_path, monkeypatch)
 
 @pytest.mark.parametrize("query, rounds, models, seeds, patience", [
     ("blended_delivery", [400], 2, 1, None), ("cv_best_score", [500], 5, 1, None), ("feature_pack_comparison", [300], 60, 20, None),
-    ("model_comparison", [300, 400], 15, 5, None), ("tuned_comparison", [300, 450], 3, 1, None)])
+    ("model_comparison", [300, 400], 15, 5, None), ("tuned_comparison", [300, 450], 3, 1, None), ("oof_score_table", [1000], 25 * 3 * 5, 1, 30)])
 def test_queries_train_the_recorded_rounds(spark, tmp_path, monkeypatch, query, rounds, models, seeds, patience):
     """the whole search, delivery or comparison: every recorded round, seed and limit reaches the trainer"""
     spark.range(0, 80, 1, 1).selectExpr("id as c_custkey", "if(id % 5 = 0, -1.0, 1.0) as c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
