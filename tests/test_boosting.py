@@ -389,3 +389,21 @@ def test_cuts_of_many_features_are_found_by_several_tasks(spark, tmp_path):
         m.setattr(type(df), "collect", lambda self: seen.append(collect(self)) or seen[-1])
         B.Binning.fit(df, names, 31)
     assert len(seen[-1]) == 3
+
+
+def test_a_task_holds_the_sketches_of_some_features_at_a_time(spark, monkeypatch):
+    """many features of many rows take several aggregates, whose cuts are those of one; few rows or few features take one"""
+    names = [f"x{i}" for i in range(3 * B.GROUP_FEATURES + 3)]
+    df = spark.range(0, 900, 1, 3).selectExpr("id", *[f"if(id % 7 = {i % 7}, null, cast((id * {31 + i}) % 97 as double)) as {n}" for i, n in enumerate(names)]).cache()
+    seen, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    one = B.Binning.fit(df, names, 31)
+    assert [len(x) for x in seen] == [4]
+    monkeypatch.setattr(B, "SKETCH_BYTES", 2 * B.GROUP_FEATURES * B.SKETCH_ROW_BYTES * 900)
+    monkeypatch.setattr(B, "FEW_FEATURES", B.GROUP_FEATURES)
+    several = B.Binning.fit(df, names, 31)
+    assert [len(x) for x in seen] == [4, 2, 2]
+    assert [c.tolist() for c in several.cuts] == [c.tolist() for c in one.cuts] and several.rows == one.rows == 900
+    B.Binning.fit(df, names[:B.GROUP_FEATURES], 31)
+    assert [len(x) for x in seen] == [4, 2, 2, 1]
+    assert B.Binning.fit(df.where("id < 0"), names, 31).rows == 0
